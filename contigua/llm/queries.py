@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contigua.llm import mixing, simhash, token_counts
-from contigua.llm.common import table
+from contigua.llm import compaction, knn, mixing, simhash, token_counts, warc
+from contigua.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn_join(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, manifest).withColumnRenamed("id", "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,8 +36,20 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken", "copies")
 
 
+def op10_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in three lots; after compaction, each document with its shard."""
+    docs = table(spark, sf_dir, "documents")
+    store = compaction.ShardStore(spark, scratch(spark, "shards"))
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for i in range(3):
+        store.append(docs.filter(lot == i))
+    version = store.compact(target_bytes=16 << 20)
+    live = store.manifest(version).withColumn("shard", F.substring_index("path", "/data/", -1))
+    return store.read(version, with_path=True).select("doc_id", "__path").join(live, F.col("__path") == F.col("path")).select("doc_id", "shard", F.col("bytes").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op4_simhash_dedup, op8_mix_sources]
+    found = [op1_token_counts, op2_knn_join, op3_warc, op4_simhash_dedup, op8_mix_sources, op10_compact_shards]
     return {f.__name__: f for f in found}
 
 

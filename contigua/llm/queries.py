@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contigua.llm import compaction, knn, mixing, simhash, token_counts, warc
+from contigua.llm import compaction, decontaminate, kneser_ney, knn, mixing, simhash, suffix_dedup, token_counts, warc
 from contigua.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +31,25 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(mixing.sizes_of(table(spark, sf_dir, "documents")))
     return plan.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken", "copies")
 
 
+def op9_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with what it decided on."""
+    found = kneser_ney.classify(table(spark, sf_dir, "documents"), kneser_ney.trusted_ids(table(spark, sf_dir, "labels")))
+    return found.filter("keep").selectExpr("doc AS doc_id", "lang", "n_grams", "perplexity", "least", "most", "keep")
+
+
 def op10_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents arrive in three lots; after compaction, each document with its shard."""
     docs = table(spark, sf_dir, "documents")
@@ -49,7 +63,7 @@ def op10_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_knn_join, op3_warc, op4_simhash_dedup, op8_mix_sources, op10_compact_shards]
+    found = [op1_token_counts, op2_knn_join, op3_warc, op4_simhash_dedup, op6_decontaminate, op7_suffix_dedup, op8_mix_sources, op9_quality_kneser_ney, op10_compact_shards]
     return {f.__name__: f for f in found}
 
 

@@ -125,3 +125,17 @@ class ShardStore:
         for s in self._fs.listStatus(self._path(f"{self.root}/data")):
             if s.getPath().getName() not in used:
                 self._fs.delete(s.getPath(), True)
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", lots: int = 3, target_bytes: int = 16 << 20, fan_in: int = 4) -> DataFrame:
+    """The rows arrive in ``lots`` appends, by hash of the id, and are compacted; per row: id, ``shard``,
+    ``shard_bytes``, ``version``."""
+    spark = docs.sparkSession
+    store = ShardStore(spark, scratch(spark, "shards"))
+    lot = F.pmod(F.xxhash64(id_col), F.lit(lots))
+    for i in range(lots):
+        store.append(docs.filter(lot == i))
+    version = store.compact(target_bytes, fan_in)
+    live = store.manifest(version).select("path", "bytes", F.substring_index("path", "/data/", -1).alias("shard"))
+    rows = store.read(version, with_path=True).select(id_col, "__path")
+    return rows.join(live, F.col("__path") == F.col("path")).select(id_col, "shard", F.col("bytes").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))

@@ -48,8 +48,8 @@ LEAST_DISCOUNT = 0.1
 HELD_OUT = 5
 #: Lengths (in grams) at which a new band of thresholds begins: short texts scatter more.
 BANDS = (256, 1024, 4096)
-#: A band with fewer held-out rows takes the widest fence of its language.
-FEW_HELD_OUT = 50
+#: A band with fewer held-out rows takes the widest fence of its language, and one at least a factor WIDE from its median.
+FEW_HELD_OUT, WIDE = 50, 2.0
 BATCH_BYTES = 64 << 20
 
 
@@ -282,10 +282,10 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, reach:
     named = cut(named.join(ids, "doc", "left"))
     q = F.percentile_approx(F.log("perplexity"), [1 - quantile, 0.5, quantile], 100_000)
     bounds = named.filter("held_out").groupBy("lang", "band").agg(q.alias("q"), F.count("perplexity").alias("n"))
-    bounds = bounds.select("lang", "band", "n", F.exp(F.col("q")[1] - reach * (F.col("q")[1] - F.col("q")[0])).alias("least"), F.exp(F.col("q")[1] + reach * (F.col("q")[2] - F.col("q")[1])).alias("most"))
+    bounds = bounds.select("lang", "band", "n", F.exp(F.col("q")[1]).alias("mid"), F.exp(F.col("q")[1] - reach * (F.col("q")[1] - F.col("q")[0])).alias("least"), F.exp(F.col("q")[1] + reach * (F.col("q")[2] - F.col("q")[1])).alias("most"))
     whole = Window.partitionBy("lang")  # a row a band
     few = F.col("n") < FEW_HELD_OUT
-    bounds = bounds.select("lang", "band", F.when(few, F.min("least").over(whole)).otherwise(F.col("least")).alias("least"), F.when(few, F.max("most").over(whole)).otherwise(F.col("most")).alias("most"))
+    bounds = bounds.select("lang", "band", F.when(few, F.least(F.min("least").over(whole), F.col("mid") / WIDE)).otherwise(F.col("least")).alias("least"), F.when(few, F.greatest(F.max("most").over(whole), F.col("mid") * WIDE)).otherwise(F.col("most")).alias("most"))
     keep = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
     return named.join(bounds, ["lang", "band"], "left").select("doc", "mark", "lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
 

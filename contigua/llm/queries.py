@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contigua.llm import compaction, decontaminate, kneser_ney, knn, mixing, simhash, suffix_dedup, token_counts, warc
+from contigua.llm import chat, compaction, decontaminate, kneser_ney, knn, mixing, simhash, suffix_dedup, token_counts, warc
 from contigua.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,19 +55,11 @@ def op9_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents arrive in three lots; after compaction, each document with its shard."""
-    docs = table(spark, sf_dir, "documents")
-    store = compaction.ShardStore(spark, scratch(spark, "shards"))
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(3))
-    for i in range(3):
-        store.append(docs.filter(lot == i))
-    version = store.compact(target_bytes=16 << 20)
-    live = store.manifest(version).withColumn("shard", F.substring_index("path", "/data/", -1))
-    return store.read(version, with_path=True).select("doc_id", "__path").join(live, F.col("__path") == F.col("path")).select("doc_id", "shard", F.col("bytes").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
+    return compaction.shard(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_knn_join, op3_warc, op4_simhash_dedup, op6_decontaminate, op7_suffix_dedup, op8_mix_sources, op9_quality_kneser_ney, op10_compact_shards]
+    found = [op1_token_counts, op2_knn_join, op3_warc, op4_simhash_dedup, op5_chat_format, op6_decontaminate, op7_suffix_dedup, op8_mix_sources, op9_quality_kneser_ney, op10_compact_shards]
     return {f.__name__: f for f in found}
 
 

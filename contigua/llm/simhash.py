@@ -234,3 +234,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach = named.groupBy("label").agg(F.min("least").alias("component_id"))
     known = named.join(reach, "label").select("fp", "component_id")
     return fps.join(known, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id."""
+    first = near_duplicates(docs, id_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__doc")).distinct()
+    return docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left_semi").dropDuplicates([id_col])

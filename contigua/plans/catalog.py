@@ -1,15 +1,690 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each beside the SQL that it must agree with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from contigua.functions import packing as P, seq as S
+from contigua.model import GAP, SEGMENT
+from contigua.operators import filters, graph, ingest, kmers, paths, stats
+from contigua.plans import bridge as B, sql as Q
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+GENOME = 1_000_000
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes))
+
+        _QUERIES[key] = run
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _ckpt(spark: SparkSession) -> None:
+    """Components cut their lineage in the shared folder; one is made only where the session names none."""
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="contigua-"))
+
+
+# -- sequences --------------------------------------------------------------------------------------
+
+
+def _per_seq(name: str, spark_expr: Callable, sql_expr: str, out: str = "seq") -> None:
+    @query(f"WITH {Q.SEQS} SELECT header, {sql_expr} AS {out} FROM seqs", name)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return B.seqs(spark, d).select("header", spark_expr(F.col("sequence")).alias(out))
+
+
+_per_seq("revcomp", lambda s: S.revcomp(s, strict=True), "reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))")
+_per_seq("reverse_seq", S.rev, "reverse(seq)")
+_per_seq("unmask", S.unmask, "upper(seq)")
+_per_seq("slice", lambda s: S.slice_1(s, F.lit(5), F.lit(20)), "substr(seq, 5, 16)")
+_per_seq("erase", lambda s: S.erase_interval(s, F.lit(3), F.lit(10)), "substr(seq, 1, 3) || substr(seq, 11)")
+_per_seq("erase_chars", lambda s: S.erase_chars(s, "Nn"), "replace(replace(seq, 'N', ''), 'n', '')")
+_per_seq("masked_dna", P.masked_dna, "regexp_replace(upper(seq), '[^ACGT]', 'N', 'g')")
+_per_seq("text_wrap", lambda s: S.text_wrap(s, 60), "array_to_string(regexp_extract_all(seq, '.{1,60}'), chr(10))")
+_per_seq("soft_mask", ingest.soft_masked, "length(regexp_replace(seq, '[^acgt]', '', 'g'))", "n")
+_per_seq("pack_2bit", lambda s: P.unpack_2bit(P.pack_2bit(s), F.length(s)), "regexp_replace(upper(seq), '[^ACGT]', 'A', 'g')")
+
+
+@query(f"WITH {Q.SEQS} SELECT header, a, c, g, t FROM (SELECT header, {Q.counts('seq')} FROM seqs)")
+def base_composition(spark, d):
+    return B.seqs(spark, d).select("header", *(c.alias(b) for b, c in S.base_counts(F.col("sequence")).items()))
+
+
+@query(f"WITH {Q.SEQS} SELECT header, round((g + c) / nullif(a + c + g + t, 0) * 100, 2) AS gc FROM (SELECT header, {Q.counts('seq')} FROM seqs)")
+def gc_content(spark, d):
+    n = S.base_counts(F.col("sequence"))
+    return B.seqs(spark, d).select("header", F.round(S.gc_content(n["a"], n["c"], n["g"], n["t"]), 2).alias("gc"))
+
+
+@query("SELECT p_partkey, coalesce(regexp_extract(s, '^(.*):([0-9]+)-([0-9]+)$', 1), '') AS header, CAST(regexp_extract(s, '^(.*):([0-9]+)-([0-9]+)$', 2) AS BIGINT) AS \"start\", CAST(regexp_extract(s, '^(.*):([0-9]+)-([0-9]+)$', 3) AS BIGINT) AS \"end\" FROM (SELECT p_partkey, p_type || ':' || p_size || '-' || (p_size + 10) AS s FROM part)")
+def parse_coordinate(spark, d):
+    s = F.concat("p_type", F.lit(":"), "p_size", F.lit("-"), F.col("p_size") + 10)
+    return B.table(spark, d, "part").select("p_partkey", S.parse_coordinate(s).alias("x")).select("p_partkey", "x.*")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 8 = 0 THEN '' ELSE upper(to_hex(p_size % 8 * p_partkey)) END AS x FROM part")
+def dec_to_hexa(spark, d):
+    return B.table(spark, d, "part").select("p_partkey", P.dec_to_hexa(F.col("p_size") % 8 * F.col("p_partkey")).alias("x"))
+
+
+@query(f"WITH {Q.RUNS} SELECT s.header, coalesce(c.seq, '') AS seq FROM seqs s LEFT JOIN (SELECT header, string_agg(b, '' ORDER BY run) AS seq FROM runs GROUP BY header) c USING (header)")
+def hpc_compress(spark, d):
+    return B.seqs(spark, d).select("header", S.compress(F.col("sequence")).alias("seq"))
+
+
+@query(f"WITH {Q.SEQS} SELECT header, seq FROM seqs")
+def hpc_decompress(spark, d):
+    rows = B.seqs(spark, d).select("header", S.compress(F.col("sequence"), 2).alias("c"), S.run_bed(F.col("sequence"), 2, compressed=True).alias("bed"))
+    return rows.select("header", S.decompress(F.col("c"), F.col("bed")).alias("seq"))
+
+
+@query(f"WITH {Q.RUNS} SELECT s.header, coalesce(n, 0) AS n FROM seqs s LEFT JOIN (SELECT header, count(*) AS n FROM runs WHERE stop - start > 1 GROUP BY header) c USING (header)")
+def homopolymer_runs(spark, d):
+    return B.seqs(spark, d).select("header", S.homopolymer_runs(F.col("sequence")).alias("n"))
+
+
+@query(f"WITH {Q.RUNS} SELECT header, start AS \"start\", stop AS \"end\" FROM runs WHERE stop - start > 1")
+def bed_homopolymer(spark, d):
+    return B.seqs(spark, d).select("header", F.explode(S.run_bed(F.col("sequence"))).alias("x")).select("header", "x.start", "x.end")
+
+
+# -- splitting --------------------------------------------------------------------------------------
+
+
+def _feats(spark, d):
+    return ingest.features(B.seqs(spark, d))
+
+
+@query(f"WITH {Q.FEATS} SELECT header, i, name, text, len, {Q.counts('text')} FROM feats WHERE kind = 'SEGMENT'")
+def split_segments(spark, d):
+    return ingest.segments_of(_feats(spark, d))
+
+
+@query(
+    f"WITH {Q.FEATS}, n AS (SELECT *, lag(name) OVER w AS prv, lead(name) OVER w AS nxt FROM feats WINDOW w AS (PARTITION BY header ORDER BY i))"
+    " SELECT header, i, name, coalesce(prv, nxt) AS s1, '+' AS s1_or, coalesce(nxt, prv) AS s2, CASE WHEN nxt IS NULL AND prv IS NOT NULL THEN '-' ELSE '+' END AS s2_or, len AS dist FROM n WHERE kind = 'GAP'"
+)
+def split_gaps(spark, d):
+    return ingest.gaps_of(_feats(spark, d))
+
+
+@query(f"WITH {Q.FEATS} SELECT header, name, len, a, c, g, t, round((g + c) / nullif(a + c + g + t, 0) * 100, 2) AS gc, lower FROM (SELECT *, {Q.counts('text')} FROM feats WHERE kind = 'SEGMENT')")
+def segment_report(spark, d):
+    gc = F.round(S.gc_content(*(F.col(x) for x in "acgt")), 2)
+    return ingest.segments_of(_feats(spark, d)).select("header", "name", "len", "a", "c", "g", "t", gc.alias("gc"), "lower")
+
+
+def _path_components(spark, d):
+    """Features as components with length and counts."""
+    f = _feats(spark, d)
+    own = f.select(F.col("header").alias("path"), F.col("i").alias("ord"), F.col("kind").alias("ctype"), F.col("name").alias("comp"), F.when(F.col("kind") == GAP, "0").otherwise("+").alias("orientation"), "len", "text")
+    return own.withColumns(S.base_counts(F.col("text")) | {"lower": S.lower_count(F.col("text"))})
+
+
+_PATHS = (
+    f"{Q.FEATS}, pr AS (SELECT header AS path, CAST(sum(len) AS BIGINT) AS length, CAST(coalesce(sum(len) FILTER (kind = 'SEGMENT'), 0) AS BIGINT) AS segment_length, count(*) FILTER (kind = 'SEGMENT') AS contig_n, "
+    + ", ".join(f"CAST(coalesce(sum({b}) FILTER (kind = 'SEGMENT'), 0) AS BIGINT) AS {b}" for b in ("a", "c", "g", "t", "lower"))
+    + f" FROM (SELECT *, {Q.counts('text')} FROM feats) GROUP BY header)"
+    ", paths AS (SELECT header AS path, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("length", "segment_length", "contig_n", "a", "c", "g", "t", "lower")) + " FROM seqs LEFT JOIN pr ON pr.path = seqs.header)"
+)
+
+
+def _path_report(spark, d):
+    report = stats.path_report(_path_components(spark, d))
+    figures = [c for c in report.columns if c != "path"]
+    return B.seqs(spark, d).select(F.col("header").alias("path")).join(report, "path", "left").select("path", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in figures))
+
+
+@query(f"WITH {_PATHS} SELECT * FROM paths")
+def path_report(spark, d):
+    return _path_report(spark, d)
+
+
+# -- statistics -------------------------------------------------------------------------------------
+
+_LENGTHS = {
+    "scaffold": (f"{Q.SEQS}", "SELECT length(seq) AS len FROM seqs", lambda s, d: B.seqs(s, d).select(F.length("sequence").cast("long").alias("len"))),
+    "contig": (Q.FEATS, "SELECT len FROM feats WHERE kind = 'SEGMENT'", lambda s, d: _feats(s, d).filter(F.col("kind") == SEGMENT).select("len")),
+    "gap": (Q.FEATS, "SELECT len FROM feats WHERE kind = 'GAP'", lambda s, d: _feats(s, d).filter(F.col("kind") == GAP).select("len")),
+}
+
+
+def _length_queries(kind: str) -> None:
+    pre, lengths, make = _LENGTHS[kind]
+
+    @query(f"WITH {pre}, {Q.nstar(lengths)}", f"nstar_{kind}")
+    def nstar(spark, d):
+        return stats.nstar(make(spark, d))
+
+    @query(f"WITH {pre}, l AS ({lengths}) SELECT round(CAST(sum(len * len) AS DOUBLE) / CAST(sum(len) AS DOUBLE), 2) AS aun FROM l", f"aun_{kind}")
+    def aun(spark, d):
+        return stats.aun(make(spark, d))
+
+    @query(f"WITH {pre}, l AS ({lengths}) SELECT count(len) AS n, CAST(coalesce(sum(len), 0) AS BIGINT) AS total, round(avg(len), 2) AS average, coalesce(max(len), 0) AS largest, coalesce(min(len), 0) AS smallest FROM l", f"summary_{kind}")
+    def summary(spark, d):
+        return stats.length_summary(make(spark, d))
+
+    if kind != "gap":
+
+        @query(f"WITH {pre}, {Q.nstar(lengths, f'CAST({GENOME} AS DOUBLE)')}", f"ngstar_{kind}")
+        def ngstar(spark, d):
+            return stats.nstar(make(spark, d), genome_size=GENOME)
+
+        @query(f"WITH {pre}, l AS ({lengths}) SELECT round(CAST(sum(len * len) AS DOUBLE) / {GENOME}, 2) AS aun FROM l", f"aung_{kind}")
+        def aung(spark, d):
+            return stats.aun(make(spark, d), genome_size=GENOME)
+
+
+for _kind in _LENGTHS:
+    _length_queries(_kind)
+
+
+def _summary_sql() -> str:
+    out = []
+    for kind, rows, where in (("scaffold", "SELECT length AS len FROM paths", ""), ("contig", "SELECT len FROM feats WHERE kind = 'SEGMENT'", ""), ("gap", "SELECT len FROM feats WHERE kind = 'GAP'", " in scaffolds")):
+        name = kind.capitalize()
+        for label, e in ((f"# {kind}s{where}", "count(len)"), (f"Total {kind} length{where}", "sum(len)"), (f"Average {kind} length{where}", "round(avg(len), 2)"), (f"Largest {kind}{where}", "max(len)"), (f"Smallest {kind}{where}", "min(len)"), (f"{name} auN{where}", "round(CAST(sum(len * len) AS DOUBLE) / CAST(sum(len) AS DOUBLE), 2)")):
+            out.append(f"SELECT '{label}' AS metric, CAST({e} AS DOUBLE) AS value FROM ({rows})")
+        for label, c in ((f"{name} N50{where}", "nx"), (f"{name} L50{where}", "lx")):
+            out.append(f"SELECT '{label}', CAST({c} AS DOUBLE) FROM (WITH {Q.nstar(rows)}) WHERE n = 5")
+    for b in "acgt":
+        out.append(f"SELECT 'Base composition {b.upper()}', CAST(sum({b}) AS DOUBLE) FROM paths")
+    out.append("SELECT 'GC content %', round(CAST(sum(g) + sum(c) AS DOUBLE) / CAST(sum(a) + sum(c) + sum(g) + sum(t) AS DOUBLE) * 100, 2) FROM paths")
+    out.append("SELECT '# soft-masked bases', CAST(sum(lower) AS DOUBLE) FROM paths")
+    return f"WITH {_PATHS} " + " UNION ALL ".join(out)
+
+
+@query(_summary_sql())
+def assembly_summary(spark, d):
+    return stats.assembly_summary(_path_report(spark, d), _LENGTHS["contig"][2](spark, d), _LENGTHS["gap"][2](spark, d))
+
+
+@query(
+    f"WITH {Q.FEATS}, f AS (SELECT *, sum(CASE WHEN kind = 'SEGMENT' THEN 1 ELSE 0 END) OVER (PARTITION BY header ORDER BY i) AS island FROM feats WHERE kind = 'GAP' OR len > 2)"
+    " SELECT header AS path, CAST(island AS BIGINT) AS island, CAST(sum(len) AS BIGINT) AS len FROM f WHERE kind = 'GAP' GROUP BY header, island"
+)
+def merged_gaps(spark, d):
+    """Gaps that become neighbours where contigs of one or two bases are left out."""
+    comps = _path_components(spark, d).select("path", "ord", "ctype", "len").filter((F.col("ctype") == GAP) | (F.col("len") > 2))
+    return stats.merged_gaps(comps)
+
+
+# -- coordinates and lines of formats ---------------------------------------------------------------
+
+_OFF = f"{Q.COMPS}, off AS (SELECT *, CAST(sum(len) OVER w AS BIGINT) AS stop, CAST(sum(len) OVER w - len AS BIGINT) AS begin_, row_number() OVER w AS part FROM gc WINDOW w AS (PARTITION BY path ORDER BY ord))"
+
+
+@query(f"WITH {Q.COMPS} SELECT path, CAST(0 AS BIGINT) AS \"start\", CAST(sum(len) AS BIGINT) AS \"end\" FROM gc GROUP BY path")
+def bed_scaffold(spark, d):
+    return B.components(spark, d).groupBy("path").agg(F.sum("len").alias("end")).select("path", F.lit(0).cast("long").alias("start"), "end")
+
+
+def _bed(ctype: str) -> None:
+    @query(f"WITH {_OFF} SELECT path, begin_ AS \"start\", stop AS \"end\", comp FROM off WHERE ctype = '{ctype}'", {"SEGMENT": "bed_contig", "GAP": "bed_gap"}[ctype])
+    def bed(spark, d):
+        return stats.offsets(B.components(spark, d)).filter(F.col("ctype") == ctype).select("path", F.col("begin").alias("start"), F.col("stop").alias("end"), "comp")
+
+    @query(f"WITH {Q.COMPS} SELECT comp, len FROM gc WHERE ctype = '{ctype}'", {"SEGMENT": "sizes_contig", "GAP": "sizes_gap"}[ctype])
+    def sizes(spark, d):
+        return B.components(spark, d).filter(F.col("ctype") == ctype).select("comp", "len")
+
+
+_bed(SEGMENT)
+_bed(GAP)
+
+
+@query(
+    f"WITH {_OFF} SELECT path, ord, CASE WHEN ctype = 'SEGMENT' THEN concat_ws(chr(9), path, begin_ + 1, stop, part, 'W', comp, 1, len, orientation)"
+    " ELSE concat_ws(chr(9), path, begin_ + 1, stop, part, 'N', len, comp, 'yes') END AS line FROM off"
+)
+def agp_out(spark, d):
+    from contigua.sources.sinks import agp_lines
+
+    return agp_lines(stats.offsets(B.components(spark, d)))
+
+
+@query(f"WITH {Q.SEQS} SELECT header, seq FROM (SELECT header, regexp_replace(seq, '[NnXx]', 'N', 'g') AS seq FROM seqs) WHERE seq <> ''")
+def fasta_out(spark, d):
+    from contigua.sources.sinks import path_sequences
+
+    return path_sequences(_path_components(spark, d)).select(F.col("path").alias("header"), "seq")
+
+
+@query(f"WITH {Q.SEQS} SELECT header, seq, repeat('!', length(seq)) AS quality FROM (SELECT header, regexp_replace(seq, '[NnXx]', 'N', 'g') AS seq FROM seqs) WHERE seq <> ''")
+def fastq_out(spark, d):
+    from contigua.sources.sinks import path_sequences
+
+    return path_sequences(_path_components(spark, d)).select(F.col("path").alias("header"), "seq", "quality")
+
+
+@query(f"WITH {Q.FEATS} SELECT concat_ws(chr(9), 'S', name, text) AS line FROM feats WHERE kind = 'SEGMENT'")
+def gfa_s_lines(spark, d):
+    from contigua.sources.sinks import gfa1_segments
+
+    return gfa1_segments(ingest.segments_of(_feats(spark, d)).select(F.col("name").alias("header"), F.col("text").alias("sequence")))
+
+
+_GAPS = (
+    f"WITH {Q.FEATS}, n AS (SELECT *, lag(name) OVER w AS prv, lead(name) OVER w AS nxt FROM feats WINDOW w AS (PARTITION BY header ORDER BY i))"
+    ", gaps AS (SELECT header, name, coalesce(prv, nxt) AS s1, coalesce(nxt, prv) AS s2, CASE WHEN nxt IS NULL AND prv IS NOT NULL THEN '-' ELSE '+' END AS s2_or, len FROM n WHERE kind = 'GAP')"
+)
+
+
+@query(_GAPS + " SELECT concat_ws(chr(9), 'J', s1, '+', s2, s2_or, len) AS line FROM gaps WHERE s1 IS NOT NULL")
+def gfa_j_lines(spark, d):
+    from contigua.sources.sinks import gfa1_gaps
+
+    return gfa1_gaps(ingest.gaps_of(_feats(spark, d)).filter("s1 IS NOT NULL"))
+
+
+@query(f"WITH {Q.EDGES} SELECT concat_ws(chr(9), 'L', s1, s1_or, s2, s2_or, cigar) AS line FROM ge")
+def gfa_l_lines(spark, d):
+    from contigua.sources.sinks import gfa1_edges
+
+    return gfa1_edges(B.edges(spark, d))
+
+
+@query(
+    f"WITH {Q.FEATS}, f AS (SELECT header, kind, name, i, lead(kind) OVER (PARTITION BY header ORDER BY i) AS nk, lag(kind) OVER (PARTITION BY header ORDER BY i) AS pk FROM feats)"
+    " SELECT concat_ws(chr(9), 'P', header, string_agg(CASE WHEN kind = 'SEGMENT' THEN name || '+' || CASE WHEN nk = 'GAP' THEN ';' ELSE '' END WHEN pk IS NULL THEN ';' ELSE '' END, '' ORDER BY i), '*') AS line FROM f GROUP BY header"
+)
+def gfa_p_lines(spark, d):
+    from contigua.sources.sinks import gfa1_paths
+
+    return gfa1_paths(ingest.components_of(_feats(spark, d)))
+
+
+# -- k-mers -----------------------------------------------------------------------------------------
+
+
+def _km_sql(k: int) -> str:
+    return f"{Q.READS}, km AS (SELECT {Q.canonical('k')} AS kmer, count(*) AS cnt FROM ({Q.windows(k)}) GROUP BY 1)"
+
+
+@query(f"WITH {_km_sql(21)} SELECT * FROM km")
+def kmer_count(spark, d):
+    return kmers.count_kmers(B.reads(spark, d), 21)
+
+
+@query(f"WITH {_km_sql(9)} SELECT cnt AS freq, count(*) AS n_kmers FROM km GROUP BY cnt")
+def kmer_hist(spark, d):
+    return kmers.histogram(kmers.count_kmers(B.reads(spark, d), 9))
+
+
+@query(f"WITH {_km_sql(9)} SELECT CAST(sum(cnt) AS BIGINT) AS total, count(*) AS distinct_kmers, count(*) FILTER (cnt = 1) AS unique_kmers, {4**9} - count(*) AS missing FROM km")
+def kmer_stats(spark, d):
+    return kmers.db_stats(kmers.histogram(kmers.count_kmers(B.reads(spark, d), 9)), 9)
+
+
+@query(
+    f"WITH {Q.READS}, r2 AS (SELECT CAST(item_id AS VARCHAR) AS header, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM benchmark)"
+    f" SELECT {Q.canonical('k')} AS kmer, count(*) AS cnt FROM (SELECT k FROM ({Q.windows(9)}) UNION ALL SELECT k FROM ({Q.windows(9, 'r2')})) GROUP BY 1"
+)
+def kmer_union(spark, d):
+    return kmers.union(kmers.count_kmers(B.reads(spark, d), 9), kmers.count_kmers(B.reads(spark, d, "benchmark", "item_id"), 9))
+
+
+@query(f"WITH {Q.READS} SELECT DISTINCT k AS kmer, {Q.canonical('k')} AS canonical, {Q.code('k', 7)} AS code FROM ({Q.windows(7)})")
+def kmer_canonical(spark, d):
+    k = F.col("kmer")
+    return kmers.windows(B.reads(spark, d), 7).select("kmer").distinct().select("kmer", P.canonical(k).alias("canonical"), P.code(k).alias("code"))
+
+
+@query(f"WITH {Q.READS} SELECT header, min({Q.code('c', 7)}) AS h FROM (SELECT header, {Q.canonical('k')} AS c FROM ({Q.windows(7)})) GROUP BY header")
+def minimizer_min(spark, d):
+    return kmers.least_minimiser(B.reads(spark, d), 7)
+
+
+def _mins(spark, d):
+    return kmers.minimisers(B.reads(spark, d), 21, 7)
+
+
+@query(f"WITH {Q.minimisers(21, 7)} SELECT header, string_agg(CASE WHEN h = 0 THEN '' ELSE upper(to_hex(h)) END, '' ORDER BY pos) AS hex FROM mins GROUP BY header")
+def minimizer_hex(spark, d):
+    return kmers.minimiser_hex(_mins(spark, d)).select("header", "hex")
+
+
+@query(f"WITH {Q.minimisers(21, 7)} SELECT header, pos FROM mins WHERE is_new")
+def minimizer_mask(spark, d):
+    return _mins(spark, d).filter("is_new").select("header", "pos")
+
+
+@query(f"WITH {Q.minimisers(21, 7)} SELECT header, h, min(pos) AS \"start\", count(*) + 20 AS length FROM (SELECT *, sum(CAST(is_new AS INTEGER)) OVER (PARTITION BY header ORDER BY pos) AS run FROM mins) GROUP BY header, run, h")
+def supermers(spark, d):
+    return kmers.supermers(_mins(spark, d), 21).select("header", "h", "start", "length")
+
+
+@query()
+def terminal_overlaps(spark, d):
+    """Held against brute force in the tests; all pairs of all ends are too many for SQL."""
+    return kmers.terminal_overlaps(B.reads(spark, d), 31)
+
+
+@query("SELECT p_partkey, unnest([upper(a) || b, upper(a) || lower(b), lower(a) || b, lower(a) || lower(b)]) AS walk FROM (SELECT p_partkey, split_part(p_type, ' ', 1) AS a, p_brand AS b FROM part)")
+def string_walk(spark, d):
+    a, b = F.element_at(F.split("p_type", " "), 1), F.col("p_brand")
+    walks = kmers.walk_alternatives(F.array(F.array(F.upper(a), F.lower(a)), F.array(b, F.lower(b))))
+    return B.table(spark, d, "part").select("p_partkey", F.explode(walks).alias("walk"))
+
+
+# -- graph ------------------------------------------------------------------------------------------
+
+
+def _adj(spark, d):
+    return graph.adjacency(B.edges(spark, d))
+
+
+_DEG = Q.ADJ + ", dg AS (SELECT p_partkey AS node, count(a.node) AS degree, count(DISTINCT o0) AS sides, 2 - count(DISTINCT o0) AS dead_ends FROM part LEFT JOIN adj a ON a.node = p_partkey GROUP BY 1)"
+
+
+@query(f"WITH {Q.ADJ} SELECT * FROM adj")
+def adjacency(spark, d):
+    return _adj(spark, d)
+
+
+@query(f"WITH {_DEG} SELECT node, degree FROM dg")
+def degree(spark, d):
+    return graph.node_report(B.nodes(spark, d), _adj(spark, d)).select("node", "degree")
+
+
+@query(f"WITH {_DEG} SELECT node, dead_ends FROM dg WHERE dead_ends > 0")
+def dead_ends(spark, d):
+    return graph.node_report(B.nodes(spark, d), _adj(spark, d)).filter("dead_ends > 0").select("node", "dead_ends")
+
+
+@query(f"WITH {_DEG} SELECT node, CAST(p_size AS BIGINT) AS len FROM dg JOIN part ON node = p_partkey WHERE degree = 0")
+def disconnected(spark, d):
+    report = graph.node_report(B.nodes(spark, d), _adj(spark, d)).filter("degree = 0")
+    return report.join(B.nodes(spark, d), "node").select("node", "len")
+
+
+def _components(spark, d):
+    _ckpt(spark)
+    return graph.connected_components(B.nodes(spark, d), _adj(spark, d))
+
+
+@query(f"WITH RECURSIVE {Q.CLOSURE} SELECT node, label FROM comp")
+def components(spark, d):
+    return _components(spark, d)
+
+
+@query(f"WITH RECURSIVE {Q.CLOSURE} SELECT label, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS len FROM comp JOIN part ON node = p_partkey GROUP BY label")
+def component_lengths(spark, d):
+    return _components(spark, d).join(B.nodes(spark, d), "node").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"))
+
+
+@query(
+    f"WITH RECURSIVE {Q.CLOSURE}, {_DEG.removeprefix(Q.ADJ + ', ')}, cl AS (SELECT label, sum(p_size) AS len FROM comp JOIN part ON node = p_partkey GROUP BY label) "
+    + " UNION ALL ".join(
+        f"SELECT '{label}' AS metric, CAST({e} AS DOUBLE) AS value"
+        for label, e in (
+            ("# edges", "(SELECT count(*) FROM ge)"), ("Average degree", "round(CAST((SELECT count(*) FROM ge) AS DOUBLE) / (SELECT count(*) FROM part), 2)"),
+            ("# connected components", "(SELECT count(*) FROM cl) - (SELECT count(*) FROM dg WHERE degree = 0)"), ("Largest connected component length", "(SELECT max(len) FROM cl)"),
+            ("# dead ends", "(SELECT sum(dead_ends) FROM dg)"), ("# disconnected components", "(SELECT count(*) FROM dg WHERE degree = 0)"),
+            ("Total length disconnected components", "(SELECT coalesce(sum(p_size), 0) FROM dg JOIN part ON node = p_partkey WHERE degree = 0)"), ("# separated components", "(SELECT count(*) FROM cl)"),
+        )
+    )
+)
+def graph_summary(spark, d):
+    _ckpt(spark)
+    return graph.graph_summary(B.nodes(spark, d), B.edges(spark, d))
+
+
+def _bubble_sql(key: str) -> str:
+    return (
+        f"WITH {Q.ADJ}, sd AS (SELECT node, count(*) AS n, count(DISTINCT o0) AS s FROM adj GROUP BY node), st AS (SELECT node, {key} AS key, other FROM adj),"
+        " pb AS (SELECT d.node AS b0, l.other AS b1, l.o1 AS l1, r.other AS b2, r.o1 AS r1 FROM sd d JOIN adj l ON l.node = d.node AND l.o0 = '-' JOIN adj r ON r.node = d.node AND r.o0 = '+'"
+        " JOIN sd x ON x.node = l.other AND x.n >= 2 JOIN sd y ON y.node = r.other AND y.n >= 2 WHERE d.n = 2 AND d.s = 2),"
+        " f AS (SELECT pb.*, st.other AS dst FROM pb JOIN st ON st.node = b1 AND st.key = l1 WHERE st.other <> b0)"
+        " SELECT DISTINCT b0, b1, b2, CAST(NULL AS BIGINT) AS b3 FROM f WHERE dst = b2 UNION SELECT b0, b1, b2, dst FROM f JOIN st ON st.node = b2 AND st.key = r1 AND st.other = dst WHERE dst <> b2"
+    )
+
+
+@query(_bubble_sql("o1"))
+def bubbles_compat(spark, d):
+    return graph.bubbles(_adj(spark, d), compat=True)
+
+
+@query(_bubble_sql("translate(o0, '+-', '-+')"))
+def bubbles_bidirected(spark, d):
+    return graph.bubbles(_adj(spark, d))
+
+
+@query(f"WITH {Q.EDGES} SELECT DISTINCT s1 AS node FROM ge WHERE s1 = s2")
+def circular_segments(spark, d):
+    return graph.circular_segments(B.edges(spark, d))
+
+
+@query(f"WITH {Q.EDGES}, e AS (SELECT path, arg_min(part, o) AS a, arg_max(part, o) AS b FROM gl GROUP BY path) SELECT CAST(path AS VARCHAR) AS path FROM e WHERE a = b AND a IN (SELECT s1 FROM ge WHERE s1 = s2)")
+def circular_paths(spark, d):
+    return graph.circular_paths(B.components(spark, d).filter(F.col("ctype") == SEGMENT), B.edges(spark, d).withColumns({c: F.col(c).cast("string") for c in ("s1", "s2")}))
+
+
+@query(f"WITH {Q.EDGES} SELECT header, s1, s1_or, s2, s2_or, cigar FROM ge WHERE s1 IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND s2 IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
+def subgraph(spark, d):
+    """Edges of the subgraph of segments of at most 25 bases."""
+    nodes = B.nodes(spark, d)
+    return graph.subgraph(nodes.withColumn("header", F.col("node")), B.edges(spark, d), nodes.filter("len <= 25").select("node"))[1]
+
+
+@query(_GAPS + " SELECT s1 AS node, 'FW' AS way, s2 AS other, len AS dist FROM gaps UNION ALL SELECT s2, 'BW', s1, len FROM gaps")
+def gap_adjacency(spark, d):
+    return graph.gap_adjacency(ingest.gaps_of(_feats(spark, d)))
+
+
+@query(f"WITH {Q.FEATS} SELECT first_value(name) OVER w || '_path' AS path, row_number() OVER w AS ord, name AS comp FROM feats WHERE kind = 'SEGMENT' WINDOW w AS (PARTITION BY header ORDER BY i)")
+def discover_paths(spark, d):
+    _ckpt(spark)
+    f = _feats(spark, d)
+    return graph.discover_paths(f.filter(F.col("kind") == SEGMENT).select(F.col("name").alias("node")), ingest.gaps_of(f))
+
+
+@query()
+def shortest_distances(spark, d):
+    """Hops from the circular segments; held against brute force in the tests."""
+    _ckpt(spark)
+    edges = B.edges(spark, d)
+    return graph.shortest_distances(graph.adjacency(edges), graph.circular_segments(edges))
+
+
+@query(_GAPS + f" SELECT header AS path, row_number() OVER (PARTITION BY header ORDER BY i) AS ord, name AS comp FROM feats WHERE kind = 'SEGMENT' OR name IN (SELECT name FROM gaps WHERE s1 IS NULL OR s1 <> s2)")
+def remove_terminal_gaps(spark, d):
+    f = _feats(spark, d)
+    gaps = ingest.gaps_of(f).select(F.col("name").alias("header"), "s1", "s2")
+    return paths.remove_terminal_gaps(ingest.components_of(f), gaps).select("path", "ord", "comp")
+
+
+# -- filters ----------------------------------------------------------------------------------------
+
+
+def _intervals(spark, d, condition: str, *spans: tuple[int, int]) -> DataFrame:
+    rows = B.table(spark, d, "labels").filter(condition).select(F.col("doc_id").cast("string").alias("chrom"))
+    return reduce(DataFrame.union, [rows.select("chrom", F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in spans])
+
+
+@query(f"WITH {Q.SEQS} SELECT header, substr(seq, 6, 95) AS sequence FROM seqs WHERE CAST(header AS BIGINT) IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def bed_include(spark, d):
+    return filters.include(B.seqs(spark, d), _intervals(spark, d, "quality = 1", (30, 100), (5, 50)))
+
+
+@query(
+    f"WITH {Q.SEQS}, e AS (SELECT header, CASE WHEN CAST(header AS BIGINT) IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN substr(seq, 1, 10) || substr(seq, 21, 20) || substr(seq, 46) ELSE seq END AS sequence,"
+    " CAST(header AS BIGINT) IN (SELECT doc_id FROM labels WHERE toxic = 1) AS listed FROM seqs) SELECT header, sequence FROM e WHERE NOT listed OR sequence <> ''"
+)
+def bed_exclude(spark, d):
+    return filters.exclude(B.seqs(spark, d), _intervals(spark, d, "toxic = 1", (10, 20), (40, 45)))
+
+
+@query(f"WITH {Q.SEQS} SELECT header, seq AS sequence FROM seqs WHERE CAST(header AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1)")
+def bed_both(spark, d):
+    return filters.neither(B.seqs(spark, d), _intervals(spark, d, "quality = 1", (0, 0)), _intervals(spark, d, "toxic = 1", (0, 0)))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS header, CAST(n_chars AS VARCHAR) AS ln FROM documents WHERE lang = 'en'")
+def tag_filter(spark, d):
+    one = lambda label, kind, c: F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"), c.cast("string").alias("content"))
+    rows = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("header"), F.array(one("LN", "i", F.col("n_chars")), one("LG", "Z", F.col("lang"))).alias("tags"))
+    return filters.with_tag(rows, "LG", "en").select("header", filters.tag("LN").alias("ln"))
+
+
+# -- edits ------------------------------------------------------------------------------------------
+
+_C = 'path, ord, ctype, comp, orientation, "start", "end"'
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select(*paths.KEYS)
+
+
+@query(f"WITH {Q.COMPS} SELECT path, max(ord) OVER (PARTITION BY path) - ord + 1 AS ord, ctype, comp, translate(orientation, '+-', '-+') AS orientation, \"start\", \"end\" FROM gc")
+def path_revcom(spark, d):
+    return _plain(paths.revcom(B.components(spark, d)))
+
+
+_TRIM = (
+    "{pre}, t1 AS (SELECT *, sum(len) OVER (PARTITION BY path ORDER BY ord) AS stop, sum(len) OVER (PARTITION BY path) AS tot FROM {src}), t2 AS (SELECT *, stop - len AS bg, {lo} AS lo, {hi} AS hi FROM t1),"
+    " t3 AS (SELECT *, greatest(lo - bg - 1, 0) AS hd, greatest(stop - hi, 0) AS tl FROM t2 WHERE stop >= lo AND bg < hi AND len > 0),"
+    " tr AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY ord) AS ord, ctype, comp, orientation, CAST(CASE WHEN hd + tl = 0 THEN 0 WHEN orientation = '-' THEN 1 + tl ELSE 1 + hd END AS BIGINT) AS \"start\","
+    " CAST(CASE WHEN hd + tl = 0 THEN 0 WHEN orientation = '-' THEN len - hd ELSE len - tl END AS BIGINT) AS \"end\" FROM t3)"
+)
+
+
+@query("WITH " + _TRIM.format(pre=Q.COMPS, src="gc", lo="4", hi="tot - 3") + f" SELECT {_C} FROM tr")
+def path_trim(spark, d):
+    comps = B.components(spark, d).withColumn("tot", F.sum("len").over(Window.partitionBy("path")))
+    return _plain(paths.trim(comps, F.lit(4), F.col("tot") - 3))
+
+
+@query(
+    f"WITH {Q.COMPS} SELECT {_C} FROM gc UNION ALL SELECT 'joined', row_number() OVER (ORDER BY side, ord), ctype, comp, orientation, \"start\", \"end\" FROM"
+    " (SELECT 0 AS side, gc.* EXCLUDE len FROM gc WHERE path = '1' UNION ALL SELECT 1, 'joined', 0, 'GAP', 'gap_new', '0', 0, 0 UNION ALL SELECT 2, gc.* EXCLUDE len FROM gc WHERE path = '2')"
+)
+def join_paths(spark, d):
+    """The components with a path more: 1, a new gap, 2."""
+    c = B.components(spark, d)
+    return paths.join_paths(c, c.filter("path = '1'"), c.filter("path = '2'"), "gap_new", "joined")
+
+
+@query(f"WITH {Q.COMPS} SELECT CASE WHEN path <> '1' THEN path WHEN ord < 2 THEN 'left' ELSE 'right' END AS path, row_number() OVER (PARTITION BY path, ord > 2 AND path = '1' ORDER BY ord) AS ord, ctype, comp, orientation, \"start\", \"end\" FROM gc WHERE path <> '1' OR ord <> 2")
+def split_path(spark, d):
+    return _plain(paths.split_at(B.components(spark, d), F.col("path") == "1", F.lit(2), "left", "right"))
+
+
+@query(
+    f"WITH {Q.COMPS}, a AS (SELECT gc.*, ctype = 'SEGMENT' AND CAST(p_size AS BIGINT) = 1 AS hit FROM gc LEFT JOIN part ON comp = CAST(p_partkey AS VARCHAR)),"
+    " b AS (SELECT *, hit OR (ctype = 'GAP' AND (coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false))) AS gone FROM a WINDOW w AS (PARTITION BY path ORDER BY ord)),"
+    " c AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER w, false) AS head, max(CASE WHEN NOT gone THEN ord END) OVER (PARTITION BY path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT NULL"
+    " AND min(CASE WHEN NOT gone THEN ord END) OVER (PARTITION BY path ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) IS NOT NULL AS inner_ FROM b WINDOW w AS (PARTITION BY path ORDER BY ord))"
+    " SELECT path, row_number() OVER (PARTITION BY path ORDER BY ord) AS ord, CASE WHEN gone THEN 'GAP' ELSE ctype END AS ctype, CASE WHEN gone THEN 'gap_ex_' || path || '_' || ord ELSE comp END AS comp, CASE WHEN gone THEN '0' ELSE orientation END AS orientation, \"start\", \"end\""
+    " FROM c WHERE NOT gone OR (head AND inner_)"
+)
+def excise(spark, d):
+    """Segments of one base leave all paths."""
+    c = B.components(spark, d)
+    return _plain(paths.excise(c, F.col("len") == 1, F.concat_ws("_", F.lit("gap_ex"), "path", "ord")))
+
+
+@query(
+    "WITH " + _TRIM.format(pre=Q.COMPS, src="gc", lo="1", hi="2").replace("tr AS (", "tl_ AS (") + ", "
+    + _TRIM.format(pre="", src="gc", lo="6", hi="tot").removeprefix(", ").replace("t1", "u1").replace("t2", "u2").replace("t3", "u3").replace("tr AS (", "ur AS (")
+    + ", al AS (SELECT 0 AS side, * FROM tl_ UNION ALL SELECT 1, path, 0, 'GAP', 'mask_' || path, '0', 0, 0 FROM (SELECT DISTINCT path FROM gc) UNION ALL SELECT 2, * FROM ur)"
+    ' SELECT path, row_number() OVER (PARTITION BY path ORDER BY side, ord) AS ord, ctype, comp, orientation, "start", "end" FROM al'
+)
+def mask_path(spark, d):
+    """Bases 2 to 5 of every path become a gap of 7."""
+    return _plain(paths.mask(B.components(spark, d), F.lit(2).cast("long"), F.lit(5).cast("long"), F.concat(F.lit("mask_"), "path"), F.lit(7).cast("long")))
+
+
+@query(
+    f"WITH {Q.COMPS} SELECT path, row_number() OVER (PARTITION BY path ORDER BY ord, p) AS ord, ctype, comp, orientation, \"start\", \"end\" FROM (SELECT path, ord, ctype, unnest(CASE WHEN comp = '1' AND ctype = 'SEGMENT' AND orientation = '-' THEN ['1b', '1a']"
+    " WHEN comp = '1' AND ctype = 'SEGMENT' THEN ['1a', '1b'] ELSE [comp] END) AS comp, unnest(CASE WHEN comp = '1' AND ctype = 'SEGMENT' THEN [1, 2] ELSE [1] END) AS p, orientation, \"start\", \"end\" FROM gc)"
+)
+def cleave_components(spark, d):
+    return _plain(paths.cleave_components(_plain(B.components(spark, d)), (F.col("comp") == "1") & (F.col("ctype") == SEGMENT), F.lit("1a"), F.lit("1b")))
+
+
+@query(
+    f"WITH {Q.EDGES} SELECT header, CASE WHEN s1 <> 1 THEN CAST(s1 AS VARCHAR) WHEN s1_or = '+' THEN '1b' ELSE '1a' END AS s1, s1_or, CASE WHEN s2 <> 1 THEN CAST(s2 AS VARCHAR) WHEN s2_or = '+' THEN '1a' ELSE '1b' END AS s2, s2_or, cigar FROM ge"
+    " UNION ALL SELECT 'e_new', '1a', '+', '1b', '+', '0M'"
+)
+def cleave_edges(spark, d):
+    edges = B.edges(spark, d).withColumns({c: F.col(c).cast("string") for c in ("s1", "s2")})
+    return paths.cleave_edges(edges, "1", "1a", "1b", "e_new")
+
+
+def _edited(program: str, spark, d):
+    """A program of the edit language over the components; segments are known by length alone."""
+    from contigua.model import Assembly
+    from contigua.plans import sak
+
+    c = B.components(spark, d)
+    rows = B.lines(spark, d).filter("next IS NOT NULL")
+    gaps = rows.select(F.concat_ws("_", F.lit("gap"), "path", "o").alias("header"), F.col("part").cast("string").alias("s1"), F.col("orientation").alias("s1_or"), F.col("next").cast("string").alias("s2"), F.col("next_or").alias("s2_or"), F.col("q").alias("dist"))
+    edges = B.edges(spark, d).withColumns({x: F.col(x).cast("string") for x in ("s1", "s2")})
+    segs = B.nodes(spark, d).select(F.col("node").cast("string").alias("header"), F.lit(None).cast("string").alias("sequence"), F.col("len").alias("ln_length"))
+    own = c.select("path").distinct().select(F.col("path").alias("header"), F.lit("").alias("comment"))
+    return sak.run(Assembly(segs, gaps, edges, own, _plain(c)), program)
+
+
+@query(f"WITH {Q.COMPS} SELECT comp, CASE WHEN comp = 'gap_1_1' THEN 999 ELSE len END AS dist FROM gc WHERE ctype = 'GAP'")
+def resize_gap(spark, d):
+    return _edited("RESIZE\tgap_1_1\t999", spark, d).gaps.select(F.col("header").alias("comp"), "dist")
+
+
+@query(f"WITH {Q.COMPS} SELECT {_C} FROM gc WHERE path <> '1'")
+def exclude_path(spark, d):
+    return _plain(_edited("EXCLUDE\t1", spark, d).components)
+
+
+@query(f"WITH {Q.COMPS} SELECT CASE WHEN path = '1' THEN 'chr1' ELSE path END AS path, ord, ctype, comp, orientation, \"start\", \"end\" FROM gc")
+def rename_path(spark, d):
+    return _plain(_edited("RENAME\t1\tchr1", spark, d).components)
+
+
+@query(f"WITH {Q.COMPS} SELECT DISTINCT path AS header, CASE WHEN path = '1' THEN 'first' ELSE '' END AS comment FROM gc")
+def comment_path(spark, d):
+    return _edited("COMMENT\t1\tfirst", spark, d).paths.select("header", "comment")
+
+
+@query(f"WITH {Q.COMPS} SELECT {_C} FROM gc WHERE path NOT IN (SELECT path FROM gc WHERE ctype = 'SEGMENT' AND comp = '1')")
+def remove_segment(spark, d):
+    return _plain(_edited("REMOVE\t1", spark, d).components)
+
+
+# -- order ------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part")
+def sort_by_size(spark, d):
+    return paths.argsort(B.table(spark, d, "part"), "p_size", "p_partkey", largest=True)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) AS rank FROM part")
+def sort_by_name(spark, d):
+    return paths.argsort(B.table(spark, d, "part").withColumn("name", F.col("p_partkey").cast("string")), "name", "p_partkey")

@@ -84,7 +84,7 @@ class ShardStore:
         before = F.coalesce(F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         grouped = small.withColumn("place", F.floor(before / target_bytes))
         full = grouped.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier", "place"))).filter(F.col("n") >= fan_in)
-        return full.withColumn("group", F.col("tier") * 1_000_000_000 + F.col("place")).select("path", F.col("group").cast("long").alias("group"))
+        return full.withColumn("group", F.col("tier").cast("long") * 1_000_000_000_000 + F.col("place")).select("path", F.col("group").cast("long").alias("group"))
 
     def compact(self, target_bytes: int = 128 << 20, fan_in: int = 4, ratio: int = 4) -> int:
         base = self.version()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from contigua.operators.lineage import Rounds
+
 
 def flip(o: Column) -> Column:
     return F.translate(o, "+-", "-+")
@@ -30,18 +32,17 @@ def node_report(nodes: DataFrame, adj: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, isolated nodes included.
 
-    Minimum labels with pointer jumping: rounds grow with the logarithm of a component's length. Lineage is cut
-    each round by a reliable checkpoint.
+    Minimum labels with pointer jumping: rounds grow with the logarithm of a component's length. Each
+    round is written to the shared folder.
     """
-    if not nodes.sparkSession.sparkContext.getCheckpointDir():
-        raise RuntimeError("set spark.checkpoint.dir: components cut their lineage there")
-    links = adj.select("node", "other").filter("node <> other").distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
+    links = Rounds(nodes.sparkSession).write(adj.select("node", "other").filter("node <> other").distinct())
+    rounds = Rounds(nodes.sparkSession)
+    labels = rounds.write(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         pulled = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = pulled.join(hop, "label").select("node", "old", F.least("label", "far").alias("label")).checkpoint()
+        moved = rounds.write(pulled.join(hop, "label").select("node", "old", F.least("label", "far").alias("label")))
         if moved.filter("label <> old").isEmpty():
             return moved.select("node", "label")
         labels = moved.select("node", "label")
@@ -112,33 +113,34 @@ def discover_paths(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
     """(path, ord, comp): the chains that forward gaps make, as ``<first segment>_path``.
 
     Ranks by pointer doubling: each node holds how far its pointer reaches back; rounds grow with the
-    logarithm of the longest chain. A node on a ring of gaps points round and round; rings start at their least node.
+    logarithm of the longest chain. A ring of gaps has no head, and is an error.
     """
     link = gaps.filter("s1 <> s2").groupBy(F.col("s2").alias("node")).agg(F.min("s1").alias("prev"))
     link = link.withColumn("r", F.row_number().over(Window.partitionBy("prev").orderBy("node"))).filter("r = 1").drop("r")  # one successor a node
-    state = nodes.select("node").join(link, "node", "left").select("node", F.coalesce("prev", "node").alias("up"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.least("node", "prev").alias("least")).checkpoint()
-    for _ in range(63):
-        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("rank").alias("more"), F.col("least").alias("least2"))
-        state = state.join(far, "up").select("node", F.col("up2").alias("new"), "up", (F.col("rank") + F.col("more")).alias("rank"), F.least("least", "least2").alias("least")).checkpoint()
-        if state.filter("new <> up").isEmpty() or state.filter("new <> up").join(link.select(F.col("node").alias("new")), "new", "left_anti").isEmpty():
-            break
-        state = state.select("node", F.col("new").alias("up"), "rank", "least")
-    else:
-        raise RuntimeError("chains longer than 2**63")
-    column = "new" if "new" in state.columns else "up"
-    return state.select(F.concat(F.col(column).cast("string"), F.lit("_path")).alias("path"), (F.col("rank") + 1).alias("ord"), F.col("node").alias("comp"))
+    heads = Rounds(nodes.sparkSession)
+    link = heads.write(link)
+    rounds = Rounds(nodes.sparkSession)
+    state = rounds.write(nodes.select("node").join(link, "node", "left").select("node", F.coalesce("prev", "node").alias("up"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank")))
+    begins = link.select(F.col("node").alias("up"))
+    while not state.join(begins, "up", "left_semi").isEmpty():  # some pointer has not reached a head
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("rank").alias("more"))
+        if len(rounds.paths) > 62:
+            raise RuntimeError("gaps form a ring")
+        state = rounds.write(state.join(far, "up").select("node", F.col("next").alias("up"), (F.col("rank") + F.col("more")).alias("rank")))
+    return state.select(F.concat(F.col("up").cast("string"), F.lit("_path")).alias("path"), (F.col("rank") + 1).alias("ord"), F.col("node").alias("comp"))
 
 
 def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
     """(node, dist) from the nearest source; relaxation until nothing improves."""
     w = F.col(weight) if weight else F.lit(1)
-    links = adj.select("node", "other", w.cast("double").alias("w")).checkpoint()
-    dist = sources.select("node", F.lit(0.0).alias("dist")).distinct().checkpoint()
+    links = Rounds(adj.sparkSession).write(adj.select("node", "other", w.cast("double").alias("w")))
+    rounds = Rounds(adj.sparkSession, keep=3)
+    dist = rounds.write(sources.select("node", F.lit(0.0).alias("dist")).distinct())
     fresh = dist
     while True:
         reach = fresh.join(links, "node").select(F.col("other").alias("node"), (F.col("dist") + F.col("w")).alias("dist")).groupBy("node").agg(F.min("dist").alias("dist"))
-        better = reach.join(dist.withColumnRenamed("dist", "old"), "node", "left").filter("old IS NULL OR dist < old").select("node", "dist").checkpoint()
+        better = rounds.write(reach.join(dist.withColumnRenamed("dist", "old"), "node", "left").filter("old IS NULL OR dist < old").select("node", "dist"))
         if better.isEmpty():
             return dist
-        dist = dist.join(better.select("node"), "node", "left_anti").unionByName(better).checkpoint()
+        dist = rounds.write(dist.join(better.select("node"), "node", "left_anti").unionByName(better))
         fresh = better

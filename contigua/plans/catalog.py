@@ -42,14 +42,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _ckpt(spark: SparkSession) -> None:
-    """Components cut their lineage in the shared folder; one is made only where the session names none."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="contigua-"))
-
-
 # -- sequences --------------------------------------------------------------------------------------
 
 
@@ -88,7 +80,7 @@ def parse_coordinate(spark, d):
     return B.table(spark, d, "part").select("p_partkey", S.parse_coordinate(s).alias("x")).select("p_partkey", "x.*")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 8 = 0 THEN '' ELSE upper(to_hex(p_size % 8 * p_partkey)) END AS x FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 8 * p_partkey = 0 THEN '' ELSE upper(to_hex(p_size % 8 * p_partkey)) END AS x FROM part")
 def dec_to_hexa(spark, d):
     return B.table(spark, d, "part").select("p_partkey", P.dec_to_hexa(F.col("p_size") % 8 * F.col("p_partkey")).alias("x"))
 
@@ -425,7 +417,6 @@ def disconnected(spark, d):
 
 
 def _components(spark, d):
-    _ckpt(spark)
     return graph.connected_components(B.nodes(spark, d), _adj(spark, d))
 
 
@@ -452,7 +443,6 @@ def component_lengths(spark, d):
     )
 )
 def graph_summary(spark, d):
-    _ckpt(spark)
     return graph.graph_summary(B.nodes(spark, d), B.edges(spark, d))
 
 
@@ -500,7 +490,6 @@ def gap_adjacency(spark, d):
 
 @query(f"WITH {Q.FEATS} SELECT first_value(name) OVER w || '_path' AS path, row_number() OVER w AS ord, name AS comp FROM feats WHERE kind = 'SEGMENT' WINDOW w AS (PARTITION BY header ORDER BY i)")
 def discover_paths(spark, d):
-    _ckpt(spark)
     f = _feats(spark, d)
     return graph.discover_paths(f.filter(F.col("kind") == SEGMENT).select(F.col("name").alias("node")), ingest.gaps_of(f))
 
@@ -508,7 +497,6 @@ def discover_paths(spark, d):
 @query()
 def shortest_distances(spark, d):
     """Hops from the circular segments; held against brute force in the tests."""
-    _ckpt(spark)
     edges = B.edges(spark, d)
     return graph.shortest_distances(graph.adjacency(edges), graph.circular_segments(edges))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 def merged(bed: DataFrame) -> DataFrame:
     """Intervals sorted and united per record; (0, 0) stands for the whole record."""
     w = Window.partitionBy("chrom").orderBy("start", "end")
-    rows = bed.select("chrom", "start", F.when((F.col("start") == 0) & (F.col("end") == 0), F.lit((1 << 31) - 1)).otherwise(F.col("end")).cast("long").alias("end"))
+    rows = bed.select("chrom", "start", F.when((F.col("start") == 0) & (F.col("end") == 0), F.lit(1 << 30)).otherwise(F.col("end")).cast("long").alias("end"))
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1))
     return marked.withColumn("island", F.sum("new").over(w)).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from contigua.llm.simhash import distance
 
 FILTER_BITS = 20
+FEW = 32
 _KEPT = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 OUT = "doc_id long, item_id long, similarity double, word_start long, n_words long, hamming int"
 
@@ -70,26 +71,38 @@ def packed(sums: np.ndarray) -> np.ndarray:
 
 
 class BlockIndex:
-    """Fingerprints by the values of their blocks; finds all within the radius."""
+    """Fingerprints by the values of their blocks; finds all within the radius, for many queries at once."""
 
     def __init__(self, fps: np.ndarray, radius: int):
         self.fps, self.radius = fps, radius
         cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
-        self.tables = []
-        for at, mask in self.blocks:
-            table = defaultdict(list)
-            for i, v in enumerate(((fps >> at) & mask).tolist()):
-                table[v].append(i)
-            self.tables.append({v: np.array(x) for v, x in table.items()})
-
-    def near(self, fp: np.uint64) -> Iterator[tuple[int, int]]:
-        """(position, distance)."""
-        found = [x for (at, mask), table in zip(self.blocks, self.tables) if (x := table.get(int((fp >> at) & mask))) is not None]
-        if found:
-            at = np.unique(np.concatenate(found))
-            d = distance(self.fps[at], fp)
-            yield from ((int(i), int(n)) for i, n in zip(at, d) if n <= self.radius)
+        self.blocks = []
+        for a, b in zip(cuts, cuts[1:]):
+            at, mask = np.uint64(a), np.uint64((1 << (b - a)) - 1)
+            values = (fps >> at) & mask
+            order = np.argsort(values, kind="stable")
+            self.blocks.append((at, mask, order, np.searchsorted(values[order], np.arange((1 << (b - a)) + 1, dtype=np.uint64))))
+
+    def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, position, distance) of all pairs within the radius: those that agree in some block, checked.
+
+        Of few fingerprints all are checked: their blocks' lists would hold most of them.
+        """
+        if len(self.fps) <= FEW:
+            d = distance(queries[:, None], self.fps[None, :])
+            q, i = np.nonzero(d <= self.radius)
+            return q, i, d[q, i]
+        pairs = []
+        for at, mask, order, edges in self.blocks:
+            v = ((queries >> at) & mask).astype(np.int64)
+            n = edges[v + 1] - edges[v]
+            q = np.repeat(np.arange(len(queries)), n)
+            place = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + edges[v][q]
+            pairs.append(q * len(self.fps) + order[place])
+        q, i = np.divmod(np.unique(np.concatenate(pairs)), len(self.fps))
+        d = distance(self.fps[i], queries[q])
+        close = d <= self.radius
+        return q[close], i[close], d[close]
 
 
 class Benchmark:
@@ -116,7 +129,10 @@ class Benchmark:
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.table[hashes & np.uint64((1 << FILTER_BITS) - 1)])
-        return maybe[np.isin(hashes[maybe], self.known)] if len(maybe) else maybe
+        if not len(maybe):
+            return maybe
+        place = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
+        return maybe[self.known[place] == hashes[maybe]]
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -146,13 +162,14 @@ def find_items(text: str | None, bench: Benchmark, threshold: float) -> Iterator
             if not len(starts):
                 continue
             sums = bit_sums(own) if sums is None else sums
-            for at, fp in zip(starts.tolist(), packed(sums[starts + w] - sums[starts])):
-                held = None
-                for i, d in index.near(fp):
-                    held = Counter(own[at : at + w].tolist()) if held is None else held
-                    s = similarity(held, bench.counts[items[i]])
-                    if s >= threshold:
-                        found[items[i]].append((-s, d, low + at, min(n_words, words - low - at)))
+            last, held = -1, Counter()
+            for q, i, d in zip(*(x.tolist() for x in index.near(packed(sums[starts + w] - sums[starts])))):
+                at = int(starts[q])
+                if q != last:
+                    last, held = q, Counter(own[at : at + w].tolist())
+                s = similarity(held, bench.counts[items[i]])
+                if s >= threshold:
+                    found[items[i]].append((-s, d, low + at, min(n_words, words - low - at)))
     for i, windows in found.items():
         taken: list[tuple[int, int]] = []
         for s, d, start, n in sorted(windows):

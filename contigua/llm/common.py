@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from contigua.operators.lineage import shared_root as _root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,14 +21,10 @@ def shared_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) is
     a temporary folder made, once per session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="contigua-")
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = _root(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return root
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
@@ -43,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Returns to the system what a Python worker's allocators hold but don't use; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -63,5 +63,23 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+#: The five-bit digits of 20 bits (five hexadecimal digits) at a time.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(s, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - i % 4 * 5)) % 32 + 1, 1)), '')"
+
+_SQL = {
+    "op2_knn_join": (
+        "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings"
+        " WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),"
+        " s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
+        " SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"
+    ),
+    "op3_warc": (
+        "WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS s FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS first FROM d)"
+        f" SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM m"
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL expresses; the others' tests hold them against brute force."""
+    return dict(_SQL)

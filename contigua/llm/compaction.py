@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 
 from contigua.llm.common import cut, scratch
 
+#: A name that no column of the data should have.
+GROUP = "__merge_group"
 COLUMNS = "path string, bytes long, n_rows long, tier int"
 
 
@@ -78,23 +80,23 @@ class ShardStore:
         return self._commit(self.manifest(base).unionByName(self._shards(folder, ratio)), base)
 
     def plan(self, target_bytes: int, fan_in: int) -> DataFrame:
-        """The live shards that a compaction would merge, with their ``group``. A row a shard."""
+        """The live shards that a compaction would merge, with their group. A row a shard."""
         small = self.manifest().filter(F.col("bytes") < target_bytes)
         by_size = Window.partitionBy("tier").orderBy("bytes", "path")
         before = F.coalesce(F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         grouped = small.withColumn("place", F.floor(before / target_bytes))
         full = grouped.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier", "place"))).filter(F.col("n") >= fan_in)
-        return full.withColumn("group", F.col("tier").cast("long") * 1_000_000_000_000 + F.col("place")).select("path", F.col("group").cast("long").alias("group"))
+        return full.withColumn("group", F.col("tier").cast("long") * 1_000_000_000_000 + F.col("place")).select("path", F.col("group").cast("long").alias(GROUP))
 
     def compact(self, target_bytes: int = 128 << 20, fan_in: int = 4, ratio: int = 4) -> int:
         base = self.version()
         merge = cut(self.plan(target_bytes, fan_in))
-        groups = merge.select("group").distinct().count()
+        groups = merge.select(GROUP).distinct().count()
         if not groups:
             return base
         folder = self._new_folder()
         moved = self.read(base, with_path=True).join(merge.withColumnRenamed("path", "__path"), "__path").drop("__path")
-        moved.repartition(groups, "group").write.partitionBy("group").option("compression", "zstd").parquet(folder)
+        moved.repartition(groups, GROUP).write.partitionBy(GROUP).option("compression", "zstd").parquet(folder)
         kept = self.manifest(base).join(merge, "path", "left_anti")
         return self._commit(kept.unionByName(self._shards(folder, ratio)), base)
 

@@ -8,7 +8,7 @@
    |d(x,v) - d(y,v)| <= d(x,y), it is also sent to each later shard whose boundary lies within the radius.
 4. Each shard finds all its pairs within the radius with a vantage-point tree of its own and returns a
    spanning forest of them: the links' components, never all pairs of a group.
-5. Components: minimum labels with pointer jumping over the forest edges, lineage cut each round.
+5. Components: minimum labels with pointer jumping over the forest edges, each round written to the shared folder.
 
 Nothing is capped or sampled away: the sample chooses where to split, not what is compared.
 The cost to know: 64-bit fingerprints of unrelated texts lie 32 +- 4 bits apart, so a split at radius 4
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from contigua.llm.common import cut
+from contigua.operators.lineage import Rounds
 
 SEED = 42
 ROWS_AT_ONCE = 1 << 15
@@ -208,13 +209,14 @@ def near_links(distinct: DataFrame, radius: int = 4, leaf_target: int = 8192, sa
 
 def min_labels(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component of the edges (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    both = Rounds(edges.sparkSession).write(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    rounds = Rounds(edges.sparkSession)
+    labels = rounds.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         pulled = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = cut(pulled.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")))
+        moved = rounds.write(pulled.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")))
         if moved.filter("label <> old").isEmpty():
             return moved.select("node", "label")
         labels = moved.select("node", "label")

@@ -58,3 +58,11 @@ def soft_masked(sequence: Column, compat: bool = False) -> Column:
         return plain
     body = F.regexp_replace(sequence, "([^NnXx][NnXx])[NnXx]*$", "$1")  # what trails behind the last segment's first is lost
     return F.when(sequence.rlike("[^NnXx]"), S.lower_count(body)).otherwise(0).cast("long")
+
+
+def homopolymer_bed(records: DataFrame, cutoff: int = 1, header: str = "header", sequence: str = "sequence") -> DataFrame:
+    """(header, start, end) of runs of more than ``cutoff`` equal letters, 0-based half-open; a row a run, so that
+    long sequences build no array of runs."""
+    rows = records.select(F.col(header).alias("header"), F.posexplode(S.runs(F.col(sequence))).alias("p", "run")).select("header", "p", F.length("run").cast("long").alias("n"))
+    end = F.sum("n").over(Window.partitionBy("header").orderBy("p"))
+    return rows.withColumn("end", end).filter(F.col("n") > cutoff).select("header", (F.col("end") - F.col("n")).alias("start"), "end")

@@ -103,7 +103,7 @@ def homopolymer_runs(spark, d):
 
 @query(f"WITH {Q.RUNS} SELECT header, start AS \"start\", stop AS \"end\" FROM runs WHERE stop - start > 1")
 def bed_homopolymer(spark, d):
-    return B.seqs(spark, d).select("header", F.explode(S.run_bed(F.col("sequence"))).alias("x")).select("header", "x.start", "x.end")
+    return ingest.homopolymer_bed(B.seqs(spark, d))
 
 
 # -- splitting --------------------------------------------------------------------------------------

@@ -37,11 +37,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from contigua.llm.common import cut
+from contigua.llm.common import cut, give_back
 
 #: Trusted ids up to this number are sent to every task; more are joined by shuffle.
 MOST_BROADCAST_IDS = 4_000_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Shards are the last byte but one modulo this.
+SHARDS = 16
 #: Below it a context could leave nothing for unseen bytes, and a text have probability 0.
 LEAST_DISCOUNT = 0.1
 #: One trusted row in so many, by hash of its id, is kept out of training and sets the thresholds.
@@ -50,7 +52,7 @@ HELD_OUT = 5
 BANDS = (256, 1024, 4096)
 #: A band with fewer held-out rows takes the widest fence of its language, and one at least a factor WIDE from its median.
 FEW_HELD_OUT, WIDE = 50, 2.0
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
 
 
 def grams(text: bytes, order: int) -> np.ndarray:
@@ -119,6 +121,8 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
                     yield rows_of(lang, sums.pop(lang))
         for lang, parts in sums.items():
             yield rows_of(lang, parts)
+        sums.clear()
+        give_back()
 
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -154,17 +158,17 @@ def model_tables(counts: DataFrame, order: int) -> DataFrame:
 def model_shards(tables: DataFrame, order: int) -> DataFrame:
     """(lang, shard, model): the tables of orders 2 and up by shard; order 1, 256 rows, is in each."""
     shard = F.when(F.col("kind") == "u", F.shiftright("key", 8)).otherwise(F.col("key"))
-    high = tables.filter("k > 1").withColumn("shard", _low_bytes(shard, 1).cast("int"))
-    ones = tables.filter("k = 1").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(255))))
+    high = tables.filter("k > 1").withColumn("shard", shard.bitwiseAND(F.lit(SHARDS - 1)).cast("int"))
+    ones = tables.filter("k = 1").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
     rows = high.select("lang", "shard", "k", "kind", "key", "value").union(ones.select("lang", "shard", "k", "kind", "key", "value"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Bounded: at most 256 ** (order - 1) grams share a last byte but one."""
+        """Bounded: at most 256 ** order / SHARDS grams can be in a shard."""
         out = []
         for k in range(1, order + 1):
             for kind in "ug":
                 own = pdf[(pdf["k"] == k) & (pdf["kind"] == kind)].sort_values("key")
-                out += [len(own).to_bytes(8, "little"), own["key"].to_numpy(np.int64).tobytes(), own["value"].to_numpy(np.float64).tobytes()]
+                out += [len(own).to_bytes(8, "little"), own["key"].to_numpy(np.int64).tobytes(), own["value"].to_numpy(np.float32).tobytes()]
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "model": [b"".join(out)]})
 
     return rows.groupBy("lang", "shard").applyInPandas(pack, "lang string, shard int, model binary")
@@ -175,8 +179,8 @@ def unpacked(model: bytes, order: int) -> dict[tuple[int, str], tuple[np.ndarray
     for k in range(1, order + 1):
         for kind in "ug":
             n = int.from_bytes(model[at : at + 8], "little")
-            out[k, kind] = np.frombuffer(model, np.int64, n, at + 8), np.frombuffer(model, np.float64, n, at + 8 + 8 * n)
-            at += 8 + 16 * n
+            out[k, kind] = np.frombuffer(model, np.int64, n, at + 8), np.frombuffer(model, np.float32, n, at + 8 + 8 * n)
+            at += 8 + 12 * n
     return out
 
 
@@ -205,10 +209,10 @@ def postings(rows: DataFrame, order: int, salts: int) -> DataFrame:
         for b, (lang, keys, codes) in enumerate(_blocks(batches, order)):
             doc = np.repeat(np.arange(len(codes), dtype=np.uint64), [len(c) for c in codes])
             code = np.concatenate(codes)
-            key, n = np.unique((((code >> np.uint64(8)) & np.uint64(255)) << np.uint64(56)) | (code << np.uint64(16)) | doc, return_counts=True)
-            edges = np.searchsorted(key, np.arange(256, dtype=np.uint64) << np.uint64(56)).tolist() + [len(key)]
+            key, n = np.unique((((code >> np.uint64(8)) & np.uint64(SHARDS - 1)) << np.uint64(56)) | (code << np.uint64(16)) | doc, return_counts=True)
+            edges = np.searchsorted(key, np.arange(SHARDS, dtype=np.uint64) << np.uint64(56)).tolist() + [len(key)]
             out = []
-            for shard in range(256):
+            for shard in range(SHARDS):
                 a, e = edges[shard], edges[shard + 1]
                 if a == e:
                     continue
@@ -221,11 +225,15 @@ def postings(rows: DataFrame, order: int, salts: int) -> DataFrame:
                 ids = np.array([keys[i] for i in used.tolist()], np.int64)
                 out.append((lang, shard, (b * 7 + shard + keys[0][1]) % salts, ids.tobytes(), z.compress(raw)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["lang", "shard", "salt", "docs", "lists"])
+            del doc, code, key, n, out
+            if b % 8 == 7:
+                give_back()
+        give_back()
 
     return rows.mapInArrow(run, "lang string, shard int, salt int, docs binary, lists binary")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, salts: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, salts: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc, mark, n_grams, perplexity) of each distinct (id, text) whose language has a model.
 
     ``trusted`` holds the ids of the rows that the model learns from, in a column ``doc``.
@@ -257,6 +265,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4, salts: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.bincount(local, logs * n, len(keys))), pa.array(np.bincount(local, n, len(keys)).astype(np.int64))], names=["doc", "mark", "log_p", "n_grams"]
                 )
+        give_back()
 
     joined = postings(rows, order, salts).join(model, ["lang", "shard", "salt"]).select("docs", "lists", "model")
     shares = joined.mapInArrow(solve, "doc long, mark long, log_p double, n_grams long")
@@ -268,7 +277,7 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(id_col)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, reach: float = 2.0, order: int = 4, salts: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, reach: float = 2.0, order: int = 4, salts: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per distinct (id, text): ``doc``, ``mark``, ``lang``, ``n_grams``, ``perplexity``, ``least``, ``most``, ``keep``.
 
     For each language and band of lengths, the held-out trusted rows give the quantiles 1 - ``quantile``,

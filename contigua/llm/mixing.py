@@ -74,14 +74,12 @@ def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: float = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them.
 
-    Rows are found again by (id, hash of the text, source, size); equal ones are interchangeable and share their copies.
+    Rows are found again by (id, hash of the text, source); equal ones are interchangeable: one stands for all their copies.
     """
-    mark = [id_col, "__hash", "source", "size"]
     marked = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
     keys = marked.select(F.struct(F.col(id_col), "__hash").alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     taken = plan_mix(keys, weights, max_repeat, seed, "key").groupBy("key", "source").agg(F.sum("copies").alias("__copies"))
     taken = taken.filter("__copies > 0").select(F.col(f"key.{id_col}").alias("__id"), F.col("key.__hash").alias("__h"), F.col("source").alias("__source"), "__copies")
     one = marked.dropDuplicates([id_col, "__hash", source_col])
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & F.col(source_col).eqNullSafe(F.col("__source"))
-    del mark
     return one.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)

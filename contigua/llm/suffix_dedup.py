@@ -5,8 +5,9 @@ With w + k - 1 = ``least_words``, two documents that share a passage of that len
 suffix inside it.
 
 1. First pass: hash of each retained suffix's first k words, counted.
-2. Those counted at least twice (and, apart, those counted more than ``run_rows`` times) are marked in bit
-   tables of fixed size. A table that fills up lets more suffixes through; none is lost.
+2. Those counted in at least two documents are marked in a bit table of fixed size. When it fills up it lets
+   more suffixes through; none is lost. Those in more than ``run_docs`` documents, at most MOST_HOT of
+   them (else the bound is raised), are listed with their counts.
 3. Second pass: suffixes that may have a partner leave with up to ``least_words`` words on either side.
    They are sorted by text. Within a run of equal first k words each suffix is compared with its
    nearest neighbour for every length of common left context, so the best match in words to the left
@@ -14,10 +15,12 @@ suffix inside it.
 4. Stretches of one document that overlap are merged. Retained suffixes are less than
    ``least_words`` apart, so the union is the whole passage, however long.
 
-Skew: a run of more than ``run_rows`` suffixes is dealt to parts by document, and a suffix meets those of
-its part. A passage that so many documents share is found in every part; only a pair whose every
-common suffix stands in such runs, and which shares more with each other than with all the thousand
-others of their parts, is found as far as the others reach.
+Skew: suffixes of a document with equal words on both sides and consecutive positions (one word over and
+over) are one row. A run of suffixes of more than ``run_docs`` documents is dealt to parts of about so
+many by document, and a suffix meets those of its part. A passage that so many documents share is found in
+every part; a pair that shares more than the passage is found by its other suffixes, which are
+rare. Only what two documents share with each other, and which consists of nothing but words that more
+than ``run_docs`` documents hold, could be reported shorter than it is.
 
 Defined results: passages are verbatim runs of white-space-separated words; a passage repeated only inside
 one document (one id) is none; null and short texts have none; rows of equal id are one document, each
@@ -26,6 +29,7 @@ contributing; an empty table gives an empty result; other columns are ignored. T
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +37,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from contigua.llm.common import cut, shuffle_width
+from contigua.llm.common import cut, give_back, shuffle_width
 
 TABLE_BITS = 26
 POSITION_BITS = 24
 STRETCH = 1 << 22  # words handled at once
+MOST_HOT = 1_000_000
 
 
 def minimisers(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -82,37 +87,43 @@ def _common(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def match_run(run: list[tuple[int, int, list[bytes], list[bytes]]], least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(doc, first word, end) for a run of suffixes (doc, position, words before, nearest first; words from it), sorted by the latter."""
-    best: dict[int, list[int]] = {}
+def match_run(run: list[tuple[int, int, int, list[bytes], list[bytes]]], least_words: int) -> Iterator[tuple[int, int, int]]:
+    """(doc, first word, end) for a run of suffixes (doc, first and last position, words before, nearest first; words
+    from it), sorted by the latter.
 
-    def note(i: int, left: int, right: int) -> None:
-        own = best.setdefault(i, [0, 0])
-        own[0], own[1] = max(own[0], left), max(own[1], right)
-
-    last: dict[tuple[int, int], tuple[int, int | None]] = {}
-    for i, (doc, _, before, after) in enumerate(run):
-        h, keys = 0, [(0, 0)]
-        for n, word in enumerate(before, 1):
-            h = hash((h, word))
-            keys.append((n, h))
-        full = False
-        for key in reversed(keys):
-            held = last.get(key)
-            if held is not None and not full:
-                j = held[0] if run[held[0]][0] != doc else held[1]
-                if j is not None:
-                    right = _common(after, run[j][3])
-                    if key[0] + right >= least_words:
-                        note(i, key[0], right)
-                        note(j, key[0], right)
+    For each length of common left context, the best partner is the nearest suffix of another document before
+    or behind in the order; both are looked at.
+    """
+    best: dict[int, list[int]] = {}
+    keys = []
+    for _, _, _, before, _ in run:
+        own = array("q", [0])
+        for word in before:
+            own.append(hash((own[-1], word)))
+        keys.append(own)
+    for order in (range(len(run)), range(len(run) - 1, -1, -1)):
+        last: dict[int, tuple[int, int | None]] = {}  # by hash of the words before: the nearest, and the nearest of another document than its
+        for i in order:
+            doc, after = run[i][0], run[i][4]
+            full = False
+            for left in range(len(keys[i]) - 1, -1, -1):
+                key = keys[i][left]
+                held = last.get(key)
+                if held is None:
+                    last[key] = (i, None)
+                    continue
+                same = run[held[0]][0] == doc
+                j = held[1] if same else held[0]
+                if j is not None and not full:
+                    right = _common(after, run[j][4])
+                    if left + right >= least_words:
+                        own = best.setdefault(i, [0, 0])
+                        own[0], own[1] = max(own[0], left), max(own[1], right)
                         full = right >= len(after)
-            if held is None:
-                last[key] = (i, None)
-            else:
-                last[key] = (i, held[0] if run[held[0]][0] != doc else held[1])
+                last[key] = (i, held[1] if same else held[0])
     for i, (left, right) in best.items():
-        yield run[i][0], run[i][1] - left, run[i][1] + right
+        doc, first, upto, _, _ = run[i]
+        yield doc, first - left, upto + right
 
 
 def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
@@ -129,7 +140,7 @@ def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, word_start, word_end``: the maximal stretches of a document that other documents hold too."""
     spark = docs.sparkSession
     w = least_words - k + 1
@@ -137,17 +148,19 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_ro
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [h for text in batch.column(1) for _, _, _, h in retained(text.as_py(), k, w)]
+            found = [np.unique(h) for text in batch.column(1) for _, _, _, h in retained(text.as_py(), k, w)]
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     counted = cut(rows.select("doc_id", "text").mapInArrow(first_pass, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
-    most = counted.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-most // run_rows))
-    tables = spark.sparkContext.broadcast((bit_table(counted), bit_table(counted.filter(F.col("n") > run_rows))))
+    bound = run_docs
+    while counted.filter(F.col("n") > bound).count() > MOST_HOT:
+        bound *= 4
+    hot = counted.filter(F.col("n") > bound).orderBy("h").toArrow()
+    tables = spark.sparkContext.broadcast((bit_table(counted), hot.column("h").to_numpy(), -(-hot.column("n").to_numpy() // bound)))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hot = tables.value
+        known, hot, parts = tables.value
         for batch in batches:
             out: list[tuple] = []
             size = 0
@@ -155,23 +168,34 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_ro
                 doc = doc.as_py()
                 for words, first, at, h in retained(text.as_py(), k, w):
                     keep = in_table(known, h)
-                    at, h = at[keep], h[keep]
-                    split = in_table(hot, h)
-                    for p, x, s in zip(at.tolist(), h.view(np.int64).tolist(), split.tolist()):
-                        before, after = words[max(0, p - w + 1) : p], words[p : p + least_words]
-                        salt = xxhash.xxh32_intdigest(str(doc)) % parts if s else 0
-                        out.append((x, salt, doc, first + p, b" ".join(before[::-1]), b" ".join(after)))
-                        size += 700
+                    at, h = at[keep], h[keep].view(np.int64)
+                    if not len(at):
+                        continue
+                    split = np.ones(len(h), np.int64)
+                    if len(hot):
+                        place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                        split = np.where(hot[place] == h, parts[place], 1)
+                    salt = xxhash.xxh32_intdigest(str(doc))
+                    last, start = None, 0
+                    for p, x, n in zip(at.tolist(), h.tolist(), split.tolist()):
+                        sides = (x, words[max(0, p - w + 1) : p], words[p : p + least_words])
+                        if last is not None and p == start + 1 and sides == last:
+                            out[-1] = (*out[-1][:4], first + p, *out[-1][5:])
+                        else:
+                            out.append((x, salt % n, doc, first + p, first + p, b" ".join(sides[1][::-1]), b" ".join(sides[2])))
+                            size += 700
+                        last, start = sides, p
                 if size > 8 << 20:
                     yield suffix_batch(out)
                     out, size = [], 0
             yield suffix_batch(out)
+        give_back()
 
-    names = ["h", "part", "doc_id", "pos", "before", "after"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["h", "part", "doc_id", "pos", "upto", "before", "after"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def suffix_batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, run, out = None, [], []
@@ -180,20 +204,22 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_ro
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*found)) or [()] * 3], names=["doc_id", "word_start", "word_end"])
 
         for batch in batches:
-            for h, part, doc, pos, before, after in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for h, part, doc, pos, upto, before, after in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if (h, part) != key:
                     if len(run) > 1:
                         out += match_run(run, least_words)
                     key, run = (h, part), []
-                run.append((doc, pos, before.split(), after.split()))
+                run.append((doc, pos, upto, before.split(), after.split()))
             if len(out) > 10_000:
                 yield spans(out)
                 out = []
         if len(run) > 1:
             out += match_run(run, least_words)
         yield spans(out)
+        run.clear()
+        give_back()
 
-    suffixes = rows.mapInArrow(second_pass, "h long, part int, doc_id long, pos long, before binary, after binary")
+    suffixes = rows.mapInArrow(second_pass, "h long, part int, doc_id long, pos long, upto long, before binary, after binary")
     ordered = suffixes.repartition(shuffle_width(spark), "h", "part").sortWithinPartitions("h", "part", "after", "doc_id", "pos")
     found = ordered.mapInArrow(compare, "doc_id long, word_start long, word_end long").distinct()
     by_start = Window.partitionBy("doc_id").orderBy("word_start", "word_end")

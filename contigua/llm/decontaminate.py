@@ -202,7 +202,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thre
     return reduce(DataFrame.union, passes)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is not among the contaminated; rows without an id are judged by id null."""
-    bad = contaminations(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose own text is not contaminated; rows are told apart by the hash of the text, so ids may be null or repeated."""
+    rows = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    options["id_col"] = "__mark"
+    bad = contaminations(rows, benchmark, text_col=text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    return rows.join(bad, F.col("__mark") == F.col("__bad"), "left_anti").select(*docs.columns)

@@ -55,15 +55,16 @@ def simhash64(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id_col``, ``fp`` (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, *more: str) -> DataFrame:
+    """``id_col``, ``fp`` (the 64 bits as a signed long), and the longs ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((simhash64(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=[id_col, "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, f"{id_col} long, fp long")
+    schema = ", ".join(f"{c} long" for c in (id_col, "fp", *more))
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").cast("binary").alias("text"), *more).mapInArrow(run, schema)
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -238,7 +239,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id."""
-    first = near_duplicates(docs, id_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__doc")).distinct()
-    return docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left_semi").dropDuplicates([id_col])
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the key of a row, (``__id``, ``__mark``): its id and the hash of its text."""
+    return docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each component, that with the smallest id.
+
+    Rows are told apart by id and text, so ids may be null (last in order) or repeated; of rows equal in both one stays.
+    """
+    rows = cut(fingerprints(marked(docs, id_col, text_col), "__id", text_col, shingle, "__mark"))
+    labels = min_labels(near_links(cut(rows.select("fp").distinct()), radius)).withColumnRenamed("node", "fp")
+    named = rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__mark")).alias("key")).select(F.col("key.__id").alias("__i"), F.col("key.__mark").alias("__m"))
+    kept = marked(docs, id_col, text_col).join(first, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left_semi")
+    return kept.dropDuplicates(["__id", "__mark"]).select(*docs.columns)

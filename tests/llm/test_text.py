@@ -98,6 +98,20 @@ def test_simhash_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp.values())) and kept.columns == df.columns
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    rng = random.Random(23)
+    texts = [words(rng, 80, 5000) for _ in range(6)]
+    item = words(rng, 20, 5000)
+    ids = [None, None, None, 7, 7, 1]
+    rows = [(i, t, "en", "s", 0) for i, t in zip(ids, texts)]
+    rows += [(None, texts[5], "en", "s", 0), (7, texts[3], "en", "s", 0)]  # copies
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(zip(ids, texts))
+    bad = [(None, f"{texts[0]} {item} {texts[1]}", "en", "s", 0), (7, item, "en", "s", 0)]
+    left = decontaminate.drop_contaminated(spark.createDataFrame(rows + bad, DOCS), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r[0], r[1]) for r in rows) and left.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+
+
 def test_shards_lose_no_pair(spark):
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2**63, 3000, dtype=np.uint64)

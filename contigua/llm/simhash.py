@@ -10,6 +10,11 @@
    spanning forest of them: the links' components, never all pairs of a group.
 5. Components: minimum labels with pointer jumping over the forest edges, each round written to the shared folder.
 
+The pipeline's stage (``keep_one`` with ``similarity``) has parameters of its own: sets of five-word shingles, linked
+at an exact Jaccard similarity of 0.8. At that similarity fingerprints lie 9.7 +- 2.9 bits apart (12 +- 3.1 where the sets
+hold few shingles), so radius 24 of one and 40 of two together lose a pair with a probability of about 1e-4. The tree
+excludes next to nothing at this radius; bands of set sizes do, and the pairs compared grow as the square of a band's nodes.
+
 Nothing is capped or sampled away: the sample chooses where to split, not what is compared.
 The cost to know: 64-bit fingerprints of unrelated texts lie 32 +- 4 bits apart, so a split at radius 4
 excludes only part of the other side (measured: a fingerprint visits about 1.7 of 2 children).
@@ -32,22 +37,26 @@ SEED = 42
 ROWS_AT_ONCE = 1 << 15
 
 
-def simhash64(text: bytes | None, shingle: int = 4) -> int:
-    """Fingerprint of a UTF-8 text: A-Z lower-cased, words split at ASCII white space, XXH64 of each shingle.
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, in order: A-Z lower-cased, words split at ASCII white space.
 
-    Null or wordless: 0. Fewer words than ``shingle``: the whole sequence is the one shingle.
+    Null or wordless: none. Fewer words than ``shingle``: the whole sequence is the one shingle.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have set; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), ROWS_AT_ONCE):
         part = hashes[at : at + ROWS_AT_ONCE]
@@ -55,6 +64,11 @@ def simhash64(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash64(text: bytes | None, shingle: int = 4) -> int:
+    """Fingerprint of a UTF-8 text, from its shingles with their repeats. Null or wordless: 0."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, *more: str) -> DataFrame:
     """``id_col``, ``fp`` (the 64 bits as a signed long), and the longs ``more``."""
 
@@ -93,11 +107,14 @@ def routing_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return points, radii
 
 
-def route(fps: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, home) for each fingerprint's home shard and the later shards that may hold a neighbour."""
+def route(fps: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int, at_home: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home) for each fingerprint's home shard and the later shards that may hold a neighbour.
+
+    Not ``at_home``: of all shards those that may hold a neighbour, as a visitor.
+    """
     points, radii = tree
     rows, nodes = np.arange(len(fps)), np.zeros(len(fps), np.int64)
-    home = np.ones(len(fps), bool)
+    home = np.full(len(fps), at_home)
     for _ in range(depth):
         d, t = distance(fps[rows], points[nodes]).astype(np.int16), radii[nodes]
         inside = d <= t
@@ -239,19 +256,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Of ``marked`` rows: ``__id``, ``__mark``, ``node`` (hash of the set of shingles), ``fp`` and ``fp2`` (two
+    fingerprints of that set), ``n`` (its size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((4, batch.num_rows), np.uint64)
+            for i, text in enumerate(batch.column(2)):
+                own = shingle_set(text.as_py(), shingle)
+                again = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                out[:, i] = xxhash.xxh64_intdigest(own.tobytes()), majority(own), majority(again ^ (again >> np.uint64(32))), len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.view(np.int64)) for c in out)], names=["__id", "__mark", "node", "fp", "fp2", "n"])
+
+    return rows.select("__id", "__mark", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "__id long, __mark long, node long, fp long, fp2 long, n long")
+
+
+def candidates(nodes: DataFrame, similarity: float, radius: int, both: int, every: bool, leaf_target: int = 8192, sample_rows: int = 16_384, least_depth: int = 3) -> DataFrame:
+    """Pairs (a, b) of ``node`` whose ``label`` differ, whose sizes allow the similarity, and whose fingerprints
+    lie within ``radius`` (the first) and ``both`` (the two together).
+
+    Not ``every``: of each shard only a spanning forest of them and each node's nearest, so that a large group
+    of near copies gives pairs in proportion to its nodes. Shards are bands of sizes, one the factor 1 / similarity wide,
+    cut by the routing tree; a node visits its own band and the next.
+    """
+    spark = nodes.sparkSession
+    n = nodes.count()
+    sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("node"), "node").select("fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
+    depth = least_depth
+    while (n >> depth) > 4 * leaf_target and (8 << depth) < sample_rows:
+        depth += 1
+    tree = spark.sparkContext.broadcast(routing_tree(sample, depth))
+    names = ["node", "fp", "fp2", "n", "label"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 4096).columns]
+                band = np.floor(np.log(part[3]) / -np.log(similarity) + 1e-9).astype(np.int32)
+                for step in (0, 1):
+                    rows, shards, home = route(part[1].view(np.uint64), tree.value, depth, radius, step == 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(band[rows] + np.int32(step)), pa.array(shards.astype(np.int32)), pa.array(home), *(pa.array(c[rows]) for c in part)], names=["band", "shard", "home", *names])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "node"], kind="stable")
+        node, n, label = (pdf[c].to_numpy() for c in ("node", "n", "label"))
+        fp, fp2 = pdf["fp"].to_numpy().view(np.uint64), pdf["fp2"].to_numpy().view(np.uint64)
+        own = np.flatnonzero(pdf["home"].to_numpy())
+        forest = Forest(len(node))
+        nearest, nearest_d = np.full(len(node), -1), np.full(len(node), 255, np.int64)
+        found: list[np.ndarray] = []
+        for at in range(0, len(own), 512):
+            block = own[at : at + 512]
+            low, high = np.searchsorted(n, similarity * n[block[0]] - 1e-6), np.searchsorted(n, n[block[-1]] / similarity + 1e-6, "right")
+            for start in range(low, high, 2048):
+                some = np.arange(start, min(start + 2048, high))
+                i, j = np.nonzero(distance(fp[some][:, None], fp[block][None, :]) <= radius)
+                a, b = some[i], block[j]
+                d = distance(fp[a], fp[b]).astype(np.int64) + distance(fp2[a], fp2[b])
+                real = (d <= both) & (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+                a, b, d = a[real], b[real], d[real]
+                if not len(a):
+                    continue
+                if every:
+                    found.append(np.stack([a, b], 1))
+                    continue
+                order = np.argsort(d, kind="stable")
+                a, b, d = a[order], b[order], d[order]
+                for x, y in ((a, b), (b, a)):
+                    who, first = np.unique(x, return_index=True)
+                    closer = d[first] < nearest_d[who]
+                    nearest[who[closer]], nearest_d[who[closer]] = y[first[closer]], d[first[closer]]
+                ra, rb = forest.roots(a), forest.roots(b)
+                apart = np.flatnonzero(ra != rb)
+                _, first = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)], 1)[apart], axis=0, return_index=True)
+                joins = []
+                for p in np.sort(apart[first]).tolist():
+                    x, y = forest.find(a[p]), forest.find(b[p])
+                    if x != y:
+                        forest.up[max(x, y)] = min(x, y)
+                        joins.append((a[p], b[p]))
+                found.append(np.array(joins, np.int64).reshape(-1, 2))
+        with_near = np.flatnonzero(nearest >= 0)
+        pairs = np.concatenate([*found, np.stack([with_near, nearest[with_near]], 1)])
+        pairs = node[pairs]
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return nodes.select(*names).mapInArrow(deal, "band int, shard int, home boolean, " + ", ".join(f"{c} long" for c in names)).groupBy("band", "shard").applyInPandas(solve, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles, taken from the texts again, have a Jaccard similarity of at least ``similarity``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "held"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = same >= similarity * (len(x) + len(y) - same) - 1e-9
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("key.__id").alias("__i"), F.col("key.__mark").alias("__m"))
+    texts = rows.join(asked, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m"))).dropDuplicates(["node"])
+    held = cut(texts.select("node", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(sets, "node long, held binary"))
+    left, right = held.toDF("a", "held_a"), held.toDF("b", "held_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long")
+
+
+def similar_labels(rows: DataFrame, drawn: DataFrame, text_col: str, shingle: int, radius: int, both: int, similarity: float) -> DataFrame:
+    """(node, label) of the components of all links of Jaccard ``similarity`` or more; nodes without links are left out.
+
+    First a forest of the candidates is verified. Then every candidate pair that its links do not join already is.
+    """
+    key = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__mark")).alias("key")
+    nodes = cut(drawn.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "n")), key))
+    large = nodes.filter(F.col("n") >= similarity / (1 - similarity) - 1e-6)  # smaller sets are equal or less similar
+    rounds = Rounds(rows.sparkSession)
+    first = rounds.write(candidates(large.withColumn("label", F.col("node")), similarity, radius, both, every=False))
+    links = rounds.write(verified(first, rows, nodes, text_col, shingle, similarity))
+    labels = min_labels(links)
+    named = cut(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "fp", "fp2", "n", "label"))
+    rest = cut(candidates(named, similarity, radius, both, every=True))
+    more = verified(rest.join(first, ["a", "b"], "left_anti"), rows, nodes, text_col, shingle, similarity)
+    return min_labels(cut(links.union(more)))
+
+
 def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the key of a row, (``__id``, ``__mark``): its id and the hash of its text."""
     return docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, both: int = 40, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each component, that with the smallest id.
 
+    With ``similarity``, texts are linked by exact Jaccard similarity of their sets of shingles; fingerprints of
+    the sets within ``radius``, and of two independent ones within ``both``, only choose what is compared.
     Rows are told apart by id and text, so ids may be null (last in order) or repeated; of rows equal in both one stays.
     """
-    rows = cut(fingerprints(marked(docs, id_col, text_col), "__id", text_col, shingle, "__mark"))
-    labels = min_labels(near_links(cut(rows.select("fp").distinct()), radius)).withColumnRenamed("node", "fp")
-    named = rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    own = marked(docs, id_col, text_col)
+    if similarity is None:
+        rows = cut(fingerprints(own, "__id", text_col, shingle, "__mark")).withColumnRenamed("fp", "node")
+        labels = min_labels(near_links(cut(rows.select(F.col("node").alias("fp")).distinct()), radius))
+    else:
+        rows = cut(sketches(own, text_col, shingle))
+        labels = similar_labels(own, rows, text_col, shingle, radius, both, similarity)
+    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__mark")).alias("key")).select(F.col("key.__id").alias("__i"), F.col("key.__mark").alias("__m"))
-    kept = marked(docs, id_col, text_col).join(first, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left_semi")
+    kept = own.join(first, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left_semi")
     return kept.dropDuplicates(["__id", "__mark"]).select(*docs.columns)

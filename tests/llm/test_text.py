@@ -13,6 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from contigua.llm import decontaminate, kneser_ney, mixing, simhash, suffix_dedup, token_counts
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -112,6 +113,31 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r[0], r[1]) for r in rows) and left.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_pipeline_drops_similar_documents(spark):
+    rng = random.Random(29)
+    texts = [None, "", "a b", "A  b", "one two three four five six seven eight", "one two three four five six seven eight nine"]
+    for n in (30, 100, 400):
+        base = words(rng, n, 5000).split()
+        for edits in (0, 1, n // 90, n // 45, n // 30, n // 10):
+            some = list(base)
+            for e in range(edits):
+                some[rng.randrange(n)] = f"edit{e}x{rng.random()}"
+            texts.append(" ".join(some))
+    texts += [words(rng, 60, 5000) for _ in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    up = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    df = docs(spark, texts)
+    kept = corpus_pipeline.near_duplicates(spark, df.union(df.limit(3)), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(up)) and kept.columns == df.columns
+    assert len(set(up)) < len(simhash.keep_one(df).collect())
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 def test_shards_lose_no_pair(spark):
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2**63, 3000, dtype=np.uint64)

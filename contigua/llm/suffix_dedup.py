@@ -16,11 +16,10 @@ suffix inside it.
    ``least_words`` apart, so the union is the whole passage, however long.
 
 Skew: suffixes of a document with equal words on both sides and consecutive positions (one word over and
-over) are one row. A run of suffixes of more than ``run_docs`` documents is dealt to parts of about so
-many by document, and a suffix meets those of its part. A passage that so many documents share is found in
-every part; a pair that shares more than the passage is found by its other suffixes, which are
-rare. Only what two documents share with each other, and which consists of nothing but words that more
-than ``run_docs`` documents hold, could be reported shorter than it is.
+over) are one row. Suffixes that more than ``run_docs`` documents hold are not compared: every window
+of ``least_words`` words around one leaves as its hash and position, and hashes that two documents have are passages.
+A passage of that length or more is the union of its windows, each holds a retained suffix, and the windows
+of a listed suffix are all looked at, so nothing is shortened; grouping by hash needs no run in memory.
 
 Defined results: passages are verbatim runs of white-space-separated words; a passage repeated only inside
 one document (one id) is none; null and short texts have none; rows of equal id are one document, each
@@ -157,32 +156,34 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_do
     while counted.filter(F.col("n") > bound).count() > MOST_HOT:
         bound *= 4
     hot = counted.filter(F.col("n") > bound).orderBy("h").toArrow()
-    tables = spark.sparkContext.broadcast((bit_table(counted), hot.column("h").to_numpy(), -(-hot.column("n").to_numpy() // bound)))
+    tables = spark.sparkContext.broadcast((bit_table(counted), hot.column("h").to_numpy()))
+
+    def is_hot(h: np.ndarray) -> np.ndarray:
+        listed = tables.value[1]
+        if not len(listed):
+            return np.zeros(len(h), bool)
+        h = h.view(np.int64)
+        return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hot, parts = tables.value
+        known = tables.value[0]
         for batch in batches:
             out: list[tuple] = []
             size = 0
             for doc, text in zip(batch.column(0), batch.column(1)):
                 doc = doc.as_py()
                 for words, first, at, h in retained(text.as_py(), k, w):
-                    keep = in_table(known, h)
+                    keep = in_table(known, h) & ~is_hot(h)
                     at, h = at[keep], h[keep].view(np.int64)
                     if not len(at):
                         continue
-                    split = np.ones(len(h), np.int64)
-                    if len(hot):
-                        place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                        split = np.where(hot[place] == h, parts[place], 1)
-                    salt = xxhash.xxh32_intdigest(str(doc))
                     last, start = None, 0
-                    for p, x, n in zip(at.tolist(), h.tolist(), split.tolist()):
+                    for p, x in zip(at.tolist(), h.tolist()):
                         sides = (x, words[max(0, p - w + 1) : p], words[p : p + least_words])
                         if last is not None and p == start + 1 and sides == last:
-                            out[-1] = (*out[-1][:4], first + p, *out[-1][5:])
+                            out[-1] = (*out[-1][:3], first + p, *out[-1][4:])
                         else:
-                            out.append((x, salt % n, doc, first + p, first + p, b" ".join(sides[1][::-1]), b" ".join(sides[2])))
+                            out.append((x, doc, first + p, first + p, b" ".join(sides[1][::-1]), b" ".join(sides[2])))
                             size += 700
                         last, start = sides, p
                 if size > 8 << 20:
@@ -191,11 +192,29 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_do
             yield suffix_batch(out)
         give_back()
 
-    names = ["h", "part", "doc_id", "pos", "upto", "before", "after"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh128_digest
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                for words, first, at, h in retained(text.as_py(), k, w):
+                    at = at[is_hot(h)]
+                    if not len(at):
+                        continue
+                    starts = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
+                    starts = starts[(starts >= 0) & (starts + least_words <= len(words))]
+                    line = b" ".join(words)
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                    begins = np.concatenate(([0], ends[:-1] + 1))
+                    for some in np.array_split(starts, -(-len(starts) // 65_536)):
+                        keys = np.frombuffer(b"".join(digest(line[a:b]) for a, b in zip(begins[some].tolist(), ends[some + least_words - 1].tolist())), np.int64).reshape(-1, 2)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([doc.as_py()] * len(some), pa.int64()), pa.array(some + first)], names=["x", "y", "doc_id", "word_start"])
+        give_back()
+
+    names = ["h", "doc_id", "pos", "upto", "before", "after"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def suffix_batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, run, out = None, [], []
@@ -204,11 +223,11 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_do
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*found)) or [()] * 3], names=["doc_id", "word_start", "word_end"])
 
         for batch in batches:
-            for h, part, doc, pos, upto, before, after in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if (h, part) != key:
+            for h, doc, pos, upto, before, after in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if h != key:
                     if len(run) > 1:
                         out += match_run(run, least_words)
-                    key, run = (h, part), []
+                    key, run = h, []
                 run.append((doc, pos, upto, before.split(), after.split()))
             if len(out) > 10_000:
                 yield spans(out)
@@ -219,9 +238,15 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_do
         run.clear()
         give_back()
 
-    suffixes = rows.mapInArrow(second_pass, "h long, part int, doc_id long, pos long, upto long, before binary, after binary")
-    ordered = suffixes.repartition(shuffle_width(spark), "h", "part").sortWithinPartitions("h", "part", "after", "doc_id", "pos")
-    found = ordered.mapInArrow(compare, "doc_id long, word_start long, word_end long").distinct()
+    suffixes = rows.mapInArrow(second_pass, "h long, doc_id long, pos long, upto long, before binary, after binary")
+    ordered = suffixes.repartition(shuffle_width(spark), "h").sortWithinPartitions("h", "after", "doc_id", "pos")
+    found = ordered.mapInArrow(compare, "doc_id long, word_start long, word_end long")
+    if hot.num_rows:
+        windows = cut(rows.mapInArrow(hot_windows, "x long, y long, doc_id long, word_start long"))
+        docs_of = windows.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("none"))
+        shared = docs_of.filter((F.col("least") < F.col("most")) | (F.col("none") & F.col("least").isNotNull())).select("x", "y")
+        found = found.union(windows.join(shared, ["x", "y"], "left_semi").select("doc_id", "word_start", (F.col("word_start") + least_words).alias("word_end")))
+    found = found.distinct()
     by_start = Window.partitionBy("doc_id").orderBy("word_start", "word_end")
     reach = F.max("word_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     merged = found.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("reach") >= F.col("word_start"), 0).otherwise(1)).over(by_start))

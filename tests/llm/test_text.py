@@ -245,6 +245,17 @@ def test_repeated_passages(spark, run_docs):
     assert suffix_dedup.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_passage_of_frequent_lines(spark):
+    rng = random.Random(31)
+    lines = [words(rng, 40, 5000) for _ in range(8)]
+    texts = [f"{words(rng, 30, 5000)} {rng.choice(lines)} {words(rng, 30, 5000)}" for _ in range(240)]
+    for a, b in zip(lines[::2], lines[1::2]):  # two documents alone hold both lines, one after the other
+        texts += [f"{words(rng, 60, 5000)} {a} {b} {words(rng, 60, 5000)}" for _ in range(2)]
+    texts += [f"{lines[0]} {lines[1]}"]
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), run_docs=5).collect()}
+    assert got == brute_passages(texts) and len(got) == 9
+
+
 # -- quality ----------------------------------------------------------------------------------------
 
 

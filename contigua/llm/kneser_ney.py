@@ -15,12 +15,11 @@ and give each document's share of the log-likelihood, which is summed per docume
 the whole model, and neither side is broadcast. Hot shards (a language with most rows, the space)
 are salted: ``salts`` copies of each model shard.
 
-Decision: one trusted row in five is held out of training; per language (and band of lengths, as short
-texts scatter more) quantiles of the held-out rows' log-perplexity set a fence on either side of the median.
-Texts outside are rejected; one far below is as odd as one far above.
+Decision: one trusted row in five is held out of training; their log-perplexity sets a fence on either side of
+the middle of each language and band of lengths (short texts scatter more), from quantiles over all of them. Texts outside are rejected; one far below is as odd as one far above.
 
 Defined results: a null text is an empty one (only the frame is scored); a null language is a language
-of its own; a language without trusted text has no model: null perplexity, kept; a band without held-out rows
+of its own; a language without trusted text has no model: null perplexity, kept; a language without held-out rows
 has no fence: kept; labels that
 are null don't make a row trusted; equal rows (id and text) are one result; an empty table gives an empty
 result; other columns are ignored. Texts are scored whole.
@@ -35,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from contigua.llm.common import cut, give_back
 
@@ -49,9 +48,9 @@ LEAST_DISCOUNT = 0.1
 #: One trusted row in so many, by hash of its id, is kept out of training and sets the thresholds.
 HELD_OUT = 5
 #: Lengths (in grams) at which a new band of thresholds begins: short texts scatter more.
-BANDS = (256, 1024, 4096)
-#: A band with fewer held-out rows takes the widest fence of its language, and one at least a factor WIDE from its median.
-FEW_HELD_OUT, WIDE = 50, 2.0
+BANDS = (32, 64, 128, 256, 512, 1024, 2048, 4096)
+#: So many rows of the average are added to a band or a language when its spread is taken.
+PRIOR = 10
 BATCH_BYTES = 4 << 20
 
 
@@ -277,11 +276,47 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(id_col)
 
 
+def fences(held: DataFrame, quantile: float, reach: float) -> DataFrame:
+    """(lang, band, least, most) from the held-out rows (lang, band, l: log-perplexity), by one rule at every size.
+
+    The middle of a language and band is a median of the language plus an offset of the band over all languages. Residuals
+    are divided by their median size in the band, then in the language, each shrunk towards that of all rows by
+    PRIOR rows, so that a band or language of one row, or a band of none, has a width too. The quantiles 1 - ``quantile`` and
+    ``quantile`` of what results come from all held-out rows. A text is kept from the middle to ``reach`` times as
+    far as the quantiles.
+    """
+
+    def middle(c: Column) -> Column:
+        return F.percentile_approx(c, 0.5, 100_000)
+
+    def shrunk(c: Column, to: Column) -> Column:
+        n = F.count(F.lit(1))
+        return (middle(c) * n + to * PRIOR) / (n + PRIOR)
+
+    l, o, m = F.col("l"), F.col("o"), F.col("m")
+    centres = held.groupBy("lang").agg(middle(l).alias("c"))
+    offsets = held.join(F.broadcast(centres), "lang").groupBy("band").agg(shrunk(l - F.col("c"), F.lit(0.0)).alias("o"))
+    level = held.join(F.broadcast(offsets), "band")
+    middles = level.groupBy("lang").agg(middle(l - o).alias("m"))
+    rest = level.join(F.broadcast(middles), "lang").withColumn("e", l - o - m)
+    whole = rest.agg(F.greatest(middle(F.abs("e")), F.lit(1e-6)).alias("all"))
+    units = rest.crossJoin(F.broadcast(whole)).withColumn("e", F.col("e") / F.col("all"))
+    sizes = units.groupBy("band").agg(shrunk(F.abs("e"), F.lit(1.0)).alias("s"))
+    scaled = units.join(F.broadcast(sizes), "band").withColumn("e", F.col("e") / F.col("s"))
+    spreads = scaled.groupBy("lang").agg(shrunk(F.abs("e"), F.lit(1.0)).alias("r"))
+    tails = scaled.join(F.broadcast(spreads), "lang").agg(F.percentile_approx(F.col("e") / F.col("r"), [1 - quantile, quantile], 100_000).alias("t"))
+    bands = held.sparkSession.range(len(BANDS) + 1).select(F.col("id").cast("int").alias("band"))
+    bands = bands.join(offsets, "band", "left").join(sizes, "band", "left").select("band", F.coalesce("o", F.lit(0.0)).alias("o"), F.coalesce("s", F.lit(1.0)).alias("s"))
+    every = middles.join(spreads, "lang").crossJoin(bands).crossJoin(tails).crossJoin(whole)  # a row a language and band
+    width = F.col("s") * F.col("r") * F.col("all") * reach
+    least, most = o + m + F.least(F.col("t")[0], F.lit(0.0)) * width, o + m + F.greatest(F.col("t")[1], F.lit(0.0)) * width
+    return every.select("lang", "band", F.exp(least).alias("least"), F.exp(most).alias("most"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, reach: float = 2.0, order: int = 4, salts: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per distinct (id, text): ``doc``, ``mark``, ``lang``, ``n_grams``, ``perplexity``, ``least``, ``most``, ``keep``.
 
-    For each language and band of lengths, the held-out trusted rows give the quantiles 1 - ``quantile``,
-    1/2 and ``quantile`` of log-perplexity; a text is kept from the median to ``reach`` times as far as the outer ones.
+    A text is kept where its log-perplexity lies between the fences of its language and band of lengths.
     """
     ids = cut(trusted.select(F.col(id_col).cast("long").alias("doc")).distinct().withColumn("held_out", F.pmod(F.xxhash64("doc"), F.lit(HELD_OUT)) == 0))
     rows = prepared(docs, id_col, text_col, lang_col)
@@ -289,12 +324,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, reach:
     band = reduce(lambda a, b: a + b, [(F.col("n_grams") >= n).cast("int") for n in BANDS])
     named = rows.select("doc", "mark", "lang").distinct().join(scored, ["doc", "mark"], "left").withColumn("band", F.coalesce(band, F.lit(0)))
     named = cut(named.join(ids, "doc", "left"))
-    q = F.percentile_approx(F.log("perplexity"), [1 - quantile, 0.5, quantile], 100_000)
-    bounds = named.filter("held_out").groupBy("lang", "band").agg(q.alias("q"), F.count("perplexity").alias("n"))
-    bounds = bounds.select("lang", "band", "n", F.exp(F.col("q")[1]).alias("mid"), F.exp(F.col("q")[1] - reach * (F.col("q")[1] - F.col("q")[0])).alias("least"), F.exp(F.col("q")[1] + reach * (F.col("q")[2] - F.col("q")[1])).alias("most"))
-    whole = Window.partitionBy("lang")  # a row a band
-    few = F.col("n") < FEW_HELD_OUT
-    bounds = bounds.select("lang", "band", F.when(few, F.least(F.min("least").over(whole), F.col("mid") / WIDE)).otherwise(F.col("least")).alias("least"), F.when(few, F.greatest(F.max("most").over(whole), F.col("mid") * WIDE)).otherwise(F.col("most")).alias("most"))
+    held = cut(named.filter(F.col("held_out") & F.col("perplexity").isNotNull()).select("lang", "band", F.log("perplexity").alias("l")))
+    bounds = cut(fences(held, quantile, reach))
     keep = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
     return named.join(bounds, ["lang", "band"], "left").select("doc", "mark", "lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
 

@@ -320,6 +320,21 @@ def test_classifier(spark):
     assert kneser_ney.keep_good(df.limit(0), kneser_ney.trusted_ids(labels)).count() == 0
 
 
+def test_languages_with_few_rows_have_fences(spark):
+    rng = random.Random(37)
+    rows, spoilt = [], []
+    for lang, vocabulary, n in (("en", "the cat sat on a mat dogs were here".split(), 600), ("de", "die katze lag auf einer matte hunde waren hier".split(), 100)):
+        for _ in range(n):
+            rows.append((" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60, 300))), lang))
+        for t, _ in rows[-30:]:
+            spoilt.append((" ".join(w[::-1] if i % 12 == 0 else w for i, w in enumerate(t.split())), lang))
+    every = rows + spoilt
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(every)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in kneser_ney.keep_good(df, kneser_ney.trusted_ids(labels)).collect()}
+    assert len(kept & set(range(len(rows)))) >= 0.98 * len(rows) and not kept & set(range(len(rows), len(every)))
+
+
 # -- mixing -----------------------------------------------------------------------------------------
 
 

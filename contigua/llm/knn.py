@@ -1,7 +1,7 @@
 """Exact top-k by inner product as a Voronoi join: pivots, bounds from cell summaries, local solving.
 
 1. Components become integers floor(scale * x); rows that are null or hold null or non-finite
-   components leave. Shorter vectors count as padded with zeros.
+   components leave, and of rows of equal id all but one. Shorter vectors count as padded with zeros.
 2. Pivots are a bounded, hash-ordered sample of the rows; every row goes to its nearest pivot's cell.
 3. A summary of each cell (rows, radius, largest norm) reaches the driver: one row a pivot.
 4. For a query q, the k-th best of its scores with the pivots, and of the cells' lower bounds
@@ -76,7 +76,7 @@ def knn_join(
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``. ``is_query`` may use ``id``."""
     spark = vectors.sparkSession
-    vecs = quantised(vectors, id_col, vec_col, scale)
+    vecs = cut(quantised(vectors, id_col, vec_col, scale).dropDuplicates(["id"]))  # pivots and cells count ids, not rows
     n, dims, n_queries = vecs.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0)), F.coalesce(F.sum(is_query.cast("int")), F.lit(0))).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not n or not n_queries:

@@ -43,6 +43,15 @@ def test_knn(spark, chunk_rows):
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 1)]
 
 
+def test_knn_with_an_id_repeated(spark):
+    rng = random.Random(41)
+    first = spark.range(1, 50).orderBy(F.xxhash64("id")).first().id  # the first of the pivots, and every query's best
+    rows = [(i, [1.0 + 0.01 * rng.random(), 0.0] if i % 2 else [0.9, 0.1 * rng.random()]) for i in range(50) if i != first]
+    df = spark.createDataFrame(rows + [(first, [50.0, 0.0])] * 6, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in knn.knn_join(df, F.col("id") % 50 == 0).collect()}
+    assert got == brute_knn([*rows, (first, [50.0, 0.0])]) and len(got) == 5
+
+
 def test_scores_beyond_doubles():
     q, d = np.array([[2**31, 1]]), np.array([[2**31, 1], [2**31, 2]])
     assert knn.scores(q, d).tolist() == [[2**62 + 1, 2**62 + 2]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from contigua.operators.components import component_labels
 from contigua.operators.lineage import Rounds
 
 
@@ -30,22 +31,9 @@ def node_report(nodes: DataFrame, adj: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component, isolated nodes included.
-
-    Minimum labels with pointer jumping: rounds grow with the logarithm of a component's length. Each
-    round is written to the shared folder.
-    """
-    links = Rounds(nodes.sparkSession).write(adj.select("node", "other").filter("node <> other").distinct())
-    rounds = Rounds(nodes.sparkSession)
-    labels = rounds.write(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        near = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        pulled = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = rounds.write(pulled.join(hop, "label").select("node", "old", F.least("label", "far").alias("label")))
-        if moved.filter("label <> old").isEmpty():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+    """(node, label): the least node of each component, isolated nodes included."""
+    labels, _ = component_labels(adj.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def bubbles(adj: DataFrame, compat: bool = False) -> DataFrame:

@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``; one of its own only where
-    that is unset (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Only where neither is set and the master is local (tests, one machine) is a temporary folder made, once a session;
+    on a cluster that is an error, as executors would not see it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="contigua-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -26,7 +31,7 @@ class Rounds:
 
     A written table has its true size as statistics. (A checkpoint keeps the estimate of its plan, and
     estimates of joins multiply: after some rounds they have millions of digits.) Tables of rounds before
-    the last are deleted.
+    the last ``keep`` are deleted.
     """
 
     def __init__(self, spark: SparkSession, keep: int = 2):

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import Window, functions as F
 
+from contigua.operators.components import component_labels
 from contigua.operators import filters, graph, ingest, kmers, paths, stats
 
 
@@ -57,12 +58,36 @@ def test_graph(spark):
     assert rows(d) == [("a", 0.0), ("b", 1.0), ("c", 1.0), ("d", 2.0)]
 
 
-def test_components_of_a_long_chain(spark):
-    """Many rounds, whose estimates must not explode."""
-    edges = spark.range(3000).selectExpr("id AS s1", "'+' AS s1_or", "id + 1 AS s2", "'+' AS s2_or")
-    nodes = spark.range(3001).selectExpr("id AS node")
-    got = graph.connected_components(nodes, graph.adjacency(edges))
-    assert got.agg(F.count("node"), F.max("label")).first()[:] == (3001, 0)
+def test_components_of_a_long_path(spark):
+    """Ids in random order: rounds grow with the logarithm, and the bound on what one task unites changes nothing."""
+    ids = list(range(20_001))
+    random.Random(1).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    for small in (0, 1000, 1_000_000):
+        labels, rounds = component_labels(edges, small)
+        assert labels.agg(F.count("node"), F.max("label")).first()[:] == (20_001, 0)
+        assert rounds <= 20
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(0, rng.randrange(900)) for _ in range(50)] + [(950, 950), (951, None)]
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs[:-1]:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    for small in (0, 50, 1_000_000):
+        got = component_labels(spark.createDataFrame(pairs, "a long, b long"), small)[0].collect()
+        assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in up)
+    none = component_labels(spark.createDataFrame([], "a string, b string"))[0]
+    assert none.dtypes == [("node", "string"), ("label", "string")] and none.collect() == []
 
 
 def test_discover_paths(spark):

@@ -6,9 +6,9 @@ import ctypes
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contigua.operators.lineage import shared_root as _root
+from contigua.operators.lineage import Rounds, shared_root as _root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: like ``cut``, but Spark then knows the true size, and broadcasts the
+    table in a join only below its own threshold."""
+    return Rounds(df.sparkSession).write(df)
+
+
+def once(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the rows that are equal in ``keys`` (columns without nulls). Only rows that do repeat are dealt anew with all
+    their columns; for the others the keys alone are."""
+    again = stored(rows.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, list(keys), "left_anti").unionByName(rows.join(again, list(keys), "left_semi").dropDuplicates(list(keys)))
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """``k1``, ``k2``: 128 bits that tell rows apart by the columns, nulls included."""
+    parts = [p for c in columns for p in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *reversed(parts)).alias("k2")]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,14 +8,17 @@
    |d(x,v) - d(y,v)| <= d(x,y), it is also sent to each later shard whose boundary lies within the radius.
 4. Each shard finds all its pairs within the radius with a vantage-point tree of its own and returns a
    spanning forest of them: the links' components, never all pairs of a group.
-5. Components: minimum labels with pointer jumping over the forest edges, each round written to the shared folder.
+5. Components of the forests' edges by contraction (``operators.components``).
 
-The pipeline's stage (``keep_one`` with ``similarity``) has parameters of its own: sets of five-word shingles, linked
-at an exact Jaccard similarity of 0.8. At that similarity fingerprints lie 9.7 +- 2.9 bits apart (12 +- 3.1 where the sets
-hold few shingles), so radius 24 of one and 40 of two together lose a pair with a probability of about 1e-4. The tree
-excludes next to nothing at this radius; bands of set sizes do, and the pairs compared grow as the square of a band's nodes.
+The pipeline's stage (``keep_one`` with ``similarity``) has parameters of its own: sets of five-word shingles, linked at an
+exact Jaccard similarity of 0.8. At that similarity fingerprints lie 9.7 +- 2.9 bits apart (12 +- 3.1 where the sets hold few
+shingles), so radius 24 of one and 40 of two together lose a pair with a probability of about 1e-4. A vantage-point
+tree excludes nothing at such a radius, as unrelated texts lie 32 +- 4 bits apart; there the shards are buckets of texts that
+agree in a pair of least shingle hashes, of ``KEYS`` pairs (a pair of texts is in no common bucket with a probability
+of 0.36 ** 10 = 4e-5). Fingerprints then choose inside a bucket what is verified by the sets themselves.
 
-Nothing is capped or sampled away: the sample chooses where to split, not what is compared.
+Nothing is capped or sampled away: the sample chooses where to split, not what is compared. A bucket of more than
+``BUCKET`` texts is dealt as pairs of chunks, so its memory is bounded and its work is the square of its distinct texts.
 The cost to know: 64-bit fingerprints of unrelated texts lie 32 +- 4 bits apart, so a split at radius 4
 excludes only part of the other side (measured: a fingerprint visits about 1.7 of 2 children).
 """
@@ -28,13 +31,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from contigua.llm.common import cut
-from contigua.operators.lineage import Rounds
+from contigua.llm.common import cut, give_back, once, row_key, shuffle_width, stored
+from contigua.operators.components import component_labels
 
 SEED = 42
 ROWS_AT_ONCE = 1 << 15
+#: Pairs of least hashes that a text is dealt by, and the most texts of a bucket that are compared in one task.
+KEYS, BUCKET = 10, 4096
+#: At most so many fingerprints (8 bytes each) reach the driver to place the tree's splits.
+MOST_SAMPLE = 1 << 20
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -192,13 +199,15 @@ def link_shard(fps: np.ndarray, members: np.ndarray, radius: int, forest: Forest
                     forest.join(a[real], b[real])
 
 
-def near_links(distinct: DataFrame, radius: int = 4, leaf_target: int = 8192, sample_rows: int = 16_384, least_depth: int = 5) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, leaf_target: int = 8192, least_depth: int = 5) -> DataFrame:
     """Edges (a, b) of a spanning forest, per shard, of all pairs of distinct ``fp`` within ``radius``.
 
-    ``sample_rows`` bounds what reaches the driver; with it, at most ``sample_rows / 8`` shards.
+    The tree's depth follows the number of fingerprints, so shards stay near ``leaf_target`` up to 2**30 of them; beyond,
+    MOST_SAMPLE bounds the tree and shards grow.
     """
     spark = distinct.sparkSession
     n = distinct.count()
+    sample_rows = min(MOST_SAMPLE, max(16_384, 16 * n // leaf_target))
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
     depth = least_depth
     while (n >> depth) > leaf_target and (8 << depth) < sample_rows:
@@ -225,21 +234,6 @@ def near_links(distinct: DataFrame, radius: int = 4, leaf_target: int = 8192, sa
     return distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(solve, "a long, b long")
 
 
-def min_labels(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component of the edges (a, b)."""
-    both = Rounds(edges.sparkSession).write(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    rounds = Rounds(edges.sparkSession)
-    labels = rounds.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        pulled = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = rounds.write(pulled.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")))
-        if moved.filter("label <> old").isEmpty():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """Per row: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable over links).
 
@@ -249,10 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
-    labels = min_labels(near_links(distinct, radius))
-    named = cut(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
-    reach = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = named.join(reach, "label").select("fp", "component_id")
+    labels, _ = component_labels(near_links(distinct, radius))
+    linked = stored(distinct.join(labels.toDF("fp", "label"), "fp"))  # a fingerprint without links is a component
+    reach = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    far = linked.join(reach, "label").select("fp", "component_id")
+    known = stored(distinct.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return fps.join(known, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -260,95 +255,136 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Of ``marked`` rows: ``__id``, ``__mark``, ``node`` (hash of the set of shingles), ``fp`` and ``fp2`` (two
-    fingerprints of that set), ``n`` (its size)."""
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of each hash."""
+    x = x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros((4, batch.num_rows), np.uint64)
-            for i, text in enumerate(batch.column(2)):
-                own = shingle_set(text.as_py(), shingle)
-                again = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                out[:, i] = xxhash.xxh64_intdigest(own.tobytes()), majority(own), majority(again ^ (again >> np.uint64(32))), len(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.view(np.int64)) for c in out)], names=["__id", "__mark", "node", "fp", "fp2", "n"])
 
-    return rows.select("__id", "__mark", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "__id long, __mark long, node long, fp long, fp2 long, n long")
+def bucket_keys(shingles: np.ndarray, keys: int = KEYS) -> np.ndarray:
+    """``keys`` hashes of two least hashes each; sets of Jaccard similarity j agree in one with probability j * j."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.array([_mixed(shingles, i + 1).min() for i in range(2 * keys)], np.uint64)
+    return _mixed(least[::2] ^ _mixed(least[1::2], 77), 99) ^ np.arange(keys, dtype=np.uint64)
 
 
-def candidates(nodes: DataFrame, similarity: float, radius: int, both: int, every: bool, leaf_target: int = 8192, sample_rows: int = 16_384, least_depth: int = 3) -> DataFrame:
-    """Pairs (a, b) of ``node`` whose ``label`` differ, whose sizes allow the similarity, and whose fingerprints
-    lie within ``radius`` (the first) and ``both`` (the two together).
+def sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Of rows with ``k1``, ``k2`` and ``__id``: these, ``node`` (hash of the set of shingles), ``fp`` and ``fp2`` (two fingerprints of
+    that set), ``n`` (its size), ``keys`` (its buckets)."""
+    names = ["k1", "k2", "__id", "node", "fp", "fp2", "n", "keys"]
 
-    Not ``every``: of each shard only a spanning forest of them and each node's nearest, so that a large group
-    of near copies gives pairs in proportion to its nodes. Shards are bands of sizes, one the factor 1 / similarity wide,
-    cut by the routing tree; a node visits its own band and the next.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, keys = np.zeros((4, batch.num_rows), np.uint64), []
+            for i, text in enumerate(batch.column(3)):
+                own = shingle_set(text.as_py(), shingle)
+                out[:, i] = xxhash.xxh64_intdigest(own.tobytes()), majority(own), majority(_mixed(own, 0)), len(own)
+                keys.append(bucket_keys(own).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c.view(np.int64)) for c in out), pa.array(keys, pa.list_(pa.int64()))], names=names)
+        give_back()
+
+    return rows.select("k1", "k2", "__id", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", keys array<long>")
+
+
+def bucket_pairs(node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, similarity: float, radius: int, both: int, every: bool) -> np.ndarray:
+    """Pairs of rows of a bucket, in order of ``n``, that ``candidates`` asks for; with two values of ``side``, across them."""
+    m, across = len(node), side[0] != side[-1] or (side != side[0]).any()
+    forest = Forest(m)
+    nearest, nearest_d = np.full(m, -1), np.full(m, 255, np.int64)
+    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    for at in range(0, m, 512):
+        block = np.arange(at, min(at + 512, m))
+        high = np.searchsorted(n, n[block[-1]] / similarity + 1e-6, "right")
+        for start in range(at, high, 2048):
+            some = np.arange(start, min(start + 2048, high))
+            i, j = np.nonzero(distance(fp[some][:, None], fp[block][None, :]) <= radius)
+            a, b = some[i], block[j]
+            ahead = a > b
+            a, b = a[ahead], b[ahead]
+            d = distance(fp[a], fp[b]).astype(np.int64) + distance(fp2[a], fp2[b])
+            real = (d <= both) & (label[a] != label[b]) & (n[b] >= similarity * n[a] - 1e-6)
+            if across:
+                real &= side[a] != side[b]
+            a, b, d = a[real], b[real], d[real]
+            if not len(a):
+                continue
+            if every:
+                found.append(np.stack([a, b], 1))
+                continue
+            order = np.argsort(d, kind="stable")
+            a, b, d = a[order], b[order], d[order]
+            for x, y in ((a, b), (b, a)):
+                who, first = np.unique(x, return_index=True)
+                closer = d[first] < nearest_d[who]
+                nearest[who[closer]], nearest_d[who[closer]] = y[first[closer]], d[first[closer]]
+            ra, rb = forest.roots(a), forest.roots(b)
+            apart = np.flatnonzero(ra != rb)
+            _, first = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)], 1)[apart], axis=0, return_index=True)
+            for p in np.sort(apart[first]).tolist():
+                x, y = forest.find(a[p]), forest.find(b[p])
+                if x != y:
+                    forest.up[max(x, y)] = min(x, y)
+                    found.append(np.array([[a[p], b[p]]]))
+    with_near = np.flatnonzero(nearest >= 0)
+    pairs = node[np.concatenate([*found, np.stack([with_near, nearest[with_near]], 1)])]
+    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def candidates(nodes: DataFrame, similarity: float, radius: int, both: int, every: bool, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) of ``node`` that share a bucket, whose ``label`` differ, whose sizes allow the similarity, and whose
+    fingerprints lie within ``radius`` (the first) and ``both`` (the two together).
+
+    Not ``every``: of each bucket only a spanning forest of them and each node's nearest, so that a large group
+    of near copies gives pairs in proportion to its nodes.
     """
-    spark = nodes.sparkSession
-    n = nodes.count()
-    sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("node"), "node").select("fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
-    depth = least_depth
-    while (n >> depth) > 4 * leaf_target and (8 << depth) < sample_rows:
-        depth += 1
-    tree = spark.sparkContext.broadcast(routing_tree(sample, depth))
     names = ["node", "fp", "fp2", "n", "label"]
+    rows = nodes.select(*names, F.explode("keys").alias("key"))
+    hot = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > bucket).select("key", F.ceil(F.col("m") / bucket).cast("int").alias("parts")))
+    zero = F.lit(0).cast("int")
+    if hot.isEmpty():
+        dealt = rows.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), *names)
+    else:
+        parted = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        each = parted.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
+        dealt = each.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", *names)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the columns of the bucket that the last batch ended in
+
+        def pairs_of(c: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+            """Of the buckets that begin at ``edges``."""
+            found = [np.zeros((0, 2), np.int64)]
+            for a, e in zip(edges.tolist(), edges[1:].tolist()):
+                if e - a > 1 and (not every or (c[8][a:e] != c[8][a]).any()):
+                    node, fp, fp2, n, label, side = c[4][a:e], c[5][a:e].view(np.uint64), c[6][a:e].view(np.uint64), c[7][a:e], c[8][a:e], c[3][a:e]
+                    if c[1][a] == c[2][a]:
+                        side = np.zeros(e - a, np.int32)
+                    elif (side == side[0]).all():
+                        continue
+                    found.append(bucket_pairs(node, fp, fp2, n, label, side, similarity, radius, both, every))
+            pairs = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 4096).columns]
-                band = np.floor(np.log(part[3]) / -np.log(similarity) + 1e-9).astype(np.int32)
-                for step in (0, 1):
-                    rows, shards, home = route(part[1].view(np.uint64), tree.value, depth, radius, step == 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(band[rows] + np.int32(step)), pa.array(shards.astype(np.int32)), pa.array(home), *(pa.array(c[rows]) for c in part)], names=["band", "shard", "home", *names])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "node"], kind="stable")
-        node, n, label = (pdf[c].to_numpy() for c in ("node", "n", "label"))
-        fp, fp2 = pdf["fp"].to_numpy().view(np.uint64), pdf["fp2"].to_numpy().view(np.uint64)
-        own = np.flatnonzero(pdf["home"].to_numpy())
-        forest = Forest(len(node))
-        nearest, nearest_d = np.full(len(node), -1), np.full(len(node), 255, np.int64)
-        found: list[np.ndarray] = []
-        for at in range(0, len(own), 512):
-            block = own[at : at + 512]
-            low, high = np.searchsorted(n, similarity * n[block[0]] - 1e-6), np.searchsorted(n, n[block[-1]] / similarity + 1e-6, "right")
-            for start in range(low, high, 2048):
-                some = np.arange(start, min(start + 2048, high))
-                i, j = np.nonzero(distance(fp[some][:, None], fp[block][None, :]) <= radius)
-                a, b = some[i], block[j]
-                d = distance(fp[a], fp[b]).astype(np.int64) + distance(fp2[a], fp2[b])
-                real = (d <= both) & (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
-                a, b, d = a[real], b[real], d[real]
-                if not len(a):
-                    continue
-                if every:
-                    found.append(np.stack([a, b], 1))
-                    continue
-                order = np.argsort(d, kind="stable")
-                a, b, d = a[order], b[order], d[order]
-                for x, y in ((a, b), (b, a)):
-                    who, first = np.unique(x, return_index=True)
-                    closer = d[first] < nearest_d[who]
-                    nearest[who[closer]], nearest_d[who[closer]] = y[first[closer]], d[first[closer]]
-                ra, rb = forest.roots(a), forest.roots(b)
-                apart = np.flatnonzero(ra != rb)
-                _, first = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)], 1)[apart], axis=0, return_index=True)
-                joins = []
-                for p in np.sort(apart[first]).tolist():
-                    x, y = forest.find(a[p]), forest.find(b[p])
-                    if x != y:
-                        forest.up[max(x, y)] = min(x, y)
-                        joins.append((a[p], b[p]))
-                found.append(np.array(joins, np.int64).reshape(-1, 2))
-        with_near = np.flatnonzero(nearest >= 0)
-        pairs = np.concatenate([*found, np.stack([with_near, nearest[with_near]], 1)])
-        pairs = node[pairs]
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return nodes.select(*names).mapInArrow(deal, "band int, shard int, home boolean, " + ", ".join(f"{c} long" for c in names)).groupBy("band", "shard").applyInPandas(solve, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if held is not None:
+                c = [np.concatenate([x, y]) for x, y in zip(held, c)]
+            new = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])
+            edges = np.concatenate([[0], np.flatnonzero(new) + 1])
+            if len(edges) > 1:
+                yield pairs_of(c, edges)
+            held = [x[edges[-1] :].copy() for x in c]
+        if held is not None:
+            yield pairs_of(held, np.array([0, len(held[0])]))
+        give_back()
+
+    ordered = dealt.repartition(shuffle_width(nodes.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
+    return ordered.mapInArrow(solve, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -369,9 +405,9 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str,
                 good[i] = same >= similarity * (len(x) + len(y) - same) - 1e-9
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("key.__id").alias("__i"), F.col("key.__mark").alias("__m"))
-    texts = rows.join(asked, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m"))).dropDuplicates(["node"])
-    held = cut(texts.select("node", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(sets, "node long, held binary"))
+    asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "key.k1", "key.k2"))
+    texts = rows.select("k1", "k2", text_col).join(asked, ["k1", "k2"])
+    held = cut(texts.select("node", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]))
     left, right = held.toDF("a", "held_a"), held.toDF("b", "held_b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long")
 
@@ -381,39 +417,38 @@ def similar_labels(rows: DataFrame, drawn: DataFrame, text_col: str, shingle: in
 
     First a forest of the candidates is verified. Then every candidate pair that its links do not join already is.
     """
-    key = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__mark")).alias("key")
-    nodes = cut(drawn.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "n")), key))
+    nodes = stored(drawn.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "n", "keys")), F.min(_order()).alias("key")))
     large = nodes.filter(F.col("n") >= similarity / (1 - similarity) - 1e-6)  # smaller sets are equal or less similar
-    rounds = Rounds(rows.sparkSession)
-    first = rounds.write(candidates(large.withColumn("label", F.col("node")), similarity, radius, both, every=False))
-    links = rounds.write(verified(first, rows, nodes, text_col, shingle, similarity))
-    labels = min_labels(links)
-    named = cut(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "fp", "fp2", "n", "label"))
-    rest = cut(candidates(named, similarity, radius, both, every=True))
-    more = verified(rest.join(first, ["a", "b"], "left_anti"), rows, nodes, text_col, shingle, similarity)
-    return min_labels(cut(links.union(more)))
+    first = stored(candidates(large.withColumn("label", F.col("node")), similarity, radius, both, every=False))
+    links = stored(verified(first, rows, nodes, text_col, shingle, similarity))
+    labels, _ = component_labels(links)
+    named = stored(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "fp", "fp2", "n", "label", "keys"))
+    rest = stored(candidates(named, similarity, radius, both, every=True).join(first, ["a", "b"], "left_anti"))
+    return component_labels(links.union(stored(verified(rest, rows, nodes, text_col, shingle, similarity))))[0]
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the key of a row, (``__id``, ``__mark``): its id and the hash of its text."""
-    return docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+def _order() -> Column:
+    """What the kept row of a component has least: null ids last, then the id, then the key."""
+    return F.struct(F.col("__id").isNull().alias("none"), "__id", "k1", "k2")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, both: int = 40, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each component, that with the smallest id.
 
-    With ``similarity``, texts are linked by exact Jaccard similarity of their sets of shingles; fingerprints of
-    the sets within ``radius``, and of two independent ones within ``both``, only choose what is compared.
+    With ``similarity``, texts are linked by exact Jaccard similarity of their sets of shingles; buckets, fingerprints
+    of the sets within ``radius``, and of two independent ones within ``both``, only choose what is compared.
     Rows are told apart by id and text, so ids may be null (last in order) or repeated; of rows equal in both one stays.
+    Null and wordless texts are equal to each other; other columns pass through, an empty table stays empty.
     """
-    own = marked(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.withColumn("__id", F.col(id_col).cast("long")).select("*", *row_key(F.col("__id"), text))
     if similarity is None:
-        rows = cut(fingerprints(own, "__id", text_col, shingle, "__mark")).withColumnRenamed("fp", "node")
-        labels = min_labels(near_links(cut(rows.select(F.col("node").alias("fp")).distinct()), radius))
+        rows = stored(fingerprints(own, "__id", text_col, shingle, "k1", "k2").withColumnRenamed("fp", "node"))
+        labels, _ = component_labels(near_links(cut(rows.select(F.col("node").alias("fp")).distinct()), radius))
     else:
-        rows = cut(sketches(own, text_col, shingle))
+        rows = stored(sketches(own, text_col, shingle))
         labels = similar_labels(own, rows, text_col, shingle, radius, both, similarity)
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = named.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__mark")).alias("key")).select(F.col("key.__id").alias("__i"), F.col("key.__mark").alias("__m"))
-    kept = own.join(first, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left_semi")
-    return kept.dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+    named = rows.join(labels, "node", "left").select("k1", "k2", "__id", F.coalesce("label", "node").alias("label"))
+    first = named.groupBy("label").agg(F.min(_order()).alias("key")).select("key.k1", "key.k2")
+    gone = stored(named.select("k1", "k2").distinct().join(first, ["k1", "k2"], "left_anti"))
+    return once(own.join(gone, ["k1", "k2"], "left_anti"), "k1", "k2").select(*docs.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from contigua.operators.components import component_labels
 from contigua.llm import decontaminate, kneser_ney, mixing, simhash, suffix_dedup, token_counts
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -113,6 +114,40 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r[0], r[1]) for r in rows) and left.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_keeping_one_row_loses_no_other(spark):
+    """Unrelated texts with null and repeated ids, and with columns of the names used inside, all stay."""
+    rng = random.Random(31)
+    ids = [None] * 5 + [7] * 3 + list(range(10, 15))
+    df = docs(spark, [words(rng, 50, 5000) for _ in ids])
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in zip(ids, df.collect())], DOCS).withColumn("node", F.lit(1)).withColumn("label", F.lit("x"))
+    for options in ({}, {"shingle": 5, "radius": 24, "similarity": 0.8}):
+        kept = simhash.keep_one(df, **options)
+        assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("bucket", [4096, 5])
+def test_buckets_lose_no_link(spark, bucket, monkeypatch):
+    """A chain of edits, a passage that many documents share, and buckets dealt in chunks."""
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (bucket,))
+    rng = random.Random(41)
+    text, texts = words(rng, 120, 5000).split(), []
+    for i in range(60):
+        text = [*text]
+        text[rng.randrange(120)] = f"edit{i}"
+        texts.append(" ".join(text))
+    passage = words(rng, 60, 5000)
+    texts += [f"{passage} {words(rng, 40, 5000)}" for _ in range(80)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    kept = simhash.keep_one(docs(spark, texts), shingle=5, radius=24, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(up))
+
+
 def test_pipeline_drops_similar_documents(spark):
     rng = random.Random(29)
     texts = [None, "", "a b", "A  b", "one two three four five six seven eight", "one two three four five six seven eight nine"]
@@ -147,7 +182,7 @@ def test_shards_lose_no_pair(spark):
         chain.append(chain[-1] ^ np.uint64(0b111 << (i * 3 % 61)))
     every = np.unique(np.concatenate([fps, near, np.array(chain, np.uint64)]))
     df = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long")
-    labels = {r.node: r.label for r in simhash.min_labels(simhash.near_links(df, 4, leaf_target=64)).collect()}
+    labels = {r.node: r.label for r in component_labels(simhash.near_links(df, 4, leaf_target=64))[0].collect()}
     comp = brute_components({int(x): int(np.uint64(x)) for x in every}, 4)
     groups, ours = defaultdict(set), defaultdict(set)
     for x, c in comp.items():

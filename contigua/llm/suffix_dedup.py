@@ -4,44 +4,47 @@ Suffixes start only at minimisers: of every ``w`` consecutive k-word windows tha
 With w + k - 1 = ``least_words``, two documents that share a passage of that length retain the same
 suffix inside it.
 
-1. First pass: hash of each retained suffix's first k words, counted.
-2. Those counted in at least two documents are marked in a bit table of fixed size. When it fills up it lets
-   more suffixes through; none is lost. Those in more than ``run_docs`` documents, at most MOST_HOT of
-   them (else the bound is raised), are listed with their counts.
-3. Second pass: suffixes that may have a partner leave with up to ``least_words`` words on either side.
+0. Documents of equal text are one from here on; of ``least_words`` words or more, each copy is a passage as a whole.
+1. First pass: per hash of a retained suffix's first k words, the documents that hold it and the rows that it would give.
+2. Those of at least two documents are marked in a bit table, and of these those of more than ``run_rows`` rows in another.
+   Tables have 16 bits a hash, up to 2**MOST_BITS bits (32 MB each). Fuller ones let more suffixes through; none is lost.
+3. Second pass: suffixes that may have a partner leave with up to ``least_words`` words on either side; those of a document
+   with equal words on both sides are one row with all their positions, whatever the distance between them.
    They are sorted by text. Within a run of equal first k words each suffix is compared with its
    nearest neighbour for every length of common left context, so the best match in words to the left
    plus words to the right is found without comparing all pairs; the match is extended both ways.
 4. Stretches of one document that overlap are merged. Retained suffixes are less than
    ``least_words`` apart, so the union is the whole passage, however long.
 
-Skew: suffixes of a document with equal words on both sides and consecutive positions (one word over and
-over) are one row. Suffixes that more than ``run_docs`` documents hold are not compared: every window
-of ``least_words`` words around one leaves as its hash and position, and hashes that two documents have are passages.
+Skew: no run has more than ``run_rows`` rows. Suffixes of more are not compared: every window of ``least_words`` words
+around one leaves as its hash and positions, and hashes that two documents have are passages.
 A passage of that length or more is the union of its windows, each holds a retained suffix, and the windows
-of a listed suffix are all looked at, so nothing is shortened; grouping by hash needs no run in memory.
+of a suffix marked so are all looked at, so nothing is shortened; grouping by hash needs no run in memory.
 
-Defined results: passages are verbatim runs of white-space-separated words; a passage repeated only inside
-one document (one id) is none; null and short texts have none; rows of equal id are one document, each
-contributing; an empty table gives an empty result; other columns are ignored. Texts are read whole.
+Defined results: passages are verbatim runs of white-space-separated words; documents are told apart by id and text, so rows
+with null or equal ids are documents of their own, and rows equal in both are one (and given once); a passage repeated
+only inside one document is none; null and short texts have none; an empty table gives an empty result; other
+columns are ignored. Texts are read whole, a stretch of bytes at a time.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from contigua.llm.common import cut, give_back, shuffle_width
+from contigua.llm.common import cut, give_back, row_key, shuffle_width, stored
+from contigua.llm.mixing import word_count
 
-TABLE_BITS = 26
+MOST_BITS = 28
 POSITION_BITS = 24
-STRETCH = 1 << 22  # words handled at once
-MOST_HOT = 1_000_000
+STRETCH = 4 << 20  # bytes of a text handled at once
+ROW_BYTES = 8 << 20  # suffix rows held before they leave
 
 
 def minimisers(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -60,21 +63,52 @@ def minimisers(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at[np.concatenate(([True], at[1:] != at[:-1]))]).astype(np.int64)
 
 
-def retained(text: bytes | None, k: int, w: int) -> Iterator[tuple[list[bytes], int, np.ndarray, np.ndarray]]:
-    """(words, number of the first, positions, hashes of the first k words), a stretch of words at a time."""
-    words = (text or b"").split()
-    reach = w + k - 2
-    for first in range(0, max(1, len(words) - reach), STRETCH):
-        some = words[first : first + STRETCH + reach] if len(words) > STRETCH else words
-        if len(some) <= reach:
+def stretches(text: bytes, overlap: int) -> Iterator[tuple[list[bytes], int]]:
+    """(words, number of the first): a text of any length in pieces that share ``overlap`` words."""
+    at, first, tail = 0, 0, []
+    while at < len(text) or not at:
+        end = at + STRETCH
+        while end < len(text) and not text[end : end + 1].isspace():
+            end += 1
+        words = tail + text[at:end].split()
+        yield words, first
+        tail = words[-overlap:] if overlap else []
+        first += len(words) - len(tail)
+        at = max(end, 1)
+
+
+@dataclass
+class Stretch:
+    """A piece of a text: its words, the number of the first, the words joined by blanks with where each begins and ends,
+    and the retained suffixes' positions and hashes."""
+
+    words: list[bytes]
+    first: int
+    line: bytes
+    begins: np.ndarray
+    ends: np.ndarray
+    at: np.ndarray
+    h: np.ndarray
+
+
+def retained(text: bytes | None, k: int, w: int) -> Iterator[Stretch]:
+    for words, first in stretches(text or b"", w + k - 2):
+        if len(words) < w + k - 1:
             continue
-        line = b" ".join(some)
-        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(some) - k + 1].tolist()
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        begins = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b]) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64)
+        hashes = np.array([digest(line[a:b]) for a, b in zip(begins[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
         at = minimisers(hashes, w)
-        yield some, first, at, hashes[at]
+        yield Stretch(words, first, line, begins, ends, at, hashes[at])
+
+
+def sides(s: Stretch, w: int, least_words: int, at: np.ndarray) -> list[bytes]:
+    """Per suffix a digest of all its words on either side and of how far they reach."""
+    left, right = np.maximum(at - w + 1, 0), np.minimum(at + least_words, len(s.words))
+    digest = xxhash.xxh128_digest
+    return [digest(s.line[a:b], n) for a, b, n in zip(s.begins[left].tolist(), s.ends[right - 1].tolist(), (at - left).tolist())]
 
 
 def _common(a: list[bytes], b: list[bytes]) -> int:
@@ -86,16 +120,16 @@ def _common(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def match_run(run: list[tuple[int, int, int, list[bytes], list[bytes]]], least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(doc, first word, end) for a run of suffixes (doc, first and last position, words before, nearest first; words
-    from it), sorted by the latter.
+def match_run(run: list[tuple[object, list[bytes], list[bytes]]], least_words: int) -> dict[int, list[int]]:
+    """Row number: words to the left and to the right that it shares with others; for a run of suffixes (document, words
+    before, nearest first; words from it), sorted by the latter.
 
     For each length of common left context, the best partner is the nearest suffix of another document before
     or behind in the order; both are looked at.
     """
     best: dict[int, list[int]] = {}
     keys = []
-    for _, _, _, before, _ in run:
+    for _, before, _ in run:
         own = array("q", [0])
         for word in before:
             own.append(hash((own[-1], word)))
@@ -103,7 +137,7 @@ def match_run(run: list[tuple[int, int, int, list[bytes], list[bytes]]], least_w
     for order in (range(len(run)), range(len(run) - 1, -1, -1)):
         last: dict[int, tuple[int, int | None]] = {}  # by hash of the words before: the nearest, and the nearest of another document than its
         for i in order:
-            doc, after = run[i][0], run[i][4]
+            doc, _, after = run[i]
             full = False
             for left in range(len(keys[i]) - 1, -1, -1):
                 key = keys[i][left]
@@ -114,19 +148,19 @@ def match_run(run: list[tuple[int, int, int, list[bytes], list[bytes]]], least_w
                 same = run[held[0]][0] == doc
                 j = held[1] if same else held[0]
                 if j is not None and not full:
-                    right = _common(after, run[j][4])
+                    right = _common(after, run[j][2])
                     if left + right >= least_words:
                         own = best.setdefault(i, [0, 0])
                         own[0], own[1] = max(own[0], left), max(own[1], right)
                         full = right >= len(after)
                 last[key] = (i, held[1] if same else held[0])
-    for i, (left, right) in best.items():
-        doc, first, upto, _, _ = run[i]
-        yield doc, first - left, upto + right
+    return best
 
 
-def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """A table of 2**bits bits with those of column ``h`` set; at most 2**(bits - 6) rows reach the driver."""
+def bit_table(hashes: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A table with the bits of column ``h`` set, of 16 bits a row, at most 2**most_bits; at most 2**(most_bits - 6) rows
+    reach the driver."""
+    bits = min(most_bits, max(12, (16 * hashes.count()).bit_length()))
     place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = hashes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
@@ -139,115 +173,137 @@ def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, word_start, word_end``: the maximal stretches of a document that other documents hold too."""
     spark = docs.sparkSession
     w = least_words - k + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    text = F.col(text_col).cast("string")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("text IS NOT NULL").select("doc_id", "text", *row_key(F.col("text")))
+    copies = stored(named.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("first")))
+    again = stored(copies.filter("n > 1").select("k1", "k2"))
+    whole = named.join(again, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", word_count(F.col("text")).alias("word_end")).distinct()
+    whole = stored(whole.filter(F.col("word_end") >= least_words))
+    spare = stored(named.select("k1", "k2", "doc_id").distinct().join(copies.select("k1", "k2", F.col("first.doc_id").alias("first")), ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("k1", "k2", F.col("doc_id").alias("spare")))
+    same = (named["k1"] == spare["k1"]) & (named["k2"] == spare["k2"]) & named["doc_id"].eqNullSafe(spare["spare"])
+    rows = named.join(spare, same, "left_anti").select("doc_id", F.col("k1").alias("key"), F.col("text").cast("binary").alias("text"))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(h) for text in batch.column(1) for _, _, _, h in retained(text.as_py(), k, w)]
-            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    counted = cut(rows.select("doc_id", "text").mapInArrow(first_pass, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
-    bound = run_docs
-    while counted.filter(F.col("n") > bound).count() > MOST_HOT:
-        bound *= 4
-    hot = counted.filter(F.col("n") > bound).orderBy("h").toArrow()
-    tables = spark.sparkContext.broadcast((bit_table(counted), hot.column("h").to_numpy()))
-
-    def is_hot(h: np.ndarray) -> np.ndarray:
-        listed = tables.value[1]
-        if not len(listed):
-            return np.zeros(len(h), bool)
-        h = h.view(np.int64)
-        return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
+            held: list[np.ndarray] = []
+            rows_of: list[np.ndarray] = []
+            for text in batch.column(0):
+                seen = [(s.h, np.frombuffer(b"".join(sides(s, w, least_words, s.at)), np.uint64)[::2]) for s in retained(text.as_py(), k, w)]
+                if seen:
+                    h, side = (np.concatenate(c) for c in zip(*seen))
+                    h, n = np.unique(h[np.unique(h * np.uint64(0x9E3779B97F4A7C15) ^ side, return_index=True)[1]], return_counts=True)
+                    held.append(h)
+                    rows_of.append(n)
+            h, at, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+            total = np.bincount(at, np.concatenate(rows_of)).astype(np.int64) if held else n
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(total.astype(np.int64))], names=["h", "docs", "n"])
+        give_back()
+
+    counted = rows.select("text").mapInArrow(first_pass, "h long, docs long, n long").groupBy("h").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    counted = stored(counted.filter("docs > 1").select("h", "n"))
+    hot = counted.filter(F.col("n") > run_rows)
+    any_hot = not hot.isEmpty()
+    tables = spark.sparkContext.broadcast((bit_table(counted), bit_table(hot)))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tables.value[0]
+        known, frequent = tables.value
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                doc = doc.as_py()
-                for words, first, at, h in retained(text.as_py(), k, w):
-                    keep = in_table(known, h) & ~is_hot(h)
-                    at, h = at[keep], h[keep].view(np.int64)
-                    if not len(at):
-                        continue
-                    last, start = None, 0
-                    for p, x in zip(at.tolist(), h.tolist()):
-                        sides = (x, words[max(0, p - w + 1) : p], words[p : p + least_words])
-                        if last is not None and p == start + 1 and sides == last:
-                            out[-1] = (*out[-1][:3], first + p, *out[-1][4:])
-                        else:
-                            out.append((x, doc, first + p, first + p, b" ".join(sides[1][::-1]), b" ".join(sides[2])))
-                            size += 700
-                        last, start = sides, p
-                if size > 8 << 20:
-                    yield suffix_batch(out)
-                    out, size = [], 0
+            for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                doc, key = doc.as_py(), key.as_py()
+                place: dict[tuple[int, bytes], list[int]] = {}
+                for s in retained(text.as_py(), k, w):
+                    keep = in_table(known, s.h) & ~in_table(frequent, s.h)
+                    at = s.at[keep]
+                    for p, x, side in zip(at.tolist(), s.h[keep].view(np.int64).tolist(), sides(s, w, least_words, at)):
+                        where = place.get((x, side))
+                        if where is None:
+                            where = place[x, side] = []
+                            out.append((x, doc, key, where, b" ".join(s.words[max(0, p - w + 1) : p][::-1]), b" ".join(s.words[p : p + least_words])))
+                            size += len(out[-1][4]) + len(out[-1][5]) + 100
+                        where.append(s.first + p)
+                        size += 8
+                    if size > ROW_BYTES:
+                        yield suffix_batch(out)
+                        out, size, place = [], 0, {}
             yield suffix_batch(out)
         give_back()
 
     def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh128_digest
+        digest, frequent = xxhash.xxh128_digest, tables.value[1]
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                for words, first, at, h in retained(text.as_py(), k, w):
-                    at = at[is_hot(h)]
+            for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                for s in retained(text.as_py(), k, w):
+                    at = s.at[in_table(frequent, s.h)]
                     if not len(at):
                         continue
                     starts = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
-                    starts = starts[(starts >= 0) & (starts + least_words <= len(words))]
-                    line = b" ".join(words)
-                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                    begins = np.concatenate(([0], ends[:-1] + 1))
+                    starts = starts[(starts >= 0) & (starts + least_words <= len(s.words))]
                     for some in np.array_split(starts, -(-len(starts) // 65_536)):
-                        keys = np.frombuffer(b"".join(digest(line[a:b]) for a, b in zip(begins[some].tolist(), ends[some + least_words - 1].tolist())), np.int64).reshape(-1, 2)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([doc.as_py()] * len(some), pa.int64()), pa.array(some + first)], names=["x", "y", "doc_id", "word_start"])
+                        keys = np.frombuffer(b"".join(digest(s.line[a:b]) for a, b in zip(s.begins[some].tolist(), s.ends[some + least_words - 1].tolist())), np.int64).reshape(-1, 2)
+                        order = np.lexsort((some, keys[:, 1], keys[:, 0]))
+                        keys, places = keys[order], some[order] + s.first
+                        new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(keys)), pa.int32()), pa.array(places))
+                        n = len(new)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array([doc.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int64()), lists], names=["x", "y", "doc_id", "key", "starts"])
         give_back()
 
-    names = ["h", "doc_id", "pos", "upto", "before", "after"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["h", "doc_id", "key", "at", "before", "after"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def suffix_batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, run, out = None, [], []
+        h_held, run, where, words = None, [], [], {}
+        share = lambda text: [words.setdefault(x, x) for x in text.split()]  # noqa: E731  (a run's rows hold the same words)
+
+        def spans() -> Iterator[pa.RecordBatch]:
+            found = match_run(run, least_words) if len(run) > 1 else {}
+            for i, (left, right) in found.items():
+                (doc, key), at = run[i][0], where[i]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(at - left), pa.array(at + right)], names=["doc_id", "key", "word_start", "word_end"])
 
-        def spans(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*found)) or [()] * 3], names=["doc_id", "word_start", "word_end"])
+        def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = list(parts)
+            if parts:
+                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
         for batch in batches:
-            for h, doc, pos, upto, before, after in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if h != key:
-                    if len(run) > 1:
-                        out += match_run(run, least_words)
-                    key, run = h, []
-                run.append((doc, pos, upto, before.split(), after.split()))
-            if len(out) > 10_000:
-                yield spans(out)
-                out = []
-        if len(run) > 1:
-            out += match_run(run, least_words)
-        yield spans(out)
-        run.clear()
+            for i in range(batch.num_rows):
+                h, doc, key, at, before, after = (batch.column(c)[i] for c in range(6))
+                h = h.as_py()
+                if h != h_held:
+                    yield from gathered(spans())
+                    h_held = h
+                    run.clear(), where.clear(), words.clear()
+                run.append(((doc.as_py(), key.as_py()), share(before.as_py()), share(after.as_py())))
+                where.append(at.values.to_numpy())
+        yield from gathered(spans())
+        run.clear(), where.clear(), words.clear()
         give_back()
 
-    suffixes = rows.mapInArrow(second_pass, "h long, doc_id long, pos long, upto long, before binary, after binary")
-    ordered = suffixes.repartition(shuffle_width(spark), "h").sortWithinPartitions("h", "after", "doc_id", "pos")
-    found = ordered.mapInArrow(compare, "doc_id long, word_start long, word_end long")
-    if hot.num_rows:
-        windows = cut(rows.mapInArrow(hot_windows, "x long, y long, doc_id long, word_start long"))
-        docs_of = windows.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("none"))
-        shared = docs_of.filter((F.col("least") < F.col("most")) | (F.col("none") & F.col("least").isNotNull())).select("x", "y")
-        found = found.union(windows.join(shared, ["x", "y"], "left_semi").select("doc_id", "word_start", (F.col("word_start") + least_words).alias("word_end")))
-    found = found.distinct()
-    by_start = Window.partitionBy("doc_id").orderBy("word_start", "word_end")
+    schema = "doc_id long, key long, word_start long, word_end long"
+    suffixes = rows.mapInArrow(second_pass, "h long, doc_id long, key long, at array<long>, before binary, after binary")
+    ordered = suffixes.repartition(shuffle_width(spark), "h").sortWithinPartitions("h", "after", "doc_id", "key")
+    found = ordered.mapInArrow(compare, schema)
+    if any_hot:
+        windows = cut(rows.mapInArrow(hot_windows, "x long, y long, doc_id long, key long, starts array<long>"))
+        doc = F.struct("doc_id", "key")
+        shared = windows.groupBy("x", "y").agg(F.min(doc).alias("least"), F.max(doc).alias("most")).filter("least <> most").select("x", "y")
+        spans = windows.join(shared, ["x", "y"], "left_semi").select("doc_id", "key", F.explode("starts").alias("word_start"))
+        found = found.union(spans.select("doc_id", "key", "word_start", (F.col("word_start") + least_words).alias("word_end")))
+    by_start = Window.partitionBy("doc_id", "key").orderBy("word_start", "word_end")
     reach = F.max("word_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     merged = found.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("reach") >= F.col("word_start"), 0).otherwise(1)).over(by_start))
-    return merged.groupBy("doc_id", "island").agg(F.min("word_start").alias("word_start"), F.max("word_end").alias("word_end")).select("doc_id", "word_start", "word_end")
+    passages = merged.groupBy("doc_id", "key", "island").agg(F.min("word_start").alias("word_start"), F.max("word_end").alias("word_end"))
+    copied = whole.select(F.col("doc_id").alias("c"), F.col("k1").alias("ck"))
+    rest = passages.join(copied, F.col("doc_id").eqNullSafe(F.col("c")) & (F.col("key") == F.col("ck")), "left_anti")
+    return rest.select("doc_id", "word_start", "word_end").union(whole.select("doc_id", F.lit(0).cast("long").alias("word_start"), "word_end"))

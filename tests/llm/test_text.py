@@ -267,19 +267,44 @@ def brute_passages(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("run_docs", [1000, 8])
-def test_repeated_passages(spark, run_docs):
+@pytest.mark.parametrize("run_rows", [1000, 8])
+def test_repeated_passages(spark, run_rows):
     rng = random.Random(11)
     shared = [words(rng, n, 5000) for n in (50, 51, 60, 90, 200, 49, 30)]
     texts = [None, "", "short text", "la " * 300, "la " * 300]
     for i in range(60):
         texts.append(" ".join(x for _ in range(2) for x in (words(rng, rng.randrange(0, 80), 5000), rng.choice(shared))) + " " + words(rng, rng.randrange(60), 5000))
     texts += [texts[10], texts[10]]
-    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), run_docs=run_docs).collect()}
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), run_rows=run_rows).collect()}
     assert got == brute_passages(texts)
     assert suffix_dedup.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run_rows", [1000, 6])
+def test_periodic_passages(spark, run_rows, monkeypatch):
+    """Lines over and over with periods of one and more words, in few and many documents, and texts of several stretches."""
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 2000)
+    monkeypatch.setattr(suffix_dedup, "ROW_BYTES", 20_000)
+    rng = random.Random(43)
+    three, ten = "one two three", words(rng, 10, 5000)
+    texts = [f"{words(rng, 20 + i, 5000)} {three} {' '.join([three] * (300 + i))} {words(rng, 30, 5000)}" for i in range(8)]
+    texts += [f"{words(rng, 5, 5000)} {' '.join([ten] * (100 + 7 * i))} {words(rng, 90, 5000)}" for i in range(8)]
+    texts += [" ".join([words(rng, 4, 5000)] * 400), "word " * 500, words(rng, 900, 5000)]
+    texts += [texts[-1][200:4000], f"{texts[-1][:1500]} {words(rng, 100, 5000)}"]
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), run_rows=run_rows).collect()}
+    assert got == brute_passages(texts)
+
+
+def test_passages_with_null_and_repeated_ids(spark):
+    rng = random.Random(47)
+    shared, copy = words(rng, 60, 5000), words(rng, 70, 5000)
+    texts = [f"{words(rng, 9, 5000)} {shared}", f"{shared} {words(rng, 5, 5000)}", copy, copy, copy, shared[:-1]]
+    ids = [None, None, None, 5, 5, 6]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], DOCS).withColumn("word_start", F.lit("x")).withColumn("key", F.lit(1))
+    got = Counter(tuple(r) for r in suffix_dedup.repeated_passages(df).collect())
+    assert got == Counter([(None, 9, 69), (None, 0, 60), (None, 0, 70), (5, 0, 70), (6, 0, 59)])
+
+
 def test_passage_of_frequent_lines(spark):
     rng = random.Random(31)
     lines = [words(rng, 40, 5000) for _ in range(8)]
@@ -287,7 +312,7 @@ def test_passage_of_frequent_lines(spark):
     for a, b in zip(lines[::2], lines[1::2]):  # two documents alone hold both lines, one after the other
         texts += [f"{words(rng, 60, 5000)} {a} {b} {words(rng, 60, 5000)}" for _ in range(2)]
     texts += [f"{lines[0]} {lines[1]}"]
-    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), run_docs=5).collect()}
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), run_rows=5).collect()}
     assert got == brute_passages(texts) and len(got) == 9
 
 

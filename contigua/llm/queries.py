@@ -51,7 +51,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with what it decided on."""
     found = kneser_ney.classify(table(spark, sf_dir, "documents"), kneser_ney.trusted_ids(table(spark, sf_dir, "labels")))
-    return found.filter("keep").selectExpr("doc AS doc_id", "lang", "n_grams", "perplexity", "least", "most", "keep")
+    return found.filter("keep").selectExpr("doc AS doc_id", "lang", "n_words", "perplexity", "most", "keep")
 
 
 def op10_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,12 +319,13 @@ def test_passage_of_frequent_lines(spark):
 # -- quality ----------------------------------------------------------------------------------------
 
 
-def brute_kneser_ney(texts, order):
-    """Modified Kneser-Ney by dictionaries."""
+def brute_kneser_ney(texts, order=3):
+    """Modified Kneser-Ney over words by dictionaries."""
+    framed = lambda t: [None] * (order - 1) + (t or "").split() + [None]
     tables = {order: Counter()}
     for t in texts:
-        a = b"\0" * (order - 1) + t.encode() + b"\0"
-        tables[order].update(a[i : i + order] for i in range(len(a) - order + 1))
+        a = framed(t)
+        tables[order].update(tuple(a[i : i + order]) for i in range(len(a) - order + 1))
     for k in range(order - 1, 0, -1):
         tables[k] = Counter(g[1:] for g in tables[k + 1])
     found = {}
@@ -340,30 +341,68 @@ def brute_kneser_ney(texts, order):
 
     def p(g):
         if not g:
-            return 1 / 256
+            return 1 / kneser_ney.CLASSES
         table, d, total, left = found[len(g)]
         c, t = table[g], total[g[:-1]]
         return (max(c - d[min(c, 3)], 0) / t + left[g[:-1]] / t * p(g[1:])) if t else p(g[1:])
 
     def perplexity(t):
-        a = b"\0" * (order - 1) + (t or "").encode() + b"\0"
-        logs = [np.log(p(a[i : i + order])) for i in range(len(a) - order + 1)]
+        a = framed(t)
+        logs = [np.log(p(tuple(a[i : i + order]))) for i in range(len(a) - order + 1)]
         return float(np.exp(-np.mean(logs)))
 
     return perplexity
 
 
-def test_perplexity_as_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 300, "list_words": 10**9}, {"shard_words": 300, "list_words": 40}])
+def test_perplexity_as_brute_force(spark, monkeypatch, sizes):
+    """Also with many shards, copies of them, hot words and a hot pair, blocks and stretches that cut texts."""
     rng = random.Random(13)
-    train = [words(rng, 30, 50) for _ in range(20)]
-    other = ["", None, "ÉÉ ###", words(rng, 2000, 50), train[0]]
-    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 3000)
-    df = docs(spark, train + other)
-    ids = spark.range(20).selectExpr("id AS doc")
-    got = {r.doc: r for r in kneser_ney.perplexities(df, ids, order=3).collect()}
-    ppl = brute_kneser_ney(train, 3)
+    train = [words(rng, 60, 30) + " of the " * rng.randrange(9) + words(rng, 9, 30) for _ in range(40)]
+    other = ["", None, "ÉÉ ###", words(rng, 3000, 30), "of the " * 400, train[0]]
+    monkeypatch.setattr(kneser_ney, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(kneser_ney, "STRETCH", 3000)
+    monkeypatch.setattr(kneser_ney, "SAMPLE", 1)
+    rows = kneser_ney.prepared(docs(spark, train + other), "doc_id", "text", "lang")
+    known = rows.filter("doc < 40")
+    if len(sizes) and sizes["list_words"] == 40:
+        plan = kneser_ney.planned(rows, known, **sizes)
+        assert plan.n["=en"] > 1 and plan.hot["=en"] and plan.pairs["=en"]
+    scored = kneser_ney.perplexities(rows, known, **sizes).join(rows.select("k1", "k2", "doc"), ["k1", "k2"])
+    got = {r.doc: r for r in scored.collect()}
+    ppl = brute_kneser_ney(train)
     for i, t in enumerate(train + other):
-        assert got[i].perplexity == pytest.approx(ppl(t), rel=1e-4) and got[i].n_grams == len((t or "").encode()) + 1
+        assert got[i].perplexity == pytest.approx(ppl(t), rel=1e-4) and got[i].n_words == len((t or "").split()) + 1
+
+
+def test_blocks_of_many_words():
+    """More different words in a block than numbers: it is halved, and nothing is lost."""
+    run = np.concatenate([[0, 0], np.arange(1, 150_001), [0]]).astype(np.uint64)
+    block = kneser_ney.Block("=x", [(1, 1)], [run])
+    plan = kneser_ney.Plan({"=x": (10, 10)}, {}, {}, 2, 10)
+    got = []
+    for shard, _, piece in kneser_ney.lists(block, plan, 0):
+        middle, last, first, _, n = kneser_ney.unpacked(piece)
+        assert (plan.shards("=x", middle) == shard).all() and (n == 1).all()
+        got += zip(first.tolist(), middle.tolist(), last.tolist())
+    assert sorted(got) == sorted(zip(run[:-2].tolist(), run[1:-1].tolist(), run[2:].tolist()))
+
+
+def test_classifier_with_nulls_and_repeated_rows(spark):
+    rng = random.Random(53)
+    text = [words(rng, 40, 30) for _ in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(text)] + [(None, text[3], "en"), (None, None, None), (3, None, "en"), (70, text[4], None), (71, text[4], "")]
+    schema = "doc_id long, text string, lang string"
+    trusted = spark.createDataFrame([(i,) for i in range(50)] + [(None,), (70,)], "doc_id long")
+    once = kneser_ney.classify(spark.createDataFrame(rows, schema), trusted).collect()
+    more = spark.createDataFrame(rows + [rows[3]] * 2 + [rows[60]] + [rows[61]], schema).withColumn("k1", F.lit("x")).withColumn("shard", F.lit(0)).repartition(3)
+    again = kneser_ney.classify(more, trusted).collect()
+    near = lambda found: sorted((str(r.doc), str(r.lang), r.n_words, r.perplexity and round(r.perplexity, 3), r.keep) for r in found)
+    assert len(once) == len(rows) and near(once) == near(again)
+    by_lang = {(r.doc, r.lang): r.perplexity for r in once if r.doc in (70, 71)}
+    assert by_lang[71, ""] is None and (70, None) in by_lang
+    kept = kneser_ney.keep_good(more, trusted)
+    assert kept.columns == more.columns and kept.count() == sum(r.keep for r in once) + 4
 
 
 def test_classifier(spark):

@@ -4,7 +4,8 @@ Suffixes start only at minimisers: of every ``w`` consecutive k-word windows tha
 With w + k - 1 = ``least_words``, two documents that share a passage of that length retain the same
 suffix inside it.
 
-0. Documents of equal text are one from here on; of ``least_words`` words or more, each copy is a passage as a whole.
+0. Large groups of documents of equal text (more than MANY, and more than one in SHARE of all, so that at most SHARE groups are
+   told to all tasks) are one document from here on; of ``least_words`` words or more, each copy is a passage as a whole.
 1. First pass: per hash of a retained suffix's first k words, the documents that hold it and the rows that it would give.
 2. Those of at least two documents are marked in a bit table, and of these those of more than ``run_rows`` rows in another.
    Tables have 16 bits a hash, up to 2**MOST_BITS bits (32 MB each). Fuller ones let more suffixes through; none is lost.
@@ -38,13 +39,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from contigua.llm.common import cut, give_back, row_key, shuffle_width, stored
+from contigua.llm.common import give_back, row_key, shuffle_width, stored
 from contigua.llm.mixing import word_count
 
 MOST_BITS = 28
 POSITION_BITS = 24
 STRETCH = 4 << 20  # bytes of a text handled at once
 ROW_BYTES = 8 << 20  # suffix rows held before they leave
+FEW = 6  # rows of a run that are compared pair by pair
+#: Groups of equal texts of more than so many documents, and of more than this share of all, count as one document.
+MANY, SHARE = 1000, 100_000
 
 
 def minimisers(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -98,12 +102,23 @@ def retained(text: bytes | None, k: int, w: int) -> Iterator[Stretch]:
         line = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b]) for a, b in zip(begins[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+        hashes = window_hashes(words, k)
         at = minimisers(hashes, w)
         yield Stretch(words, first, line, begins, ends, at, hashes[at])
 
 
+def window_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """Of every k words in a row: a polynomial of the words' hashes, mixed."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = own[: len(own) - k + 1].copy()
+    for i in range(1, k):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += own[i : len(own) - k + 1 + i]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
 def sides(s: Stretch, w: int, least_words: int, at: np.ndarray) -> list[bytes]:
     """Per suffix a digest of all its words on either side and of how far they reach."""
     left, right = np.maximum(at - w + 1, 0), np.minimum(at + least_words, len(s.words))
@@ -128,6 +143,17 @@ def match_run(run: list[tuple[object, list[bytes], list[bytes]]], least_words: i
     or behind in the order; both are looked at.
     """
     best: dict[int, list[int]] = {}
+    if len(run) <= FEW:  # the same, pair by pair
+        for j, (doc, before, after) in enumerate(run):
+            for i in range(j):
+                if run[i][0] != doc:
+                    right = _common(after, run[i][2])
+                    left = _common(before, run[i][1]) if right else 0
+                    if right and left + right >= least_words:
+                        for x in (i, j):
+                            own = best.setdefault(x, [0, 0])
+                            own[0], own[1] = max(own[0], left), max(own[1], right)
+        return best
     keys = []
     for _, before, _ in run:
         own = array("q", [0])
@@ -179,13 +205,13 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_ro
     w = least_words - k + 1
     text = F.col(text_col).cast("string")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("text IS NOT NULL").select("doc_id", "text", *row_key(F.col("text")))
-    copies = stored(named.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("first")))
-    again = stored(copies.filter("n > 1").select("k1", "k2"))
-    whole = named.join(again, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id", word_count(F.col("text")).alias("word_end")).distinct()
+    groups = named.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("first"))
+    least = max(MANY, named.count() // SHARE)
+    copies = F.broadcast(stored(groups.filter(F.col("n") > least).select("k1", "k2", F.col("first.doc_id").alias("first"), F.lit(True).alias("copied"))))  # at most SHARE rows
+    marked = named.join(copies, ["k1", "k2"], "left")
+    rows = marked.filter(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", F.col("k1").alias("key"), F.col("text").cast("binary").alias("text"))
+    whole = marked.filter("copied").select("doc_id", "k1", word_count(F.col("text")).alias("word_end")).distinct()
     whole = stored(whole.filter(F.col("word_end") >= least_words))
-    spare = stored(named.select("k1", "k2", "doc_id").distinct().join(copies.select("k1", "k2", F.col("first.doc_id").alias("first")), ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("k1", "k2", F.col("doc_id").alias("spare")))
-    same = (named["k1"] == spare["k1"]) & (named["k2"] == spare["k2"]) & named["doc_id"].eqNullSafe(spare["spare"])
-    rows = named.join(spare, same, "left_anti").select("doc_id", F.col("k1").alias("key"), F.col("text").cast("binary").alias("text"))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,13 +244,16 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_ro
                 doc, key = doc.as_py(), key.as_py()
                 place: dict[tuple[int, bytes], list[int]] = {}
                 for s in retained(text.as_py(), k, w):
-                    keep = in_table(known, s.h) & ~in_table(frequent, s.h)
+                    often = in_table(frequent, s.h)
+                    if often.any():
+                        yield from windows_of(doc, key, s, s.at[often])
+                    keep = in_table(known, s.h) & ~often
                     at = s.at[keep]
                     for p, x, side in zip(at.tolist(), s.h[keep].view(np.int64).tolist(), sides(s, w, least_words, at)):
                         where = place.get((x, side))
                         if where is None:
                             where = place[x, side] = []
-                            out.append((x, doc, key, where, b" ".join(s.words[max(0, p - w + 1) : p][::-1]), b" ".join(s.words[p : p + least_words])))
+                            out.append((x, doc, key, where, b" ".join(s.words[max(0, p - w + 1) : p][::-1]), b" ".join(s.words[p : p + least_words]), None))
                             size += len(out[-1][4]) + len(out[-1][5]) + 100
                         where.append(s.first + p)
                         size += 8
@@ -234,71 +263,66 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, k: int = 8, run_ro
             yield suffix_batch(out)
         give_back()
 
-    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, frequent = xxhash.xxh128_digest, tables.value[1]
-        for batch in batches:
-            for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                for s in retained(text.as_py(), k, w):
-                    at = s.at[in_table(frequent, s.h)]
-                    if not len(at):
-                        continue
-                    starts = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
-                    starts = starts[(starts >= 0) & (starts + least_words <= len(s.words))]
-                    for some in np.array_split(starts, -(-len(starts) // 65_536)):
-                        keys = np.frombuffer(b"".join(digest(s.line[a:b]) for a, b in zip(s.begins[some].tolist(), s.ends[some + least_words - 1].tolist())), np.int64).reshape(-1, 2)
-                        order = np.lexsort((some, keys[:, 1], keys[:, 0]))
-                        keys, places = keys[order], some[order] + s.first
-                        new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-                        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(keys)), pa.int32()), pa.array(places))
-                        n = len(new)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array([doc.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int64()), lists], names=["x", "y", "doc_id", "key", "starts"])
-        give_back()
-
-    names = ["h", "doc_id", "key", "at", "before", "after"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    def windows_of(doc: int | None, key: int, s: Stretch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All windows around frequent suffixes: their hashes and where they begin."""
+        digest = xxhash.xxh128_digest
+        starts = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
+        starts = starts[(starts >= 0) & (starts + least_words <= len(s.words))]
+        for some in np.array_split(starts, -(-len(starts) // 65_536)):
+            keys = np.frombuffer(b"".join(digest(s.line[a:b]) for a, b in zip(s.begins[some].tolist(), s.ends[some + least_words - 1].tolist())), np.int64).reshape(-1, 2)
+            order = np.lexsort((some, keys[:, 1], keys[:, 0]))
+            keys, places = keys[order], some[order] + s.first
+            new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(keys)), pa.int32()), pa.array(places))
+            n = len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[new, 0]), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), lists, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(keys[new, 1])], names=names)
+
+    names = ["h", "doc_id", "key", "at", "before", "after", "y"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
 
     def suffix_batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h_held, run, where, words = None, [], [], {}
         share = lambda text: [words.setdefault(x, x) for x in text.split()]  # noqa: E731  (a run's rows hold the same words)
+        out: list[tuple] = []
 
-        def spans() -> Iterator[pa.RecordBatch]:
-            found = match_run(run, least_words) if len(run) > 1 else {}
-            for i, (left, right) in found.items():
-                (doc, key), at = run[i][0], where[i]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(at - left), pa.array(at + right)], names=["doc_id", "key", "word_start", "word_end"])
+        def end_run() -> None:
+            if len(run) > 1:
+                for i, (left, right) in match_run(run, least_words).items():
+                    (doc, key) = run[i][0]
+                    out.extend((doc, key, p - left, p + right) for p in where[i])
+            run.clear(), where.clear(), words.clear()
 
-        def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = list(parts)
-            if parts:
-                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        def spans() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * 4], names=["doc_id", "key", "word_start", "word_end"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                h, doc, key, at, before, after = (batch.column(c)[i] for c in range(6))
-                h = h.as_py()
+            for h, doc, key, at, before, after in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != h_held:
-                    yield from gathered(spans())
+                    end_run()
                     h_held = h
-                    run.clear(), where.clear(), words.clear()
-                run.append(((doc.as_py(), key.as_py()), share(before.as_py()), share(after.as_py())))
-                where.append(at.values.to_numpy())
-        yield from gathered(spans())
-        run.clear(), where.clear(), words.clear()
+                run.append(((doc, key), share(before), share(after)))
+                where.append(at)
+                if len(out) > 50_000:
+                    yield spans()
+                    out.clear()
+        end_run()
+        yield spans()
+        out.clear()
         give_back()
 
     schema = "doc_id long, key long, word_start long, word_end long"
-    suffixes = rows.mapInArrow(second_pass, "h long, doc_id long, key long, at array<long>, before binary, after binary")
-    ordered = suffixes.repartition(shuffle_width(spark), "h").sortWithinPartitions("h", "after", "doc_id", "key")
+    left = rows.mapInArrow(second_pass, "h long, doc_id long, key long, at array<long>, before binary, after binary, y long")
+    if any_hot:
+        left = stored(left)
+    ordered = left.filter("after IS NOT NULL").drop("y").repartition(shuffle_width(spark), "h").sortWithinPartitions("h", "after", "doc_id", "key")
     found = ordered.mapInArrow(compare, schema)
     if any_hot:
-        windows = cut(rows.mapInArrow(hot_windows, "x long, y long, doc_id long, key long, starts array<long>"))
-        doc = F.struct("doc_id", "key")
-        shared = windows.groupBy("x", "y").agg(F.min(doc).alias("least"), F.max(doc).alias("most")).filter("least <> most").select("x", "y")
-        spans = windows.join(shared, ["x", "y"], "left_semi").select("doc_id", "key", F.explode("starts").alias("word_start"))
+        windows, doc = left.filter("after IS NULL").select("h", "y", "doc_id", "key", "at"), F.struct("doc_id", "key")
+        shared = windows.groupBy("h", "y").agg(F.min(doc).alias("least"), F.max(doc).alias("most")).filter("least <> most").select("h", "y")
+        spans = windows.join(shared, ["h", "y"], "left_semi").select("doc_id", "key", F.explode("at").alias("word_start"))
         found = found.union(spans.select("doc_id", "key", "word_start", (F.col("word_start") + least_words).alias("word_end")))
     by_start = Window.partitionBy("doc_id", "key").orderBy("word_start", "word_end")
     reach = F.max("word_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -4,26 +4,37 @@
 shuffled. ``compact`` groups the live shards by tier (powers of ``ratio`` of their bytes), walks each tier
 in order of size, closes a group whenever ``target_bytes`` are reached, and rewrites groups of at least
 ``fan_in`` shards as files of about that size; shards already at the target, and remainders, stay.
-Each step writes its list of live shards to a hidden folder and commits it by one rename to
-``manifest/v=N``, which fails if another writer took that version first; readers see the old or the
-new list, never a mixture. Shards that a version no longer lists are left for ``vacuum``.
 
-DataFrame functions only. Merging deals rows by group; a group is bounded by ``target_bytes`` plus one
-shard, so no key grows with the input.
+A version is a manifest, a folder ``manifest/<id>`` with the list of live shards, and becomes the newest by the creation of the
+one small file ``versions/<n>`` that names it. That creation never overwrites, so of two writers one fails; it reads the newest
+version and tries again (an append adds its shards to whatever is live, a compaction starts over if a shard it merged has gone).
+Readers see the old or the new list, never a mixture. Shards that no version lists are left for ``vacuum``, which spares
+folders younger than ``grace`` seconds, as a writer may be about to commit them.
 
-Defined results: any columns and values, nulls included, pass through; repeated rows stay repeated; an
-empty table appends no shard; compacting what is compact commits nothing.
+DataFrame functions only. Merging deals rows by the dense number of their group, one task a group or more: a group is bounded by
+``target_bytes`` plus one shard, so no key grows with the input. Only live shards are read, by their paths.
+
+Defined results: any columns and values, nulls included, pass through; repeated rows stay repeated; texts of any length stay whole (a row
+is in one file); shards of equal size are taken in order of their paths; an empty table appends no shard; compacting what is
+compact commits nothing; the columns ``__merge_group`` and ``__path`` are the store's own, and an error in the data.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from contigua.llm.common import cut, scratch
+from contigua.llm.common import scratch, stored
 
-#: A name that no column of the data should have.
-GROUP = "__merge_group"
+#: Names that no column of the data may have.
+GROUP, PATH = "__merge_group", "__path"
+#: Seconds after which a version's file without content is a dead writer's.
+DEAD = 60
 COLUMNS = "path string, bytes long, n_rows long, tier int"
 
 
@@ -33,100 +44,145 @@ class ShardStore:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
+        for folder in ("versions", "manifest", "data"):
+            self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
+
+    # -- versions -------------------------------------------------------------------------------
 
-    # -- the manifest ---------------------------------------------------------------------------
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}"))]
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/manifest"))]
-        return max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
+        files = self._fs.listStatus(self._path(f"{self.root}/versions"))
+        return max((int(s.getPath().getName()) for s in files if s.getLen() and s.getPath().getName().isdigit()), default=0)
+
+    def _manifest_of(self, version: int) -> str:
+        stream = self._fs.open(self._path(f"{self.root}/versions/{version}"))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], COLUMNS)
-        return self.spark.read.schema(COLUMNS).parquet(f"{self.root}/manifest/v={version}")
-
-    def _commit(self, live: DataFrame, base: int) -> int:
-        hidden = f"{self.root}/_next-{scratch(self.spark, 'm').rpartition('-')[2]}"
-        live.coalesce(1).write.parquet(hidden)
-        to = self._path(f"{self.root}/manifest/v={base + 1}")
-        if self._fs.exists(to) or not self._fs.rename(self._path(hidden), to):
-            self._fs.delete(self._path(hidden), True)
-            raise RuntimeError(f"version {base + 1} was committed by another writer")
+        return self.spark.read.schema(COLUMNS).parquet(f"{self.root}/manifest/{self._manifest_of(version)}")
+
+    def _commit(self, live: DataFrame, base: int) -> int | None:
+        """The version after ``base`` with these shards; none if another writer was first."""
+        name = uuid.uuid4().hex
+        live.select(*[c.split()[0] for c in COLUMNS.split(", ")]).coalesce(1).write.parquet(f"{self.root}/manifest/{name}")
+        try:
+            stream = self._fs.create(self._path(f"{self.root}/versions/{base + 1}"), False)
+        except Py4JJavaError as e:
+            if "Exist" not in e.java_exception.getClass().getName() and "exist" not in str(e.java_exception.getMessage()):
+                raise
+            self._fs.delete(self._path(f"{self.root}/manifest/{name}"), True)
+            self._clear_dead(base + 1)
+            return None
+        try:
+            stream.write(bytearray(name.encode()))
+        finally:
+            stream.close()
         return base + 1
 
+    def _clear_dead(self, version: int) -> None:
+        """Takes away the file of a writer that died between making it and naming its manifest in it."""
+        path = self._path(f"{self.root}/versions/{version}")
+        if self._fs.exists(path):
+            status = self._fs.getFileStatus(path)
+            if not status.getLen():
+                time.sleep(0.1)
+                if status.getModificationTime() < (time.time() - DEAD) * 1000:
+                    self._fs.delete(path, False)
+
     # -- shards ---------------------------------------------------------------------------------
 
     def _new_folder(self) -> str:
-        return f"{self.root}/data/{scratch(self.spark, 'run').rpartition('/')[2]}"
+        return f"{self.root}/data/{uuid.uuid4().hex}"
 
     def _shards(self, folder: str, ratio: int) -> DataFrame:
-        """(path, bytes, n_rows, tier) of the files in a folder; only footers are read."""
+        """(path, bytes, n_rows, tier) of the files in a folder; only footers are read. Written once, as a commit may be tried again."""
         files = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("n_rows"))
-        return files.withColumn("tier", F.floor(F.log(F.greatest("bytes", F.lit(1))) / F.log(F.lit(float(ratio)))).cast("int"))
+        return stored(files.withColumn("tier", F.floor(F.log(F.greatest("bytes", F.lit(1))) / F.log(F.lit(float(ratio)))).cast("int")))
 
     def schema(self) -> StructType:
-        return StructType.fromJson(__import__("json").loads(self.spark.read.text(f"{self.root}/schema").first()[0]))
+        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/schema").first()[0]))
 
     def append(self, rows: DataFrame, ratio: int = 4) -> int:
         """The rows as small shards, one a task, and a new version with them."""
-        base = self.version()
-        if base == 0:
+        clash = {GROUP, PATH} & set(rows.columns)
+        if clash:
+            raise ValueError(f"the data have columns of the store's own: {sorted(clash)}")
+        if self.version() == 0 and not self._fs.exists(self._path(f"{self.root}/schema")):
             self.spark.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/schema")
         folder = self._new_folder()
         rows.write.option("compression", "zstd").parquet(folder)
-        return self._commit(self.manifest(base).unionByName(self._shards(folder, ratio)), base)
-
-    def plan(self, target_bytes: int, fan_in: int) -> DataFrame:
-        """The live shards that a compaction would merge, with their group. A row a shard."""
-        small = self.manifest().filter(F.col("bytes") < target_bytes)
+        found = self._shards(folder, ratio)
+        while True:
+            base = self.version()
+            done = self._commit(self.manifest(base).unionByName(found), base)
+            if done is not None:
+                return done
+
+    def plan(self, target_bytes: int, fan_in: int, version: int | None = None) -> DataFrame:
+        """(path, bytes, __merge_group) of the live shards that a compaction would merge; groups are numbered from 0. A row a shard."""
+        small = self.manifest(version).filter(F.col("bytes") < target_bytes)
         by_size = Window.partitionBy("tier").orderBy("bytes", "path")
         before = F.coalesce(F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         grouped = small.withColumn("place", F.floor(before / target_bytes))
         full = grouped.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier", "place"))).filter(F.col("n") >= fan_in)
-        return full.withColumn("group", F.col("tier").cast("long") * 1_000_000_000_000 + F.col("place")).select("path", F.col("group").cast("long").alias(GROUP))
+        return full.select("path", "bytes", (F.dense_rank().over(Window.orderBy("tier", "place")) - 1).cast("int").alias(GROUP))
 
     def compact(self, target_bytes: int = 128 << 20, fan_in: int = 4, ratio: int = 4) -> int:
-        base = self.version()
-        merge = cut(self.plan(target_bytes, fan_in))
-        groups = merge.select(GROUP).distinct().count()
-        if not groups:
-            return base
-        folder = self._new_folder()
-        moved = self.read(base, with_path=True).join(merge.withColumnRenamed("path", "__path"), "__path").drop("__path")
-        moved.repartition(groups, GROUP).write.partitionBy(GROUP).option("compression", "zstd").parquet(folder)
-        kept = self.manifest(base).join(merge, "path", "left_anti")
-        return self._commit(kept.unionByName(self._shards(folder, ratio)), base)
+        """One round of merging; the version that it made, or the newest where there was nothing to merge."""
+        while True:
+            base = self.version()
+            merge = stored(self.plan(target_bytes, fan_in, base))
+            groups = merge.agg(F.coalesce(F.max(GROUP) + 1, F.lit(0))).first()[0]
+            if not groups:
+                return base
+            folder = self._new_folder()
+            paths = [r.path for r in merge.select("path").collect()]  # names of files, as those of any folder that Spark reads
+            rows = self._rows(paths).join(F.broadcast(merge.select(F.col("path").alias(PATH), GROUP)), PATH).drop(PATH)
+            dealt = rows.repartitionById(groups, F.col(GROUP)) if hasattr(rows, "repartitionById") else rows.repartitionByRange(groups, GROUP)
+            dealt.write.partitionBy(GROUP).option("compression", "zstd").parquet(folder)
+            found = self._shards(folder, ratio)
+            while self.manifest(base).join(merge, "path", "left_semi").count() == len(paths):
+                done = self._commit(self.manifest(base).join(merge, "path", "left_anti").unionByName(found), base)
+                if done is not None:
+                    return done
+                base = self.version()  # another writer was first; if all that was merged is still live, only the list has to be made anew
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        """The rows of these files with the file of each, as ``__path``."""
+        schema = self.schema()
+        if not paths:
+            return self.spark.createDataFrame([], schema.add(PATH, "string"))
+        return self.spark.read.schema(schema).parquet(*paths).select(*schema.names, F.col("_metadata.file_path").alias(PATH))
 
     def read(self, version: int | None = None, with_path: bool = False) -> DataFrame:
         """The rows of a version; with_path: and the shard of each, as ``__path``."""
-        live = self.manifest(version)
-        schema = self.schema()
-        folders = [r.f for r in live.select(F.regexp_extract("path", r"^(.*/data/[^/]+)/", 1).alias("f")).distinct().collect()]
-        if not folders:
-            return self.spark.createDataFrame([], schema.add("__path", "string") if with_path else schema)
-        parts = None
-        for f in folders:  # one folder an append or compaction
-            rows = self.spark.read.schema(schema).parquet(f).select("*", F.col("_metadata.file_path").alias("__path"))
-            rows = rows.select(*schema.names, "__path")
-            parts = rows if parts is None else parts.union(rows)
-        found = parts.join(live.select(F.col("path").alias("__path")), "__path", "left_semi").select(*schema.names, "__path")
-        return found if with_path else found.drop("__path")
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Drops manifests older than the last ``keep`` versions and data folders that none of the rest name."""
+        found = self._rows([r.path for r in self.manifest(version).select("path").collect()])
+        return found if with_path else found.drop(PATH)
+
+    def vacuum(self, keep: int = 1, grace: float = 86_400) -> None:
+        """Drops versions older than the last ``keep``, and manifests and data folders that none of the rest name and that are older
+        than ``grace`` seconds."""
         last = self.version()
-        used: set[str] = set()
+        manifests, data = set(), set()
         for v in range(max(1, last - keep + 1), last + 1):
-            used |= {r.f for r in self.manifest(v).select(F.regexp_extract("path", r"/data/([^/]+)/", 1).alias("f")).distinct().collect()}
-        for s in self._fs.listStatus(self._path(f"{self.root}/manifest")):
-            if int(s.getPath().getName()[2:]) <= last - keep:
-                self._fs.delete(s.getPath(), True)
-        for s in self._fs.listStatus(self._path(f"{self.root}/data")):
-            if s.getPath().getName() not in used:
-                self._fs.delete(s.getPath(), True)
+            manifests.add(self._manifest_of(v))
+            data |= {r.f for r in self.manifest(v).select(F.regexp_extract("path", r"/data/([^/]+)/", 1).alias("f")).distinct().collect()}
+        for name in self._names("versions"):
+            if name.isdigit() and int(name) <= last - keep:
+                self._fs.delete(self._path(f"{self.root}/versions/{name}"), False)
+        for folder, used in (("manifest", manifests), ("data", data)):
+            for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")):
+                if s.getPath().getName() not in used and s.getModificationTime() < (time.time() - grace) * 1000:
+                    self._fs.delete(s.getPath(), True)
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", lots: int = 3, target_bytes: int = 16 << 20, fan_in: int = 4) -> DataFrame:
@@ -134,10 +190,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", lots: int = 3, target_bytes:
     ``shard_bytes``, ``version``."""
     spark = docs.sparkSession
     store = ShardStore(spark, scratch(spark, "shards"))
-    lot = F.pmod(F.xxhash64(id_col), F.lit(lots))
+    lot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(lots))
     for i in range(lots):
         store.append(docs.filter(lot == i))
     version = store.compact(target_bytes, fan_in)
-    live = store.manifest(version).select("path", "bytes", F.substring_index("path", "/data/", -1).alias("shard"))
-    rows = store.read(version, with_path=True).select(id_col, "__path")
-    return rows.join(live, F.col("__path") == F.col("path")).select(id_col, "shard", F.col("bytes").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
+    live = store.manifest(version).select(F.col("path").alias("of"), F.col("bytes").alias("shard_bytes"), F.substring_index("path", "/data/", -1).alias("shard"))
+    rows = store.read(version, with_path=True).select(id_col, PATH)
+    return rows.join(live, F.col(PATH) == F.col("of")).select(id_col, "shard", "shard_bytes", F.lit(version).cast("long").alias("version"))

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from contigua.llm.common import cut, shuffle_width
+from contigua.llm.common import cut, once, shuffle_width, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 OFFSET_STEPS = 1 << 30
@@ -74,12 +74,17 @@ def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: float = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them.
 
-    Rows are found again by (id, hash of the text, source); equal ones are interchangeable: one stands for all their copies.
+    Rows are found again by a hash over all their columns; rows equal in all are interchangeable: one stands for all their copies.
     """
-    marked = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    keys = marked.select(F.struct(F.col(id_col), "__hash").alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    taken = plan_mix(keys, weights, max_repeat, seed, "key").groupBy("key", "source").agg(F.sum("copies").alias("__copies"))
-    taken = taken.filter("__copies > 0").select(F.col(f"key.{id_col}").alias("__id"), F.col("key.__hash").alias("__h"), F.col("source").alias("__source"), "__copies")
-    one = marked.dropDuplicates([id_col, "__hash", source_col])
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & F.col(source_col).eqNullSafe(F.col("__source"))
-    return one.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    hashes = [p for c in docs.columns for p in (F.col(c).isNull(), _hashable(docs, c))]
+    marked = docs.withColumn("__h1", F.xxhash64(F.lit(1), *hashes)).withColumn("__h2", F.xxhash64(F.lit(2), *reversed(hashes)))
+    keys = marked.select(F.struct(F.col(id_col), "__h1", "__h2").alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    taken = plan_mix(keys, weights, max_repeat, seed, "key").groupBy("key.__h1", "key.__h2").agg(F.sum("copies").alias("__copies"))
+    taken = stored(taken.filter("__copies > 0"))
+    one = once(marked, "__h1", "__h2")
+    return one.join(taken, ["__h1", "__h2"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+
+
+def _hashable(docs: DataFrame, c: str) -> Column:
+    """Columns that hold maps are hashed as JSON."""
+    return F.to_json(F.struct(F.col(c))) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c)

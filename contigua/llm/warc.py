@@ -10,6 +10,8 @@ Reading: a file is read in pieces; zlib inflates member by member, headers and C
 the record, block and payload digests are checked while the bytes pass. Memory is one piece, and one
 record if the payload is asked for. A broken frame or digest raises ``WarcError`` with file and offset.
 
+A payload that very many pages have is told to all tasks, and its records are not brought together.
+
 Files are reached through ``pyarrow.fs``, so the folder may be any URI it knows.
 
 Defined results: a null payload is empty; a null id sorts below all others and is written as an empty
@@ -33,12 +35,13 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contigua.llm.common import cut, shuffle_width
+from contigua.llm.common import cut, shuffle_width, stored
 
 #: Compressed bytes inflated at once; deflate makes at most 1032 bytes of one.
 PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 RECORD_ID = "<urn:x-page:{}>"
+HOT_LEAST, HOT_SHARE = 1000, 10_000
 
 
 class WarcError(ValueError):
@@ -177,8 +180,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes the archives; the manifest (path, records, bytes), computed once."""
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = rows.filter(F.length("payload") >= min_revisit).groupBy(F.col("sha1").alias("of_sha1")).agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("equals")).filter("equals > 1")
-    ready = rows.join(first, (F.col("sha1") == F.col("of_sha1")) & (F.length("payload") >= min_revisit), "left")
+    light = rows.filter(F.length("payload") >= min_revisit).select("id", "sha1")
+    first = stored(light.groupBy(F.col("sha1").alias("of_sha1")).agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("equals")).filter("equals > 1"))
+    # Digests of more than one record in HOT_SHARE (so at most HOT_SHARE of them) are told to all tasks; their records stay where they are
+    # in the join of the rest, each under a key of its own.
+    least = max(HOT_LEAST, first.agg(F.coalesce(F.sum("equals"), F.lit(0))).first()[0] // HOT_SHARE)
+    hot = F.broadcast(first.filter(F.col("equals") > least).select(F.col("of_sha1").alias("hot_sha1"), F.col("response").alias("hot_response")))
+    rest = first.filter(F.col("equals") <= least).select("of_sha1", "response")
+    long_enough = F.length("payload") >= min_revisit
+    marked = rows.join(hot, (F.col("sha1") == F.col("hot_sha1")) & long_enough, "left")
+    key = F.when(F.col("hot_sha1").isNull() & long_enough, F.col("sha1")).otherwise(F.concat(F.lit("own "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), F.rand(7).cast("string")))
+    ready = marked.withColumn("key", key).join(rest, F.col("key") == F.col("of_sha1"), "left").withColumn("response", F.coalesce("hot_response", "response"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)

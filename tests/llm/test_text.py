@@ -197,14 +197,18 @@ def test_shards_lose_no_pair(spark):
 
 def brute_items(text, items):
     h, n = decontaminate.shingle_hashes(text, 5)
+    own = re.sub(r"[^a-z0-9]", " ", (text or "").lower()).split()
     out = set()
     for i, t in items:
         g, m = decontaminate.shingle_hashes(t, 5)
-        if not m:
+        if 0 < m < 5:  # word for word
+            if any(own[a : a + m] == t.split() for a in range(len(own))):
+                out.add(i)
             continue
-        w = min(len(g), len(h))
-        for at in range(len(h) - w + 1):
-            if w and decontaminate.similarity(Counter(h[at : at + w].tolist()), Counter(g.tolist())) >= 0.8:
+        w, theirs = min(len(g), len(h)), Counter(g.tolist())
+        for at in range(len(h) - w + 1 if m else 0):
+            ours = Counter(h[at : at + w].tolist())
+            if w and (ours & theirs).total() >= 0.8 * (ours | theirs).total() - 1e-12:
                 out.add(i)
     return out
 
@@ -236,6 +240,19 @@ def test_contaminations(spark):
     assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - set(expected)
 
 
+def test_short_items_long_texts_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    rng = random.Random(59)
+    item, other = words(rng, 40, 5000), words(rng, 25, 5000)
+    long = " ".join([words(rng, 30, 5000), *[item] * 30, words(rng, 500, 5000), other, words(rng, 70, 5000), item])
+    df = docs(spark, [long, "so Three, BLIND mice ran", "three blind", "mice"]).withColumn("item_id", F.lit("x")).withColumn("similarity", F.lit(0))
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "three blind mice"), (4, "mice"), (None, "mice"), (5, "")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.word_start, r.n_words) for r in decontaminate.contaminations(df, bench).collect())
+    expected = [(0, 1, 30 + 40 * i, 40) for i in range(30)] + [(0, 2, 1730, 25), (0, 1, 1825, 40), (1, 3, 1, 3), (1, 4, 3, 1), (1, None, 3, 1), (3, 4, 0, 1), (3, None, 0, 1)]
+    assert got == Counter(expected)
+    assert decontaminate.drop_contaminated(df, bench).columns == df.columns
+
+
 def test_block_index_finds_all():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -295,7 +312,9 @@ def test_periodic_passages(spark, run_rows, monkeypatch):
     assert got == brute_passages(texts)
 
 
-def test_passages_with_null_and_repeated_ids(spark):
+@pytest.mark.parametrize("many", [1, 1000])
+def test_passages_with_null_and_repeated_ids(spark, many, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     rng = random.Random(47)
     shared, copy = words(rng, 60, 5000), words(rng, 70, 5000)
     texts = [f"{words(rng, 9, 5000)} {shared}", f"{shared} {words(rng, 5, 5000)}", copy, copy, copy, shared[:-1]]
@@ -354,8 +373,9 @@ def brute_kneser_ney(texts, order=3):
     return perplexity
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("sizes", [{}, {"shard_words": 300, "list_words": 10**9}, {"shard_words": 300, "list_words": 40}])
-def test_perplexity_as_brute_force(spark, monkeypatch, sizes):
+def test_perplexity_as_brute_force(spark, monkeypatch, sizes, order):
     """Also with many shards, copies of them, hot words and a hot pair, blocks and stretches that cut texts."""
     rng = random.Random(13)
     train = [words(rng, 60, 30) + " of the " * rng.randrange(9) + words(rng, 9, 30) for _ in range(40)]
@@ -368,9 +388,9 @@ def test_perplexity_as_brute_force(spark, monkeypatch, sizes):
     if len(sizes) and sizes["list_words"] == 40:
         plan = kneser_ney.planned(rows, known, **sizes)
         assert plan.n["=en"] > 1 and plan.hot["=en"] and plan.pairs["=en"]
-    scored = kneser_ney.perplexities(rows, known, **sizes).join(rows.select("k1", "k2", "doc"), ["k1", "k2"])
+    scored = kneser_ney.perplexities(rows, known, order, **sizes).join(rows.select("k1", "k2", "doc"), ["k1", "k2"])
     got = {r.doc: r for r in scored.collect()}
-    ppl = brute_kneser_ney(train)
+    ppl = brute_kneser_ney(train, order)
     for i, t in enumerate(train + other):
         assert got[i].perplexity == pytest.approx(ppl(t), rel=1e-4) and got[i].n_words == len((t or "").split()) + 1
 
@@ -478,6 +498,8 @@ def test_mix(spark):
     again = mixing.plan_mix(mixing.sizes_of(df.repartition(7))).collect()
     key = lambda p: sorted(((r.doc_id, r.size, r.copies) for r in p))
     assert key(plan) == key(again)
+    marked = df.select(*df.columns, F.monotonically_increasing_id().alias("n"), F.create_map(F.lit("a"), F.col("size")).alias("m"))
+    assert {r.n for r in mixing.mix(marked.filter("doc_id = 3003").withColumn("source", F.lit("s"))).collect()} == {r.n for r in marked.filter("doc_id = 3003").collect()}  # rows that differ elsewhere
     mixed = mixing.mix(df)
     by_id = Counter()
     for r in plan:

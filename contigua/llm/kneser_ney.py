@@ -1,8 +1,9 @@
-"""Quality classifier: interpolated modified Kneser-Ney trigrams of words, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney n-grams of words, trained on trusted text.
 
 The units are white-space-separated words, as they are spelt; words fall in 2**CLASS_BITS classes by hash, so the vocabulary
 is open, every script has words, and a trigram is one integer. A text is framed by class 0. One model a language. What the
-model gathers (trigrams, their contexts) covers all trusted rows and grows with them.
+model gathers (n-grams, their contexts) covers all trusted rows and grows with them. ``order`` is 2 or 3; what is said of
+trigrams below holds of bigrams too, which are kept as trigrams whose first word is class 0. Trigrams double what is shuffled.
 
 Training: tasks count the trigrams of blocks of trusted texts; Spark deals the counts by shard, and each shard is merged in a
 stream. A shard is all trigrams of some middle words: a trigram, its bigram and both contexts have the middle word in common,
@@ -50,7 +51,7 @@ CLASSES = 1 << CLASS_BITS
 #: Trusted ids are sent to every task up to this size (8 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 32 << 20
 #: Words of the texts that are turned into lists at once; at most 65,535 of them may differ, and be of so many texts.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 #: Bytes of a text that are split into words at once.
 STRETCH = 4 << 20
 #: One row in so many, by hash, is looked at for hot words.
@@ -100,8 +101,15 @@ class Block:
         self.w1, self.w2, self.w3 = (np.concatenate([r[i : len(r) - 2 + i] for r in runs]) for i in range(3))
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Of the columns (lang, text, keys ...)."""
+def blocks(batches: Iterator[pa.RecordBatch], order: int = 3) -> Iterator[Block]:
+    """Of the columns (lang, text, keys ...); for ``order`` 2 without first words."""
+    for block in _blocks(batches):
+        if order == 2:
+            block.w1 = np.zeros_like(block.w1)
+        yield block
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     held: dict[str, tuple[list, list, int]] = {}
     total = 0
     for batch in batches:
@@ -176,23 +184,23 @@ def _packed(code: np.ndarray, doc: np.ndarray, n: np.ndarray, used: np.ndarray)
     seen = np.unique(np.concatenate(parts))
     number = np.zeros(len(used), np.uint64)
     number[seen] = np.arange(len(seen), dtype=np.uint64)
-    u = np.uint64(len(seen))
-    code = (number[parts[0]] * u + number[parts[1]]) * u + number[parts[2]]
+    u, last = np.uint64(len(seen)), np.uint64(len(seen) if used[parts[2]].any() else 1)  # without first words only pairs are numbered
+    code = (number[parts[0]] * u + number[parts[1]]) * last + (number[parts[2]] if last > 1 else np.uint64(0))
     step = np.diff(code, prepend=np.uint64(0))  # numbers keep their order, so steps are forward
-    raw = len(seen).to_bytes(8, "little") + len(code).to_bytes(8, "little") + _planes(used[seen].astype(np.uint32)) + _planes(step) + _planes(doc) + _planes(n.astype(np.uint32))
+    raw = len(seen).to_bytes(8, "little") + len(code).to_bytes(8, "little") + int(last).to_bytes(8, "little") + _planes(np.diff(used[seen].astype(np.int32), prepend=np.int32(0))) + _planes(step) + _planes(doc) + _planes(n.astype(np.uint32))
     return zstandard.ZstdCompressor(1).compress(raw)
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(middle, last, first class, text, count) of a list."""
     raw = zstandard.ZstdDecompressor().decompress(raw)
-    v, m = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
-    used, at = _unplaned(raw, 16, v, np.uint32)
+    v, m, f = (int.from_bytes(raw[i : i + 8], "little") for i in (0, 8, 16))
+    used, at = _unplaned(raw, 24, v, np.int32)
     step, at = _unplaned(raw, at, m, np.uint64)
     doc, at = _unplaned(raw, at, m, np.uint16)
     n, _ = _unplaned(raw, at, m, np.uint32)
-    code, used, v = np.cumsum(step), used.astype(np.uint64), np.uint64(v)
-    return used[code // (v * v)], used[code // v % v], used[code % v], doc, n
+    code, used, v, f = np.cumsum(step), np.cumsum(used).astype(np.uint64), np.uint64(v), np.uint64(f)
+    return used[code // (v * f)], used[code // f % v], used[code % f] if f > 1 else np.zeros(m, np.uint64), doc, n
 
 
 # -- where things are -------------------------------------------------------------------------------
@@ -308,12 +316,12 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
-def count_shards(trusted: DataFrame, plan: Plan) -> DataFrame:
+def count_shards(trusted: DataFrame, plan: Plan, order: int) -> DataFrame:
     """(lang, shard, grams, counts): trigrams as (middle, last, first) in order and how often trusted texts have them."""
     sent = trusted.sparkSession.sparkContext.broadcast(plan)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, order):
             b.doc = b.doc * np.uint64(0)  # whose they are does not matter
             out = [(b.lang, shard, piece) for shard, _, piece in lists(b, sent.value, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.binary()))], names=["lang", "shard", "piece"])
@@ -479,7 +487,8 @@ def hot_contexts(shards: DataFrame, plan: Plan) -> DataFrame:
 class Model:
     """A shard's tables."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, words: np.ndarray, before: np.ndarray, d: list[float]):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, words: np.ndarray, before: np.ndarray, d: list[float], order: int):
+        self.order = order
         self.d = np.concatenate([[[0.0]] * 3, np.array(d).reshape(3, 3)], 1)  # by order and by count up to 3
         self.grams, self.counts = grams, counts
         self.contexts, self.context_figures = contexts_of(grams, counts)
@@ -517,29 +526,32 @@ class Model:
 
     def log_probability(self, middle: np.ndarray, last: np.ndarray, first: np.ndarray) -> np.ndarray:
         p = self._counted(last, self.words, self.before, 1) / self.total + self.left
-        p = self._interpolated(self._counted(middle << B1 | last, self.bigrams, self.bigram_counts, 2), middle, self.middles, self.middle_figures, 2, p)
+        if self.order == 3:
+            p = self._interpolated(self._counted(middle << B1 | last, self.bigrams, self.bigram_counts, 2), middle, self.middles, self.middle_figures, 2, p)
         return np.log(self._interpolated(self._counted(middle << B2 | last << B1 | first, self.grams, self.counts, 3), middle << B1 | first, self.contexts, self.context_figures, 3, p))
 
 
 # -- scores -----------------------------------------------------------------------------------------
 
 
-def perplexities(rows: DataFrame, trusted: DataFrame, shard_words: int = 2 << 20, list_words: int = 8 << 20) -> DataFrame:
+def perplexities(rows: DataFrame, trusted: DataFrame, order: int = 2, shard_words: int = 2 << 20, list_words: int = 8 << 20) -> DataFrame:
     """(k1, k2, n_words, perplexity) of the ``prepared`` rows whose language has a model; ``trusted`` are those it learns from.
 
     ``n_words`` counts the end of the text as one.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = rows.sparkSession
     plan = planned(rows, trusted, shard_words, list_words)
     sent = spark.sparkContext.broadcast(plan)
-    shards = count_shards(trusted, plan)
+    shards = count_shards(trusted, plan, order)
     words, discounts = small_tables(shards)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "shard", "copy", "kind", "block", "a", "b", "c", "d", "word"]
         types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         task = TaskContext.get().partitionId().to_bytes(8, "little")
-        for number, b in enumerate(blocks(batches)):
+        for number, b in enumerate(blocks(batches, order)):
             if b.lang not in sent.value.n:
                 continue
             keys = np.array(b.keys, np.int64)
@@ -564,7 +576,7 @@ def perplexities(rows: DataFrame, trusted: DataFrame, shard_words: int = 2 << 20
                     grams, counts = _opened(a.as_py(), b.as_py())
                     raw = d.decompress(c.as_py())
                     m = len(raw) // 8
-                    model = Model(grams, counts, np.cumsum(_unplaned(raw, 0, m, np.int64)[0]).astype(np.uint64), _unplaned(d.decompress(e.as_py()), 0, m, np.int64)[0], discounts.as_py())
+                    model = Model(grams, counts, np.cumsum(_unplaned(raw, 0, m, np.int64)[0]).astype(np.uint64), _unplaned(d.decompress(e.as_py()), 0, m, np.int64)[0], discounts.as_py(), order)
                 elif kind == 1:
                     raw = d.decompress(a.as_py())
                     figures = _unplaned(raw, 0, len(raw) // 8, np.int64)[0].reshape(-1, 5)

@@ -44,12 +44,22 @@ def stored(df: DataFrame) -> DataFrame:
     return Rounds(df.sparkSession).write(df)
 
 
+#: Rows times bytes a row up to which a stored table is sent to all tasks.
+MOST_BROADCAST = 32 << 20
+
+
+def sized(table: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A stored table, marked for broadcast if its rows of ``row_bytes`` are within MOST_BROADCAST; else joins shuffle."""
+    return F.broadcast(table) if table.count() * row_bytes <= MOST_BROADCAST else table
+
+
 def once(rows: DataFrame, *keys: str) -> DataFrame:
     """One of the rows that are equal in ``keys`` (columns without nulls). Only rows that do repeat are dealt anew with all
     their columns; for the others the keys alone are."""
     again = stored(rows.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
     if again.isEmpty():
         return rows
+    again = sized(again)
     return rows.join(again, list(keys), "left_anti").unionByName(rows.join(again, list(keys), "left_semi").dropDuplicates(list(keys)))
 
 

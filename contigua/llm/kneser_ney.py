@@ -44,16 +44,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contigua.llm.common import give_back, once, row_key, shuffle_width, stored
+from contigua.llm.common import give_back, once, row_key, shuffle_width, sized, stored
 
 CLASS_BITS = 21
 CLASSES = 1 << CLASS_BITS
-#: Trusted ids are sent to every task up to this size (8 bytes each); more are joined by shuffle.
-MOST_BROADCAST = 32 << 20
 #: Words of the texts that are turned into lists at once; at most 65,535 of them may differ, and be of so many texts.
 BLOCK_WORDS = 1 << 18
 #: Bytes of a text that are split into words at once.
 STRETCH = 4 << 20
+#: Pieces of a language's table of words.
+PARTS = 8
 #: One row in so many, by hash, is looked at for hot words.
 SAMPLE = 16
 #: Below it a context could leave nothing for unseen words, and a text have probability 0.
@@ -396,7 +396,7 @@ def middles_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def small_tables(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, words, n): per language the classes and the numbers of words before them, packed, at most 2**CLASS_BITS rows; (lang, d): the
+    """(lang, words, n): per language, in PARTS pieces, the classes and the numbers of words before them, packed, at most 2**CLASS_BITS; (lang, d): the
     discounts d11 .. d33 of once, twice, oftener for orders 1 to 3."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,20 +423,23 @@ def small_tables(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     discounts = sums.filter("key < 0").unionByName(of_words).groupBy("lang").agg(F.array(*(discount(k, i) for k in (1, 2, 3) for i in (1, 2, 3))).alias("d"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
+            key, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lang in batch.column(0).unique().to_pylist():
-                own = batch.filter(pc.equal(batch.column(0), lang))
-                held.setdefault(lang, []).append((own.column(1).to_numpy(), own.column(2).to_numpy()))
+                of_lang = pc.equal(batch.column(0), lang).to_numpy(zero_copy_only=False)
+                for part in np.unique(key[of_lang] % PARTS).tolist():
+                    own = of_lang & (key % PARTS == part)
+                    held.setdefault((lang, part), []).append((key[own], n[own]))
         z = zstandard.ZstdCompressor(3)
-        for lang, parts in held.items():
+        for (lang, _), parts in held.items():
             key, n = (np.concatenate(c) for c in zip(*parts))
             order = np.argsort(key)
             raw = _planes(np.diff(key[order], prepend=0)), _planes(n[order])
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([z.compress(raw[0])], pa.binary()), pa.array([z.compress(raw[1])], pa.binary())], names=["lang", "words", "n"])
 
-    packed = words.repartition(shuffle_width(shards.sparkSession), "lang").mapInArrow(pack, "lang string, words binary, n binary")
-    return packed, discounts
+    packed = words.repartition(shuffle_width(shards.sparkSession), "lang", F.pmod("key", F.lit(PARTS))).mapInArrow(pack, "lang string, words binary, n binary")
+    return stored(packed), stored(discounts)
 
 
 def hot_contexts(shards: DataFrame, plan: Plan) -> DataFrame:
@@ -548,36 +551,39 @@ def perplexities(rows: DataFrame, trusted: DataFrame, order: int = 2, shard_word
     words, discounts = small_tables(shards)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "shard", "copy", "kind", "block", "a", "b", "c", "d", "word"]
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        names = ["lang", "shard", "copy", "kind", "block", "a", "b", "word"]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         task = TaskContext.get().partitionId().to_bytes(8, "little")
         for number, b in enumerate(blocks(batches, order)):
             if b.lang not in sent.value.n:
                 continue
             keys = np.array(b.keys, np.int64)
             block = xxhash.xxh64_intdigest(keys.tobytes() + task + number.to_bytes(8, "little")) >> 1
-            out = [(b.lang, shard, copy, 2, block, piece, None, None, None, None) for shard, copy, piece in lists(b, sent.value, block)]
+            out = [(b.lang, shard, copy, 3, block, piece, None, None) for shard, copy, piece in lists(b, sent.value, block)]
             length = np.bincount(b.doc.astype(np.int64), minlength=len(keys)).astype(np.int64)
-            out.append((b.lang, -1, block % 65_521, 2, block, keys.tobytes(), length.tobytes(), None, None, None))
+            out.append((b.lang, -1, block % 65_521, 3, block, keys.tobytes(), length.tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
         give_back()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, d = None, zstandard.ZstdDecompressor()
+        model, words, d = None, [], zstandard.ZstdDecompressor()
         out: list[tuple] = []
 
         def rows_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "keys", "length", "share"])
 
         for batch in batches:
-            for shard, kind, block, a, b, c, e, word, discounts in zip(*(batch.column(i) for i in (1, 3, 4, 5, 6, 7, 8, 9, 10))):
+            for shard, kind, block, a, b, word, discounts in zip(*(batch.column(i) for i in (1, 3, 4, 5, 6, 7, 8))):
                 kind = kind.as_py()
                 if kind == 0:
-                    grams, counts = _opened(a.as_py(), b.as_py())
-                    raw = d.decompress(c.as_py())
+                    raw = d.decompress(a.as_py())
                     m = len(raw) // 8
-                    model = Model(grams, counts, np.cumsum(_unplaned(raw, 0, m, np.int64)[0]).astype(np.uint64), _unplaned(d.decompress(e.as_py()), 0, m, np.int64)[0], discounts.as_py(), order)
+                    words.append((np.cumsum(_unplaned(raw, 0, m, np.int64)[0]).astype(np.uint64), _unplaned(d.decompress(b.as_py()), 0, m, np.int64)[0]))
                 elif kind == 1:
+                    known, before = (np.concatenate(x) for x in zip(*words))
+                    by = np.argsort(known)
+                    model, words = Model(*_opened(a.as_py(), b.as_py()), known[by], before[by], discounts.as_py(), order), []
+                elif kind == 2:
                     raw = d.decompress(a.as_py())
                     figures = _unplaned(raw, 0, len(raw) // 8, np.int64)[0].reshape(-1, 5)
                     model.use_contexts(word.as_py(), figures[:, 0], figures[:, 1:])
@@ -618,18 +624,20 @@ def perplexities(rows: DataFrame, trusted: DataFrame, order: int = 2, shard_word
             yield scored()
         give_back()
 
-    schema = "lang string, shard int, copy int, kind int, block long, a binary, b binary, c binary, d binary, word long"
+    schema = "lang string, shard int, copy int, kind int, block long, a binary, b binary, word long"
     posted = rows.select("lang", "text", "k1", "k2").mapInArrow(post, schema).withColumn("discounts", F.lit(None).cast("array<double>"))
     places = spark.createDataFrame(plan.all_places(), "lang string, shard int, copies int").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    empty = zstandard.ZstdCompressor(1).compress(b"")
-    none = F.lit(bytearray(empty))
-    model = places.join(shards, ["lang", "shard"], "left").join(words, "lang").join(discounts, "lang")
-    model = model.select("lang", "shard", "copy", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.coalesce("grams", none).alias("a"), F.coalesce("counts", none).alias("b"), F.col("words").alias("c"), F.col("n").alias("d"), F.lit(None).cast("long").alias("word"), F.col("d").alias("discounts"))
-    streams = posted.unionByName(model)
+    none = F.lit(bytearray(zstandard.ZstdCompressor(1).compress(b"")))
+
+    def sent_to(table: DataFrame, kind: int, a: Column, b: Column, word: Column, d: Column) -> DataFrame:
+        return table.select("lang", "shard", "copy", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("block"), a.alias("a"), b.alias("b"), word.alias("word"), d.alias("discounts"))
+
+    no_word, no_d, no_bytes = F.lit(None).cast("long"), F.lit(None).cast("array<double>"), F.lit(None).cast("binary")
+    streams = posted.unionByName(sent_to(places.join(words, "lang"), 0, F.col("words"), F.col("n"), no_word, no_d))
+    streams = streams.unionByName(sent_to(places.join(shards, ["lang", "shard"], "left").join(discounts, "lang"), 1, F.coalesce("grams", none), F.coalesce("counts", none), no_word, F.col("d")))
     if plan.hot:
         own = hot_contexts(shards, plan).join(places.select("lang", "shard", "copy"), ["lang", "shard"])
-        blank = F.lit(None).cast("binary")
-        streams = streams.unionByName(own.select("lang", "shard", "copy", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("contexts").alias("a"), blank.alias("b"), blank.alias("c"), blank.alias("d"), "word", F.lit(None).cast("array<double>").alias("discounts")))
+        streams = streams.unionByName(sent_to(own, 2, F.col("contexts"), no_bytes, F.col("word"), no_d))
     width = shuffle_width(spark)
     met = streams.repartition(width, "lang", "shard", "copy").sortWithinPartitions("lang", "shard", "copy", "kind").mapInArrow(solve, "block long, keys binary, length binary, share binary")
     summed = met.repartition(width, "block").sortWithinPartitions("block").mapInArrow(add, "k1 long, k2 long, log_p double, n_words long")
@@ -641,6 +649,13 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(id_col)
 
 
+def weighted_quantile(x: np.ndarray, n: np.ndarray, q: float) -> float:
+    """The least of the sorted values at which their counts reach the share ``q``."""
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(upto, q * upto[-1] - 1e-9)])
+
+
 def fences(held: DataFrame, quantile: float, reach: float) -> DataFrame:
     """(lang, band, most) from the held-out rows (lang, band, l: log-perplexity), by one rule at every size.
 
@@ -648,45 +663,49 @@ def fences(held: DataFrame, quantile: float, reach: float) -> DataFrame:
     are divided by their median size in the band, then in the language, each shrunk towards that of all rows by
     PRIOR rows, so that a band or language of one row, or a band of none, has a width too. ``quantile`` of
     what results comes from all held-out rows. A text is kept up to ``reach`` times as far from the middle.
-    """
 
-    def middle(c: Column) -> Column:
-        return F.percentile_approx(c, 0.5, 100_000)
-
-    def shrunk(c: Column, to: Column) -> Column:
-        n = F.count(F.lit(1))
-        return (middle(c) * n + to * PRIOR) / (n + PRIOR)
-
-    l, o, m = F.col("l"), F.col("o"), F.col("m")
-    centres = held.groupBy("lang").agg(middle(l).alias("c"))
-    offsets = held.join(F.broadcast(centres), "lang").groupBy("band").agg(shrunk(l - F.col("c"), F.lit(0.0)).alias("o"))
-    level = held.join(F.broadcast(offsets), "band")
-    middles = level.groupBy("lang").agg(middle(l - o).alias("m"))
-    rest = level.join(F.broadcast(middles), "lang").withColumn("e", l - o - m)
-    whole = rest.agg(F.greatest(middle(F.abs("e")), F.lit(1e-6)).alias("all"))
-    units = rest.crossJoin(F.broadcast(whole)).withColumn("e", F.col("e") / F.col("all"))  # one row
-    sizes = units.groupBy("band").agg(shrunk(F.abs("e"), F.lit(1.0)).alias("s"))
-    scaled = units.join(F.broadcast(sizes), "band").withColumn("e", F.col("e") / F.col("s"))
-    spreads = scaled.groupBy("lang").agg(shrunk(F.abs("e"), F.lit(1.0)).alias("r"))
-    tails = scaled.join(F.broadcast(spreads), "lang").agg(F.percentile_approx(F.col("e") / F.col("r"), quantile, 100_000).alias("t"))
-    bands = held.sparkSession.range(len(BANDS) + 1).select(F.col("id").cast("int").alias("band"))
-    bands = bands.join(offsets, "band", "left").join(sizes, "band", "left").select("band", F.coalesce("o", F.lit(0.0)).alias("o"), F.coalesce("s", F.lit(1.0)).alias("s"))
-    every = middles.join(spreads, "lang").crossJoin(bands).crossJoin(tails).crossJoin(whole)  # a row a language and band
-    most = o + m + F.greatest(F.col("t"), F.lit(0.0)) * F.col("s") * F.col("r") * F.col("all") * reach
-    return every.select("lang", "band", F.exp(most).alias("most"))
+    All rows are counted, by hundredths: a row a language, band and hundredth reaches the driver, some hundreds a language.
+    """
+    spark = held.sparkSession
+    out = "lang string, band int, most double"
+    rows = held.groupBy("lang", "band", F.round(F.col("l") * 100).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    if not len(rows):
+        return spark.createDataFrame([], out)
+    langs, lang = np.unique(rows["lang"].to_numpy(str), return_inverse=True)
+    band, x, n = rows["band"].to_numpy(), rows["x"].to_numpy() / 100, rows["n"].to_numpy()
+    bands = range(len(BANDS) + 1)
+
+    def medians(values: np.ndarray, by: np.ndarray, groups: range, prior: float | None = None) -> np.ndarray:
+        """Of each group; with ``prior``, shrunk towards it."""
+        got = []
+        for g in groups:
+            own = by == g
+            m, size = (weighted_quantile(values[own], n[own], 0.5), int(n[own].sum())) if own.any() else (prior or 0.0, 0)
+            got.append(m if prior is None else (m * size + prior * PRIOR) / (size + PRIOR))
+        return np.array(got)
+
+    each = range(len(langs))
+    offset = medians(x - medians(x, lang, each)[lang], band, bands, 0.0)
+    middle = medians(x - offset[band], lang, each)
+    rest = x - offset[band] - middle[lang]
+    unit = max(weighted_quantile(np.abs(rest), n, 0.5), 0.01)
+    by_band = np.maximum(medians(np.abs(rest) / unit, band, bands, 1.0), 1e-6)
+    by_lang = np.maximum(medians(np.abs(rest) / unit / by_band[band], lang, each, 1.0), 1e-6)
+    tail = max(0.0, weighted_quantile(rest / unit / by_band[band] / by_lang[lang], n, quantile))
+    most = [(str(langs[i]), j, float(np.exp(offset[j] + middle[i] + tail * by_band[j] * by_lang[i] * unit * reach))) for i in each for j in bands]
+    return spark.createDataFrame(most, out)
 
 
 def classified(rows: DataFrame, trusted: DataFrame, quantile: float, reach: float, id_col: str, **sizes: int) -> DataFrame:
     """(k1, k2, doc, lang, n_words, perplexity, most, keep) of ``prepared`` rows."""
     ids = stored(trusted.select(F.col(id_col).cast("long").alias("doc")).filter("doc IS NOT NULL").distinct().withColumn("held_out", F.pmod(F.xxhash64("doc"), F.lit(HELD_OUT)) == 0))
-    learnt = ids.filter(~F.col("held_out")).select("doc")
-    learnt = F.broadcast(learnt) if ids.count() * 8 <= MOST_BROADCAST else learnt
+    learnt = sized(ids.filter(~F.col("held_out")).select("doc"), 8)
     scored = perplexities(rows, rows.join(learnt, "doc", "left_semi"), **sizes)
     band = reduce(lambda a, b: a + b, [(F.col("n_words") >= n).cast("int") for n in BANDS])
     named = rows.select("k1", "k2", "doc", "lang").join(scored, ["k1", "k2"], "left").withColumn("band", F.coalesce(band, F.lit(0)))
-    named = stored(named.join(ids, "doc", "left"))
-    held = stored(named.filter(F.col("held_out") & F.col("perplexity").isNotNull()).select("lang", "band", F.log("perplexity").alias("l")))
-    bounds = stored(fences(held, quantile, reach))
+    named = stored(named.join(sized(ids), "doc", "left"))
+    held = named.filter(F.col("held_out") & F.col("perplexity").isNotNull()).select("lang", "band", F.log("perplexity").alias("l"))
+    bounds = fences(held, quantile, reach)
     keep = F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True))
     lang = F.when(F.col("lang") != "", F.expr("substring(lang, 2)"))
     return named.join(F.broadcast(bounds), ["lang", "band"], "left").select("k1", "k2", "doc", lang.alias("lang"), "n_words", "perplexity", "most", keep.alias("keep"))
@@ -703,7 +722,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, reach:
 def keep_good(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, reach: float = 2.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **sizes: int) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns, repeated ones as often as they are there."""
     found = classified(prepared(docs, id_col, text_col, lang_col), trusted, quantile, reach, id_col, **sizes)
-    bad = stored(found.filter(~F.col("keep")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
+    bad = sized(stored(found.filter(~F.col("keep")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))))
     k1, k2 = row_key(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     own = docs.select("*", k1.alias("__own1"), k2.alias("__own2"))
     return own.join(bad, (F.col("__own1") == F.col("__k1")) & (F.col("__own2") == F.col("__k2")), "left_anti").select(*docs.columns)

@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from contigua.llm.common import stored
+from contigua.llm.common import sized, stored
 from contigua.llm.simhash import distance
 
 FILTER_BITS = 20
@@ -232,5 +232,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     options["id_col"] = "__mark"
     bad = contaminations(docs.select(mark.alias("__mark"), text_col), benchmark, text_col=text_col, **options)
-    bad = stored(bad.select(F.col("doc_id").alias("__bad")).distinct())
+    bad = sized(stored(bad.select(F.col("doc_id").alias("__bad")).distinct()), 8)
     return docs.withColumn("__mark", mark).join(bad, F.col("__mark") == F.col("__bad"), "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ excludes only part of the other side (measured: a fingerprint visits about 1.7 o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contigua.llm.common import cut, give_back, once, row_key, shuffle_width, stored
+from contigua.llm.common import cut, give_back, once, row_key, shuffle_width, sized, stored
 from contigua.operators.components import component_labels
 
 SEED = 42
@@ -333,81 +333,149 @@ def bucket_pairs(node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarra
     return np.unique(np.sort(pairs, axis=1), axis=0)
 
 
-def candidates(nodes: DataFrame, similarity: float, radius: int, both: int, every: bool, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a, b) of ``node`` that share a bucket, whose ``label`` differ, whose sizes allow the similarity, and whose
-    fingerprints lie within ``radius`` (the first) and ``both`` (the two together).
+def in_buckets(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], list[tuple]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What ``solve`` finds in each bucket of two or more rows; rows are in order of their first three columns. One bucket is held."""
+    held: pa.Table | None = None
 
-    Not ``every``: of each bucket only a spanning forest of them and each node's nearest, so that a large group
-    of near copies gives pairs in proportion to its nodes.
-    """
-    names = ["node", "fp", "fp2", "n", "label"]
+    def found(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        out = [row for a, e in zip(edges, edges[1:]) if e - a > 1 for row in solve(table.slice(a, e - a))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * len(names)], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        c = [table.column(i).to_numpy() for i in range(3)]
+        edges = [0, *(np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1).tolist()]
+        if len(edges) > 1:
+            yield found(table, edges)
+        held = table.slice(edges[-1])
+    if held is not None:
+        yield found(held, [0, held.num_rows])
+    give_back()
+
+
+def dealt(nodes: DataFrame, bucket: int, *more: str) -> DataFrame:
+    """(key, lo, hi, side, node, fp, fp2, n, label, *more), a row a bucket of each node, ordered; large buckets as pairs of chunks."""
+    names = ["node", "fp", "fp2", "n", "label", *more]
     rows = nodes.select(*names, F.explode("keys").alias("key"))
-    hot = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > bucket).select("key", F.ceil(F.col("m") / bucket).cast("int").alias("parts")))
+    hot = stored(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > bucket).select("key", F.ceil(F.col("m") / bucket).cast("int").alias("parts")))
     zero = F.lit(0).cast("int")
     if hot.isEmpty():
-        dealt = rows.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), *names)
+        out = rows.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), *names)
     else:
-        parted = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        parted = rows.join(sized(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         each = parted.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
-        dealt = each.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", *names)
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the columns of the bucket that the last batch ended in
-
-        def pairs_of(c: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-            """Of the buckets that begin at ``edges``."""
-            found = [np.zeros((0, 2), np.int64)]
-            for a, e in zip(edges.tolist(), edges[1:].tolist()):
-                if e - a > 1 and (not every or (c[8][a:e] != c[8][a]).any()):
-                    node, fp, fp2, n, label, side = c[4][a:e], c[5][a:e].view(np.uint64), c[6][a:e].view(np.uint64), c[7][a:e], c[8][a:e], c[3][a:e]
-                    if c[1][a] == c[2][a]:
-                        side = np.zeros(e - a, np.int32)
-                    elif (side == side[0]).all():
-                        continue
-                    found.append(bucket_pairs(node, fp, fp2, n, label, side, similarity, radius, both, every))
-            pairs = np.concatenate(found)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        out = each.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", *names)
+    return _by_bucket(out)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            if held is not None:
-                c = [np.concatenate([x, y]) for x, y in zip(held, c)]
-            new = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])
-            edges = np.concatenate([[0], np.flatnonzero(new) + 1])
-            if len(edges) > 1:
-                yield pairs_of(c, edges)
-            held = [x[edges[-1] :].copy() for x in c]
-        if held is not None:
-            yield pairs_of(held, np.array([0, len(held[0])]))
-        give_back()
 
-    ordered = dealt.repartition(shuffle_width(nodes.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
-    return ordered.mapInArrow(solve, "a long, b long").distinct()
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_width(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles, taken from the texts again, have a Jaccard similarity of at least ``similarity``."""
+def _pairs(bucket: pa.Table, similarity: float, radius: int, both: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, pairs of places); with ``keys``, without the pairs of which an earlier bucket of both takes care."""
+    c = {name: bucket.column(name).to_numpy() for name in ("lo", "hi", "side", "node", "fp", "fp2", "n", "label")}
+    across = c["lo"][0] != c["hi"][0]
+    side = c["side"] if across else np.zeros(len(c["node"]), np.int32)
+    nobody = np.zeros((0, 2), np.int64)
+    if (across and (side == side[0]).all()) or (every and (c["label"] == c["label"][0]).all()):
+        return c["node"], nobody
+    pairs = bucket_pairs(np.arange(len(side)), c["fp"].view(np.uint64), c["fp2"].view(np.uint64), c["n"], c["label"], side, similarity, radius, both, every)
+    if every and len(pairs):
+        keys = bucket.column("keys").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+        same = keys[pairs[:, 0]] == keys[pairs[:, 1]]
+        first = keys[pairs[:, 0], same.argmax(1)]
+        pairs = pairs[first == bucket.column("key")[0].as_py()]
+    return c["node"], pairs
+
+
+def candidates(nodes: DataFrame, similarity: float, radius: int, both: int, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) of ``node`` that share a bucket, whose ``label`` differ, whose sizes allow the similarity, and whose
+    fingerprints lie within ``radius`` (the first) and ``both`` (the two together).
+
+    Of each bucket only a spanning forest of them and each node's nearest, so that a large group
+    of near copies gives pairs in proportion to its nodes.
+    """
+
+    def solve(table: pa.Table) -> list[tuple]:
+        node, pairs = _pairs(table, similarity, radius, both, False)
+        return [tuple(sorted(p)) for p in node[pairs].tolist()]
+
+    return dealt(nodes, bucket).mapInArrow(lambda batches: in_buckets(batches, solve, ["a", "b"]), "a long, b long").distinct()
+
+
+def links_within(nodes: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float, radius: int, both: int, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) of ``similarity`` that join all nodes of different ``label`` which any such links join.
+
+    Every candidate pair is looked at, in the first bucket that both share, and compared by its sets unless links of the bucket
+    have joined it already; only nodes that have such a pair bring their set there, and pairs as such never leave a task.
+    """
+    names = ["key", "lo", "hi", "side", "node", "fp", "fp2", "n", "label"]
+
+    def asked(table: pa.Table) -> list[tuple]:
+        _, pairs = _pairs(table, similarity, radius, both, True)
+        columns = [table.column(c).to_pylist() for c in names]
+        return [tuple(c[i] for c in columns) for i in np.unique(pairs).tolist()]
+
+    open_ = dealt(nodes, bucket, "keys").mapInArrow(lambda batches: in_buckets(batches, asked, names), ", ".join(f"{c} long" for c in names))
+    members = stored(open_)
+    sets = held_sets(members.select("node").distinct(), nodes, rows, text_col, shingle).join(nodes.select("node", "keys"), "node")
+
+    def check(table: pa.Table) -> list[tuple]:
+        node, pairs = _pairs(table, similarity, radius, both, True)
+        held, out = table.column("held"), []
+        sets: dict[int, np.ndarray] = {}
+        forest = Forest(len(node))
+        labels = table.column("label").to_numpy()
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        forest.join(np.arange(len(node)), first[of])
+        for a, b in pairs.tolist():
+            if forest.find(a) != forest.find(b):
+                for i in (a, b):
+                    if i not in sets:
+                        sets[i] = np.frombuffer(held[i].as_buffer(), np.uint64)
+                if alike(sets[a], sets[b], similarity):
+                    forest.join(np.array([a]), np.array([b]))
+                    out.append((int(node[a]), int(node[b])))
+        return out
+
+    return _by_bucket(members.join(sets, "node").select(*names, "keys", "held")).mapInArrow(lambda batches: in_buckets(batches, check, ["a", "b"]), "a long, b long")
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted arrays, have that Jaccard similarity."""
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same >= similarity * (len(x) + len(y) - same) - 1e-9
+
+
+def held_sets(asked: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, held): the sets of shingles of these nodes, stored; taken from the texts again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], names=["node", "held"])
+        give_back()
+
+    known = sized(stored(asked.join(nodes, "node").select("node", "key.k1", "key.k2")), 24)
+    texts = once(rows.select("k1", "k2", F.col(text_col).cast("string").cast("binary").alias("text")).join(known, ["k1", "k2"]), "node")
+    return stored(texts.select("node", "text").mapInArrow(sets, "node long, held binary"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = same >= similarity * (len(x) + len(y) - same) - 1e-9
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
-
-    asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "key.k1", "key.k2"))
-    texts = rows.select("k1", "k2", text_col).join(asked, ["k1", "k2"])
-    held = cut(texts.select("node", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]))
+            good = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    held = held_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, rows, text_col, shingle)
     left, right = held.toDF("a", "held_a"), held.toDF("b", "held_b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long")
 
@@ -419,12 +487,11 @@ def similar_labels(rows: DataFrame, drawn: DataFrame, text_col: str, shingle: in
     """
     nodes = stored(drawn.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "n", "keys")), F.min(_order()).alias("key")))
     large = nodes.filter(F.col("n") >= similarity / (1 - similarity) - 1e-6)  # smaller sets are equal or less similar
-    first = stored(candidates(large.withColumn("label", F.col("node")), similarity, radius, both, every=False))
+    first = stored(candidates(large.withColumn("label", F.col("node")), similarity, radius, both))
     links = stored(verified(first, rows, nodes, text_col, shingle, similarity))
     labels, _ = component_labels(links)
-    named = stored(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "fp", "fp2", "n", "label", "keys"))
-    rest = stored(candidates(named, similarity, radius, both, every=True).join(first, ["a", "b"], "left_anti"))
-    return component_labels(links.union(stored(verified(rest, rows, nodes, text_col, shingle, similarity))))[0]
+    named = stored(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "fp", "fp2", "n", "label", "keys", "key"))
+    return component_labels(links.union(stored(links_within(named, rows, text_col, shingle, similarity, radius, both))))[0]
 
 
 def _order() -> Column:
@@ -450,5 +517,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         labels = similar_labels(own, rows, text_col, shingle, radius, both, similarity)
     named = rows.join(labels, "node", "left").select("k1", "k2", "__id", F.coalesce("label", "node").alias("label"))
     first = named.groupBy("label").agg(F.min(_order()).alias("key")).select("key.k1", "key.k2")
-    gone = stored(named.select("k1", "k2").distinct().join(first, ["k1", "k2"], "left_anti"))
+    gone = sized(stored(named.select("k1", "k2").distinct().join(first, ["k1", "k2"], "left_anti")))
     return once(own.join(gone, ["k1", "k2"], "left_anti"), "k1", "k2").select(*docs.columns)

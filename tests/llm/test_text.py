@@ -129,6 +129,7 @@ def test_keeping_one_row_loses_no_other(spark):
 def test_buckets_lose_no_link(spark, bucket, monkeypatch):
     """A chain of edits, a passage that many documents share, and buckets dealt in chunks."""
     monkeypatch.setattr(simhash.candidates, "__defaults__", (bucket,))
+    monkeypatch.setattr(simhash.links_within, "__defaults__", (bucket,))
     rng = random.Random(41)
     text, texts = words(rng, 120, 5000).split(), []
     for i in range(60):

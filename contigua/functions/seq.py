@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 GAP_CHARS = "NnXx"
 #: Bases and their complements.
@@ -76,32 +79,60 @@ def compress(s: Column, cutoff: int | Column = 1) -> Column:
     return F.array_join(F.transform(runs(s), lambda r: F.when(F.length(r) > n, F.substring(r, 1, 1)).otherwise(r)), "")
 
 
-def run_bed(s: Column, cutoff: int | Column = 1, compressed: bool = False) -> Column:
+def run_bed(s: Column, cutoff: int = 1, compressed: bool = False) -> Column:
     """Array of (start, end) of runs longer than ``cutoff``, 0-based half-open.
 
-    compressed: start is the place in the compressed sequence and end is start plus the run's length.
+    compressed: start is the place in the compressed sequence and end is start plus the run's length. Linear in the sequence.
     """
-    n = F.lit(cutoff) if isinstance(cutoff, int) else cutoff
-    step = (lambda r: F.when(F.length(r) > n, F.lit(1)).otherwise(F.length(r))) if compressed else F.length
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("bed"))
+    return _compressed_bed(s, F.lit(cutoff)) if compressed else _plain_bed(s, F.lit(cutoff))
 
-    def add(acc: Column, r: Column) -> Column:
-        own = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(r)).alias("end"))
-        return F.struct((acc["at"] + step(r)).cast("long").alias("at"), F.when(F.length(r) > n, F.concat(acc["bed"], F.array(own))).otherwise(acc["bed"]).alias("bed"))
 
-    return F.aggregate(runs(s), empty, add, lambda acc: acc["bed"])
+def _beds(texts: pd.Series, cutoffs: pd.Series, compressed: bool) -> pd.Series:
+    out = []
+    for text, cutoff in zip(texts, cutoffs):
+        if text is None:
+            out.append(None)
+            continue
+        letters = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        edges = np.concatenate(([0], np.flatnonzero(letters[1:] != letters[:-1]) + 1, [len(letters)])) if len(letters) else np.zeros(1, np.int64)
+        n = np.diff(edges)
+        long = n > cutoff
+        start = np.concatenate(([0], np.cumsum(np.where(long, 1, n))[:-1])) if compressed and len(n) else edges[:-1]
+        out.append([{"start": a, "end": a + m} for a, m in zip(start[long].tolist(), n[long].tolist())])
+    return pd.Series(out, dtype=object)
 
 
-def decompress(s: Column, bed: Column) -> Column:
-    """Inverse of ``compress``, given its (start, end) list in the compressed sequence."""
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+_BED = ArrayType(StructType().add("start", "long").add("end", "long"))
+
+
+@F.pandas_udf(_BED)
+def _plain_bed(texts: pd.Series, cutoffs: pd.Series) -> pd.Series:
+    return _beds(texts, cutoffs, False)
+
 
-    def add(acc: Column, r: Column) -> Column:
-        upto = F.substring(s, (acc["at"] + 1).cast("int"), (r["start"] - acc["at"]).cast("int"))
-        run = F.repeat(F.substring(s, (r["start"] + 1).cast("int"), F.lit(1)), (r["end"] - r["start"]).cast("int"))
-        return F.struct((r["start"] + 1).alias("at"), F.concat(acc["out"], upto, run).alias("out"))
+@F.pandas_udf(_BED)
+def _compressed_bed(texts: pd.Series, cutoffs: pd.Series) -> pd.Series:
+    return _beds(texts, cutoffs, True)
 
-    return F.aggregate(bed, empty, add, lambda acc: F.concat(acc["out"], F.substring(s, (acc["at"] + 1).cast("int"), F.length(s))))
+
+@F.pandas_udf(StringType())
+def _decompressed(texts: pd.Series, beds: pd.Series) -> pd.Series:
+    out = []
+    for text, bed in zip(texts, beds):
+        if text is None or bed is None:
+            out.append(None)
+            continue
+        parts, at = [], 0
+        for r in bed:
+            parts += [text[at : r["start"]], text[r["start"]] * (r["end"] - r["start"])]
+            at = r["start"] + 1
+        out.append("".join([*parts, text[at:]]))
+    return pd.Series(out, dtype=object)
+
+
+def decompress(s: Column, bed: Column) -> Column:
+    """Inverse of ``compress``, given its (start, end) list in the compressed sequence. Linear in both."""
+    return _decompressed(s, bed)
 
 
 def homopolymer_runs(s: Column, threshold: int = 1) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from contigua.functions import seq as S
 from contigua.model import GAP, SEGMENT
@@ -61,8 +66,23 @@ def soft_masked(sequence: Column, compat: bool = False) -> Column:
 
 
 def homopolymer_bed(records: DataFrame, cutoff: int = 1, header: str = "header", sequence: str = "sequence") -> DataFrame:
-    """(header, start, end) of runs of more than ``cutoff`` equal letters, 0-based half-open; a row a run, so that
-    long sequences build no array of runs."""
-    rows = records.select(F.col(header).alias("header"), F.posexplode(S.runs(F.col(sequence))).alias("p", "run")).select("header", "p", F.length("run").cast("long").alias("n"))
-    end = F.sum("n").over(Window.partitionBy("header").orderBy("p"))
-    return rows.withColumn("end", end).filter(F.col("n") > cutoff).select("header", (F.col("end") - F.col("n")).alias("start"), "end")
+    """(header, start, end) of runs of more than ``cutoff`` equal letters, 0-based half-open; a record's runs are found where it
+    lies, by comparing it with itself one letter on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(*batch.columns):
+                letters = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32)
+                edges = np.concatenate(([0], np.flatnonzero(letters[1:] != letters[:-1]) + 1, [len(letters)])) if len(letters) else np.zeros(1, np.int64)
+                long = np.flatnonzero(np.diff(edges) > cutoff)
+                if len(long):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(long), name.type), pa.array(edges[long]), pa.array(edges[long + 1])], names=["header", "start", "end"])
+
+    own = records.select(F.col(header).alias("header"), F.col(sequence).alias("sequence"))
+    return own.mapInArrow(run, StructType(own.schema.fields[:1]).add("start", "long").add("end", "long"))
+
+
+def homopolymer_compressed(records: DataFrame, cutoff: int, sequence: str = "sequence") -> DataFrame:
+    """Records with runs of more than ``cutoff`` equal letters as one, as they may be ingested; 0 changes nothing. Lengths are then those
+    of the compressed sequence."""
+    return records.withColumn(sequence, S.compress(F.col(sequence), cutoff)) if cutoff else records

@@ -1,12 +1,21 @@
 """k-mers: canonical counts, histograms, unions, minimisers and super-mers.
 
 Reads are cut at letters that are not bases, and long stretches into chunks that overlap by k - 1, before
-windows are exploded, so neither a window with such a letter nor a row with millions of windows ever exists.
+windows are made, so neither a window with such a letter nor a row with millions of windows ever exists.
+
+Up to 31 bases a k-mer is a long of 2-bit codes: built for both strands by shifts over whole chunks (Arrow batches), counted in
+the task, summed by Spark, and spelt out only once distinct. Minimisers and super-mers are found along a run
+of bases where it lies, a chunk at a time with what the next one needs; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from contigua.functions import packing as P
 from contigua.functions.seq import revcomp
@@ -30,9 +39,73 @@ def windows(reads: DataFrame, k: int, sequence: str = "sequence", keep: tuple[st
     return at.select(*keep, "part", (F.col("chunk_at") + F.col("p") - 1).alias("pos"), F.expr(f"substring(bases, p, {k})").alias("kmer"))
 
 
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3] * 2
+_BASE = np.frombuffer(b"ACGT", np.uint8)
+
+
+def canonical_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Of each window of k 2-bit codes the lesser of it and its reverse complement, first base highest."""
+    n = len(codes) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    wide = codes.astype(np.int64)
+    there, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(k):
+        part = wide[i : i + n]
+        there = (there << 2) | part
+        back |= (3 - part) << (2 * i)
+    return np.minimum(there, back)
+
+
+def base_runs(sequence: bytes, least: int) -> Iterator[np.ndarray]:
+    """The codes of each run of at least ``least`` bases."""
+    codes = _CODE[np.frombuffer(sequence, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], codes > 3, [True])).astype(np.int8)))
+    for a, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if e - a >= least:
+            yield codes[a:e]
+
+
+def spelt(codes: np.ndarray, k: int) -> pa.Array:
+    """The letters of k-mers."""
+    letters = np.empty((len(codes), k), np.uint8)
+    for i in range(k):
+        letters[:, i] = _BASE[(codes >> (2 * (k - 1 - i))) & 3]
+    return pa.Array.from_buffers(pa.string(), len(codes), [None, pa.py_buffer(np.arange(0, k * (len(codes) + 1), k, dtype=np.int32)), pa.py_buffer(letters)])
+
+
 def count_kmers(reads: DataFrame, k: int = 21, sequence: str = "sequence") -> DataFrame:
     """(kmer, cnt) of canonical k-mers, saturating at 2**32 - 1."""
-    return windows(reads, k, sequence).groupBy(P.canonical(F.col("kmer")).alias("kmer")).agg(F.least(F.count(F.lit(1)), F.lit(MOST)).alias("cnt"))
+    if k > 31:
+        return windows(reads, k, sequence).groupBy(P.canonical(F.col("kmer")).alias("kmer")).agg(F.least(F.count(F.lit(1)), F.lit(MOST)).alias("cnt"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> pa.RecordBatch:
+            code, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64))], names=["code", "cnt"])
+
+        size = 0
+        for batch in batches:
+            for text in batch.column(0):
+                for run in base_runs(text.as_py() or b"", k):
+                    for at in range(0, len(run) - k + 1, 1 << 20):
+                        held.append(np.unique(canonical_codes(run[at : at + (1 << 20) + k - 1], k), return_counts=True))
+                        size += len(held[-1][0])
+                if size > 1 << 21:
+                    yield merged()
+                    held, size = [], 0
+        if held:
+            yield merged()
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([spelt(batch.column(0).to_numpy(), k), batch.column(1)], names=["kmer", "cnt"])
+
+    counts = reads.select(F.col(sequence).cast("binary")).mapInArrow(count, "code long, cnt long").groupBy("code").agg(F.least(F.sum("cnt"), F.lit(MOST)).alias("cnt"))
+    return counts.mapInArrow(spell, "kmer string, cnt long")
 
 
 def histogram(kmers: DataFrame) -> DataFrame:
@@ -69,16 +142,94 @@ def smer_hash(smer: Column, filtered: bool = False) -> Column:
     return P.filtered_hash(own) if filtered else P.code(own)
 
 
+def _hashes(codes: np.ndarray, s: int, filtered: bool) -> np.ndarray:
+    """What ``smer_hash`` gives for each canonical s-mer."""
+    own = canonical_codes(codes, s)
+    if filtered:
+        digit = lambda i: (own >> (2 * (s - 1 - i))) & 3 if 0 <= i < s else np.zeros(len(own), np.int64)
+        pad = max(0, 5 - s)  # shorter ones count as padded in front with A
+        at = [digit(i - pad) for i in range(5)]
+        a = [x == 0 for x in at]
+        bad = (a[0] & a[2] & (a[1] | (at[1] == 1))) | (a[1] & a[2]) | (a[2] & a[3]) | (a[3] & a[4])
+        own = np.where(bad, 65535, own)
+    return own
+
+
+def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
+    size = 1
+    while 2 * size <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
+
+
+def _along_runs(reads: DataFrame, k: int, s: int, sequence: str, keep: tuple[str, ...], filtered: bool, find, columns: tuple[str, ...]) -> DataFrame:
+    """(*keep, part, *columns) by ``find(minima of a chunk's k-mers, minimum before or None, place of the first, whether it is the last, state)``,
+    called along each run of at least k bases; ``state`` is a dictionary of the run."""
+    own = reads.select(*keep, F.col(sequence).cast("binary").alias("__s")).filter(F.length("__s") >= k)
+    schema = StructType(own.schema.fields[: len(keep)]).add("part", "integer")
+    for c in columns:
+        schema = schema.add(c, "boolean" if c.startswith("is_") else "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[list[np.ndarray]] = []
+            size = 0
+
+            def rows() -> pa.RecordBatch:
+                row, *cols = (np.concatenate(c) for c in zip(*parts))
+                kept = [batch.column(i).take(pa.array(row)) for i in range(len(keep))]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, *map(pa.array, cols)], names=[*keep, "part", *columns])
+
+            for i, text in enumerate(batch.column(len(keep))):
+                for part, codes in enumerate(base_runs(text.as_py() or b"", k)):
+                    before, state = None, {}
+                    for at in range(0, len(codes) - k + 1, 1 << 18):
+                        piece = codes[at : at + (1 << 18) + k - 1]
+                        minima = sliding_minimum(_hashes(piece, s, filtered), k - s + 1)
+                        out = find(minima, before, at, at + len(piece) == len(codes), state)
+                        n = len(out[0])
+                        parts.append([np.full(n, i), np.full(n, part, np.int32), *out])
+                        before, size = minima[-1], size + n
+                        if size > 1 << 18:
+                            yield rows()
+                            parts, size = [], 0
+            if parts:
+                yield rows()
+
+    return own.mapInArrow(run, schema)
+
+
+def _new(minima: np.ndarray, before: int | None) -> np.ndarray:
+    return np.concatenate(([before is None or minima[0] != before], minima[1:] != minima[:-1]))
+
+
 def minimisers(reads: DataFrame, k: int, s: int, sequence: str = "sequence", keep: tuple[str, ...] = ("header",), filtered: bool = False) -> DataFrame:
     """(*keep, part, pos, h, is_new): of each k-mer the least hash of its canonical s-mers; is_new where it
     differs from that of the k-mer before. A run of bases is the unit, so runs never mix."""
-    smers = windows(reads.filter(F.length(sequence) >= k), s, sequence, keep).select(*keep, "part", "pos", smer_hash(F.col("kmer"), filtered).alias("h"))
-    unit = Window.partitionBy(*keep, "part")
-    by_pos = unit.orderBy("pos")
-    full = smers.select(*keep, "part", "pos", F.min("h").over(by_pos.rowsBetween(0, k - s)).alias("h"), F.count(F.lit(1)).over(by_pos.rowsBetween(0, k - s)).alias("n")).filter(F.col("n") == k - s + 1).drop("n")
-    before = F.lag("h").over(by_pos)
-    seen = F.col("h") < 4**s + 1 if filtered else F.lit(True)
-    return full.select(*keep, "part", "pos", "h", (seen & (before.isNull() | (before != F.col("h")))).alias("is_new"))
+    most = 4**s + 1
+
+    def find(minima, before, at, last, state):
+        new = _new(minima, before)
+        return [np.arange(at, at + len(minima)), minima, new & (minima < most) if filtered else new]
+
+    return _along_runs(reads, k, s, sequence, keep, filtered, find, ("pos", "h", "is_new"))
+
+
+def supermers(reads: DataFrame, k: int, s: int, sequence: str = "sequence", keep: tuple[str, ...] = ("header",), filtered: bool = False) -> DataFrame:
+    """(*keep, part, start, length, h): maximal stretches of k-mers with one minimiser, as bases."""
+
+    def find(minima, before, at, last, state):
+        begins = np.flatnonzero(_new(minima, before)) + at
+        starts = np.concatenate((state.get("open", np.zeros(0, np.int64)), begins))
+        values = np.concatenate((state.get("h", np.zeros(0, np.int64)), minima[begins - at]))
+        ends = np.append(starts[1:], at + len(minima))
+        if not last:  # the last stretch may go on
+            state["open"], state["h"] = starts[-1:], values[-1:]
+            starts, values, ends = starts[:-1], values[:-1], ends[:-1]
+        return [starts, ends - starts + k - 1, values]
+
+    return _along_runs(reads, k, s, sequence, keep, filtered, find, ("start", "length", "h"))
 
 
 def minimiser_hex(mins: DataFrame, keep: tuple[str, ...] = ("header",)) -> DataFrame:
@@ -87,15 +238,11 @@ def minimiser_hex(mins: DataFrame, keep: tuple[str, ...] = ("header",)) -> DataF
     return mins.groupBy(*keep, "part").agg(F.array_join(F.transform(own, lambda e: e["x"]), "").alias("hex"))
 
 
-def supermers(mins: DataFrame, k: int, keep: tuple[str, ...] = ("header",)) -> DataFrame:
-    """(*keep, part, start, length, h): maximal stretches of k-mers with one minimiser, as bases."""
-    by_pos = Window.partitionBy(*keep, "part").orderBy("pos")
-    numbered = mins.withColumn("run", F.sum(F.col("is_new").cast("int")).over(by_pos))
-    return numbered.groupBy(*keep, "part", "run", "h").agg(F.min("pos").alias("start"), (F.count(F.lit(1)) + k - 1).alias("length")).drop("run")
-
-
 def least_minimiser(reads: DataFrame, s: int, sequence: str = "sequence", keep: tuple[str, ...] = ("header",), filtered: bool = False) -> DataFrame:
-    return windows(reads, s, sequence, keep).groupBy(*keep).agg(F.min(smer_hash(F.col("kmer"), filtered)).alias("h"))
+    def find(minima, before, at, last, state):
+        return [np.array([minima.min()])]
+
+    return _along_runs(reads, s, s, sequence, keep, filtered, find, ("h",)).groupBy(*keep).agg(F.min("h").alias("h"))
 
 
 def walk_alternatives(alternatives: Column) -> Column:

@@ -369,7 +369,7 @@ def minimizer_mask(spark, d):
 
 @query(f"WITH {Q.minimisers(21, 7)} SELECT header, h, min(pos) AS \"start\", count(*) + 20 AS length FROM (SELECT *, sum(CAST(is_new AS INTEGER)) OVER (PARTITION BY header ORDER BY pos) AS run FROM mins) GROUP BY header, run, h")
 def supermers(spark, d):
-    return kmers.supermers(_mins(spark, d), 21).select("header", "h", "start", "length")
+    return kmers.supermers(B.reads(spark, d), 21, 7).select("header", "h", "start", "length")
 
 
 @query()

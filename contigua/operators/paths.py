@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from contigua.operators.lineage import Rounds
 from contigua.model import GAP, SEGMENT
 
 KEYS = ["path", "ord", "ctype", "comp", "orientation", "start", "end"]
@@ -134,7 +135,7 @@ def by_original(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def by_size(paths: DataFrame, largest: bool = True, compat: bool = False) -> DataFrame:
-    """Needs ``length``. compat: the largest-first switch sorts ascending, as the original did."""
+    """Needs ``length``. compat: with the largest-first switch shorter paths come first."""
     down = largest != compat
     return paths.orderBy(F.desc("length") if down else F.asc("length"), "header")
 
@@ -148,6 +149,15 @@ def by_list(paths: DataFrame, names: list[str]) -> DataFrame:
 
 
 def argsort(values: DataFrame, value: str, position: str, largest: bool = False) -> DataFrame:
-    """Stable ranks: (position, rank). One task sorts; for lists of records, not of bases."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(value) if largest else F.asc(value), position)
-    return values.select(position, F.row_number().over(w).alias("rank"))
+    """Stable ranks: (position, rank). Rows are range-partitioned in order; ranks are those inside a partition plus the rows of the
+    partitions before it."""
+    order = [F.desc(value) if largest else F.asc(value), F.asc(position)]
+    spark = values.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = Rounds(spark, keep=1 << 30)
+    dealt = store.write(values.select(value, position).repartitionByRange(width, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = sizes.select("__part", before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
+    return dealt.join(F.broadcast(offsets), "__part").select(position, rank.alias("rank"))

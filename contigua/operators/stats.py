@@ -3,16 +3,22 @@ as many rows as there are lengths, not sequences."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contigua.functions import seq as S
 from contigua.model import GAP, SEGMENT
+from contigua.operators.lineage import Rounds
 
 
-def nstar(lengths: DataFrame, column: str = "len", genome_size: int | None = None) -> DataFrame:
+def _times(times: str | None) -> Column:
+    """How often a length is there: once a row, or as a column says."""
+    return F.col(times) if times else F.lit(1)
+
+
+def nstar(lengths: DataFrame, column: str = "len", genome_size: int | None = None, times: str | None = None) -> DataFrame:
     """(n, nx, lx) for n = 1 .. 10 (N10 .. N100): the length at which the sorted sum first reaches n tenths of
     the total, or of ``genome_size``, and how many sequences that takes; 0 where it is never reached."""
-    by_len = lengths.groupBy(F.col(column).cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n_len"))
+    by_len = lengths.groupBy(F.col(column).cast("long").alias("len")).agg(F.sum(_times(times)).alias("n_len"))
     down = Window.partitionBy(F.lit(1)).orderBy(F.desc("len"))
     whole = Window.partitionBy(F.lit(1))
     weight = F.col("len") * F.col("n_len")
@@ -26,18 +32,19 @@ def nstar(lengths: DataFrame, column: str = "len", genome_size: int | None = Non
     return all_n.join(got, "n", "left").select("n", F.coalesce("nx", F.lit(0)).cast("long").alias("nx"), F.coalesce("lx", F.lit(0)).cast("long").alias("lx"))
 
 
-def aun(lengths: DataFrame, column: str = "len", genome_size: int | None = None) -> DataFrame:
+def aun(lengths: DataFrame, column: str = "len", genome_size: int | None = None, times: str | None = None) -> DataFrame:
     """(aun): sum of squared lengths over the total, or over ``genome_size``."""
     n = F.col(column).cast("decimal(38,0)")
-    base = F.lit(genome_size).cast("double") if genome_size else F.sum(n).cast("double")
-    return lengths.agg(F.round(F.try_divide(F.sum(n * n).cast("double"), base), 2).alias("aun"))
+    base = F.lit(genome_size).cast("double") if genome_size else F.sum(n * _times(times)).cast("double")
+    return lengths.agg(F.round(F.try_divide(F.sum(n * n * _times(times)).cast("double"), base), 2).alias("aun"))
 
 
-def length_summary(lengths: DataFrame, column: str = "len") -> DataFrame:
+def length_summary(lengths: DataFrame, column: str = "len", times: str | None = None) -> DataFrame:
     """(n, total, average, largest, smallest); zeros and a null average for an empty table."""
     n = F.col(column)
     return lengths.agg(
-        F.count(n).alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.round(F.avg(n), 2).alias("average"),
+        F.coalesce(F.sum(F.when(n.isNotNull(), _times(times))), F.lit(0)).alias("n"), F.coalesce(F.sum(n * _times(times)), F.lit(0)).alias("total"),
+        F.round(F.try_divide(F.sum(n * _times(times)), F.sum(F.when(n.isNotNull(), _times(times)))), 2).alias("average"),
         F.coalesce(F.max(n), F.lit(0)).alias("largest"), F.coalesce(F.min(n), F.lit(0)).alias("smallest"),
     )
 
@@ -91,23 +98,29 @@ def metric_rows(row: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def assembly_summary(paths: DataFrame, contig_lengths: DataFrame, gap_lengths: DataFrame, genome_size: int | None = None) -> DataFrame:
-    """(metric, value) of the whole assembly. ``paths`` is a path report."""
+    """(metric, value) of the whole assembly. ``paths`` is a path report.
+
+    Each input is read once: the report, and the distinct lengths with their counts, are written to the shared folder, and all figures
+    come from these.
+    """
     out: DataFrame | None = None
+    store = Rounds(paths.sparkSession, keep=1 << 30)
+    paths = store.write(paths)
+    counted = lambda df, kind: df.groupBy(F.col("len").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n_len")).select(F.lit(kind).alias("kind"), "len", "n_len")
+    held = store.write(counted(paths.select(F.col("length").alias("len")), "scaffold").unionByName(counted(contig_lengths, "contig")).unionByName(counted(gap_lengths, "gap")))
 
     def add(rows: DataFrame) -> None:
         nonlocal out
         out = rows if out is None else out.unionByName(rows)
 
-    kinds = (("scaffold", paths.select(F.col("length").alias("len")), ""), ("contig", contig_lengths, ""), ("gap", gap_lengths, " in scaffolds"))
-    for kind, lengths, where in kinds:
-        lengths = lengths.select(F.col("len").cast("long").alias("len"))
-        add(metric_rows(length_summary(lengths), {"n": f"# {kind}s{where}", "total": f"Total {kind} length{where}", "average": f"Average {kind} length{where}", "largest": f"Largest {kind}{where}", "smallest": f"Smallest {kind}{where}"}))
-        name = kind.capitalize()
-        add(metric_rows(nstar(lengths).filter("n = 5"), {"nx": f"{name} N50{where}", "lx": f"{name} L50{where}"}))
-        add(metric_rows(aun(lengths), {"aun": f"{name} auN{where}"}))
+    for kind, where in (("scaffold", ""), ("contig", ""), ("gap", " in scaffolds")):
+        lengths, name = held.filter(F.col("kind") == kind), kind.capitalize()
+        add(metric_rows(length_summary(lengths, times="n_len"), {"n": f"# {kind}s{where}", "total": f"Total {kind} length{where}", "average": f"Average {kind} length{where}", "largest": f"Largest {kind}{where}", "smallest": f"Smallest {kind}{where}"}))
+        add(metric_rows(nstar(lengths, times="n_len").filter("n = 5"), {"nx": f"{name} N50{where}", "lx": f"{name} L50{where}"}))
+        add(metric_rows(aun(lengths, times="n_len"), {"aun": f"{name} auN{where}"}))
         if genome_size and kind != "gap":
-            add(metric_rows(nstar(lengths, genome_size=genome_size).filter("n = 5"), {"nx": f"{name} NG50", "lx": f"{name} LG50"}))
-            add(metric_rows(aun(lengths, genome_size=genome_size), {"aun": f"{name} auNG"}))
+            add(metric_rows(nstar(lengths, genome_size=genome_size, times="n_len").filter("n = 5"), {"nx": f"{name} NG50", "lx": f"{name} LG50"}))
+            add(metric_rows(aun(lengths, genome_size=genome_size, times="n_len"), {"aun": f"{name} auNG"}))
     total = paths.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("a", "c", "g", "t", "lower")))
     total = total.withColumn("gc", F.round(S.gc_content(*(F.col(x) for x in "acgt")), 2))
     add(metric_rows(total, {"a": "Base composition A", "c": "Base composition C", "g": "Base composition G", "t": "Base composition T", "gc": "GC content %", "lower": "# soft-masked bases"}))

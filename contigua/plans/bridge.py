@@ -56,3 +56,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("len"))
+
+
+def bubble_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's first four lines as a bubble: line 1 to 2 and 3, both to 4."""
+    w = Window.partitionBy("path").orderBy("o")
+    ahead = lambda n: F.struct((F.col("path") * 10 + F.col("o") + n).alias("s2"), F.lead("orientation", n).over(w).alias("s2_or"))
+    rows = lines(spark, sf_dir).select("path", "o", "orientation", ahead(1).alias("one"), ahead(2).alias("two"))
+    to = F.when(F.col("o") == 1, F.array("one", "two")).when(F.col("o") == 2, F.array("two")).when(F.col("o") == 3, F.array("one"))
+    return rows.select((F.col("path") * 10 + F.col("o")).alias("s1"), F.col("orientation").alias("s1_or"), F.explode(to).alias("x")).select("s1", "s1_or", "x.s2", "x.s2_or").filter("s2_or IS NOT NULL")
+
+
+def small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between parts of at most 25 bases."""
+    small = nodes(spark, sf_dir).filter("len <= 25").select("node")
+    return edges(spark, sf_dir).join(small.toDF("s1"), "s1", "left_semi").join(small.toDF("s2"), "s2", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -90,6 +91,22 @@ def hpc_compress(spark, d):
     return B.seqs(spark, d).select("header", S.compress(F.col("sequence")).alias("seq"))
 
 
+_per_seq(
+    "pack_2bit_hex", lambda s: F.hex(P.pack_2bit(s)),
+    "array_to_string(list_transform(range(0, ceil(length(seq) / 4)::BIGINT * 2), lambda i: substr('0123456789ABCDEF', (instr('ACGT', substr(rpad(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g'), length(seq)::INT + 4, 'A'), 2 * i + 1, 1)) - 1) * 4"
+    " + instr('ACGT', substr(rpad(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g'), length(seq)::INT + 4, 'A'), 2 * i + 2, 1)), 1)), '')", "packed",
+)
+
+
+@query(
+    f"WITH {Q.RUNS}, n AS (SELECT header, run, stop - start AS n, CASE WHEN stop - start > 2 THEN 1 ELSE stop - start END AS m FROM runs), c AS (SELECT header, n, sum(m) OVER (PARTITION BY header ORDER BY run) - m AS start FROM n)"
+    ' SELECT header, CAST(start AS BIGINT) AS "start", CAST(start + n AS BIGINT) AS "end" FROM c WHERE n > 2'
+)
+def hpc_bed(spark, d):
+    """Places in the sequence with runs of more than two letters as one, and the runs' lengths."""
+    return B.seqs(spark, d).select("header", F.explode(S.run_bed(F.col("sequence"), 2, compressed=True)).alias("x")).select("header", "x.*")
+
+
 @query(f"WITH {Q.SEQS} SELECT header, seq FROM seqs")
 def hpc_decompress(spark, d):
     rows = B.seqs(spark, d).select("header", S.compress(F.col("sequence"), 2).alias("c"), S.run_bed(F.col("sequence"), 2, compressed=True).alias("bed"))
@@ -372,9 +389,14 @@ def supermers(spark, d):
     return kmers.supermers(B.reads(spark, d), 21, 7).select("header", "h", "start", "length")
 
 
-@query()
+@query(
+    f"WITH {Q.READS}, b AS (SELECT header, s FROM reads WHERE length(s) >= 31), og AS (SELECT header, '+' AS o, s FROM b UNION ALL SELECT header, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM b),"
+    " hd AS (SELECT header AS s2, o AS s2_or, left(s, 20000) AS head, length(s) AS len2 FROM og), tl AS (SELECT header AS s1, o AS s1_or, right(s, 20000) AS tail, right(s, 31) AS seed FROM og),"
+    " sd AS (SELECT s2, s2_or, p + 30 AS n, substr(head, p, 31) AS seed, head, len2 FROM (SELECT *, unnest(generate_series(1, length(head) - 30)) AS p FROM hd))"
+    " SELECT s1, s1_or, s2, s2_or, max(n) AS overlap FROM tl JOIN sd USING (seed) WHERE s1 <= s2 AND NOT (s1_or = '-' AND s2_or = '-') AND n <= length(tail) AND right(tail, n) = left(head, n)"
+    " AND NOT (s1 = s2 AND s1_or = s2_or AND n = len2) GROUP BY ALL"
+)
 def terminal_overlaps(spark, d):
-    """Held against brute force in the tests; all pairs of all ends are too many for SQL."""
     return kmers.terminal_overlaps(B.reads(spark, d), 31)
 
 
@@ -410,9 +432,10 @@ def dead_ends(spark, d):
     return graph.node_report(B.nodes(spark, d), _adj(spark, d)).filter("dead_ends > 0").select("node", "dead_ends")
 
 
-@query(f"WITH {_DEG} SELECT node, CAST(p_size AS BIGINT) AS len FROM dg JOIN part ON node = p_partkey WHERE degree = 0")
+@query(f"WITH {Q.SMALL_ADJ}, {_DEG.removeprefix(Q.ADJ + ', ')} SELECT node, CAST(p_size AS BIGINT) AS len FROM dg JOIN part ON node = p_partkey WHERE degree = 0")
 def disconnected(spark, d):
-    report = graph.node_report(B.nodes(spark, d), _adj(spark, d)).filter("degree = 0")
+    """In the graph of the edges between parts of at most 25 bases."""
+    report = graph.node_report(B.nodes(spark, d), graph.adjacency(B.small_edges(spark, d))).filter("degree = 0")
     return report.join(B.nodes(spark, d), "node").select("node", "len")
 
 
@@ -448,7 +471,7 @@ def graph_summary(spark, d):
 
 def _bubble_sql(key: str) -> str:
     return (
-        f"WITH {Q.ADJ}, sd AS (SELECT node, count(*) AS n, count(DISTINCT o0) AS s FROM adj GROUP BY node), st AS (SELECT node, {key} AS key, other FROM adj),"
+        f"WITH {Q.BUBBLES}, sd AS (SELECT node, count(*) AS n, count(DISTINCT o0) AS s FROM adj GROUP BY node), st AS (SELECT node, {key} AS key, other FROM adj),"
         " pb AS (SELECT d.node AS b0, l.other AS b1, l.o1 AS l1, r.other AS b2, r.o1 AS r1 FROM sd d JOIN adj l ON l.node = d.node AND l.o0 = '-' JOIN adj r ON r.node = d.node AND r.o0 = '+'"
         " JOIN sd x ON x.node = l.other AND x.n >= 2 JOIN sd y ON y.node = r.other AND y.n >= 2 WHERE d.n = 2 AND d.s = 2),"
         " f AS (SELECT pb.*, st.other AS dst FROM pb JOIN st ON st.node = b1 AND st.key = l1 WHERE st.other <> b0)"
@@ -458,12 +481,12 @@ def _bubble_sql(key: str) -> str:
 
 @query(_bubble_sql("o1"))
 def bubbles_compat(spark, d):
-    return graph.bubbles(_adj(spark, d), compat=True)
+    return graph.bubbles(graph.adjacency(B.bubble_edges(spark, d)), compat=True)
 
 
 @query(_bubble_sql("translate(o0, '+-', '-+')"))
 def bubbles_bidirected(spark, d):
-    return graph.bubbles(_adj(spark, d))
+    return graph.bubbles(graph.adjacency(B.bubble_edges(spark, d)))
 
 
 @query(f"WITH {Q.EDGES} SELECT DISTINCT s1 AS node FROM ge WHERE s1 = s2")
@@ -471,9 +494,17 @@ def circular_segments(spark, d):
     return graph.circular_segments(B.edges(spark, d))
 
 
-@query(f"WITH {Q.EDGES}, e AS (SELECT path, arg_min(part, o) AS a, arg_max(part, o) AS b FROM gl GROUP BY path) SELECT CAST(path AS VARCHAR) AS path FROM e WHERE a = b AND a IN (SELECT s1 FROM ge WHERE s1 = s2)")
+@query(
+    f"WITH {Q.LINES}, c AS (SELECT path, o, part FROM gl UNION ALL SELECT path, 1000, part FROM gl WHERE o = 1 AND path % 2 = 0), e AS (SELECT path, arg_min(part, o) AS a, arg_max(part, o) AS b FROM c GROUP BY path)"
+    " SELECT CAST(path AS VARCHAR) AS path FROM e WHERE a = b AND a IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)"
+)
 def circular_paths(spark, d):
-    return graph.circular_paths(B.components(spark, d).filter(F.col("ctype") == SEGMENT), B.edges(spark, d).withColumns({c: F.col(c).cast("string") for c in ("s1", "s2")}))
+    """Orders of even number end with their first part again; parts of even size have an edge to themselves."""
+    rows = B.lines(spark, d).select(F.col("path").cast("string").alias("path"), F.col("o").alias("ord"), F.col("part").cast("string").alias("comp"), (F.col("path") % 2 == 0).alias("even"))
+    closed = rows.filter("ord = 1 AND even").withColumn("ord", F.lit(1000).cast("long"))
+    loops = B.nodes(spark, d).join(B.table(spark, d, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("node")), "node", "left_semi")
+    name = F.col("node").cast("string")
+    return graph.circular_paths(rows.unionByName(closed), loops.select(name.alias("s1"), name.alias("s2")))
 
 
 @query(f"WITH {Q.EDGES} SELECT header, s1, s1_or, s2, s2_or, cigar FROM ge WHERE s1 IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND s2 IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
@@ -494,11 +525,14 @@ def discover_paths(spark, d):
     return graph.discover_paths(f.filter(F.col("kind") == SEGMENT).select(F.col("name").alias("node")), ingest.gaps_of(f))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {Q.SMALL_ADJ}, hops AS (SELECT p_partkey AS node, 0 AS d FROM part WHERE p_partkey % 97 = 1 UNION SELECT a.other, h.d + 1 FROM hops h JOIN adj a ON a.node = h.node WHERE h.d < 200)"
+    " SELECT node, CAST(min(d) AS DOUBLE) AS dist FROM hops GROUP BY node"
+)
 def shortest_distances(spark, d):
-    """Hops from the circular segments; held against brute force in the tests."""
-    edges = B.edges(spark, d)
-    return graph.shortest_distances(graph.adjacency(edges), graph.circular_segments(edges))
+    """Hops from every 97th part in the graph of the edges between parts of at most 25 bases; the SQL goes to 200 hops."""
+    sources = B.nodes(spark, d).filter("node % 97 = 1")
+    return graph.shortest_distances(graph.adjacency(B.small_edges(spark, d)), sources)
 
 
 @query(_GAPS + f" SELECT header AS path, row_number() OVER (PARTITION BY header ORDER BY i) AS ord, name AS comp FROM feats WHERE kind = 'SEGMENT' OR name IN (SELECT name FROM gaps WHERE s1 IS NULL OR s1 <> s2)")
@@ -665,6 +699,97 @@ def remove_segment(spark, d):
     return _plain(_edited("REMOVE\t1", spark, d).components)
 
 
+@query(
+    f"WITH {Q.COMPS} SELECT {_C} FROM gc WHERE path NOT IN ('1', '2') UNION ALL SELECT 'new', row_number() OVER (ORDER BY side, ord), ctype, comp, orientation, \"start\", \"end\" FROM"
+    " (SELECT 0 AS side, ord, ctype, comp, orientation, \"start\", \"end\" FROM gc WHERE path = '1' UNION ALL SELECT 1, 0, 'GAP', 'gapj', '0', 0, 0"
+    " UNION ALL SELECT 2, -ord, ctype, comp, translate(orientation, '+-', '-+'), \"start\", \"end\" FROM gc WHERE path = '2')"
+)
+def verb_join(spark, d):
+    return _plain(_edited("JOIN\t1+\t2-\t50\tgapj\tnew", spark, d).components)
+
+
+def _edited_sequences(name: str, program: str, sql: str) -> None:
+    """A program over the documents' sequences as segments."""
+
+    @query(f"WITH {Q.SEQS} {sql}", name)
+    def run(spark, d):
+        from contigua.model import COMPONENTS, EDGES, GAPS, PATHS, Assembly
+        from contigua.plans import sak
+
+        segs = B.seqs(spark, d).select("header", "sequence", F.lit(None).cast("long").alias("ln_length"))
+        none = [spark.createDataFrame([], schema) for schema in (GAPS, EDGES, PATHS, COMPONENTS)]
+        return sak.run(Assembly(segs, *none), program).segments.select("header", F.col("sequence").alias("seq"))
+
+
+_ONE = "SELECT header, CASE WHEN header = '1' THEN {} ELSE seq END AS seq FROM seqs"
+_edited_sequences("verb_erase", "ERASE\t1:3-10", _ONE.format("substr(seq, 1, 3) || substr(seq, 11)"))
+_edited_sequences("verb_rvcp", "RVCP\t1", _ONE.format("reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))"))
+_edited_sequences("verb_invert", "INVERT\t1", _ONE.format("reverse(seq)"))
+_edited_sequences("verb_decompress", "COMPRESS\t1\t2\nDECOMPRESS\t1", _ONE.format("seq"))
+_edited_sequences("verb_cleave", "CLEAVE\t1\t10\t1a\t1b", "SELECT header, seq FROM seqs WHERE header <> '1' UNION ALL SELECT '1a', substr(seq, 1, 10) FROM seqs WHERE header = '1' UNION ALL SELECT '1b', substr(seq, 11) FROM seqs WHERE header = '1'")
+_edited_sequences(
+    "verb_compress", "COMPRESS\t1\t1",
+    Q.RUNS[len(Q.SEQS):] + " SELECT s.header, CASE WHEN s.header = '1' THEN coalesce(c.seq, '') ELSE s.seq END AS seq FROM seqs s LEFT JOIN (SELECT header, string_agg(b, '' ORDER BY run) AS seq FROM runs GROUP BY header) c USING (header)",
+)
+
+
+# -- readers ----------------------------------------------------------------------------------------
+
+
+def _written(spark, lines: DataFrame, name: str) -> str:
+    from contigua.operators.lineage import shared_root
+
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    lines.select("line").write.text(path)
+    return path
+
+
+@query(f"WITH {Q.SEQS} SELECT header, lang AS comment, seq AS sequence FROM seqs JOIN documents ON header = CAST(doc_id AS VARCHAR)")
+def read_fasta(spark, d):
+    """The sequences as a FASTA file with lines of 60 bases, read back."""
+    from contigua.sources import readers, sinks
+
+    lang = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("header"), F.col("lang").alias("comment"))
+    path = _written(spark, sinks.fasta_lines(B.seqs(spark, d).join(lang, "header"), 60), "fasta")
+    return readers.read_fasta(spark, path).select("header", "comment", "sequence")
+
+
+@query(f"WITH {Q.SEQS} SELECT header, seq AS sequence, repeat('!', length(seq)) AS quality FROM seqs")
+def read_fastq(spark, d):
+    from contigua.sources import readers, sinks
+
+    records = B.seqs(spark, d).select("header", F.lit("").alias("comment"), "sequence", F.expr("repeat('!', length(sequence))").alias("quality"))
+    return readers.read_fastq(spark, _written(spark, sinks.fastq_lines(records), "fastq")).select("header", "sequence", "quality")
+
+
+def _gfa(spark, d, version: int):
+    """The assembly of the sequences as a GFA file, read back."""
+    from contigua.sources import readers, sinks
+
+    a = readers.split_assembly(B.seqs(spark, d).select("header", F.lit("").alias("comment"), "sequence", F.lit(None).cast("string").alias("quality"), F.lit(0).cast("long").alias("seq_pos")))
+    lines = (sinks.gfa1_lines if version == 1 else sinks.gfa2_lines)(a.with_(gaps=a.gaps.filter("s1 IS NOT NULL")))
+    return readers.read_gfa(spark, _written(spark, lines, "gfa"))
+
+
+for _v in (1, 2):
+
+    @query(f"WITH {Q.FEATS} SELECT name AS header, text AS sequence FROM feats WHERE kind = 'SEGMENT'", f"read_gfa{_v}_segments")
+    def _read_segments(spark, d, v=_v):
+        return _gfa(spark, d, v).segments.select("header", "sequence")
+
+    @query(_GAPS + " SELECT s1, '+' AS s1_or, s2, s2_or, len AS dist FROM gaps WHERE s1 IS NOT NULL", f"read_gfa{_v}_gaps")
+    def _read_gaps(spark, d, v=_v):
+        return _gfa(spark, d, v).gaps.select("s1", "s1_or", "s2", "s2_or", "dist")
+
+
+@query(f"WITH {_OFF} SELECT path AS object, CAST(part AS BIGINT) AS part, begin_ + 1 AS obj_start, stop AS obj_end, CASE WHEN ctype = 'SEGMENT' THEN 'W' ELSE 'N' END AS ctype, CASE WHEN ctype = 'SEGMENT' THEN comp ELSE CAST(len AS VARCHAR) END AS c6 FROM off")
+def read_agp(spark, d):
+    from contigua.sources import readers, sinks
+
+    path = _written(spark, sinks.agp_lines(stats.offsets(B.components(spark, d))), "agp")
+    return readers.read_agp(spark, path).select("object", "part", "obj_start", "obj_end", "ctype", "c6")
+
+
 # -- order ------------------------------------------------------------------------------------------
 
 

@@ -59,6 +59,12 @@ def path_ref(text: str) -> tuple[str, int, int, str]:
     return name, int(start or 0), int(end or 0), sign or "+"
 
 
+def _known(table: DataFrame, name: str, what: str) -> None:
+    """An instruction that names what is not there is an error."""
+    if table.filter(F.col("header") == name).isEmpty():
+        raise ValueError(f"no {what} named {name}")
+
+
 def _placed(a: Assembly) -> DataFrame:
     return placed(a.components, a.segments, a.gaps)
 
@@ -91,6 +97,8 @@ def _part(a: Assembly, ref: tuple[str, int, int, str]) -> DataFrame:
 def join(st: State, i: Instruction) -> State:
     a = st.assembly
     one, two, new = path_ref(i.arg(0)), path_ref(i.arg(1)), i.arg(4)
+    for name in (one[0], two[0]):
+        _known(a.paths, name, "path")
     first, second = _part(a, one), _part(a, two)
     name = st.gap_name(i.arg(3))
     (c1, o1), (c2, o2) = _end(first, True), _end(second, False)
@@ -115,6 +123,7 @@ def split(st: State, i: Instruction) -> State:
 
 def excise(st: State, i: Instruction) -> State:
     a, contig = st.assembly, i.arg(0)
+    _known(a.segments, contig, "segment")
     name = st.gap_name(i.arg(2))
     comps = E.excise(a.components, F.col("comp") == contig, F.lit(name))
     incident = (F.col("s1") == contig) | (F.col("s2") == contig)
@@ -126,6 +135,7 @@ def excise(st: State, i: Instruction) -> State:
 
 def remove(st: State, i: Instruction) -> State:
     a, contig = st.assembly, i.arg(0)
+    _known(a.segments, contig, "segment")
     using = a.components.filter((F.col("comp") == contig) & (F.col("ctype") == SEGMENT)).select("path").distinct()
     paths = a.paths.join(using, F.col("header") == F.col("path"), "left_anti")
     incident = (F.col("s1") == contig) | (F.col("s2") == contig)
@@ -134,11 +144,13 @@ def remove(st: State, i: Instruction) -> State:
 
 
 def exclude(st: State, i: Instruction) -> State:
+    _known(st.assembly.paths, i.arg(0), "path")
     return State(_without(st.assembly, i.arg(0)), st.beds, st.new_gaps)
 
 
 def _rewrite(st: State, contig: str, make: Callable, quality: Callable | None = None) -> State:
     a = st.assembly
+    _known(a.segments, contig, "segment")
     hit = F.col("header") == contig
     segs = a.segments.withColumn("sequence", F.when(hit, make(F.col("sequence"))).otherwise(F.col("sequence")))
     if quality is not None and "quality" in a.segments.columns:
@@ -157,6 +169,7 @@ def rvcp(st: State, i: Instruction) -> State:
     a, name = st.assembly, i.arg(0)
     if not a.segments.filter(F.col("header") == name).isEmpty():
         return _rewrite(st, name, lambda s: S.revcomp(s, strict=True), S.rev)
+    _known(a.paths, name, "segment or path")
     return State(a.with_(components=E.revcom(a.components, F.col("path") == name)), st.beds, st.new_gaps)
 
 
@@ -176,6 +189,7 @@ def decompress(st: State, i: Instruction) -> State:
         raise ValueError("nothing to decompress")
     _, bed = st.beds[-1]
     a, name = st.assembly, i.arg(0)
+    _known(a.segments, name, "segment")
     with_bed = a.segments.join(bed.withColumn("__h", F.lit(name)), F.col("header") == F.col("__h"), "left")
     segs = with_bed.withColumn("sequence", F.when(F.col("__bed").isNull(), F.col("sequence")).otherwise(S.decompress(F.col("sequence"), F.coalesce("__bed", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))))
     return State(a.with_(segments=segs.select(*a.segments.columns)), st.beds[:-1], st.new_gaps)
@@ -183,11 +197,13 @@ def decompress(st: State, i: Instruction) -> State:
 
 def resize(st: State, i: Instruction) -> State:
     a = st.assembly
+    _known(a.gaps, i.arg(0), "gap")
     return State(a.with_(gaps=a.gaps.withColumn("dist", F.when(F.col("header") == i.arg(0), int(i.arg(1))).otherwise(F.col("dist")))), st.beds, st.new_gaps)
 
 
 def mask(st: State, i: Instruction) -> State:
     a, path, lo, hi = st.assembly, i.arg(0), int(i.arg(1)), int(i.arg(2))
+    _known(a.paths, path, "path")
     name, size = st.gap_name(), int(i.arg(3, str(hi - lo)))
     mine = F.col("path") == path
     own = E.mask(_placed(a.with_(components=a.components.filter(mine))), F.lit(lo), F.lit(hi), F.lit(name), F.lit(size).cast("long"))
@@ -201,6 +217,7 @@ def mask(st: State, i: Instruction) -> State:
 
 def cleave(st: State, i: Instruction) -> State:
     a, (contig, pos, left, right) = st.assembly, (i.arg(k) for k in range(4))
+    _known(a.segments, contig, "segment")
     n, hit = int(pos), F.col("header") == contig
     two = F.when(hit, F.array(F.struct(F.lit(left).alias("h"), F.substring("sequence", 1, n).alias("s")), F.struct(F.lit(right).alias("h"), F.expr(f"substring(sequence, {n + 1}, length(sequence))").alias("s")))).otherwise(F.array(F.struct(F.col("header").alias("h"), F.col("sequence").alias("s"))))
     segs = a.segments.withColumn("__two", F.explode(two)).withColumn("header", F.col("__two.h")).withColumn("sequence", F.col("__two.s")).drop("__two")
@@ -212,12 +229,14 @@ def cleave(st: State, i: Instruction) -> State:
 
 def rename(st: State, i: Instruction) -> State:
     a, old, new = st.assembly, i.arg(0), i.arg(1)
+    _known(a.paths, old, "path")
     paths = a.paths.withColumn("header", F.when(F.col("header") == old, new).otherwise(F.col("header")))
     return State(a.with_(paths=paths, components=E.rename(a.components, old, new)), st.beds, st.new_gaps)
 
 
 def comment(st: State, i: Instruction) -> State:
     a = st.assembly
+    _known(a.paths, i.arg(0), "path")
     return State(a.with_(paths=a.paths.withColumn("comment", F.when(F.col("header") == i.arg(0), i.arg(1)).otherwise(F.col("comment")))), st.beds, st.new_gaps)
 
 

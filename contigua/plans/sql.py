@@ -30,6 +30,17 @@ ADJ = EDGES + (
     ", adj AS (SELECT k.a AS node, k.b AS o0, k.c AS other, k.d AS o1 FROM k1 UNION ALL SELECT k.c, translate(k.d, '+-', '-+'), k.a, translate(k.b, '+-', '-+') FROM k1)"
 )
 
+_ADJ_OF = ADJ[len(EDGES):]
+
+#: Each order's first four lines as a bubble: line 1 to 2 and 3, both to 4.
+BUBBLES = LINES + (
+    ", ge AS (SELECT a.path * 10 + a.o AS s1, a.orientation AS s1_or, b.path * 10 + b.o AS s2, b.orientation AS s2_or FROM gl a JOIN gl b ON a.path = b.path"
+    " WHERE (a.o = 1 AND b.o IN (2, 3)) OR (a.o IN (2, 3) AND b.o = 4))"
+) + _ADJ_OF
+
+#: Edges between parts of at most 25 bases.
+SMALL_ADJ = EDGES.replace(", ge AS (", ", ge0 AS (") + ", ge AS (SELECT * FROM ge0 WHERE s1 IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND s2 IN (SELECT p_partkey FROM part WHERE p_size <= 25))" + _ADJ_OF
+
 CLOSURE = ADJ + (
     ", reach AS (SELECT p_partkey AS node, p_partkey AS label FROM part UNION SELECT a.other, r.label FROM reach r JOIN adj a ON a.node = r.node WHERE r.label < a.other)"
     ", comp AS (SELECT node, min(label) AS label FROM reach GROUP BY node)"

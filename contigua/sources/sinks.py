@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contigua.functions import seq as S
 from contigua.model import EDGE, GAP, SEGMENT, Assembly
+from contigua.operators.stats import offsets, placed
 
 TAB = "\t"
 
@@ -170,7 +171,12 @@ def report_lines(metrics: DataFrame, tabular: bool = False) -> DataFrame:
 # -- variants ---------------------------------------------------------------------------------------
 
 #: What a VCF begins with.
-VCF_HEAD = ("##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tsample")
+VCF_HEAD = (
+    "##fileformat=VCFv4.2",
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">',
+    "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE",
+)
 
 
 def vcf_lines(offsets: DataFrame, variants: DataFrame, segments: DataFrame) -> DataFrame:
@@ -193,3 +199,49 @@ def vcf_lines(offsets: DataFrame, variants: DataFrame, segments: DataFrame) -> D
     pos = F.col("begin") + F.col("at") - F.col("shift") - F.col("anchor") + 1
     line = _line(F.col("path"), pos, ".", F.col("ref"), F.array_join(F.transform("x", lambda e: e["text"]), ","), F.format_string("%.2f", "q"), "PASS", ".", "GT:GQ", F.concat(F.lit("1/1:"), F.format_string("%.2f", "q")))
     return held.select("path", pos.alias("pos"), line.alias("line"))
+
+
+# -- by format --------------------------------------------------------------------------------------
+
+#: Words and suffixes that name a format.
+FORMATS = {"fasta": "fasta", "fa": "fasta", "fastq": "fastq", "fq": "fastq", "gfa": "gfa", "gfa2": "gfa2", "vcf": "vcf"}
+
+
+def format_of(target: str) -> tuple[str, bool, str | None]:
+    """(format, gzip, path) of a format's word, as ``gfa`` or ``fa.gz``, or of a path that ends in one; a word alone has no path."""
+    name = target.rsplit("/", 1)[-1]
+    plain = name.removesuffix(".gz")
+    word = plain.rpartition(".")[2].lower()
+    if word not in FORMATS:
+        raise ValueError(f"no format is known by {target!r}")
+    return FORMATS[word], plain != name, None if "/" not in target and plain.lower() in FORMATS else target
+
+
+def assembly_lines(a: Assembly, form: str, variants: DataFrame | None = None, width: int = 0) -> DataFrame:
+    """(kind, ord, line) of an assembly in a format, to be ordered by the first two."""
+    spark = a.segments.sparkSession
+    if form in ("gfa", "gfa2"):
+        lines = gfa1_lines(a) if form == "gfa" else gfa2_lines(a)
+        return lines.select("kind", F.lit("").alias("ord"), "line")
+    components = placed(a.components, a.segments, a.gaps)
+    if form == "vcf":
+        head = spark.createDataFrame([(i, "", h) for i, h in enumerate(VCF_HEAD)], "kind int, ord string, line string")
+        if variants is None:
+            return head
+        rows = vcf_lines(offsets(components), variants, a.segments)
+        return head.unionByName(rows.select(F.lit(len(VCF_HEAD)).alias("kind"), F.concat_ws(" ", "path", F.lpad(F.col("pos").cast("string"), 20, "0")).alias("ord"), "line"))
+    if a.edges is not None:
+        overlap = a.edges.select(F.col("header").alias("__e"), S.cigar_match(F.col("cigar")).alias("overlap"))
+        components = components.join(overlap, (F.col("comp") == F.col("__e")) & (F.col("ctype") == EDGE), "left").drop("__e")
+    records = path_sequences(components).join(a.paths.select(F.col("header").alias("path"), "comment"), "path").select(F.col("path").alias("header"), "comment", F.col("seq").alias("sequence"), "quality")
+    lines = fasta_lines(records.withColumn("seq_pos", F.col("header")), width) if form == "fasta" else fastq_lines(records.withColumn("seq_pos", F.col("header")))
+    return lines.select(F.lit(0).alias("kind"), F.col("seq_pos").alias("ord"), "line")
+
+
+def write_assembly(a: Assembly, target: str, variants: DataFrame | None = None, width: int = 0) -> DataFrame:
+    """Writes in the format that a path's suffix names, gzip by ``.gz``; a format's word alone writes nothing. Returns the lines."""
+    form, gzip, path = format_of(target)
+    lines = assembly_lines(a, form, variants, width)
+    if path is not None:
+        write_lines(lines, path, order=("kind", "ord"), gzip=gzip)
+    return lines

@@ -93,8 +93,8 @@ def hpc_compress(spark, d):
 
 _per_seq(
     "pack_2bit_hex", lambda s: F.hex(P.pack_2bit(s)),
-    "array_to_string(list_transform(range(0, ceil(length(seq) / 4)::BIGINT * 2), lambda i: substr('0123456789ABCDEF', (instr('ACGT', substr(rpad(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g'), length(seq)::INT + 4, 'A'), 2 * i + 1, 1)) - 1) * 4"
-    " + instr('ACGT', substr(rpad(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g'), length(seq)::INT + 4, 'A'), 2 * i + 2, 1)), 1)), '')", "packed",
+    "array_to_string(list_transform(regexp_extract_all(rpad(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g'), (ceil(length(seq) / 4) * 4)::INT, 'A'), '..'),"
+    " lambda x: substr('0123456789ABCDEF', (instr('ACGT', substr(x, 1, 1)) - 1) * 4 + instr('ACGT', substr(x, 2, 1)), 1)), '')", "packed",
 )
 
 

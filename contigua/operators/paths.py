@@ -123,6 +123,25 @@ def rename(components: DataFrame, old: str, new: str) -> DataFrame:
     return components.withColumn("path", F.when(F.col("path") == old, new).otherwise(F.col("path")))
 
 
+# -- gaps -------------------------------------------------------------------------------------------
+
+
+def gaps_of(gaps: DataFrame, one: str, other: str | None = None) -> DataFrame:
+    """Gaps at one segment, or between two, in whatever order."""
+    if other is None:
+        return gaps.filter((F.col("s1") == one) | (F.col("s2") == one))
+    return gaps.filter(((F.col("s1") == one) & (F.col("s2") == other)) | ((F.col("s1") == other) & (F.col("s2") == one)))
+
+
+def remove_gaps(components: DataFrame, gaps: DataFrame, one: str, other: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Components and gaps without the gaps at a segment, or between two; none there is an error."""
+    gone = gaps_of(gaps, one, other).select(F.col("header").alias("__gone"))
+    if gone.isEmpty():
+        raise ValueError(f"no gap at {one}" + (f" and {other}" if other else ""))
+    kept = components.join(gone, (F.col("comp") == F.col("__gone")) & (F.col("ctype") == GAP), "left_anti")
+    return renumber(kept).select(*components.columns), gaps.join(gone, F.col("header") == F.col("__gone"), "left_anti")
+
+
 # -- order ------------------------------------------------------------------------------------------
 
 

@@ -84,6 +84,25 @@ def placed(components: DataFrame, segments: DataFrame, gaps: DataFrame) -> DataF
     )
 
 
+def segment_table(segments: DataFrame, circular: DataFrame, with_sequence: bool = False) -> DataFrame:
+    """Per segment: header, comment, len, a, c, g, t, gc, soft_masked, circular[, sequence, quality]. ``circular`` lists nodes (node)."""
+    n = S.base_counts(F.col("sequence"))
+    length = F.coalesce(F.length("sequence").cast("long"), F.col("ln_length"))
+    joined = segments.join(circular.select(F.col("node").alias("__c")).distinct(), F.col("header") == F.col("__c"), "left")
+    extra = ["sequence", "quality"] if with_sequence else []
+    return joined.select(
+        "header", "comment", length.alias("len"), *(F.coalesce(c, F.lit(0)).cast("long").alias(b) for b, c in n.items()), F.round(S.gc_content(n["a"], n["c"], n["g"], n["t"]), 2).alias("gc"),
+        F.coalesce(S.lower_count(F.col("sequence")), F.lit(0)).cast("long").alias("soft_masked"), F.col("__c").isNotNull().alias("circular"), *extra,
+    )
+
+
+def path_table(paths: DataFrame, report: DataFrame, circular: DataFrame) -> DataFrame:
+    """The path report with comment and circular. ``circular`` lists paths (path)."""
+    figures = [c for c in report.columns if c != "path"]
+    joined = paths.join(report.withColumnRenamed("path", "__p"), F.col("header") == F.col("__p"), "left").join(circular.select(F.col("path").alias("__c")).distinct(), F.col("header") == F.col("__c"), "left")
+    return joined.select("header", "comment", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in figures), F.col("__c").isNotNull().alias("circular"))
+
+
 def offsets(components: DataFrame) -> DataFrame:
     """With (begin, stop): each component's place on its path, 0-based half-open, and its part number."""
     w = Window.partitionBy("path").orderBy("ord")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from contigua.model import AGP, BED, COMPONENTS, EDGE, GAP, READS, SEGMENT, Assembly
-from contigua.operators import ingest
+from contigua.operators import filters, ingest
 from contigua.operators.paths import renumber, revcom, trim
 
 TAB = "\t"
@@ -27,9 +27,25 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 
 def is_gzip(spark: SparkSession, path: str) -> DataFrame:
-    """(path, gzip) by the files' first two bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", (F.hex(F.substring("content", 1, 2)) == "1F8B").alias("gzip"))
+    """(path, gzip) by the first two bytes of each file; no more of it is read."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [s.getPath() for s in fs.globStatus(where) or []]
+    files = [f.getPath() for s in files for f in (fs.listStatus(s) if fs.getFileStatus(s).isDirectory() else [fs.getFileStatus(s)]) if f.isFile() and not f.getPath().getName().startswith((".", "_"))]
+    found = []
+    for f in files:
+        stream = fs.open(f)
+        try:
+            found.append((f.toString(), stream.read() == 0x1F and stream.read() == 0x8B))
+        finally:
+            stream.close()
+    return spark.createDataFrame(found, "path string, gzip boolean")
+
+
+def file_md5(spark: SparkSession, path: str) -> DataFrame:
+    """(path, md5) of files below 2 GB."""
+    return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -181,9 +197,10 @@ def _gfa1_components(p: DataFrame, gaps: DataFrame, edges: DataFrame) -> DataFra
     return renumber(own.unionByName(inner)).select("path", "ord", "ctype", "comp", "orientation", "start", "end")
 
 
-def split_assembly(records: DataFrame) -> Assembly:
-    """FASTA or FASTQ records cut at their gaps, each a path."""
+def split_assembly(records: DataFrame, hc_cutoff: int = 0) -> Assembly:
+    """FASTA or FASTQ records cut at their gaps, each a path; before that, runs of more than ``hc_cutoff`` equal bases as one (0: not)."""
     spark = records.sparkSession
+    records = ingest.homopolymer_compressed(records, hc_cutoff)
     feats = ingest.features(records)
     segs = ingest.segments_of(feats)
     none = F.expr("cast(array() as array<struct<label:string,type:string,content:string>>)")
@@ -193,9 +210,19 @@ def split_assembly(records: DataFrame) -> Assembly:
     return Assembly(segments, gaps, edges, records.select("header", "comment", "seq_pos"), ingest.components_of(feats))
 
 
-def read_assembly(spark: SparkSession, path: str) -> Assembly:
-    kind = sniff(spark, path)
-    return read_gfa(spark, path) if kind == "gfa" else split_assembly(read_sequences(spark, path))
+def read_assembly(spark: SparkSession, path: str, hc_cutoff: int = 0, include: DataFrame | None = None, exclude: DataFrame | None = None) -> Assembly:
+    """By the first character; the lists (BED) apply to records, or to the segments of a graph."""
+    if sniff(spark, path) == "gfa":
+        return filters.filter_assembly(read_gfa(spark, path), include, exclude)
+    records = read_sequences(spark, path)
+    both = ("sequence", "quality")
+    if include is not None and exclude is not None:
+        records = filters.neither(records, include, exclude)
+    elif include is not None:
+        records = filters.include(records, include, both)
+    elif exclude is not None:
+        records = filters.exclude(records, exclude, both)
+    return split_assembly(records, hc_cutoff)
 
 
 # -- intervals and AGP ------------------------------------------------------------------------------
@@ -218,14 +245,17 @@ def read_agp(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def apply_agp(components: DataFrame, agp: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_agp(components: DataFrame, agp: DataFrame, discovered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Scaffolds rebuilt by an AGP table from paths: (components with len, rows that named no path).
 
     ``components`` needs len. A W row takes bases beg to end of the path it names, reversed for -; N and U rows
-    are gaps, and such at either end of an object are left out. Objects replace the paths.
+    are gaps, and such at either end of an object are left out. Objects replace the paths. ``discovered``: a W row names a
+    segment, whose path is ``<segment>_path`` (those that ``discover_paths`` makes).
     """
     rows = agp.select("object", "line_no", F.col("ctype").alias("row"), F.col("c6").alias("name"), F.col("c7").try_cast("long").alias("lo"), F.col("c8").try_cast("long").alias("hi"), F.when(F.col("c9") == "-", "-").otherwise("+").alias("sign"))
     w_rows = rows.filter("row = 'W'")
+    if discovered:
+        w_rows = w_rows.withColumn("name", F.concat("name", F.lit("_path")))
     missing = w_rows.join(components.select(F.col("path").alias("name")).distinct(), "name", "left_anti")
     used = w_rows.join(components, F.col("name") == F.col("path")).withColumn("path", F.concat_ws("\x1f", "object", "line_no", "name"))
     segs = revcom(trim(used, F.col("lo"), F.col("hi")), F.col("sign") == "-")

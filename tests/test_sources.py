@@ -136,3 +136,42 @@ def test_streaming_counts(spark, tmp_path):
 def test_lines_to_files(spark, tmp_path):
     sinks.write_lines(spark.createDataFrame([("b", 2), ("a", 1)], "line string, n int"), str(tmp_path / "o"), order=("n",), gzip=True)
     assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ["a", "b"]
+
+
+def test_lists_flags_gaps_and_formats(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from contigua.operators import filters, graph, paths, stats
+    from contigua.sources import readers, sinks
+
+    text = "H\tVN:Z:1.2\nS\ta\tACGTacgt\tCM:Z:hi\nS\tb\tGGGG\nS\tc\tTTTT\nL\ta\t+\ta\t+\t0M\nL\ta\t+\tb\t+\t2M\nJ\tb\t+\tc\t+\t5\nP\tp\ta+,b+;c-\t*\nP\tq\tb+\t*\n"
+    (tmp_path / "x.gfa").write_text(text)
+    a = readers.read_assembly(spark, str(tmp_path / "x.gfa"))
+    bed = spark.createDataFrame([("a", 0, 4)], "chrom string, start long, end long")
+    names = lambda df, c="header": sorted(r[0] for r in df.select(c).distinct().collect())
+    only = filters.filter_assembly(a, included=bed)
+    assert [tuple(r) for r in only.segments.select("header", "sequence").collect()] == [("a", "ACGT")] and names(only.paths) == []
+    but = filters.filter_assembly(a, excluded=spark.createDataFrame([("c", 0, 0)], "chrom string, start long, end long"))
+    assert names(but.segments) == ["a", "b"] and names(but.paths) == ["q"] and but.gaps.count() == 0 and but.edges.count() == 2
+    assert names(filters.live(filters.flag_deleted(a.segments, "b"))) == ["a", "c"]
+    comps, gaps = paths.remove_gaps(a.components, a.gaps, "c", "b")
+    assert gaps.count() == 0 and comps.filter("ctype = 'GAP'").count() == 0
+    rows = stats.segment_table(a.segments, graph.circular_segments(a.edges), with_sequence=True).orderBy("header").collect()
+    assert [(r.header, r.comment, r.len, r.gc, r.soft_masked, r.circular) for r in rows] == [("a", "hi", 8, 50.0, 4, True), ("b", "", 4, 100.0, 0, False), ("c", "", 4, 0.0, 0, False)]
+    table = stats.path_table(a.paths, stats.path_report(stats.placed(a.components, a.segments, a.gaps)), spark.createDataFrame([("q",)], "path string")).orderBy("header").collect()
+    assert [(r.header, r.length, r.circular) for r in table] == [("p", 21, False), ("q", 4, True)]
+    for target, form in (("fa", "fasta"), ("x/y.fastq.gz", "fastq"), ("gfa2", "gfa2"), ("/tmp/o.vcf", "vcf")):
+        assert sinks.format_of(target)[0] == form
+    out = str(tmp_path / "out.fa.gz")
+    sinks.write_assembly(a, out)
+    back = readers.read_fasta(spark, out).select("header", "sequence").orderBy("header").collect()
+    assert [tuple(r) for r in back] == [("p", "ACGTacgtGGNNNNNAAAA"), ("q", "GGGG")]
+    assert [r.gzip for r in readers.is_gzip(spark, out + "/*.gz").collect()][:1] == [True]
+    assert sinks.write_assembly(a, "gfa").filter("line LIKE 'P%'").count() == 2 and sinks.write_assembly(a, "vcf").count() == 4
+    hc = readers.read_assembly(spark, out, hc_cutoff=1).segments.select("sequence").collect()
+    assert {"ACGTacgtG", "A", "G"} == {r.sequence for r in hc}
+    assert readers.file_md5(spark, str(tmp_path / "x.gfa")).filter(F.length("md5") == 32).count() == 1
+    agp = spark.createDataFrame([("o", 1, "W", "a", "1", "4", "+")], "object string, line_no long, ctype string, c6 string, c7 string, c8 string, c9 string")
+    own = spark.createDataFrame([("a_path", 1, "SEGMENT", "a", "+", 0, 0, 8)], "path string, ord long, ctype string, comp string, orientation string, start long, end long, len long")
+    placed, missing = readers.apply_agp(own, agp, discovered=True)
+    assert placed.count() == 1 and missing.count() == 0 and readers.apply_agp(own, agp)[1].count() == 1

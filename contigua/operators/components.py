@@ -54,6 +54,7 @@ def component_labels(edges: DataFrame, small: int = SMALL) -> tuple[DataFrame, i
     store = Rounds(spark, keep=1 << 30)
     kind = edges.schema["a"].dataType.simpleString()
     ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = store.write(edges.select("a", "b"))  # it is read twice
     left = store.write(ordered(edges))
     alone = edges.filter("a = b").select(F.col("a").alias("node"))
     steps: list[DataFrame] = []

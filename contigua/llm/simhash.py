@@ -507,15 +507,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows are told apart by id and text, so ids may be null (last in order) or repeated; of rows equal in both one stays.
     Null and wordless texts are equal to each other; other columns pass through, an empty table stays empty.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.withColumn("__id", F.col(id_col).cast("long")).select("*", *row_key(F.col("__id"), text))
+    text, doc = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    k1, k2 = row_key(doc, F.coalesce(text, F.lit("")))
+    own = docs.select(doc.alias("__id"), text.alias("text"), k1, k2)
     if similarity is None:
-        rows = stored(fingerprints(own, "__id", text_col, shingle, "k1", "k2").withColumnRenamed("fp", "node"))
+        rows = stored(fingerprints(own, "__id", "text", shingle, "k1", "k2").withColumnRenamed("fp", "node"))
         labels, _ = component_labels(near_links(cut(rows.select(F.col("node").alias("fp")).distinct()), radius))
     else:
-        rows = stored(sketches(own, text_col, shingle))
-        labels = similar_labels(own, rows, text_col, shingle, radius, both, similarity)
+        rows = stored(sketches(own, "text", shingle))
+        labels = similar_labels(own, rows, "text", shingle, radius, both, similarity)
     named = rows.join(labels, "node", "left").select("k1", "k2", "__id", F.coalesce("label", "node").alias("label"))
     first = named.groupBy("label").agg(F.min(_order()).alias("key")).select("key.k1", "key.k2")
-    gone = sized(stored(named.select("k1", "k2").distinct().join(first, ["k1", "k2"], "left_anti")))
-    return once(own.join(gone, ["k1", "k2"], "left_anti"), "k1", "k2").select(*docs.columns)
+    gone = sized(stored(named.select("k1", "k2").distinct().join(first, ["k1", "k2"], "left_anti").toDF("__k1", "__k2")))
+    kept = docs.select("*", k1.alias("__k1"), k2.alias("__k2")).join(gone, ["__k1", "__k2"], "left_anti")
+    return once(kept, "__k1", "__k2").select(*docs.columns)

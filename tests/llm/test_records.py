@@ -308,3 +308,31 @@ def test_pipeline(spark):
     bench = {r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     texts = [r.text for r in kept.collect()]
     assert texts and not any(b in t for t in texts for b in bench)
+
+
+def test_pipeline_with_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, equal rows, null sources and languages, columns of the names used inside; no rows at all."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    schema = docs.schema
+    clean = docs.filter("lang = 'en'").first()
+    odd = [(None, f"{clean.text} once more", "en", None, 5), (None, None, None, "s", 0), (7, "", "", "s", 0), (7, "two words", "xx", "s", 9), (None, None, None, "s", 0), (7, "two words", "xx", "s", 9)]
+    by_name = {"doc_id": 0, "text": 1, "lang": 2, "source": 3, "n_chars": 4}
+    rows = spark.createDataFrame([tuple(r[by_name[f.name]] for f in schema.fields) for r in odd], schema)
+    more = docs.unionByName(rows).withColumn("label", F.lit("x")).withColumn("node", F.lit(1)).withColumn("k1", F.lit(2)).withColumn("size", F.lit(3)).withColumn("shard", F.lit("y"))
+    kept, none = more, more.limit(0)
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept, none = stage(spark, kept, sf), stage(spark, none, sf)
+        assert kept.columns == more.columns and none.columns == more.columns and none.count() == 0
+        path = scratch(spark, "odd")
+        kept.write.parquet(path)
+        kept = spark.read.parquet(path)
+        counts.append(kept.count())
+    after_dedup = counts[1]
+    assert counts[0] >= after_dedup > 0
+    assert kept.filter("doc_id = 7 AND text = 'two words'").count() >= 1  # a language without a model, a text of its own
+    last = corpus_pipeline.STAGES[4][1](spark, kept, sf)
+    assert last.count() == kept.count() and corpus_pipeline.STAGES[4][1](spark, none, sf).count() == 0

@@ -41,6 +41,12 @@ def test_tokens_as_the_library(text):
     assert COUNTER.count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
 
 
+def test_tokens_of_rare_characters():
+    """Letters that are newer than the library's Unicode, on either side of known ones."""
+    for text in ("\u00c2\U0003d000", "a\U0003d000b", "\u0558a\ua7ce", "1\U00011de01", "\u00e9\U000323b0!", "\u4e00\u3400a\u0ca5", "x\u00b2\u2160y", "'s\u0660's"):
+        assert COUNTER.count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids), text
+
+
 def test_tokens_query(spark):
     texts = [None, "", " \n ", "Hello world's 42", "<|endoftext|>", "naïve " * 900, "x" * 20_000, "same", "same"]
     df = docs(spark, texts).withColumn("n_tokens", F.lit("clash"))

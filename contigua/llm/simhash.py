@@ -12,13 +12,13 @@
 
 The pipeline's stage (``keep_one`` with ``similarity``) has parameters of its own: sets of five-word shingles, linked at an
 exact Jaccard similarity of 0.8. At that similarity fingerprints lie 9.7 +- 2.9 bits apart (12 +- 3.1 where the sets hold few
-shingles), so radius 24 of one and 40 of two together lose a pair with a probability of about 1e-4. A vantage-point
-tree excludes nothing at such a radius, as unrelated texts lie 32 +- 4 bits apart; there the shards are buckets of texts that
-agree in a pair of least shingle hashes, of ``KEYS`` pairs (a pair of texts is in no common bucket with a probability
-of 0.36 ** 10 = 4e-5). Fingerprints then choose inside a bucket what is verified by the sets themselves.
+shingles), so radius 24 of one and 40 of two together lose a pair with a probability of 4e-6 (few shingles: 3.5e-4). The same tree finds the
+pairs within that radius; two more fingerprints (80 bits of all four, which such a pair exceeds with 6e-7 at most) and the sizes
+of the sets leave few pairs of unrelated texts to be verified by the sets themselves. At such a radius the bounds exclude next to
+nothing, as unrelated texts lie 32 +- 4 bits apart: the comparisons are those of all pairs of sets whose sizes allow the similarity.
 
-Nothing is capped or sampled away: the sample chooses where to split, not what is compared. A bucket of more than
-``BUCKET`` texts is dealt as pairs of chunks, so its memory is bounded and its work is the square of its distinct texts.
+Nothing is capped or sampled away: the sample chooses where to split, not what is compared. A leaf of that stage's tree with more than
+``BUCKET`` sets is dealt as several pieces and pieces meet in pairs, so a task's memory is bounded, however many fingerprints are equal.
 The cost to know: 64-bit fingerprints of unrelated texts lie 32 +- 4 bits apart, so a split at radius 4
 excludes only part of the other side (measured: a fingerprint visits about 1.7 of 2 children).
 """
@@ -38,8 +38,12 @@ from contigua.operators.components import component_labels
 
 SEED = 42
 ROWS_AT_ONCE = 1 << 15
-#: Pairs of least hashes that a text is dealt by, and the most texts of a bucket that are compared in one task.
-KEYS, BUCKET = 10, 4096
+#: The sets of a piece of the stage's tree, and the bits in which the four fingerprints of similar sets differ at most.
+BUCKET, MOST_BITS = 1 << 17, 80
+#: Rows that a task deals at a time.
+DEALT_AT_ONCE = 1 << 18
+#: The columns of a set of shingles that are dealt.
+DEALT = ("node", "fp", "fp2", "fp3", "fp4", "n", "label")
 #: At most so many fingerprints (8 bytes each) reach the driver to place the tree's splits.
 MOST_SAMPLE = 1 << 20
 
@@ -172,22 +176,28 @@ class Forest:
             x = y
 
 
-def link_shard(fps: np.ndarray, members: np.ndarray, radius: int, forest: Forest, leaf: int = 512) -> None:
-    """Joins in ``forest`` every pair (any row, member row) within the radius."""
-    stack = [(members, np.arange(len(fps)))]
+def tree_leaves(fps: np.ndarray, members: np.ndarray, asking: np.ndarray, radius: int, leaf: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, asking) of each leaf of a vantage-point tree over the members; asking rows go where the bounds allow a neighbour."""
+    stack = [(members, asking)]
     while stack:
-        own, asking = stack.pop()
-        if not len(own) or not len(asking):
+        own, some = stack.pop()
+        if not len(own) or not len(some):
             continue
         if len(own) > leaf:
             v = vantage(fps[own])
-            d, q = distance(fps[own], v).astype(np.int16), distance(fps[asking], v).astype(np.int16)
+            d, q = distance(fps[own], v).astype(np.int16), distance(fps[some], v).astype(np.int16)
             t = int(np.median(d))
             inside = d <= t
             if inside.any() and not inside.all():
-                stack.append((own[inside], asking[q - radius <= t]))
-                stack.append((own[~inside], asking[q + radius > t]))
+                stack.append((own[inside], some[q - radius <= t]))
+                stack.append((own[~inside], some[q + radius > t]))
                 continue
+        yield own, some
+
+
+def link_shard(fps: np.ndarray, members: np.ndarray, radius: int, forest: Forest, leaf: int = 512) -> None:
+    """Joins in ``forest`` every pair (any row, member row) within the radius."""
+    for own, asking in tree_leaves(fps, members, np.arange(len(fps)), radius, leaf):
         for at in range(0, len(own), 1024):
             block = own[at : at + 1024]
             for start in range(0, len(asking), 1024):
@@ -199,20 +209,25 @@ def link_shard(fps: np.ndarray, members: np.ndarray, radius: int, forest: Forest
                     forest.join(a[real], b[real])
 
 
-def near_links(distinct: DataFrame, radius: int = 4, leaf_target: int = 8192, least_depth: int = 5) -> DataFrame:
-    """Edges (a, b) of a spanning forest, per shard, of all pairs of distinct ``fp`` within ``radius``.
-
-    The tree's depth follows the number of fingerprints, so shards stay near ``leaf_target`` up to 2**30 of them; beyond,
-    MOST_SAMPLE bounds the tree and shards grow.
-    """
-    spark = distinct.sparkSession
+def grown_tree(distinct: DataFrame, leaf_target: int, least_depth: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """(routing tree, its depth) for distinct ``fp``, of which a bounded sample reaches the driver."""
     n = distinct.count()
     sample_rows = min(MOST_SAMPLE, max(16_384, 16 * n // leaf_target))
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
     depth = least_depth
     while (n >> depth) > leaf_target and (8 << depth) < sample_rows:
         depth += 1
-    tree = spark.sparkContext.broadcast(routing_tree(sample, depth))
+    return routing_tree(sample, depth), depth
+
+
+def near_links(distinct: DataFrame, radius: int = 4, leaf_target: int = 8192, least_depth: int = 5) -> DataFrame:
+    """Edges (a, b) of a spanning forest, per shard, of all pairs of distinct ``fp`` within ``radius``.
+
+    The tree's depth follows the number of fingerprints, so shards stay near ``leaf_target`` up to 2**30 of them; beyond,
+    MOST_SAMPLE bounds the tree and shards grow.
+    """
+    grown, depth = grown_tree(distinct, leaf_target, least_depth)
+    tree = distinct.sparkSession.sparkContext.broadcast(grown)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,187 +278,197 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def bucket_keys(shingles: np.ndarray, keys: int = KEYS) -> np.ndarray:
-    """``keys`` hashes of two least hashes each; sets of Jaccard similarity j agree in one with probability j * j."""
-    if not len(shingles):
-        return np.zeros(0, np.uint64)
-    least = np.array([_mixed(shingles, i + 1).min() for i in range(2 * keys)], np.uint64)
-    return _mixed(least[::2] ^ _mixed(least[1::2], 77), 99) ^ np.arange(keys, dtype=np.uint64)
-
-
 def sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Of rows with ``k1``, ``k2`` and ``__id``: these, ``node`` (hash of the set of shingles), ``fp`` and ``fp2`` (two fingerprints of
-    that set), ``n`` (its size), ``keys`` (its buckets)."""
-    names = ["k1", "k2", "__id", "node", "fp", "fp2", "n", "keys"]
+    """Of rows with ``k1``, ``k2`` and ``__id``: these, ``node`` (hash of the set of shingles), ``fp`` to ``fp4`` (four fingerprints of
+    that set), ``n`` (its size)."""
+    names = ["k1", "k2", "__id", *DEALT[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, keys = np.zeros((4, batch.num_rows), np.uint64), []
+            out = np.zeros((6, batch.num_rows), np.uint64)
             for i, text in enumerate(batch.column(3)):
                 own = shingle_set(text.as_py(), shingle)
-                out[:, i] = xxhash.xxh64_intdigest(own.tobytes()), majority(own), majority(_mixed(own, 0)), len(own)
-                keys.append(bucket_keys(own).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c.view(np.int64)) for c in out), pa.array(keys, pa.list_(pa.int64()))], names=names)
+                out[:, i] = xxhash.xxh64_intdigest(own.tobytes()), majority(own), *(majority(_mixed(own, salt)) for salt in range(3)), len(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c.view(np.int64)) for c in out)], names=names)
         give_back()
 
-    return rows.select("k1", "k2", "__id", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", keys array<long>")
+    return rows.select("k1", "k2", "__id", F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def bucket_pairs(node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, similarity: float, radius: int, both: int, every: bool) -> np.ndarray:
-    """Pairs of rows of a bucket, in order of ``n``, that ``candidates`` asks for; with two values of ``side``, across them."""
-    m, across = len(node), side[0] != side[-1] or (side != side[0]).any()
-    forest = Forest(m)
-    nearest, nearest_d = np.full(m, -1), np.full(m, 255, np.int64)
-    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-    for at in range(0, m, 512):
-        block = np.arange(at, min(at + 512, m))
-        high = np.searchsorted(n, n[block[-1]] / similarity + 1e-6, "right")
-        for start in range(at, high, 2048):
-            some = np.arange(start, min(start + 2048, high))
-            i, j = np.nonzero(distance(fp[some][:, None], fp[block][None, :]) <= radius)
-            a, b = some[i], block[j]
-            ahead = a > b
-            a, b = a[ahead], b[ahead]
-            d = distance(fp[a], fp[b]).astype(np.int64) + distance(fp2[a], fp2[b])
-            real = (d <= both) & (label[a] != label[b]) & (n[b] >= similarity * n[a] - 1e-6)
-            if across:
-                real &= side[a] != side[b]
-            a, b, d = a[real], b[real], d[real]
-            if not len(a):
-                continue
-            if every:
-                found.append(np.stack([a, b], 1))
-                continue
-            order = np.argsort(d, kind="stable")
-            a, b, d = a[order], b[order], d[order]
-            for x, y in ((a, b), (b, a)):
-                who, first = np.unique(x, return_index=True)
-                closer = d[first] < nearest_d[who]
-                nearest[who[closer]], nearest_d[who[closer]] = y[first[closer]], d[first[closer]]
-            ra, rb = forest.roots(a), forest.roots(b)
-            apart = np.flatnonzero(ra != rb)
-            _, first = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)], 1)[apart], axis=0, return_index=True)
-            for p in np.sort(apart[first]).tolist():
-                x, y = forest.find(a[p]), forest.find(b[p])
-                if x != y:
-                    forest.up[max(x, y)] = min(x, y)
-                    found.append(np.array([[a[p], b[p]]]))
-    with_near = np.flatnonzero(nearest >= 0)
-    pairs = node[np.concatenate([*found, np.stack([with_near, nearest[with_near]], 1)])]
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+def dealt(nodes: DataFrame, radius: int, bucket: int, least_depth: int = 4) -> DataFrame:
+    """(lo, hi, side, *DEALT), ordered: each node with its piece ``side``, once for each piece that may hold a neighbour of it.
 
+    A piece is a leaf of the routing tree, or one of several parts of a leaf of more than ``bucket`` nodes. Two nodes within
+    the radius meet in one pair of pieces (lo, hi) and no other.
+    """
+    spark = nodes.sparkSession
+    tree, depth = grown_tree(nodes.select("fp").distinct(), bucket, least_depth)
+    routing = spark.sparkContext.broadcast(tree)
 
-def in_buckets(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], list[tuple]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """What ``solve`` finds in each bucket of two or more rows; rows are in order of their first three columns. One bucket is held."""
-    held: pa.Table | None = None
+    def homes(fps: np.ndarray) -> np.ndarray:
+        rows, leaves, _ = route(fps, routing.value, depth, 0)  # at radius 0 nobody visits
+        return leaves[np.argsort(rows)]
 
-    def found(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
-        out = [row for a, e in zip(edges, edges[1:]) if e - a > 1 for row in solve(table.slice(a, e - a))]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * len(names)], names=names)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves, m = np.unique(homes(batch.column(0).to_numpy().view(np.uint64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(m, pa.int64())], names=["leaf", "m"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        c = [table.column(i).to_numpy() for i in range(3)]
-        edges = [0, *(np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1).tolist()]
-        if len(edges) > 1:
-            yield found(table, edges)
-        held = table.slice(edges[-1])
-    if held is not None:
-        yield found(held, [0, held.num_rows])
-    give_back()
+    held = np.zeros(1 << depth, np.int64)
+    for leaf, m in nodes.select("fp").mapInArrow(count, "leaf long, m long").groupBy("leaf").agg(F.sum("m")).collect():
+        held[leaf] = m
+    parts = np.maximum(1, -(-held // bucket))
+    first = np.cumsum(parts) - parts
+    step = max(1, DEALT_AT_ONCE // int(parts.sum()))
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                node, fps = (part.column(i).to_numpy().view(np.uint64) for i in range(2))
+                home = homes(fps)
+                own = first[home] + (node % parts[home].astype(np.uint64)).astype(np.int64)
+                rows, leaves, _ = route(fps, routing.value, depth, radius, at_home=False)
+                many = parts[leaves]
+                other = np.arange(many.sum()) + np.repeat(first[leaves] - np.cumsum(many) + many, many)
+                rows = np.repeat(rows, many)
+                pair = (np.minimum(own[rows], other), np.maximum(own[rows], other), own[rows])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in pair), *(c.take(pa.array(rows)) for c in part.columns)], names=["lo", "hi", "side", *DEALT])
+
+    return _by_pieces(nodes.select(*DEALT).mapInArrow(deal, "lo int, hi int, side int, " + ", ".join(f"{c} long" for c in DEALT)))
 
-def dealt(nodes: DataFrame, bucket: int, *more: str) -> DataFrame:
-    """(key, lo, hi, side, node, fp, fp2, n, label, *more), a row a bucket of each node, ordered; large buckets as pairs of chunks."""
-    names = ["node", "fp", "fp2", "n", "label", *more]
-    rows = nodes.select(*names, F.explode("keys").alias("key"))
-    hot = stored(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > bucket).select("key", F.ceil(F.col("m") / bucket).cast("int").alias("parts")))
-    zero = F.lit(0).cast("int")
-    if hot.isEmpty():
-        out = rows.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), *names)
-    else:
-        parted = rows.join(sized(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        each = parted.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
-        out = each.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", *names)
-    return _by_bucket(out)
 
+def _by_pieces(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_width(rows.sparkSession), "lo", "hi").sortWithinPartitions("lo", "hi", "n", "node")
 
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition(shuffle_width(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
 
+def in_pieces(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], list[tuple]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What ``solve`` finds in each pair of pieces of two or more rows; rows are in order of their first two columns. One pair is held."""
+    held: list[pa.RecordBatch] = []
+    at = None
 
-def _pairs(bucket: pa.Table, similarity: float, radius: int, both: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, pairs of places); with ``keys``, without the pairs of which an earlier bucket of both takes care."""
-    c = {name: bucket.column(name).to_numpy() for name in ("lo", "hi", "side", "node", "fp", "fp2", "n", "label")}
+    def found() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        out = solve(table) if table.num_rows > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * len(names)], names=names)
+
+    for batch in batches:
+        lo, hi = (batch.column(i).to_numpy() for i in range(2))
+        edges = [0, *(np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                if at != (lo[a], hi[a]) and held:
+                    yield from found()
+                    held = []
+                at = (lo[a], hi[a])
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from found()
+    give_back()
+
+
+def near_pairs(pieces: pa.Table, similarity: float, radius: int, both: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some at a time, the pairs of rows (a, b) of two pieces, or of one with itself, that ``candidates`` asks for, and their distance.
+
+    Rows are in order of ``n``. The tree's leaves are compared in blocks of like size, with the sizes that the similarity allows.
+    """
+    c = {name: pieces.column(name).to_numpy() for name in ("lo", "hi", "side", *DEALT)}
+    prints = [c[name].view(np.uint64) for name in DEALT[1:5]]
+    n, label, fp = c["n"], c["label"], prints[0]
     across = c["lo"][0] != c["hi"][0]
-    side = c["side"] if across else np.zeros(len(c["node"]), np.int32)
-    nobody = np.zeros((0, 2), np.int64)
-    if (across and (side == side[0]).all()) or (every and (c["label"] == c["label"][0]).all()):
-        return c["node"], nobody
-    pairs = bucket_pairs(np.arange(len(side)), c["fp"].view(np.uint64), c["fp2"].view(np.uint64), c["n"], c["label"], side, similarity, radius, both, every)
-    if every and len(pairs):
-        keys = bucket.column("keys").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
-        same = keys[pairs[:, 0]] == keys[pairs[:, 1]]
-        first = keys[pairs[:, 0], same.argmax(1)]
-        pairs = pairs[first == bucket.column("key")[0].as_py()]
-    return c["node"], pairs
+    own, asking = (np.flatnonzero(c["side"] == c[end]) for end in ("lo", "hi"))
+    for members, some in tree_leaves(fp, own, asking, radius, 4096):
+        sizes = n[some]
+        for at in range(0, len(members), 256):
+            block = members[at : at + 256]
+            start = np.searchsorted(sizes, similarity * n[block[0]] - 1e-6) if across else np.searchsorted(some, block[0], "right")
+            stop = np.searchsorted(sizes, n[block[-1]] / similarity + 1e-6, "right")
+            for place in range(start, stop, 1024):
+                far = some[place : min(place + 1024, stop)]
+                i, j = np.nonzero(distance(fp[block][:, None], fp[far][None, :]) <= radius)
+                a, b = block[i], far[j]
+                if not across:
+                    a, b = a[a < b], b[a < b]
+                d = distance(prints[0][a], prints[0][b]) + distance(prints[1][a], prints[1][b])
+                a, b, d = (x[d <= both] for x in (a, b, d))
+                d = d + distance(prints[2][a], prints[2][b]) + distance(prints[3][a], prints[3][b])
+                real = (d <= MOST_BITS) & (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+                if real.any():
+                    yield a[real], b[real], d[real]
+
+
+def forest_and_nearest(pieces: pa.Table, similarity: float, radius: int, both: int) -> list[tuple]:
+    """Of all ``near_pairs``, as nodes, those of a spanning forest and of each row with its nearest."""
+    m = pieces.num_rows
+    forest = Forest(m)
+    nearest, nearest_d = np.full(m, -1), np.full(m, 1 << 10)
+    found: list[tuple[int, int]] = []
+    for a, b, d in near_pairs(pieces, similarity, radius, both):
+        order = np.argsort(d, kind="stable")
+        a, b, d = a[order], b[order], d[order]
+        for x, y in ((a, b), (b, a)):
+            closer = np.flatnonzero(d < nearest_d[x])[::-1]  # the least is written last
+            nearest[x[closer]], nearest_d[x[closer]] = y[closer], d[closer]
+        ra, rb = forest.roots(a), forest.roots(b)
+        apart = np.flatnonzero(ra != rb)
+        _, first = np.unique((np.minimum(ra, rb) * m + np.maximum(ra, rb))[apart], return_index=True)
+        for p in np.sort(apart[first]).tolist():
+            x, y = forest.find(a[p]), forest.find(b[p])
+            if x != y:
+                forest.up[max(x, y)] = min(x, y)
+                found.append((a[p], b[p]))
+    with_near = np.flatnonzero(nearest >= 0)
+    places = np.concatenate([np.array(found, np.int64).reshape(-1, 2), np.stack([with_near, nearest[with_near]], 1)])
+    node = pieces.column("node").to_numpy()
+    return list(map(tuple, np.unique(np.sort(node[places], axis=1), axis=0).tolist()))
 
 
 def candidates(nodes: DataFrame, similarity: float, radius: int, both: int, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a, b) of ``node`` that share a bucket, whose ``label`` differ, whose sizes allow the similarity, and whose
-    fingerprints lie within ``radius`` (the first) and ``both`` (the two together).
+    """Pairs (a, b) of ``node`` that the tree finds, whose ``label`` differ, whose sizes allow the similarity, and whose
+    fingerprints lie within ``radius`` (the first), ``both`` (the first two together) and MOST_BITS (all).
 
-    Of each bucket only a spanning forest of them and each node's nearest, so that a large group
+    Of each pair of pieces only a spanning forest of them and each node's nearest, so that a large group
     of near copies gives pairs in proportion to its nodes.
     """
-
-    def solve(table: pa.Table) -> list[tuple]:
-        node, pairs = _pairs(table, similarity, radius, both, False)
-        return [tuple(sorted(p)) for p in node[pairs].tolist()]
-
-    return dealt(nodes, bucket).mapInArrow(lambda batches: in_buckets(batches, solve, ["a", "b"]), "a long, b long").distinct()
+    return dealt(nodes, radius, bucket).mapInArrow(lambda batches: in_pieces(batches, lambda pieces: forest_and_nearest(pieces, similarity, radius, both), ["a", "b"]), "a long, b long").distinct()
 
 
 def links_within(nodes: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float, radius: int, both: int, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of ``similarity`` that join all nodes of different ``label`` which any such links join.
 
-    Every candidate pair is looked at, in the first bucket that both share, and compared by its sets unless links of the bucket
+    Every candidate pair is looked at, where its two pieces meet, and compared by its sets unless links found there
     have joined it already; only nodes that have such a pair bring their set there, and pairs as such never leave a task.
     """
-    names = ["key", "lo", "hi", "side", "node", "fp", "fp2", "n", "label"]
+    names = ["lo", "hi", "side", *DEALT]
 
-    def asked(table: pa.Table) -> list[tuple]:
-        _, pairs = _pairs(table, similarity, radius, both, True)
-        columns = [table.column(c).to_pylist() for c in names]
-        return [tuple(c[i] for c in columns) for i in np.unique(pairs).tolist()]
+    def asked(pieces: pa.Table) -> list[tuple]:
+        open_ = np.zeros(pieces.num_rows, bool)
+        for a, b, _ in near_pairs(pieces, similarity, radius, both):
+            open_[a] = open_[b] = True
+        return list(zip(*(c.to_pylist() for c in pieces.filter(pa.array(open_)).columns)))
 
-    open_ = dealt(nodes, bucket, "keys").mapInArrow(lambda batches: in_buckets(batches, asked, names), ", ".join(f"{c} long" for c in names))
-    members = stored(open_)
-    sets = held_sets(members.select("node").distinct(), nodes, rows, text_col, shingle).join(nodes.select("node", "keys"), "node")
+    members = stored(dealt(nodes, radius, bucket).mapInArrow(lambda batches: in_pieces(batches, asked, names), ", ".join(f"{c} long" for c in names)))
+    sets = held_sets(members.select("node").distinct(), nodes, rows, text_col, shingle)
 
-    def check(table: pa.Table) -> list[tuple]:
-        node, pairs = _pairs(table, similarity, radius, both, True)
-        held, out = table.column("held"), []
+    def check(pieces: pa.Table) -> list[tuple]:
+        node, labels, held, out = pieces.column("node").to_numpy(), pieces.column("label").to_numpy(), pieces.column("held"), []
         sets: dict[int, np.ndarray] = {}
         forest = Forest(len(node))
-        labels = table.column("label").to_numpy()
         _, first, of = np.unique(labels, return_index=True, return_inverse=True)
         forest.join(np.arange(len(node)), first[of])
-        for a, b in pairs.tolist():
-            if forest.find(a) != forest.find(b):
-                for i in (a, b):
-                    if i not in sets:
-                        sets[i] = np.frombuffer(held[i].as_buffer(), np.uint64)
-                if alike(sets[a], sets[b], similarity):
-                    forest.join(np.array([a]), np.array([b]))
-                    out.append((int(node[a]), int(node[b])))
+        for a, b, _ in near_pairs(pieces, similarity, radius, both):
+            apart = forest.roots(a) != forest.roots(b)
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                if forest.find(x) != forest.find(y):
+                    for i in (x, y):
+                        if i not in sets:
+                            sets[i] = np.frombuffer(held[i].as_buffer(), np.uint64)
+                    if alike(sets[x], sets[y], similarity):
+                        forest.join(np.array([x]), np.array([y]))
+                        out.append((int(node[x]), int(node[y])))
         return out
 
-    return _by_bucket(members.join(sets, "node").select(*names, "keys", "held")).mapInArrow(lambda batches: in_buckets(batches, check, ["a", "b"]), "a long, b long")
+    return _by_pieces(members.join(sets, "node").select(*names, "held")).mapInArrow(lambda batches: in_pieces(batches, check, ["a", "b"]), "a long, b long")
 
 
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -485,12 +510,12 @@ def similar_labels(rows: DataFrame, drawn: DataFrame, text_col: str, shingle: in
 
     First a forest of the candidates is verified. Then every candidate pair that its links do not join already is.
     """
-    nodes = stored(drawn.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "n", "keys")), F.min(_order()).alias("key")))
+    nodes = stored(drawn.groupBy("node").agg(*(F.min(c).alias(c) for c in DEALT[1:-1]), F.min(_order()).alias("key")))
     large = nodes.filter(F.col("n") >= similarity / (1 - similarity) - 1e-6)  # smaller sets are equal or less similar
     first = stored(candidates(large.withColumn("label", F.col("node")), similarity, radius, both))
     links = stored(verified(first, rows, nodes, text_col, shingle, similarity))
     labels, _ = component_labels(links)
-    named = stored(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "fp", "fp2", "n", "label", "keys", "key"))
+    named = stored(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select(*DEALT, "key"))
     return component_labels(links.union(stored(links_within(named, rows, text_col, shingle, similarity, radius, both))))[0]
 
 
@@ -502,8 +527,8 @@ def _order() -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, both: int = 40, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each component, that with the smallest id.
 
-    With ``similarity``, texts are linked by exact Jaccard similarity of their sets of shingles; buckets, fingerprints
-    of the sets within ``radius``, and of two independent ones within ``both``, only choose what is compared.
+    With ``similarity``, texts are linked by exact Jaccard similarity of their sets of shingles; the tree finds what is compared:
+    fingerprints of the sets within ``radius``, and of two independent ones within ``both``.
     Rows are told apart by id and text, so ids may be null (last in order) or repeated; of rows equal in both one stays.
     Null and wordless texts are equal to each other; other columns pass through, an empty table stays empty.
     """

@@ -155,6 +155,32 @@ def test_buckets_lose_no_link(spark, bucket, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(up))
 
 
+def test_tree_finds_what_no_common_hash_tells(spark):
+    """Two pairs of similarity 20/24 whose least hashes agree in none of ten pairs, which buckets of such pairs lost."""
+    lines = [[f"s{seed}w{i}" for i in range(28)] for seed in (32096, 116581)]
+    df = docs(spark, [" ".join(w[:n]) for w in lines for n in (28, 24)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("radius, bucket", [(24, 50), (4, 10)])
+def test_near_fingerprints_meet_once(spark, radius, bucket):
+    """Each pair within the radius is in one pair of pieces, also of a leaf of equal fingerprints that the tree cannot split."""
+    rng = np.random.default_rng(3)
+    fps = np.concatenate([rng.integers(0, 2**63, 300, dtype=np.uint64), np.full(120, 5, np.uint64)])
+    fps[200:300] = fps[:100] ^ (np.uint64(1) << rng.integers(0, 63, 100, dtype=np.uint64))
+    rows = [(int(node), int(fp), 0, 0, 0, 9, int(node)) for node, fp in zip(rng.permutation(len(fps)) * 7919, fps)]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in simhash.DEALT))
+    met, held, of = Counter(), defaultdict(list), {r[0]: r[1] for r in rows}
+    for r in simhash.dealt(nodes, radius, bucket).collect():
+        assert r.side in (r.lo, r.hi)
+        held[r.lo, r.hi].append((r.node, r.side))
+    for (lo, hi), own in held.items():
+        assert len(own) == len(set(own)) and max(Counter(side for _, side in own).values()) <= 3 * bucket
+        met.update(frozenset((x, y)) for x, s in own for y, t in own if x < y and (lo == hi or s != t))
+    near = {frozenset((x, y)) for x in of for y in of if x < y and (of[x] ^ of[y]).bit_count() <= radius}
+    assert all(met[pair] == 1 for pair in near) and max(met.values()) == 1
+
+
 def test_pipeline_drops_similar_documents(spark):
     rng = random.Random(29)
     texts = [None, "", "a b", "A  b", "one two three four five six seven eight", "one two three four five six seven eight nine"]

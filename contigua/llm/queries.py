@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contigua.llm import chat, compaction, decontaminate, kneser_ney, knn, mixing, simhash, suffix_dedup, token_counts, warc
+from contigua.llm import chat, compaction, conversation_repair, decontaminate, kneser_ney, knn, mixing, pattern_packing, simhash, suffix_dedup, token_counts, vector_codes, warc
 from contigua.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,24 @@ def op10_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pattern_packing.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pattern_packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    found = vector_codes.with_label_error(vector_codes.encode(vectors, books))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(conversation_repair.repair(conversation_repair.damaged(conversation_repair.plain(table(spark, sf_dir, "conversations")))))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_knn_join, op3_warc, op4_simhash_dedup, op5_chat_format, op6_decontaminate, op7_suffix_dedup, op8_mix_sources, op9_quality_kneser_ney, op10_compact_shards]
+    found = [op1_token_counts, op2_knn_join, op3_warc, op4_simhash_dedup, op5_chat_format, op6_decontaminate, op7_suffix_dedup, op8_mix_sources, op9_quality_kneser_ney, op10_compact_shards, op11_pattern_packing, op12_vector_codes, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 

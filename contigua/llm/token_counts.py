@@ -8,7 +8,7 @@ on either side of the new symbol are pushed. Each merge removes one symbol, so
 
 and no identifier is ever looked up. Text never crosses white space in this family of tokenizers, so
 the count of a white-space-delimited chunk is a function of the chunk alone; each Python worker keeps
-a bounded table of chunks that it has merged before.
+a bounded table of chunks that it has merged before (longer ones, such as a text without white space, are not kept).
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; white space alone has 0 tokens; repeated
 rows give repeated results; columns other than the two named are ignored; an empty table gives an empty
@@ -27,8 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks that a worker remembers; beyond it the table is emptied. Only speed depends on it.
-CACHE_ENTRIES = 400_000
+#: Chunks that a worker remembers, beyond which the table is emptied, and their most characters. Only speed depends on it.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 #: What became a letter or a number after Unicode 16.0, the version by which these tokenizers tell words; newer
 #: classes of ``regex`` are taken back to it.
@@ -53,6 +53,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
+def folded(text: str) -> str:
+    """As the tokenizers of this family normalise: composed, letters in lower case one by one."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased alone, so never a final sigma
+        if _LATE.search(text):
+            text = text.translate(LATE_LOWER)
+    return text.lower()
+
+
 class _Chunks(dict):
     """Chunk -> tokens; a missing one is computed, and the table is emptied when full."""
 
@@ -60,9 +69,11 @@ class _Chunks(dict):
         self.counter = counter
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        n = self[chunk] = self.counter.chunk_tokens(chunk)
+        n = self.counter.chunk_tokens(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = n
         return n
 
 
@@ -127,11 +138,7 @@ class MergeCounter:
         return sum(map(self.word_tokens, self.words.findall(chunk)))
 
     def _plain(self, text: str) -> int:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased alone, so never a final sigma
-            if _LATE.search(text):
-                text = text.translate(LATE_LOWER)
-        text = text.lower()
+        text = folded(text)
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to str.split, not to the pattern
             return self.chunk_tokens(text)
         return sum(map(self.chunks.__getitem__, text.split()))

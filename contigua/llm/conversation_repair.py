@@ -224,6 +224,12 @@ def _order(conversation: Column) -> list[Column]:
 def repair(turns: DataFrame, most_turns: int = 20_000, most_chars: int = 64 << 20) -> DataFrame:
     """The columns of ``PIECE``, from rows (conv_id, turn, role, text, there): a row a conversation, or several, ``piece`` by ``piece``, where it is long.
     Sums over pieces are the conversation's figures (``turns_distinct`` counts a turn in the piece of its first row)."""
+    whole, pieces = _both(turns, most_turns, most_chars)
+    return whole if pieces is None else whole.unionByName(pieces)
+
+
+def _both(turns: DataFrame, most_turns: int, most_chars: int) -> tuple[DataFrame, DataFrame | None]:
+    """Conversations solved as a whole, and long ones in pieces if there are any."""
     size = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     long = stored(size.filter((F.col("n") > most_turns) | ((F.col("chars") > most_chars) & (F.col("n") > 1))).select(F.col("conv_id").alias("__long"), "n", "chars"))
     some = long.agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first()
@@ -233,9 +239,9 @@ def repair(turns: DataFrame, most_turns: int = 20_000, most_chars: int = 64 << 2
         short = turns.join(names, same, "left_anti")
     solved = short.select("conv_id", "turn", "role", "text", "there").repartition("conv_id").sortWithinPartitions(*_order(F.col("conv_id"))).mapInArrow(_short, PIECE)
     if not some.n:
-        return solved
+        return solved, None
     width = int(max(some.n // most_turns, (some.chars or 0) // most_chars)) + 1
-    return solved.unionByName(_long(turns.join(names, same, "left_semi"), width))
+    return solved, _long(turns.join(names, same, "left_semi"), width)
 
 
 def _long(turns: DataFrame, width: int) -> DataFrame:
@@ -322,17 +328,19 @@ def _long(turns: DataFrame, width: int) -> DataFrame:
     return done.unionByName(empty.select("conv_id", F.lit(0).cast("long").alias("piece"), F.lit(1).cast("long").alias("pieces"), *(c.alias(n) for c, n in zip(none, _NAMES[3:]))))
 
 
-def digests(pieces: DataFrame) -> DataFrame:
+def digests(turns: DataFrame, most_turns: int = 20_000, most_chars: int = 64 << 20) -> DataFrame:
     """A row a conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
-    Conversations of one piece are digested where they are. The pieces of a longer one pass in order through one task, a piece at a time: SHA-256 has no
+    Conversations solved as a whole are digested where they are. The pieces of a longer one pass in order through one task, a piece at a time: SHA-256 has no
     other way.
     """
-    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    whole, pieces = _both(turns, most_turns, most_chars)
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
     gaps = F.coalesce(F.greatest(F.col("turns_max").cast("decimal(38,0)") - F.col("turns_min") + 1 - F.col("turns_distinct"), F.lit(0)), F.lit(0))
-    out = ["conv_id", F.least(gaps, F.lit((1 << 63) - 1)).cast("long").alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
-    rows = pieces.withColumn("lines", lines).withColumn("kept", F.size("repaired")).drop("repaired")
-    names = ["conv_id", "piece", *_NAMES[3:12], "lines", "kept"]
+    out = ["conv_id", F.least(gaps, F.lit((1 << 63) - 1)).cast("long").alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    one = whole.withColumn("repaired_sha256", F.sha2(text.cast("binary"), 256)).select(*out)
+    if pieces is None:
+        return one
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -352,7 +360,6 @@ def digests(pieces: DataFrame) -> DataFrame:
                     total[k] += r[k]
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "turns_min": low, "turns_max": high, **total, "audit": "".join(audit), "repaired_sha256": sha.hexdigest()}], schema=_FOLDED)
 
-    one = rows.filter("pieces = 1").withColumn("repaired_sha256", F.sha2(F.col("lines").cast("binary"), 256))
-    more = rows.filter("pieces > 1").select(*names).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
-    more = more.mapInArrow(fold, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in _FOLDED))
-    return one.select(*out, "repaired_sha256").unionByName(more.select(*out, "repaired_sha256"))
+    lines = pieces.select("conv_id", "piece", *_NAMES[3:12], text.alias("lines"), F.size("repaired").alias("kept"))
+    folded = lines.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(fold, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in _FOLDED))
+    return one.unionByName(folded.select(*out))

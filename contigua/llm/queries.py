@@ -71,7 +71,7 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_repair.digests(conversation_repair.repair(conversation_repair.damaged(conversation_repair.plain(table(spark, sf_dir, "conversations")))))
+    return conversation_repair.digests(conversation_repair.damaged(conversation_repair.plain(table(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict[str, Query]:

@@ -319,14 +319,14 @@ def odd_turns():
 
 def repaired_rows(spark, rows, **kw):
     df = spark.createDataFrame(rows, CONV).withColumn("audit", F.lit("x")).withColumn("there", F.lit(5)).repartition(3)
-    return sorted(map(tuple, C.digests(C.repair(C.damaged(C.plain(df)), **kw)).collect()), key=repr)
+    return sorted(map(tuple, C.digests(C.damaged(C.plain(df)), **kw).collect()), key=repr)
 
 
 def test_repair_odd_rows(spark):
     rows = odd_turns()
     assert repaired_rows(spark, rows) == plain_repair(rows)
     assert repaired_rows(spark, [(19, t, None, None) for t in range(3)]) == plain_repair([(19, t, None, None) for t in range(3)])
-    assert C.digests(C.repair(C.damaged(C.plain(spark.createDataFrame([], CONV))))).collect() == []
+    assert C.digests(C.damaged(C.plain(spark.createDataFrame([], CONV)))).collect() == []
 
 
 def test_repair_of_long_conversations(spark):
@@ -335,4 +335,9 @@ def test_repair_of_long_conversations(spark):
     rows = odd_turns() + [(1000, t, rng.choice(["user", "assistant", "user", "system"]), rng.choice(["Same.", "Same", f"{t}."])) for t in range(300)]
     gone = [t for t in range(500) if zlib.crc32(f"77:{t}".encode()) % 20 == 0][:12]
     rows += [(77, t, "user", "x") for t in gone]
-    assert repaired_rows(spark, rows, most_turns=9) == plain_repair(rows)
+    want = plain_repair(rows)
+    assert repaired_rows(spark, rows, most_turns=9) == want
+    pieces = C.repair(C.damaged(C.plain(spark.createDataFrame(rows, CONV))), most_turns=9).orderBy("conv_id", "piece").collect()
+    assert len(pieces) > len(want)
+    audit = "".join(r.audit for r in pieces if r.conv_id == 1000)
+    assert audit == next(w[7] for w in want if w[0] == 1000) and sum(len(r.repaired) for r in pieces if r.conv_id == 1000) == len(audit) - audit.count("D")

@@ -1,13 +1,19 @@
 """The edit language: tab-separated instructions, folded over an assembly as DataFrame transformations.
 
-Parsing is on the driver (a program is a short text); each instruction maps an Assembly to a new one. Lineage
-is cut every ``CUT_EVERY`` instructions.
+Parsing is on the driver (a program is a short text); each instruction maps an Assembly to a new one. Neighbouring
+instructions that only rename, describe, drop or resize what they name (``BULK``) are folded by name on the driver, checked against the
+tables in one job a table, and applied as one join each, however many they are. Lineage is cut every ``CUT_EVERY`` other instructions.
+
+Names: what an instruction makes (paths of JOIN, SPLIT and RENAME, segments and the edge of CLEAVE, gaps of JOIN and EXCISE) must not
+be there already, but for what the instruction itself takes away; else it is an error and nothing is changed. Gaps without a name of their own
+get one that the assembly does not have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import re
 
@@ -34,11 +40,17 @@ class Instruction:
 class State:
     assembly: Assembly
     beds: list[tuple[str, DataFrame]] = field(default_factory=list)  # last in, first out
-    new_gaps: int = 0
+    new_gaps: int | None = None  # the greatest number of a name given here; None: not looked up yet
 
     def gap_name(self, wanted: str = "") -> str:
+        if wanted:
+            _free(self.assembly.gaps, wanted, "gap")
+            return wanted
+        if self.new_gaps is None:
+            number = F.regexp_extract("header", r"^gap_e([0-9]{1,17})$", 1).try_cast("long")
+            self.new_gaps = self.assembly.gaps.agg(F.max(number)).first()[0] or 0
         self.new_gaps += 1
-        return wanted or f"gap_e{self.new_gaps}"
+        return f"gap_e{self.new_gaps}"
 
 
 def parse(text: str) -> list[Instruction]:
@@ -65,6 +77,19 @@ def _known(table: DataFrame, name: str, what: str) -> None:
         raise ValueError(f"no {what} named {name}")
 
 
+def _free(table: DataFrame, name: str, what: str, *but: str) -> None:
+    """A new name must not be taken, but by what goes (``but``)."""
+    if not name:
+        raise ValueError(f"a new {what} needs a name")
+    if name not in but and not table.filter(F.col("header") == name).isEmpty():
+        raise ValueError(f"there is a {what} named {name} already")
+
+
+def _two(one: str, other: str, what: str) -> None:
+    if one == other:
+        raise ValueError(f"two new {what}s can't both be named {one}")
+
+
 def _placed(a: Assembly) -> DataFrame:
     return placed(a.components, a.segments, a.gaps)
 
@@ -99,10 +124,11 @@ def join(st: State, i: Instruction) -> State:
     one, two, new = path_ref(i.arg(0)), path_ref(i.arg(1)), i.arg(4)
     for name in (one[0], two[0]):
         _known(a.paths, name, "path")
+    gone = [r[0] for r in (one, two) if not (r[1] or r[2])]  # of sliced ones the rest stays
+    _free(a.paths, new, "path", *gone)
     first, second = _part(a, one), _part(a, two)
     name = st.gap_name(i.arg(3))
     (c1, o1), (c2, o2) = _end(first, True), _end(second, False)
-    gone = [r[0] for r in (one, two) if not (r[1] or r[2])]  # of sliced ones the rest stays
     left = _without(a, *gone) if gone else a
     comps = E.join_paths(left.components, first, second, name, new)
     row = a.paths.sparkSession.createDataFrame([(new,)], "header string")
@@ -114,7 +140,12 @@ def split(st: State, i: Instruction) -> State:
     gap = a.gaps.filter(((F.col("s1") == c1) & (F.col("s2") == c2)) | ((F.col("s1") == c2) & (F.col("s2") == c1))).agg(F.min("header").alias("h")).first().h
     if gap is None:
         raise ValueError(f"no gap between {c1} and {c2}")
-    at = a.components.filter((F.col("ctype") == GAP) & (F.col("comp") == gap)).agg(F.min_by("path", "ord").alias("p"), F.min("ord").alias("o")).first()
+    at = a.components.filter((F.col("ctype") == GAP) & (F.col("comp") == gap)).agg(F.min(F.struct(F.col("path").alias("p"), F.col("ord").alias("o"))).alias("at")).first().at
+    if at is None:
+        raise ValueError(f"no path holds the gap between {c1} and {c2}")
+    _two(new1, new2, "path")
+    for name in (new1, new2):
+        _free(a.paths, name, "path", at.p)
     comps = E.split_at(a.components, F.col("path") == at.p, F.lit(at.o), new1, new2)
     rows = a.paths.sparkSession.createDataFrame([(new1,), (new2,)], "header string")
     kept = a.paths.filter(F.col("header") != at.p).unionByName(rows, allowMissingColumns=True)
@@ -143,11 +174,6 @@ def remove(st: State, i: Instruction) -> State:
     return State(out, st.beds, st.new_gaps)
 
 
-def exclude(st: State, i: Instruction) -> State:
-    _known(st.assembly.paths, i.arg(0), "path")
-    return State(_without(st.assembly, i.arg(0)), st.beds, st.new_gaps)
-
-
 def _rewrite(st: State, contig: str, make: Callable, quality: Callable | None = None) -> State:
     a = st.assembly
     _known(a.segments, contig, "segment")
@@ -195,12 +221,6 @@ def decompress(st: State, i: Instruction) -> State:
     return State(a.with_(segments=segs.select(*a.segments.columns)), st.beds[:-1], st.new_gaps)
 
 
-def resize(st: State, i: Instruction) -> State:
-    a = st.assembly
-    _known(a.gaps, i.arg(0), "gap")
-    return State(a.with_(gaps=a.gaps.withColumn("dist", F.when(F.col("header") == i.arg(0), int(i.arg(1))).otherwise(F.col("dist")))), st.beds, st.new_gaps)
-
-
 def mask(st: State, i: Instruction) -> State:
     a, path, lo, hi = st.assembly, i.arg(0), int(i.arg(1)), int(i.arg(2))
     _known(a.paths, path, "path")
@@ -218,6 +238,11 @@ def mask(st: State, i: Instruction) -> State:
 def cleave(st: State, i: Instruction) -> State:
     a, (contig, pos, left, right) = st.assembly, (i.arg(k) for k in range(4))
     _known(a.segments, contig, "segment")
+    _two(left, right, "segment")
+    for name in (left, right):
+        _free(a.segments, name, "segment", contig)
+    if i.arg(4):
+        _free(a.edges, i.arg(4), "edge")
     n, hit = int(pos), F.col("header") == contig
     two = F.when(hit, F.array(F.struct(F.lit(left).alias("h"), F.substring("sequence", 1, n).alias("s")), F.struct(F.lit(right).alias("h"), F.expr(f"substring(sequence, {n + 1}, length(sequence))").alias("s")))).otherwise(F.array(F.struct(F.col("header").alias("h"), F.col("sequence").alias("s"))))
     segs = a.segments.withColumn("__two", F.explode(two)).withColumn("header", F.col("__two.h")).withColumn("sequence", F.col("__two.s")).drop("__two")
@@ -227,31 +252,128 @@ def cleave(st: State, i: Instruction) -> State:
     return State(a.with_(segments=segs, components=comps, edges=edges, gaps=gaps), st.beds, st.new_gaps)
 
 
-def rename(st: State, i: Instruction) -> State:
-    a, old, new = st.assembly, i.arg(0), i.arg(1)
-    _known(a.paths, old, "path")
-    paths = a.paths.withColumn("header", F.when(F.col("header") == old, new).otherwise(F.col("header")))
-    return State(a.with_(paths=paths, components=E.rename(a.components, old, new)), st.beds, st.new_gaps)
+# -- instructions that touch only what they name ------------------------------------------------------
 
 
-def comment(st: State, i: Instruction) -> State:
-    a = st.assembly
-    _known(a.paths, i.arg(0), "path")
-    return State(a.with_(paths=a.paths.withColumn("comment", F.when(F.col("header") == i.arg(0), i.arg(1)).otherwise(F.col("comment")))), st.beds, st.new_gaps)
+@dataclass
+class _Names:
+    """Names of one table through a program: what each is called now, and which must be there or free to begin with."""
+
+    what: str
+    now: dict[str, str] = field(default_factory=dict)  # called now -> called first, of those touched
+    gone: set[str] = field(default_factory=set)
+    needed: dict[str, None] = field(default_factory=dict)
+    absent: dict[str, None] = field(default_factory=dict)
+
+    def first(self, name: str) -> str:
+        if name in self.gone:
+            raise ValueError(f"no {self.what} named {name}")
+        if name not in self.now:
+            self.needed[name] = None
+            self.now[name] = name
+        return self.now[name]
+
+    def drop(self, name: str) -> str:
+        own = self.first(name)
+        del self.now[name]
+        self.gone.add(name)
+        return own
+
+    def rename(self, old: str, new: str) -> str:
+        own = self.first(old)
+        if new == old:
+            return own
+        if not new:
+            raise ValueError(f"a new {self.what} needs a name")
+        if new in self.now:
+            raise ValueError(f"there is a {self.what} named {new} already")
+        if new not in self.gone:
+            self.absent[new] = None
+        self.drop(old)
+        self.gone.discard(new)
+        self.now[new] = own
+        return own
+
+    def check(self, table: DataFrame) -> None:
+        if not (self.needed or self.absent):
+            return
+        asked = _listed(table, [(n,) for n in {**self.needed, **self.absent}], "header string")
+        there = {r.header for r in table.join(asked, "header", "left_semi").select("header").distinct().collect()}  # of the program's names
+        for name in self.needed:
+            if name not in there:
+                raise ValueError(f"no {self.what} named {name}")
+        for name in self.absent:
+            if name in there:
+                raise ValueError(f"there is a {self.what} named {name} already")
+
+
+def _listed(table: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """The program's rows; sent to all tasks if there are at most 100,000."""
+    own = table.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(own) if len(rows) <= 100_000 else own
+
+
+def _bulk(st: State, program: list[Instruction]) -> State:
+    """RENAME, COMMENT, EXCLUDE and RESIZE, as if one by one."""
+    a, paths, gaps = st.assembly, _Names("path"), _Names("gap")
+    called: dict[str, str | None] = {}
+    comments: dict[str, str] = {}
+    sizes: dict[str, int] = {}
+    for i in program:
+        if i.verb == "RESIZE":
+            sizes[gaps.first(i.arg(0))] = int(i.arg(1))
+        elif i.verb == "EXCLUDE":
+            called[paths.drop(i.arg(0))] = None
+        elif i.verb == "COMMENT":
+            comments[paths.first(i.arg(0))] = i.arg(1)
+        else:
+            called[paths.rename(i.arg(0), i.arg(1))] = i.arg(1)
+    paths.check(a.paths)
+    gaps.check(a.gaps)
+    if sizes:
+        new = _listed(a.gaps, list(sizes.items()), "__h string, __dist long")
+        rows = a.gaps.join(new, F.col("header") == F.col("__h"), "left").withColumn("dist", F.coalesce("__dist", "dist"))
+        a = a.with_(gaps=rows.select(*a.gaps.columns))
+    if called:
+        new = _listed(a.paths, [(k, v, v is None) for k, v in called.items()], "__h string, __new string, __gone boolean")
+
+        def moved(table: DataFrame, column: str) -> DataFrame:
+            rows = table.join(new, F.col(column) == F.col("__h"), "left").filter(~F.coalesce("__gone", F.lit(False)))
+            return rows.withColumn(column, F.coalesce("__new", column)).select(*table.columns)
+
+        if comments:
+            a = a.with_(paths=_commented(a.paths, comments))
+        return State(a.with_(paths=moved(a.paths, "header"), components=moved(a.components, "path")), st.beds, st.new_gaps)
+    return State(a.with_(paths=_commented(a.paths, comments)) if comments else a, st.beds, st.new_gaps)
+
+
+def _commented(paths: DataFrame, comments: dict[str, str]) -> DataFrame:
+    new = _listed(paths, list(comments.items()), "__h string, __comment string")
+    rows = paths.join(new, F.col("header") == F.col("__h"), "left").withColumn("comment", F.coalesce("__comment", "comment"))
+    return rows.select(*paths.columns)
+
+
+BULK = ("RENAME", "COMMENT", "EXCLUDE", "RESIZE")
+
+
+def _alone(st: State, i: Instruction) -> State:
+    return _bulk(st, [i])
 
 
 VERBS: dict[str, Callable[[State, Instruction], State]] = {
     "JOIN": join, "SPLIT": split, "EXCISE": excise, "REMOVE": remove, "ERASE": erase, "RVCP": rvcp, "INVERT": invert, "COMPRESS": compress,
-    "DECOMPRESS": decompress, "EXCLUDE": exclude, "RESIZE": resize, "MASK": mask, "CLEAVE": cleave, "RENAME": rename, "COMMENT": comment,
+    "DECOMPRESS": decompress, "EXCLUDE": _alone, "RESIZE": _alone, "MASK": mask, "CLEAVE": cleave, "RENAME": _alone, "COMMENT": _alone,
 }
 
 
 def run(assembly: Assembly, program: str | list[Instruction]) -> Assembly:
-    state = State(assembly)
-    for n, i in enumerate(parse(program) if isinstance(program, str) else program, 1):
-        state = VERBS[i.verb](state, i)
-        if n % CUT_EVERY == 0:
-            state.assembly = state.assembly.cut()
+    state, since = State(assembly), 0
+    for bulk, own in groupby(parse(program) if isinstance(program, str) else program, key=lambda i: i.verb in BULK):
+        if bulk:
+            state = _bulk(state, list(own))
+            continue
+        for i in own:
+            state, since = VERBS[i.verb](state, i), since + 1
+            if since % CUT_EVERY == 0:
+                state.assembly = state.assembly.cut()
     return state.assembly
-
-

@@ -112,6 +112,60 @@ def test_edit_language(spark, program):
     assert _seqs(sak.run(_assembly(spark), program)) == CASES[program]
 
 
+TAKEN = [
+    "JOIN\ts+\tt-\t3\ts.2\tj",  # a gap of that name is there
+    "JOIN\ts(1:4)+\tt+\t1\tg\ts",  # the rest of s stays
+    "JOIN\ts+\tt-\t3\tg\t",
+    "SPLIT\ts.1\ts.3\tl\tt",
+    "SPLIT\ts.1\ts.3\tl\tl",
+    "EXCISE\ts.3\t1\ts.4",
+    "CLEAVE\tt.1\t3\ts.1\ty",
+    "CLEAVE\tt.1\t3\tx\tx",
+    "RENAME\ts\tt",
+    "RENAME\ts\tx\nRENAME\tt\tx",
+    "RENAME\ts\tx\nCOMMENT\ts\tgone",
+    "EXCLUDE\ts\nEXCLUDE\ts",
+    "MASK\tt\t2\t5\nJOIN\ts+\tt-\t3\tgap_e1\tj",
+]
+
+
+@pytest.mark.parametrize("program", TAKEN)
+def test_names_that_are_taken(spark, program):
+    with pytest.raises(ValueError):
+        sak.run(_assembly(spark), program)
+
+
+def test_names_that_become_free(spark):
+    a = _assembly(spark)
+    assert set(_seqs(sak.run(a, "JOIN\ts+\tt-\t3\tg\ts"))) == {"s"}
+    assert set(_seqs(sak.run(a, "SPLIT\ts.1\ts.3\ts\tr"))) == {"s", "r", "t"}
+    assert _seqs(sak.run(a, "RENAME\ts\tx\nRENAME\tt\ts\nRENAME\tx\tt")) == {"t": "AACCCNNGTTANNNNCG", "s": "ACGTACGT"}
+    assert _seqs(sak.run(a, "EXCLUDE\tt\nRENAME\ts\tt")) == {"t": "AACCCNNGTTANNNNCG"}
+    b = sak.run(a, "CLEAVE\tt.1\t3\tt.1\ty")
+    assert _seqs(b) == _seqs(a) and b.segments.filter("header = 't.1'").count() == 1
+
+
+def test_two_programs_in_a_row(spark):
+    """The second program's gaps have names of their own, so lengths stay."""
+    a = sak.run(sak.run(_assembly(spark), "MASK\tt\t2\t5"), "MASK\ts\t0\t2\nMASK\ts\t3\t4")
+    assert a.gaps.groupBy("header").count().filter("count > 1").count() == 0
+    assert _seqs(a) == {"t": "ACNNNCGT", "s": "NNCNCNNGTTANNNNCG"}
+
+
+def test_many_instructions_at_once(spark):
+    """Thousands of lines take as many jobs as one, and do what one by one would."""
+    n = 3000
+    paths = spark.createDataFrame([(f"p{i}", "", i) for i in range(n)], "header string, comment string, seq_pos long")
+    comps = paths.selectExpr("header AS path", "1L AS ord", "'SEGMENT' AS ctype", "'s' AS comp", "'+' AS orientation", "0L AS start", "0L AS end")
+    gaps = spark.range(n).selectExpr("concat('g', id) AS header", "'s' AS s1", "'+' AS s1_or", "'s' AS s2", "'+' AS s2_or", "1L AS dist")
+    a = _assembly(spark).with_(paths=paths, components=comps, gaps=gaps)
+    lines = [line for i in range(n) for line in (f"RENAME\tp{i}\tq{i}", f"COMMENT\tq{i}\tc{i}", f"RESIZE\tg{i}\t{i}")] + [f"EXCLUDE\tq{i}" for i in range(0, n, 3)] + ["RESIZE\tg5\t7", "COMMENT\tq1\tlast"]
+    b = sak.run(a, "\n".join(lines))
+    want = {(f"q{i}", "last" if i == 1 else f"c{i}") for i in range(n) if i % 3}
+    assert {tuple(r) for r in b.paths.select("header", "comment").collect()} == want and {r.path for r in b.components.collect()} == {q for q, _ in want}
+    assert {r.header: r.dist for r in b.gaps.collect()} == {f"g{i}": 7 if i == 5 else i for i in range(n)}
+
+
 def test_unknown_verb():
     with pytest.raises(ValueError, match="unknown instruction"):
         sak.parse("FROB\tx")

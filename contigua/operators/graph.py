@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from contigua.operators.components import component_labels
 from contigua.operators.lineage import Rounds
@@ -97,25 +97,99 @@ def gap_adjacency(gaps: DataFrame) -> DataFrame:
     return fw.unionAll(gaps.select(F.col("s2").alias("node"), F.lit("BW").alias("way"), F.col("s1").alias("other"), "dist"))
 
 
-def discover_paths(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(path, ord, comp): the chains that forward gaps make, as ``<first segment>_path``.
+def _sides(gaps: DataFrame) -> DataFrame:
+    """(gap, node, side, other, oside, dist): a gap from both its ends. A segment's sides are L, where its bases begin, and R; a gap leaves its
+    first segment by R if that is +, and enters its second by L if that is +."""
+    out, into = F.when(F.col("s1_or") == "-", "L").otherwise("R"), F.when(F.col("s2_or") == "-", "R").otherwise("L")
+    there = gaps.select(F.col("header").alias("gap"), F.col("s1").alias("node"), out.alias("side"), F.col("s2").alias("other"), into.alias("oside"), "dist")
+    back = gaps.select(F.col("header").alias("gap"), F.col("s2").alias("node"), into.alias("side"), F.col("s1").alias("other"), out.alias("oside"), "dist")
+    return there.unionAll(back)
+
+
+def _orientation(side: Column) -> Column:
+    """Of a segment that is entered by a side."""
+    return F.when(side == "L", "+").otherwise("-")
+
+
+def gap_walks(nodes: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Walks through the gap graph, turned segments and rings included: (steps, gaps left over).
 
-    Ranks by pointer doubling: each node holds how far its pointer reaches back; rounds grow with the
-    logarithm of the longest chain. A ring of gaps has no head, and is an error.
+    steps: (path, ord, comp, orientation, gap), each node once; ``gap`` leads to the next step. A path is called ``<first segment>_path``.
+    left over: (gap, reason): every gap that is no step, so none is lost.
+
+    * A gap of a segment with itself is ``terminal``.
+    * Of several gaps at a side only the one of least distance, then least name, may be walked, and is if it is that at its other
+      side too; the others are a ``branch``.
+    * A ring is cut at the left side of its least segment; the gap there closes a ``ring``.
+    * A path begins at the end from which its first segment reads forward; where both or neither do, at the lesser segment.
+
+    States are (segment, orientation), each with the state before it; ranks come from pointer doubling over those that have not reached an end,
+    so rounds grow with the logarithm of the longest walk.
     """
-    link = gaps.filter("s1 <> s2").groupBy(F.col("s2").alias("node")).agg(F.min("s1").alias("prev"))
-    link = link.withColumn("r", F.row_number().over(Window.partitionBy("prev").orderBy("node"))).filter("r = 1").drop("r")  # one successor a node
-    heads = Rounds(nodes.sparkSession)
-    link = heads.write(link)
-    rounds = Rounds(nodes.sparkSession)
-    state = rounds.write(nodes.select("node").join(link, "node", "left").select("node", F.coalesce("prev", "node").alias("up"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank")))
-    begins = link.select(F.col("node").alias("up"))
-    while not state.join(begins, "up", "left_semi").isEmpty():  # some pointer has not reached a head
-        far = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("rank").alias("more"))
-        if len(rounds.paths) > 62:
-            raise RuntimeError("gaps form a ring")
-        state = rounds.write(state.join(far, "up").select("node", F.col("next").alias("up"), (F.col("rank") + F.col("more")).alias("rank")))
-    return state.select(F.concat(F.col("up").cast("string"), F.lit("_path")).alias("path"), (F.col("rank") + 1).alias("ord"), F.col("node").alias("comp"))
+    store = Rounds(nodes.sparkSession, keep=1 << 30)
+    own = gaps.filter("s1 = s2").select(F.col("header").alias("gap"), F.lit("terminal").alias("reason"))
+    sides = store.write(_sides(gaps.filter("s1 <> s2")))
+    best = sides.groupBy("node", "side").agg(F.min(F.struct("dist", "gap")).alias("b")).select(F.col("b.gap").alias("gap"))
+    mutual = best.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("gap")
+    links = store.write(sides.join(mutual, "gap", "left_semi"))
+    labels, _ = component_labels(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    labels = store.write(labels)
+    held = links.join(labels, "node").groupBy("label").agg(F.count(F.lit(1)).alias("ends"), F.countDistinct("node").alias("n"))
+    rings = held.filter("ends = 2 * n").select(F.col("label").alias("node"))
+    cut = store.write(links.join(rings, "node", "left_semi").filter("side = 'L'").select("gap"))
+    links = store.write(links.join(cut, "gap", "left_anti"))
+    # the state before (node, orientation) lies across the side by which the node is entered
+    before = links.select("node", _orientation(F.col("side")).alias("o"), F.col("other").alias("up"), F.when(F.col("oside") == "R", "+").otherwise("-").alias("up_o"))
+    both = links.select("node").distinct().select("node", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("o"))
+    heads = store.write(both.join(before, ["node", "o"], "left_anti"))
+    end = heads.select(F.col("node").alias("up"), F.col("o").alias("up_o"), F.lit(True).alias("ended"))
+    state = store.write(before.join(end, ["up", "up_o"], "left").select("node", "o", "up", "up_o", F.lit(1).cast("long").alias("rank"), F.coalesce("ended", F.lit(False)).alias("ended")))
+    ranked = heads.select("node", "o", F.col("node").alias("up"), F.col("o").alias("up_o"), F.lit(0).cast("long").alias("rank"))
+    known = None  # states that ended in earlier rounds; later ones may still point at them
+    while True:
+        now = state.filter("ended")
+        far = (state if known is None else state.unionByName(known)).select(F.col("node").alias("up"), F.col("o").alias("up_o"), F.col("up").alias("next"), F.col("up_o").alias("next_o"), F.col("rank").alias("more"), F.col("ended").alias("there"))
+        known = now if known is None else known.unionByName(now)
+        open_ = state.filter("NOT ended")
+        if open_.isEmpty():
+            break
+        state = store.write(open_.join(far, ["up", "up_o"]).select("node", "o", F.col("next").alias("up"), F.col("next_o").alias("up_o"), (F.col("rank") + F.col("more")).alias("rank"), F.col("there").alias("ended")))
+    ranked = ranked.unionByName(known.drop("ended"))
+    first = heads.join(labels, "node").groupBy("label").agg(F.min(F.struct(F.when(F.col("o") == "+", 0).otherwise(1).alias("turned"), "node", "o")).alias("h")).select(F.col("h.node").alias("up"), F.col("h.o").alias("up_o"))
+    steps = ranked.join(first, ["up", "up_o"], "left_semi")
+    ahead = links.select("node", F.when(F.col("side") == "R", "+").otherwise("-").alias("o"), "gap")
+    walked = steps.join(ahead, ["node", "o"], "left").select("up", (F.col("rank") + 1).alias("ord"), F.col("node").alias("comp"), F.col("o").alias("orientation"), "gap")
+    alone = nodes.select("node").join(links.select("node").distinct(), "node", "left_anti").select(F.col("node").alias("up"), F.lit(1).cast("long").alias("ord"), F.col("node").alias("comp"), F.lit("+").alias("orientation"), F.lit(None).cast("string").alias("gap"))
+    walked = store.write(walked.unionByName(alone).select(F.concat(F.col("up").cast("string"), F.lit("_path")).alias("path"), "ord", "comp", "orientation", "gap"))
+    over = sides.select("gap").distinct().join(links.select("gap").distinct(), "gap", "left_anti").join(cut, "gap", "left_anti").select("gap", F.lit("branch").alias("reason"))
+    return walked, own.unionByName(over).unionByName(cut.select("gap", F.lit("ring").alias("reason")))
+
+
+def discover_paths(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(path, ord, comp, orientation, gap): the walks of ``gap_walks``; gaps without a header are told apart by their ends."""
+    if "header" not in gaps.columns:
+        gaps = gaps.withColumn("header", F.concat_ws("_", "s1", "s2"))
+    rows = gaps.withColumns({c: F.lit("+") for c in ("s1_or", "s2_or") if c not in gaps.columns} | {"dist": F.lit(0).cast("long") if "dist" not in gaps.columns else F.col("dist")})
+    return gap_walks(nodes, rows)[0]
+
+
+def scaffold_walk(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(path, n, size, a, c, g, t, lower): segments, length with gaps, and bases of each walk, those of a turned segment complemented. ``nodes`` has
+    node, len, a, c, g, t, lower. Terminal gaps count where their segment stands at the end of its path that they hang on."""
+    steps, over = gap_walks(nodes, gaps)
+    held = gaps.select(F.col("header").alias("gap"), "s1", "s2_or", "dist")
+    rows = steps.join(nodes.withColumnRenamed("node", "comp"), "comp").join(held.select("gap", "dist"), "gap", "left")
+    turned = F.col("orientation") == "-"
+    pick = lambda one, other: F.sum(F.when(turned, F.col(other)).otherwise(F.col(one)))
+    sizes = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("len") + F.coalesce("dist", F.lit(0))).alias("inner"), pick("a", "t").alias("a"), pick("c", "g").alias("c"), pick("g", "c").alias("g"), pick("t", "a").alias("t"), F.sum("lower").alias("lower"),
+    )
+    last = steps.groupBy("path").agg(F.max("ord").alias("last"))
+    own = over.filter("reason = 'terminal'").join(held, "gap").select(F.col("s1").alias("comp"), F.col("s2_or").alias("way"), "dist")  # + + hangs on the left side, + - on the right
+    at = own.join(steps, "comp").join(last, "path")
+    outside = ((F.col("ord") == 1) & ((F.col("way") == "+") == (F.col("orientation") == "+"))) | ((F.col("ord") == F.col("last")) & ((F.col("way") == "+") != (F.col("orientation") == "+")))
+    more = at.filter(outside).groupBy("path").agg(F.sum("dist").alias("more"))
+    return sizes.join(more, "path", "left").select("path", "n", (F.col("inner") + F.coalesce("more", F.lit(0))).alias("size"), "a", "c", "g", "t", "lower")
 
 
 def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:

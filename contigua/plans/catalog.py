@@ -522,7 +522,55 @@ def gap_adjacency(spark, d):
 @query(f"WITH {Q.FEATS} SELECT first_value(name) OVER w || '_path' AS path, row_number() OVER w AS ord, name AS comp FROM feats WHERE kind = 'SEGMENT' WINDOW w AS (PARTITION BY header ORDER BY i)")
 def discover_paths(spark, d):
     f = _feats(spark, d)
-    return graph.discover_paths(f.filter(F.col("kind") == SEGMENT).select(F.col("name").alias("node")), ingest.gaps_of(f))
+    gaps = ingest.gaps_of(f).drop("header").withColumnRenamed("name", "header")
+    return graph.discover_paths(f.filter(F.col("kind") == SEGMENT).select(F.col("name").alias("node")), gaps).select("path", "ord", "comp")
+
+
+@query(
+    f"WITH {Q.FEATS}, s AS (SELECT *, {Q.counts('text')} FROM feats) SELECT arg_min(name, i) FILTER (kind = 'SEGMENT') || '_path' AS path, count(*) FILTER (kind = 'SEGMENT') AS n, CAST(sum(len) AS BIGINT) AS size, "
+    + ", ".join(f"CAST(sum({b}) FILTER (kind = 'SEGMENT') AS BIGINT) AS {b}" for b in ("a", "c", "g", "t", "lower")) + " FROM s GROUP BY header HAVING count(*) FILTER (kind = 'SEGMENT') > 0"
+)
+def scaffold_walk(spark, d):
+    """Each record's contigs and gaps, leading and trailing ones included, found again through the gap graph alone."""
+    f = _feats(spark, d)
+    gaps = ingest.gaps_of(f).filter("s1 IS NOT NULL").select(F.col("name").alias("header"), "s1", "s1_or", "s2", "s2_or", "dist")
+    return graph.scaffold_walk(ingest.segments_of(f).select(F.col("name").alias("node"), "len", "a", "c", "g", "t", "lower"), gaps)
+
+
+#: The gaps between an order's lines, each line's part a segment; the walk from every free end, and round every ring.
+_WALKS = (
+    f"WITH RECURSIVE {Q.LINES}, gp AS (SELECT 'gap_' || path || '_' || o AS gap, part AS s1, CASE WHEN orientation = '-' THEN 'L' ELSE 'R' END AS x1, nxt AS s2, CASE WHEN nxt_or = '-' THEN 'R' ELSE 'L' END AS x2, q AS dist FROM gl WHERE nxt IS NOT NULL),"
+    " sd AS (SELECT gap, s1 AS node, x1 AS side, s2 AS other, x2 AS oside, dist FROM gp WHERE s1 <> s2 UNION ALL SELECT gap, s2, x2, s1, x1, dist FROM gp WHERE s1 <> s2),"
+    " bs AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY node, side ORDER BY dist, gap) = 1), lk AS (SELECT bs.* FROM bs JOIN (SELECT gap FROM bs GROUP BY gap HAVING count(*) = 2) m USING (gap)),"
+    " nx AS (SELECT node, CASE side WHEN 'R' THEN '+' ELSE '-' END AS o, gap, other AS n2, CASE oside WHEN 'L' THEN '+' ELSE '-' END AS o2 FROM lk),"
+    " st AS (SELECT DISTINCT node, unnest(['+', '-']) AS o FROM lk), hd AS (SELECT st.node, st.o FROM st LEFT JOIN nx ON n2 = st.node AND o2 = st.o WHERE n2 IS NULL),"
+    " wk AS (SELECT node AS h, o AS ho, node, o, 1 AS ord FROM hd UNION ALL SELECT h, ho, n2, o2, ord + 1 FROM wk JOIN nx ON nx.node = wk.node AND nx.o = wk.o),"
+    " fin AS (SELECT h, ho, arg_max(node, ord) AS ln, arg_max(o, ord) AS lo FROM wk GROUP BY h, ho), good AS (SELECT h, ho FROM fin WHERE (CASE ho WHEN '+' THEN 0 ELSE 1 END, h) < (CASE lo WHEN '+' THEN 1 ELSE 0 END, ln)),"
+    " rn AS (SELECT DISTINCT node FROM lk WHERE node NOT IN (SELECT node FROM wk)), rw AS (SELECT node AS h, node, '+' AS o, 1 AS ord FROM rn UNION ALL SELECT h, n2, o2, ord + 1 FROM rw JOIN nx ON nx.node = rw.node AND nx.o = rw.o WHERE n2 > h),"
+    " rg AS (SELECT rw.h, nx.gap AS closing FROM rw JOIN nx ON nx.node = rw.node AND nx.o = rw.o WHERE n2 = h),"
+    " al AS (SELECT wk.h, wk.node, wk.o, wk.ord FROM wk JOIN good USING (h, ho) UNION ALL SELECT rw.h, node, o, ord FROM rw JOIN rg USING (h))"
+)
+
+
+def _line_gaps(spark, d):
+    rows = B.lines(spark, d).filter("next IS NOT NULL")
+    return rows.select(F.concat_ws("_", F.lit("gap"), "path", "o").alias("header"), F.col("part").alias("s1"), F.col("orientation").alias("s1_or"), F.col("next").alias("s2"), F.col("next_or").alias("s2_or"), F.col("q").alias("dist"))
+
+
+@query(
+    _WALKS + " SELECT al.h || '_path' AS path, ord, al.node AS comp, al.o AS orientation, CASE WHEN gap = closing THEN NULL ELSE gap END AS gap FROM al LEFT JOIN nx ON nx.node = al.node AND nx.o = al.o LEFT JOIN rg ON rg.h = al.h"
+    " UNION ALL SELECT p_partkey || '_path', 1, p_partkey, '+', NULL FROM part WHERE p_partkey NOT IN (SELECT node FROM lk)"
+)
+def gap_walk(spark, d):
+    """Walks over branching, turned and circular gaps: those between the lines of all orders."""
+    return graph.gap_walks(B.nodes(spark, d), _line_gaps(spark, d))[0]
+
+
+@query(
+    _WALKS + " SELECT gap, CASE WHEN s1 = s2 THEN 'terminal' WHEN gap IN (SELECT closing FROM rg) THEN 'ring' ELSE 'branch' END AS reason FROM gp WHERE s1 = s2 OR gap IN (SELECT closing FROM rg) OR gap NOT IN (SELECT gap FROM lk)"
+)
+def gap_walk_left_over(spark, d):
+    return graph.gap_walks(B.nodes(spark, d), _line_gaps(spark, d))[1]
 
 
 @query(
@@ -694,7 +742,7 @@ def comment_path(spark, d):
     return _edited("COMMENT\t1\tfirst", spark, d).paths.select("header", "comment")
 
 
-@query(f"WITH {Q.COMPS} SELECT {_C} FROM gc WHERE path NOT IN (SELECT path FROM gc WHERE ctype = 'SEGMENT' AND comp = '1')")
+@query(f"WITH {Q.COMPS}, bad AS MATERIALIZED (SELECT DISTINCT CAST(path AS VARCHAR) AS p FROM gl WHERE part = 1) SELECT {_C} FROM gc LEFT JOIN bad ON p = path WHERE p IS NULL")
 def remove_segment(spark, d):
     return _plain(_edited("REMOVE\t1", spark, d).components)
 
@@ -708,6 +756,44 @@ def verb_join(spark, d):
     return _plain(_edited("JOIN\t1+\t2-\t50\tgapj\tnew", spark, d).components)
 
 
+@query(
+    f"WITH {Q.COMPS}, pr AS (SELECT part AS a, nxt AS b FROM gl WHERE path = 1 AND o = 1), g AS (SELECT min({{'g': 'gap_' || path || '_' || o, 'p': CAST(path AS VARCHAR), 'o': 2 * o}}) AS m FROM gl JOIN pr ON (part = a AND nxt = b) OR (part = b AND nxt = a))"
+    " SELECT CASE WHEN path <> m.p THEN path WHEN ord < m.o THEN 'left' ELSE 'right' END AS path, row_number() OVER (PARTITION BY path, path = m.p AND ord > m.o ORDER BY ord) AS ord, ctype, comp, orientation, \"start\", \"end\" FROM gc, g WHERE path <> m.p OR ord <> m.o"
+)
+def verb_split(spark, d):
+    """At the first gap between the segments that begin order 1."""
+    pair = B.lines(spark, d).filter("path = 1 AND o = 1").select("part", "next").first()
+    return _plain(_edited(f"SPLIT\t{pair.part}\t{pair.next}\tleft\tright", spark, d).components)
+
+
+@query(
+    f"WITH {Q.COMPS}, hit AS (SELECT path, ord FROM gc WHERE ctype = 'SEGMENT' AND comp = '1'), gone AS (SELECT path, ord FROM hit UNION SELECT c.path, c.ord FROM gc c JOIN hit h ON c.path = h.path AND abs(c.ord - h.ord) = 1 WHERE c.ctype = 'GAP'),"
+    " runs AS (SELECT path, min(ord) AS a, max(ord) AS b FROM (SELECT *, ord - row_number() OVER (PARTITION BY path ORDER BY ord) AS g FROM gone) GROUP BY path, g), ends AS (SELECT path, min(ord) AS lo, max(ord) AS hi FROM gc GROUP BY path),"
+    " kept AS (SELECT path, ord, ctype, comp, orientation FROM gc ANTI JOIN gone USING (path, ord) UNION ALL SELECT r.path, r.a, 'GAP', 'gap_x', '0' FROM runs r JOIN ends e USING (path) WHERE r.a > e.lo AND r.b < e.hi)"
+    ' SELECT path, row_number() OVER (PARTITION BY path ORDER BY ord) AS ord, ctype, comp, orientation, CAST(0 AS BIGINT) AS "start", CAST(0 AS BIGINT) AS "end" FROM kept'
+)
+def verb_excise(spark, d):
+    return _plain(_edited("EXCISE\t1\t5\tgap_x", spark, d).components)
+
+
+@query(
+    "WITH " + _TRIM.format(pre=Q.COMPS, src="(SELECT * FROM gc WHERE path = '1')", lo="1", hi="2").replace("tr AS (", "tl_ AS (") + ", "
+    + _TRIM.format(pre="", src="(SELECT * FROM gc WHERE path = '1')", lo="6", hi="tot").removeprefix(", ").replace("t1", "u1").replace("t2", "u2").replace("t3", "u3").replace("tr AS (", "ur AS (")
+    + ", al AS (SELECT 0 AS side, * FROM tl_ UNION ALL SELECT 1, '1', 0, 'GAP', 'gap_e1', '0', 0, 0 UNION ALL SELECT 2, * FROM ur)"
+    f' SELECT path, row_number() OVER (ORDER BY side, ord) AS ord, ctype, comp, orientation, "start", "end" FROM al UNION ALL SELECT {_C} FROM gc WHERE path <> \'1\''
+)
+def verb_mask(spark, d):
+    return _plain(_edited("MASK\t1\t2\t5\t7", spark, d).components)
+
+
+@query(
+    f"WITH {Q.COMPS} SELECT {_C} FROM gc WHERE path <> '1' UNION ALL SELECT 'chr1', (SELECT max(ord) FROM gc WHERE path = '1') + 1 - ord, ctype, comp, translate(orientation, '+-', '-+'), \"start\", \"end\" FROM gc WHERE path = '1'"
+)
+def verb_rvcp_path(spark, d):
+    """Under a name that no segment has."""
+    return _plain(_edited("RENAME\t1\tchr1\nRVCP\tchr1", spark, d).components)
+
+
 def _edited_sequences(name: str, program: str, sql: str) -> None:
     """A program over the documents' sequences as segments."""
 
@@ -725,7 +811,10 @@ _ONE = "SELECT header, CASE WHEN header = '1' THEN {} ELSE seq END AS seq FROM s
 _edited_sequences("verb_erase", "ERASE\t1:3-10", _ONE.format("substr(seq, 1, 3) || substr(seq, 11)"))
 _edited_sequences("verb_rvcp", "RVCP\t1", _ONE.format("reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))"))
 _edited_sequences("verb_invert", "INVERT\t1", _ONE.format("reverse(seq)"))
-_edited_sequences("verb_decompress", "COMPRESS\t1\t2\nDECOMPRESS\t1", _ONE.format("seq"))
+_edited_sequences(
+    "verb_decompress", "COMPRESS\t2\t1\nCOMPRESS\t1\t2\nDECOMPRESS\t1",  # 1 as it was, 2 still compressed
+    Q.RUNS[len(Q.SEQS):] + " SELECT s.header, CASE WHEN s.header = '2' THEN coalesce(c.seq, '') ELSE s.seq END AS seq FROM seqs s LEFT JOIN (SELECT header, string_agg(b, '' ORDER BY run) AS seq FROM runs GROUP BY header) c USING (header)",
+)
 _edited_sequences("verb_cleave", "CLEAVE\t1\t10\t1a\t1b", "SELECT header, seq FROM seqs WHERE header <> '1' UNION ALL SELECT '1a', substr(seq, 1, 10) FROM seqs WHERE header = '1' UNION ALL SELECT '1b', substr(seq, 11) FROM seqs WHERE header = '1'")
 _edited_sequences(
     "verb_compress", "COMPRESS\t1\t1",
@@ -793,11 +882,23 @@ def read_agp(spark, d):
 # -- order ------------------------------------------------------------------------------------------
 
 
+def _ranked(ordered: DataFrame) -> DataFrame:
+    """Places in an ordered table: range-partitioned rows are in order of their partitions, and in them."""
+    return paths.argsort(ordered.withColumn("place", F.monotonically_increasing_id()), "place", "header").withColumnRenamed("header", "p_partkey")
+
+
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part")
 def sort_by_size(spark, d):
-    return paths.argsort(B.table(spark, d, "part"), "p_size", "p_partkey", largest=True)
+    return _ranked(paths.by_size(B.nodes(spark, d).select(F.col("node").alias("header"), F.col("len").alias("length"))))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) AS rank FROM part")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS rank FROM part")
 def sort_by_name(spark, d):
-    return paths.argsort(B.table(spark, d, "part").withColumn("name", F.col("p_partkey").cast("string")), "name", "p_partkey")
+    own = B.table(spark, d, "part").select(F.concat_ws("\x01", "p_name", F.lpad(F.col("p_partkey").cast("string"), 20, "0")).alias("header"))
+    return _ranked(paths.by_name(own)).select(F.substring_index("p_partkey", "\x01", -1).cast("long").alias("p_partkey"), "rank")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey DESC) AS rank FROM part")
+def sort_by_original(spark, d):
+    own = B.table(spark, d, "part").select(F.col("p_partkey").alias("header"), (-F.col("p_partkey")).alias("seq_pos"))
+    return _ranked(paths.by_original(own))

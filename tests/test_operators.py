@@ -93,7 +93,94 @@ def test_components_of_random_graphs(spark):
 def test_discover_paths(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "node string")
     gaps = spark.createDataFrame([("a", "b"), ("b", "c")], "s1 string, s2 string")
-    assert rows(graph.discover_paths(nodes, gaps)) == [("a_path", 1, "a"), ("a_path", 2, "b"), ("a_path", 3, "c"), ("d_path", 1, "d")]
+    assert rows(graph.discover_paths(nodes, gaps), "path", "ord", "comp") == [("a_path", 1, "a"), ("a_path", 2, "b"), ("a_path", 3, "c"), ("d_path", 1, "d")]
+
+
+def walk_plainly(nodes, gaps):
+    """Steps and gaps left over, one gap after the other; gaps are (header, s1, o1, s2, o2, dist)."""
+    at, over = {}, {}
+    for g, s1, o1, s2, o2, dist in gaps:
+        if s1 == s2:
+            over[g] = "terminal"
+        else:
+            for side in ((s1, "L" if o1 == "-" else "R"), (s2, "R" if o2 == "-" else "L")):
+                at.setdefault(side, []).append((dist, g))
+    best = {side: min(own)[1] for side, own in at.items()}
+    ends = {}
+    for g, s1, o1, s2, o2, _ in gaps:
+        if s1 != s2:
+            x, y = (s1, "L" if o1 == "-" else "R"), (s2, "R" if o2 == "-" else "L")
+            if best[x] == g == best[y]:
+                ends[x], ends[y] = (y, g), (x, g)
+            else:
+                over[g] = "branch"
+    steps, left = [], set(nodes)
+
+    def walk(node, side):
+        """From a segment entered by a side."""
+        out = []
+        while True:
+            leave = "R" if side == "L" else "L"
+            to, gap = ends.get((node, leave), (None, None))
+            out.append([node, "+" if side == "L" else "-", gap])
+            if to is None or to[0] == out[0][0]:
+                return out
+            node, side = to
+
+    def take(own):
+        first = own[0][0]
+        steps.extend((f"{first}_path", i, n, o, g) for i, (n, o, g) in enumerate(own, 1))
+        left.difference_update(n for n, _, _ in own)
+
+    heads = sorted((side == "R", n) for n in nodes for side in "LR" if (n, side) not in ends and ((n, "L") in ends or (n, "R") in ends))
+    for turned, n in heads:
+        if n in left:
+            own = walk(n, "R" if turned else "L")
+            mirror = (own[-1][1] == "+", own[-1][0])
+            if (turned, n) < mirror:
+                take(own)
+    for n in sorted(left):
+        if n in left and (n, "L") not in ends and (n, "R") not in ends:
+            take([[n, "+", None]])
+    for n in sorted(left):
+        if n in left:
+            own = walk(n, "L")
+            over[own[-1][2]] = "ring"
+            own[-1][2] = None
+            take(own)
+    return sorted(steps), sorted(over.items())
+
+
+def test_gap_walks(spark):
+    """Branches, turned segments, rings and terminal gaps, against walking one by one; no gap is lost."""
+    rng = random.Random(8)
+    chain = [f"c{i:03}" for i in rng.sample(range(200), 120)]
+    signs = [rng.choice("+-") for _ in chain]
+    gaps = [(f"l{i}", chain[i], signs[i], chain[i + 1], signs[i + 1], 3) if rng.random() < 0.5 else (f"l{i}", chain[i + 1], "+-"[signs[i + 1] == "+"], chain[i], "+-"[signs[i] == "+"], 3) for i in range(len(chain) - 1)]
+    ring = [f"r{i}" for i in (5, 2, 8, 1, 9)]
+    gaps += [(f"o{i}", ring[i], "+" if i % 2 else "-", ring[(i + 1) % 5], "+" if (i + 1) % 5 % 2 else "-", i) for i in range(5)]
+    nodes = sorted({*chain, *ring, "c000", "alone", "x", "y", "z"})
+    gaps += [("t1", "x", "+", "x", "+", 7), ("t2", "y", "+", "y", "-", 9), ("b1", "x", "+", "y", "+", 4), ("b2", "x", "+", "z", "+", 4), ("b3", "z", "-", "c000", "-", 1)]
+    few = [f"n{i}" for i in range(30)]
+    gaps += [(f"q{i}", rng.choice(few), rng.choice("+-"), rng.choice(few), rng.choice("+-"), rng.randint(1, 5)) for i in range(60)]
+    nodes += few
+    df = spark.createDataFrame(gaps, "header string, s1 string, s1_or string, s2 string, s2_or string, dist long")
+    steps, over = graph.gap_walks(spark.createDataFrame([(n,) for n in nodes], "node string"), df)
+    got, lost = sorted(map(tuple, steps.collect())), sorted(map(tuple, over.collect()))
+    want = walk_plainly(nodes, gaps)
+    assert got == want[0] and lost == want[1]
+    assert sorted(n for _, _, n, _, _ in got) == sorted(nodes)
+    assert sorted([g for *_, g in got if g] + [g for g, _ in lost]) == sorted(g[0] for g in gaps)
+    sizes = spark.createDataFrame([(n, 10, 4, 3, 2, 1, 0) for n in nodes], "node string, len long, a long, c long, g long, t long, lower long")
+    walked = {r.path: r for r in graph.scaffold_walk(sizes, df).collect()}
+    own = walked["x_path"]
+    assert (own.n, own.size, own.a, own.t) == (2, 10 + 7 + 4 + 10 + 9, 8, 2)
+    dist = {g[0]: g[5] for g in gaps}
+    for path, r in walked.items():
+        mine = [s for s in got if s[0] == path]
+        if path != "x_path":
+            assert r.n == len(mine) and r.a == sum(4 if o == "+" else 1 for *_, o, _ in mine)
+            assert r.size >= sum(10 + dist.get(g, 0) for *_, g in mine)
 
 
 def test_kmers(spark):

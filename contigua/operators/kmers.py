@@ -163,9 +163,9 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
-def _along_runs(reads: DataFrame, k: int, s: int, sequence: str, keep: tuple[str, ...], filtered: bool, find, columns: tuple[str, ...]) -> DataFrame:
+def _along_runs(reads: DataFrame, k: int, s: int, sequence: str, keep: tuple[str, ...], filtered: bool, find, columns: tuple[str, ...], hashes=None) -> DataFrame:
     """(*keep, part, *columns) by ``find(minima of a chunk's k-mers, minimum before or None, place of the first, whether it is the last, state)``,
-    called along each run of at least k bases; ``state`` is a dictionary of the run."""
+    called along each run of at least k bases; ``state`` is a dictionary of the run. ``hashes`` may give the s-mers other values."""
     own = reads.select(*keep, F.col(sequence).cast("binary").alias("__s")).filter(F.length("__s") >= k)
     schema = StructType(own.schema.fields[: len(keep)]).add("part", "integer")
     for c in columns:
@@ -186,7 +186,7 @@ def _along_runs(reads: DataFrame, k: int, s: int, sequence: str, keep: tuple[str
                     before, state = None, {}
                     for at in range(0, len(codes) - k + 1, 1 << 18):
                         piece = codes[at : at + (1 << 18) + k - 1]
-                        minima = sliding_minimum(_hashes(piece, s, filtered), k - s + 1)
+                        minima = sliding_minimum(hashes(piece) if hashes else _hashes(piece, s, filtered), k - s + 1)
                         out = find(minima, before, at, at + len(piece) == len(codes), state)
                         n = len(out[0])
                         parts.append([np.full(n, i), np.full(n, part, np.int32), *out])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contigua.functions import packing as P, seq as S
 from contigua.model import GAP, SEGMENT
-from contigua.operators import filters, graph, ingest, kmers, paths, stats
+from contigua.operators import filters, graph, ingest, kmers, minimiser_order, paths, stats
 from contigua.plans import bridge as B, sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,6 +400,31 @@ def terminal_overlaps(spark, d):
     return kmers.terminal_overlaps(B.reads(spark, d), 31)
 
 
+_ORDER7 = f"{Q.READS}, mm AS (SELECT header, pos, {Q.code('c', 7)} AS code FROM (SELECT header, pos, {Q.canonical('k')} AS c FROM ({Q.windows(7)}))), od AS (SELECT code, count(*) AS freq, row_number() OVER (ORDER BY count(*), code) - 1 AS rank FROM mm GROUP BY code)"
+
+
+@query(f"WITH {_ORDER7} SELECT * FROM od")
+def minimizer_order(spark, d):
+    """The 7-mers of all reads, the rarest first."""
+    return minimiser_order.mmer_ranks(B.reads(spark, d), 7)
+
+
+@query(
+    f"WITH {_ORDER7}, mn AS (SELECT header, pos, min(rank) OVER w AS rank, count(*) OVER w AS n FROM mm JOIN od USING (code) WINDOW w AS (PARTITION BY header ORDER BY pos ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)),"
+    " nw AS (SELECT *, coalesce(rank <> lag(rank) OVER (PARTITION BY header ORDER BY pos), true) AS is_new FROM mn WHERE n = 15) SELECT header, pos, rank FROM nw WHERE is_new"
+)
+def minimizer_trained(spark, d):
+    """Minimisers of 21-mers by the order of all reads' 7-mers."""
+    reads = B.reads(spark, d)
+    return minimiser_order.minimisers(reads, 21, 7, minimiser_order.ranks(reads, 7)).filter("is_new").select("header", "pos", "rank")
+
+
+@query(f"WITH {_km_sql(31)} SELECT * FROM km")
+def kmer_count_supermers(spark, d):
+    """31-mers, shuffled as super-mers."""
+    return minimiser_order.count_kmers(B.reads(spark, d), 31)
+
+
 @query("SELECT p_partkey, unnest([upper(a) || b, upper(a) || lower(b), lower(a) || b, lower(a) || lower(b)]) AS walk FROM (SELECT p_partkey, split_part(p_type, ' ', 1) AS a, p_brand AS b FROM part)")
 def string_walk(spark, d):
     a, b = F.element_at(F.split("p_type", " "), 1), F.col("p_brand")

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from contigua.functions import packing as P, seq as S
-from contigua.operators import kmers
+from contigua.operators import kmers, minimiser_order
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -88,3 +89,67 @@ def test_columns_agree_with_codes(spark):
     rows = [("ACGTACGTACG",), ("TTTTTTTTTTT",), ("GATTACAGATT",)]
     for r in spark.createDataFrame(rows, "k string").select("k", P.code(P.canonical(F.col("k"))).alias("c"), S.revcomp(F.col("k")).alias("r")).collect():
         assert r.c == code(canonical(r.k)) and r.r == r.k[::-1].translate(COMPLEMENT)
+
+
+def _reads(spark, n=300, hot=True):
+    rng = random.Random(6)
+    genome = "".join(rng.choice("ACGT") for _ in range(20_000))
+    comp = str.maketrans("ACGT", "TGCA")
+    rows = []
+    for i in range(n):
+        at = rng.randrange(len(genome) - 200)
+        s = genome[at : at + rng.randint(10, 200)]
+        rows.append((f"r{i}", s if i % 2 else s[::-1].translate(comp)))
+    rows += [("n", "ACGTNNNNNACGTACGTACGTTTGACA"), ("e", ""), ("z", None), ("x", "acgtacgtTTGACAacgtacgtaaccgg")]
+    if hot:
+        rows += [(f"h{i}", "A" * 150) for i in range(n // 2)] + [(f"g{i}", "ACACACAC" * 15) for i in range(n // 2)]
+    return spark.createDataFrame(rows, "header string, sequence string").repartition(5)
+
+
+@pytest.mark.parametrize("k, m", [(9, 3), (21, 5), (31, 7)])
+def test_count_through_super_mers(spark, k, m):
+    """The same counts, with hot minimisers, and by an order trained on a sample."""
+    reads = _reads(spark)
+    want = sorted(map(tuple, kmers.count_kmers(reads, k).collect()))
+    assert sorted(map(tuple, minimiser_order.count_kmers(reads, k, m, 6).collect())) == want
+    order = minimiser_order.train(reads, k, m, 6)
+    assert (order.bucket == minimiser_order.HOT).any()
+    sampled = minimiser_order.train(reads, k, m, 6, sample=40)
+    assert sorted(map(tuple, minimiser_order.count_kmers(reads, k, order=sampled).collect())) == want
+    none = minimiser_order.count_kmers(reads.limit(0), k, m, 3)
+    assert none.collect() == [] and none.dtypes == [("kmer", "string"), ("cnt", "bigint")]
+
+
+def test_buckets_are_even(spark):
+    """The largest bucket holds at most 1.3 times the mean."""
+    reads, k = _reads(spark, 900, hot=False), 31
+    order = minimiser_order.train(reads, k, 7, 8)
+    stretches = minimiser_order.super_mers(reads, k, order).collect()
+    load = [0] * 8
+    for r in stretches:
+        lengths = np.frombuffer(r.lengths, "<u4")
+        load[r.bucket] += int((lengths - k + 1).sum())
+        assert len(minimiser_order.unpacked(r.bases, int(lengths.sum()))) == lengths.sum()
+    assert sum(load) == sum(max(0, len(r.sequence or "") - k + 1) for r in reads.collect() if "N" not in (r.sequence or "N"))
+    assert max(load) <= 1.3 * sum(load) / 8
+
+
+def test_super_mers_shuffle_less(spark):
+    """At k = 31 the bases of super-mers are a quarter of the k-mers' longs at most."""
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("ACGT") for _ in range(20_000)),) for _ in range(20)]
+    reads = spark.createDataFrame(rows, "sequence string").repartition(4)
+    written = lambda: sum(e.totalShuffleWrite() for e in _executors(spark))
+    order = minimiser_order.train(reads, 31, 7, 4)
+    reads = spark.createDataFrame(reads.collect()).coalesce(2)
+    a = written()
+    n = kmers.count_kmers(reads, 31).count()
+    b = written()
+    assert minimiser_order.count_kmers(reads, 31, order=order).count() == n
+    c = written()
+    assert 4 * (c - b) <= b - a
+
+
+def _executors(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return [found.apply(i) for i in range(found.size())]

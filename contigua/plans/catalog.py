@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contigua.functions import packing as P, seq as S
 from contigua.model import GAP, SEGMENT
-from contigua.operators import filters, graph, ingest, kmers, minimiser_order, paths, stats
+from contigua.operators import chunks, filters, graph, ingest, kmers, minimiser_order, paths, stats
 from contigua.plans import bridge as B, sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +175,38 @@ def path_report(spark, d):
     return _path_report(spark, d)
 
 
+# -- sequences in chunks ----------------------------------------------------------------------------
+
+#: Small, so that the tables' sequences have many edges.
+_CHUNK = 300
+
+
+@query(
+    f"WITH {Q.FEATS}, p AS (SELECT *, {Q.counts('text')}, CAST(sum(len) OVER (PARTITION BY header ORDER BY i) AS BIGINT) AS \"end\" FROM feats) SELECT header, i, name, kind, \"end\" - len AS \"start\", \"end\", len, a, c, g, t, lower FROM p"
+)
+def chunk_features(spark, d):
+    """Segments and gaps with places and bases, from chunks."""
+    return chunks.features(chunks.from_records(B.seqs(spark, d), _CHUNK))
+
+
+@query(f"WITH {Q.RUNS} SELECT header, start AS \"start\", stop AS \"end\" FROM runs WHERE stop - start > 1")
+def chunk_homopolymers(spark, d):
+    return chunks.homopolymer_bed(chunks.from_records(B.seqs(spark, d), _CHUNK))
+
+
+@query(f"WITH {Q.SEQS} SELECT header, lang AS comment, seq AS sequence FROM seqs JOIN documents ON header = CAST(doc_id AS VARCHAR)")
+def chunk_fasta(spark, d):
+    """Written as FASTA from chunks, read back as chunks, and put together."""
+    from contigua.operators.lineage import shared_root
+
+    lang = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("header"), F.col("lang").alias("comment"))
+    path = f"{shared_root(spark)}/fasta-{uuid.uuid4().hex}"
+    chunks.write_fasta(chunks.from_records(B.seqs(spark, d), _CHUNK).join(lang, "header"), path, 60, _CHUNK)
+    back = chunks.read_fasta(spark, path, _CHUNK, whole=True)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bases"))), lambda c: c["bases"]), "")
+    return back.groupBy("header", "comment").agg(whole.alias("sequence"))
+
+
 # -- statistics -------------------------------------------------------------------------------------
 
 _LENGTHS = {

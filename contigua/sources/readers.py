@@ -1,8 +1,8 @@
 """Readers of FASTA, FASTQ, GFA 1 and 2, AGP, BED and k-mer inputs as DataFrames.
 
 Text is read by Spark's own source, so any store and codec that Hadoop knows works (.gz by its name). Records
-that span lines are read with a record delimiter where the format has one; FASTQ, which has none, is
-parsed a file at a time in bounded pieces.
+that span lines are read with a record delimiter where the format has one; FASTQ, which has none, has a source of its own
+(``fastq``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from contigua.model import AGP, BED, COMPONENTS, EDGE, GAP, READS, SEGMENT, Assembly
 from contigua.operators import filters, ingest
 from contigua.operators.paths import renumber, revcom, trim
+from contigua.sources import fastq
 
 TAB = "\t"
 
@@ -59,9 +60,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.substring_index("h", " ", 1).alias("header"), F.when(F.instr("h", " ") > 0, F.regexp_replace("h", "^[^ ]* ", "")).otherwise("").alias("comment"), body.alias("sequence"), F.lit(None).cast("string").alias("quality"), "seq_pos")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(header, comment, sequence, quality, seq_pos): groups of four lines. A file is one task's, as nothing in a
-    FASTQ line tells which of the four it is; split large inputs in files."""
+def read_fastq(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """(header, comment, sequence, quality, seq_pos): groups of four lines, read in ranges of ``split_bytes`` (by default Spark's own)
+    where they lie. Where a store is known to the JVM alone, lines come from Spark's text source instead, and a file is one task's."""
+    own = fastq.read(spark, path, split_bytes)
+    return own if own is not None else _fastq_by_file(spark, path)
+
+
+def _fastq_by_file(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     ordered = lines.repartition("file").sortWithinPartitions("file", "block", "n")
 

@@ -7,7 +7,9 @@ in order of size, closes a group whenever ``target_bytes`` are reached, and rewr
 
 A version is a manifest, a folder ``manifest/<id>`` with the list of live shards, and becomes the newest by the creation of the
 one small file ``versions/<n>`` that names it. That creation never overwrites, so of two writers one fails; it reads the newest
-version and tries again (an append adds its shards to whatever is live, a compaction starts over if a shard it merged has gone).
+version and tries again (an append adds its shards to whatever is live, a compaction starts over if a shard it merged has gone). On a local
+file system, whose ``create`` looks before it opens, the file is written aside and gets its name by a hard link, which fails if the name is there;
+elsewhere the store's own exclusive ``create`` is relied on. A writer reads its file again before it counts its version as committed.
 Readers see the old or the new list, never a mixture. Shards that no version lists are left for ``vacuum``, which spares
 folders younger than ``grace`` seconds, as a writer may be about to commit them.
 
@@ -29,7 +31,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from contigua.llm.common import scratch, stored
+from contigua.llm.common import scratch, sized, stored
 
 #: Names that no column of the data may have.
 GROUP, PATH = "__merge_group", "__path"
@@ -75,18 +77,35 @@ class ShardStore:
         name = uuid.uuid4().hex
         live.select(*[c.split()[0] for c in COLUMNS.split(", ")]).coalesce(1).write.parquet(f"{self.root}/manifest/{name}")
         try:
-            stream = self._fs.create(self._path(f"{self.root}/versions/{base + 1}"), False)
+            self._claim(base + 1, name)
+            if self._manifest_of(base + 1) == name:
+                return base + 1
         except Py4JJavaError as e:
-            if "Exist" not in e.java_exception.getClass().getName() and "exist" not in str(e.java_exception.getMessage()):
+            kind, text = e.java_exception.getClass().getName(), str(e.java_exception.getMessage())
+            if not any(x in kind or x.lower() in text for x in ("Exist", "FileNotFound", "NoSuchFile")):
                 raise
-            self._fs.delete(self._path(f"{self.root}/manifest/{name}"), True)
-            self._clear_dead(base + 1)
-            return None
+        self._fs.delete(self._path(f"{self.root}/manifest/{name}"), True)
+        self._clear_dead(base + 1)
+        return None
+
+    def _claim(self, version: int, name: str) -> None:
+        """Makes the version's file; an error if it is there."""
+        own = self._path(f"{self.root}/versions/{version}")
+        if self._fs.getScheme() != "file":
+            stream = self._fs.create(own, False)
+            try:
+                stream.write(bytearray(name.encode()))
+            finally:
+                stream.close()
+            return
+        jvm = self.spark.sparkContext._jvm
+        where = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+        aside = where(self._path(f"{self.root}/versions/_{name}"))
+        jvm.java.nio.file.Files.write(aside, bytearray(name.encode()), self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.OpenOption, 0))
         try:
-            stream.write(bytearray(name.encode()))
+            jvm.java.nio.file.Files.createLink(where(own), aside)
         finally:
-            stream.close()
-        return base + 1
+            jvm.java.nio.file.Files.delete(aside)
 
     def _clear_dead(self, version: int) -> None:
         """Takes away the file of a writer that died between making it and naming its manifest in it."""
@@ -146,7 +165,7 @@ class ShardStore:
                 return base
             folder = self._new_folder()
             paths = [r.path for r in merge.select("path").collect()]  # names of files, as those of any folder that Spark reads
-            rows = self._rows(paths).join(F.broadcast(merge.select(F.col("path").alias(PATH), GROUP)), PATH).drop(PATH)
+            rows = self._rows(paths).join(sized(merge.select(F.col("path").alias(PATH), GROUP), 512), PATH).drop(PATH)
             dealt = rows.repartitionById(groups, F.col(GROUP)) if hasattr(rows, "repartitionById") else rows.repartitionByRange(groups, GROUP)
             dealt.write.partitionBy(GROUP).option("compression", "zstd").parquet(folder)
             found = self._shards(folder, ratio)
@@ -185,15 +204,20 @@ class ShardStore:
                     self._fs.delete(s.getPath(), True)
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", lots: int = 3, target_bytes: int = 16 << 20, fan_in: int = 4) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", lots: int = 4, target_bytes: int = 16 << 20, fan_in: int = 2) -> DataFrame:
     """The rows arrive in ``lots`` appends, by hash of the id, and are compacted; per row: id, ``shard``,
-    ``shard_bytes``, ``version``."""
+    ``shard_bytes``, ``version``, ``merged`` (whether the shard is the compaction's).
+
+    Of more shards below the target than tiers two at least are of one tier, so four appends of about one size, even of one file each, are always merged.
+    """
     spark = docs.sparkSession
     store = ShardStore(spark, scratch(spark, "shards"))
     lot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(lots))
     for i in range(lots):
         store.append(docs.filter(lot == i))
+    arrived = store.manifest().select(F.col("path").alias("as_it_came"))
     version = store.compact(target_bytes, fan_in)
     live = store.manifest(version).select(F.col("path").alias("of"), F.col("bytes").alias("shard_bytes"), F.substring_index("path", "/data/", -1).alias("shard"))
+    live = live.join(arrived, F.col("of") == F.col("as_it_came"), "left").withColumn("merged", F.col("as_it_came").isNull())
     rows = store.read(version, with_path=True).select(id_col, PATH)
-    return rows.join(live, F.col(PATH) == F.col("of")).select(id_col, "shard", "shard_bytes", F.lit(version).cast("long").alias("version"))
+    return rows.join(live, F.col(PATH) == F.col("of")).select(id_col, "shard", "shard_bytes", F.lit(version).cast("long").alias("version"), "merged")

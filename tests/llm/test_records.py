@@ -5,14 +5,17 @@ import hashlib
 import io
 import itertools
 import random
+import threading
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from contigua.llm import chat, compaction, knn, warc
-from contigua.llm.common import scratch
+from contigua.llm.common import scratch, table
 
 
 # -- kNN --------------------------------------------------------------------------------------------
@@ -102,6 +105,51 @@ def test_broken_archives():
 # -- shards -----------------------------------------------------------------------------------------
 
 
+def test_every_table_is_merged(spark):
+    """A query's small table too: fewer shards after the appends than before, and each row says whether its shard was merged."""
+    for sf in ("sf0.001", "sf0.01"):
+        docs = table(spark, f"/root/testdata/{sf}", "documents")
+        out = compaction.shard(docs).collect()
+        assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+        assert {r.version for r in out} == {5} and len({r.shard for r in out}) < 4 and any(r.merged for r in out)
+        assert len({(r.shard, r.shard_bytes, r.merged) for r in out}) == len({r.shard for r in out})
+
+
+def test_one_of_two_writers_commits(spark):
+    """Two writers at once, hundreds of times: each version is claimed by exactly one, and holds its name."""
+    store = compaction.ShardStore(spark, scratch(spark, "shards"))
+
+    def claim(name, version, gate):
+        gate.wait()
+        try:
+            store._claim(version, name)
+            return name
+        except Py4JJavaError as e:
+            assert "Exist" in e.java_exception.getClass().getName()
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        for version in range(1, 201):
+            gate = threading.Barrier(4)
+            won = [w for w in pool.map(lambda i: claim(f"w{i}", version, gate), range(4)) if w]  # noqa: B023
+            assert len(won) == 1 and store._manifest_of(version) == won[0]
+    assert store.version() == 200 and not [n for n in store._names("versions") if not n.isdigit()]
+
+
+def test_two_appending_writers_lose_nothing(spark):
+    root = scratch(spark, "shards")
+    compaction.ShardStore(spark, root).append(spark.createDataFrame([(0,)], "doc_id long"))
+
+    def write(who):
+        own = compaction.ShardStore(spark, root)
+        return [own.append(spark.createDataFrame([(1000 * who + i,)], "doc_id long")) for i in range(1, 9)]
+
+    with ThreadPoolExecutor(2) as pool:
+        versions = [v for own in pool.map(write, (1, 2)) for v in own]
+    assert sorted(versions) == list(range(2, 18))
+    assert sorted(r.doc_id for r in compaction.ShardStore(spark, root).read().collect()) == [0, *(1000 * w + i for w in (1, 2) for i in range(1, 9))]
+
+
 def test_compaction(spark, monkeypatch):
     store = compaction.ShardStore(spark, scratch(spark, "shards"))
     rng = random.Random(4)
@@ -135,7 +183,7 @@ def test_compaction(spark, monkeypatch):
     empty.append(df.limit(0))
     assert empty.read().count() == 0 and empty.compact() == empty.version()
     out = compaction.shard(df, target_bytes=target)
-    assert out.count() == df.count() and out.columns == ["doc_id", "shard", "shard_bytes", "version"]
+    assert out.count() == df.count() and out.columns == ["doc_id", "shard", "shard_bytes", "version", "merged"]
 
 
 def test_writers_at_once(spark, monkeypatch):

@@ -766,17 +766,23 @@ def cleave_edges(spark, d):
 
 
 def _edited(program: str, spark, d):
-    """A program of the edit language over the components; segments are known by length alone."""
-    from contigua.model import Assembly
+    """A program of the edit language over the orders' assembly."""
     from contigua.plans import sak
 
+    return sak.run(_orders_assembly(spark, d), program)
+
+
+def _orders_assembly(spark, d):
+    """Orders as paths; segments are known by length alone."""
+    from contigua.model import Assembly
+
     c = B.components(spark, d)
     rows = B.lines(spark, d).filter("next IS NOT NULL")
     gaps = rows.select(F.concat_ws("_", F.lit("gap"), "path", "o").alias("header"), F.col("part").cast("string").alias("s1"), F.col("orientation").alias("s1_or"), F.col("next").cast("string").alias("s2"), F.col("next_or").alias("s2_or"), F.col("q").alias("dist"))
     edges = B.edges(spark, d).withColumns({x: F.col(x).cast("string") for x in ("s1", "s2")})
     segs = B.nodes(spark, d).select(F.col("node").cast("string").alias("header"), F.lit(None).cast("string").alias("sequence"), F.col("len").alias("ln_length"))
     own = c.select("path").distinct().select(F.col("path").alias("header"), F.lit("").alias("comment"))
-    return sak.run(Assembly(segs, gaps, edges, own, _plain(c)), program)
+    return Assembly(segs, gaps, edges, own, _plain(c))
 
 
 @query(f"WITH {Q.COMPS} SELECT comp, CASE WHEN comp = 'gap_1_1' THEN 999 ELSE len END AS dist FROM gc WHERE ctype = 'GAP'")
@@ -928,6 +934,56 @@ for _v in (1, 2):
         return _gfa(spark, d, v).gaps.select("s1", "s1_or", "s2", "s2_or", "dist")
 
 
+def _gfa_orders(spark, d, version: int):
+    """The orders' assembly, with an edge beside it, as a GFA file, read back."""
+    from contigua.sources import readers, sinks
+
+    a = _orders_assembly(spark, d)
+    return readers.read_gfa(spark, _written(spark, (sinks.gfa1_lines if version == 1 else sinks.gfa2_lines)(a), "gfa"))
+
+
+@query(f"WITH {Q.EDGES} SELECT CAST(s1 AS VARCHAR) AS s1, s1_or, CAST(s2 AS VARCHAR) AS s2, s2_or, cigar, 'edge' AS named FROM ge")
+def read_gfa1_edges(spark, d):
+    """L lines have no names; each gets one of its own, numbered from 0."""
+    edges = _gfa_orders(spark, d, 1).edges
+    n = edges.agg(F.countDistinct("header").alias("n"), F.max(F.regexp_extract("header", "([0-9]+)$", 1).cast("long")).alias("last"), F.count(F.lit(1)).alias("rows")).first()
+    if not n.n == n.last + 1 == n.rows:
+        raise ValueError("edges are not numbered one by one")
+    return edges.select("s1", "s1_or", "s2", "s2_or", "cigar", F.regexp_replace("header", "[0-9]+$", "").alias("named"))
+
+
+@query(f"WITH {Q.EDGES} SELECT header, CAST(s1 AS VARCHAR) AS s1, s1_or, CAST(s2 AS VARCHAR) AS s2, s2_or, cigar FROM ge")
+def read_gfa2_edges(spark, d):
+    return _gfa_orders(spark, d, 2).edges.select("header", "s1", "s1_or", "s2", "s2_or", "cigar")
+
+
+@query(f"WITH {Q.COMPS} SELECT path, ord, ctype, CASE WHEN ctype = 'SEGMENT' THEN comp END AS comp, orientation, \"start\", \"end\" FROM gc")
+def read_gfa1_paths(spark, d):
+    """P lines; their gaps are found by the pair of their ends, which many gaps share, so only that one is there is told."""
+    comps = _gfa_orders(spark, d, 1).components
+    return comps.select("path", "ord", "ctype", F.when(F.col("ctype") == SEGMENT, F.col("comp")).alias("comp"), "orientation", "start", "end")
+
+
+@query(f"WITH {Q.COMPS} SELECT {_C} FROM gc")
+def read_gfa2_paths(spark, d):
+    """O lines name their gaps."""
+    return _plain(_gfa_orders(spark, d, 2).components)
+
+
+@query(f"WITH {Q.COMPS} SELECT path, ord, ctype, CASE WHEN ctype = 'SEGMENT' THEN comp END AS comp, orientation, len FROM gc")
+def apply_agp(spark, d):
+    """The orders put together again from their AGP lines, out of paths of one part each."""
+    from contigua.sources import readers, sinks
+
+    agp = readers.read_agp(spark, _written(spark, sinks.agp_lines(stats.offsets(B.components(spark, d))), "agp"))
+    zero = F.lit(0).cast("long")
+    parts = B.nodes(spark, d).select(F.col("node").cast("string").alias("path"), F.lit(1).cast("long").alias("ord"), F.lit(SEGMENT).alias("ctype"), F.col("node").cast("string").alias("comp"), F.lit("+").alias("orientation"), zero.alias("start"), zero.alias("end"), "len")
+    built, missing = readers.apply_agp(parts, agp)
+    if not missing.isEmpty():
+        raise ValueError("AGP lines name paths that are not there")
+    return built.select("path", "ord", "ctype", F.when(F.col("ctype") == SEGMENT, F.col("comp")).alias("comp"), "orientation", "len")
+
+
 @query(f"WITH {_OFF} SELECT path AS object, CAST(part AS BIGINT) AS part, begin_ + 1 AS obj_start, stop AS obj_end, CASE WHEN ctype = 'SEGMENT' THEN 'W' ELSE 'N' END AS ctype, CASE WHEN ctype = 'SEGMENT' THEN comp ELSE CAST(len AS VARCHAR) END AS c6 FROM off")
 def read_agp(spark, d):
     from contigua.sources import readers, sinks

@@ -7,6 +7,7 @@ that span lines are read with a record delimiter where the format has one; FASTQ
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from contigua.model import AGP, BED, COMPONENTS, EDGE, GAP, READS, SEGMENT, Assembly
 from contigua.operators import filters, ingest
+from contigua.operators.lineage import shared_root
 from contigua.operators.paths import renumber, revcom, trim
 from contigua.sources import fastq
 
@@ -124,18 +126,35 @@ def _tag(tags: Column, label: str) -> Column:
 
 
 def _named(df: DataFrame, prefix: str) -> DataFrame:
-    """Rows without a name get ``prefix`` and their number, in order of appearance among such rows."""
-    w = Window.partitionBy(F.col("header").isNull()).orderBy("n")
-    return df.withColumn("header", F.coalesce("header", F.concat(F.lit(prefix), (F.row_number().over(w) - 1).cast("string"))))
+    """Rows without a name get ``prefix`` and their number, in order of appearance among such rows.
+
+    ``n`` holds the task that read a row above its number there, so a row's number is that among its task's, and the rows of the tasks before it.
+    """
+    none = df.filter("header IS NULL").withColumn("__task", F.shiftright("n", 33))
+    held = none.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    ranked = none.join(held.select("__task", before.alias("__before")), "__task")
+    number = F.row_number().over(Window.partitionBy("__task").orderBy("n")) - 1 + F.col("__before")
+    named = ranked.withColumn("header", F.concat(F.lit(prefix), number.cast("string"))).select(*df.columns)
+    return df.filter("header IS NOT NULL").unionByName(named)
+
+
+KINDS = ("H", "S", "J", "L", "P", "G", "E", "O")
 
 
 def read_gfa(spark: SparkSession, path: str) -> Assembly:
-    """The assembly of a GFA 1 or 2 file; the version is that of the header, or told by the kinds of lines."""
-    raw = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("f", F.split(F.regexp_replace("value", "\r$", ""), TAB)).filter("value <> ''")
-    kinds = {r.k for r in raw.select(_col(0).alias("k")).distinct().limit(64).collect()}
-    head = raw.filter(_col(0) == "H").select("value").limit(1).collect()
-    two = "VN:Z:2" in head[0].value if head else bool(kinds & {"E", "G", "O"})
-    lines = lambda kind: raw.filter(_col(0) == kind)
+    """The assembly of a GFA 1 or 2 file; the version is that of the header, or told by the kinds of lines.
+
+    The text is read once, and its lines are written to the shared folder by kind; each table is made of those of its kind.
+    """
+    text = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", "\r$", "")).withColumn("kind", F.substring_index("value", TAB, 1))
+    folder = f"{shared_root(spark)}/gfa-{uuid.uuid4().hex}"
+    text.filter(F.col("kind").isin(*KINDS)).write.partitionBy("kind").parquet(folder)
+    held = spark.read.schema("value string, n long, kind string").parquet(folder)
+    raw = held.withColumn("f", F.split("value", TAB))
+    head = held.filter("kind = 'H'").agg(F.min_by("value", "n").alias("h")).first().h
+    two = "VN:Z:2" in head if head is not None else not held.filter(F.col("kind").isin("E", "G", "O")).isEmpty()
+    lines = lambda kind: raw.filter(F.col("kind") == kind).drop("kind")
     name = lambda c: F.regexp_replace(c, r"[+-]$", "")
     sign = lambda c: F.when(c.rlike("-$"), "-").otherwise("+")
     number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))

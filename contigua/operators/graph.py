@@ -192,17 +192,60 @@ def scaffold_walk(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
     return sizes.join(more, "path", "left").select("path", "n", (F.col("inner") + F.coalesce("more", F.lit(0))).alias("size"), "a", "c", "g", "t", "lower")
 
 
-def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
-    """(node, dist) from the nearest source; relaxation until nothing improves."""
+def _chains(links: DataFrame, sources: DataFrame, store: Rounds) -> tuple[DataFrame, DataFrame]:
+    """(inner, roots): nodes inside chains, and (end, node, w) for every link: where the way that leads into ``node`` by it leaves a node that is not inside
+    a chain, and its weight from there.
+
+    Inside are nodes but sources that have the same two neighbours ahead and behind. Ways back through them are doubled, so rounds grow with the
+    logarithm of the longest chain; what is open after as many is a ring without a source, and unreachable.
+    """
+    ends = lambda one, two, name: links.groupBy(F.col(one).alias("node")).agg(F.min(two).alias(f"{name}_lo"), F.max(two).alias(f"{name}_hi"), F.count(F.lit(1)).alias(f"{name}_n"))
+    inner = ends("node", "other", "out").join(ends("other", "node", "in"), "node").filter("out_n = 2 AND in_n = 2 AND out_lo = in_lo AND out_hi = in_hi")
+    inner = store.write(inner.join(sources.select("node"), "node", "left_anti").select("node", F.col("in_lo").alias("lo"), F.col("in_hi").alias("hi")))
+    own = links.join(inner, "node", "left")
+    behind = F.when(F.col("lo") == F.col("other"), F.col("hi")).otherwise(F.col("lo"))
+    roots = store.write(own.filter("lo IS NULL").select("node", "other", F.col("node").alias("end"), "w"))
+    state = store.write(own.filter("lo IS NOT NULL").select("node", "other", behind.alias("up"), F.col("node").alias("up_to"), "w"))
+    left = max(1, state.count()).bit_length() + 1
+    while left and not state.isEmpty():
+        left -= 1
+        over = roots.select(F.col("node").alias("up"), F.col("other").alias("up_to"), "end", F.col("w").alias("more"))
+        there = state.join(over, ["up", "up_to"]).select("node", "other", "end", (F.col("w") + F.col("more")).alias("w"))
+        on = state.select(F.col("node").alias("up"), F.col("other").alias("up_to"), F.col("up").alias("next"), F.col("up_to").alias("next_to"), F.col("w").alias("more"))
+        fresh = store.write(there)
+        state = store.write(state.join(on, ["up", "up_to"]).select("node", "other", F.col("next").alias("up"), F.col("next_to").alias("up_to"), (F.col("w") + F.col("more")).alias("w")))
+        roots = roots.unionByName(fresh)
+    return inner.select("node"), roots.select("end", F.col("other").alias("node"), "w")
+
+
+def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None = None, previous: bool = False) -> DataFrame:
+    """(node, dist) from the nearest source, by weights that are not negative; with ``previous`` also the node before it on a shortest way (null at a source).
+
+    Chains of nodes with two neighbours are links of their length, and only nodes between chains are relaxed until nothing improves: rounds
+    grow with the hops between such nodes, and with the logarithm of the longest chain. Nodes inside get theirs from the ends.
+    """
     w = F.col(weight) if weight else F.lit(1)
-    links = Rounds(adj.sparkSession).write(adj.select("node", "other", w.cast("double").alias("w")))
+    store = Rounds(adj.sparkSession, keep=1 << 30)
+    links = store.write(adj.filter("node <> other").groupBy("node", "other").agg(F.min(w.cast("double")).alias("w")))
+    sources = store.write(sources.select("node").distinct())
+    inner, roots = _chains(links, sources, store)
+    roots = store.write(roots)
+    short = store.write(roots.join(inner, "node", "left_anti").groupBy(F.col("end").alias("node"), F.col("node").alias("other")).agg(F.min("w").alias("w")))
     rounds = Rounds(adj.sparkSession, keep=3)
-    dist = rounds.write(sources.select("node", F.lit(0.0).alias("dist")).distinct())
+    dist = rounds.write(sources.select("node", F.lit(0.0).alias("dist")))
     fresh = dist
     while True:
-        reach = fresh.join(links, "node").select(F.col("other").alias("node"), (F.col("dist") + F.col("w")).alias("dist")).groupBy("node").agg(F.min("dist").alias("dist"))
+        reach = fresh.join(short, "node").select(F.col("other").alias("node"), (F.col("dist") + F.col("w")).alias("dist")).groupBy("node").agg(F.min("dist").alias("dist"))
         better = rounds.write(reach.join(dist.withColumnRenamed("dist", "old"), "node", "left").filter("old IS NULL OR dist < old").select("node", "dist"))
         if better.isEmpty():
-            return dist
+            break
         dist = rounds.write(dist.join(better.select("node"), "node", "left_anti").unionByName(better))
         fresh = better
+    inside = roots.join(inner, "node", "left_semi").join(dist.withColumnRenamed("node", "end"), "end").groupBy("node").agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+    found = dist.unionByName(inside)
+    if not previous:
+        return found
+    found = store.write(found)
+    step = links.join(found, "node").select(F.col("other").alias("node"), (F.col("dist") + F.col("w")).alias("via"), F.col("node").alias("before"), F.col("dist").alias("there"))
+    least = step.join(found, "node").filter("via = dist AND dist > 0").groupBy("node").agg(F.min(F.struct("there", "before")).getField("before").alias("previous"))
+    return found.join(least, "node", "left")

@@ -10,6 +10,7 @@ of bases where it lies, a chunk at a time with what the next one needs; nothing
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,6 +138,47 @@ def read_db(spark, path: str) -> tuple[DataFrame, int]:
     return spark.read.parquet(f"{path}/kmers"), spark.read.parquet(f"{path}/index").first().k
 
 
+# -- databases in buckets -----------------------------------------------------------------------------
+
+
+def _bucketed_table(spark, path: str) -> str:
+    """The name under which the session knows the files of a database, with their buckets."""
+    path = path.rstrip("/")
+    name = f"kmers_{hashlib.md5(path.encode()).hexdigest()}"
+    index = spark.read.parquet(f"{path}/index").first()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (kmer STRING, cnt BIGINT) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {index.buckets} BUCKETS LOCATION '{path}/kmers'")
+    return name
+
+
+def write_bucketed(kmers: DataFrame, path: str, k: int, buckets: int = 64) -> None:
+    """A database whose files are buckets of k-mers by hash, each sorted; databases of as many buckets are united without a shuffle."""
+    spark, path = kmers.sparkSession, path.rstrip("/")
+    name = f"kmers_{hashlib.md5(path.encode()).hexdigest()}"
+    own = kmers.select("kmer", F.col("cnt").cast("long").alias("cnt")).repartition(buckets, "kmer")
+    own.write.bucketBy(buckets, "kmer").sortBy("kmer").option("path", f"{path}/kmers").mode("overwrite").saveAsTable(name)
+    spark.createDataFrame([(k, buckets)], "k int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_bucketed(spark, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(kmer, cnt) of a database, or of its buckets ``first`` to ``last`` alone; other files are not opened."""
+    if first is None:
+        return spark.table(_bucketed_table(spark, path))
+    names = ",".join(f"{b:05d}" for b in range(first, last + 1))
+    return spark.read.schema("kmer string, cnt long").option("pathGlobFilter", f"*_{{{names}}}.c*").parquet(f"{path.rstrip('/')}/kmers")
+
+
+def union_bucketed(spark, *paths: str) -> DataFrame:
+    """Multiset union of databases, bucket by bucket: merge joins of files that are sorted and dealt alike already."""
+    shapes = {(r.k, r.buckets) for p in paths for r in [spark.read.parquet(f"{p.rstrip('/')}/index").first()]}
+    if len(shapes) != 1:
+        raise ValueError(f"databases of one k and one number of buckets are needed, not {sorted(shapes)}")
+    out = read_bucketed(spark, paths[0])
+    for p in paths[1:]:
+        other = read_bucketed(spark, p).select("kmer", F.col("cnt").alias("more"))
+        out = out.hint("merge").join(other, "kmer", "full").select("kmer", F.least(F.coalesce("cnt", F.lit(0)) + F.coalesce("more", F.lit(0)), F.lit(MOST)).alias("cnt"))
+    return out
+
+
 def smer_hash(smer: Column, filtered: bool = False) -> Column:
     own = P.canonical(smer)
     return P.filtered_hash(own) if filtered else P.code(own)

@@ -391,6 +391,21 @@ def kmer_union(spark, d):
     return kmers.union(kmers.count_kmers(B.reads(spark, d), 9), kmers.count_kmers(B.reads(spark, d, "benchmark", "item_id"), 9))
 
 
+@query(
+    f"WITH {Q.READS}, r2 AS (SELECT CAST(item_id AS VARCHAR) AS header, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM benchmark), r3 AS (SELECT CAST(conv_id AS VARCHAR) AS header, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM conversations)"
+    f" SELECT {Q.canonical('k')} AS kmer, count(*) AS cnt FROM (SELECT k FROM ({Q.windows(11)}) UNION ALL SELECT k FROM ({Q.windows(11, 'r2')}) UNION ALL SELECT k FROM ({Q.windows(11, 'r3')})) GROUP BY 1"
+)
+def kmer_db_union(spark, d):
+    """Databases of three tables, in buckets, united where they lie."""
+    from contigua.operators.lineage import shared_root
+
+    paths_ = []
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id")):
+        paths_.append(f"{shared_root(spark)}/kmers-{uuid.uuid4().hex}")
+        kmers.write_bucketed(kmers.count_kmers(B.reads(spark, d, name, key), 11), paths_[-1], 11, 16)
+    return kmers.union_bucketed(spark, *paths_)
+
+
 @query(f"WITH {Q.READS} SELECT DISTINCT k AS kmer, {Q.canonical('k')} AS canonical, {Q.code('k', 7)} AS code FROM ({Q.windows(7)})")
 def kmer_canonical(spark, d):
     k = F.col("kmer")
@@ -640,6 +655,15 @@ def shortest_distances(spark, d):
     return graph.shortest_distances(graph.adjacency(B.small_edges(spark, d)), sources)
 
 
+@query(
+    f"WITH RECURSIVE {Q.ADJ}, hops AS (SELECT p_partkey AS node, 0 AS d FROM part WHERE p_partkey % 97 = 1 UNION SELECT a.other, h.d + 1 FROM hops h JOIN adj a ON a.node = h.node WHERE h.d < 300)"
+    " SELECT node, CAST(min(d) AS DOUBLE) AS dist FROM hops GROUP BY node"
+)
+def shortest_distances_whole(spark, d):
+    """In the graph of all edges, where no way is as long as the SQL's 300 hops."""
+    return graph.shortest_distances(_adj(spark, d), B.nodes(spark, d).filter("node % 97 = 1"))
+
+
 @query(_GAPS + f" SELECT header AS path, row_number() OVER (PARTITION BY header ORDER BY i) AS ord, name AS comp FROM feats WHERE kind = 'SEGMENT' OR name IN (SELECT name FROM gaps WHERE s1 IS NULL OR s1 <> s2)")
 def remove_terminal_gaps(spark, d):
     f = _feats(spark, d)

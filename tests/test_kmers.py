@@ -153,3 +153,30 @@ def test_super_mers_shuffle_less(spark):
 def _executors(spark):
     found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
     return [found.apply(i) for i in range(found.size())]
+
+
+def test_bucketed_databases(spark, tmp_path):
+    """United without a shuffle; a range of buckets is those buckets' files."""
+    a, b = _reads(spark, 60), _reads(spark, 90, hot=False)
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    kmers.write_bucketed(kmers.count_kmers(a, 13), one, 13, 8)
+    kmers.write_bucketed(kmers.count_kmers(b, 13), two, 13, 8)
+    got = kmers.union_bucketed(spark, one, two)
+    want = sorted(map(tuple, kmers.union(kmers.count_kmers(a, 13), kmers.count_kmers(b, 13)).collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = kmers.union_bucketed(spark, one, two)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    whole = sorted(map(tuple, kmers.count_kmers(a, 13).collect()))
+    parts = [sorted(map(tuple, kmers.read_bucketed(spark, one, first, last).collect())) for first, last in ((0, 2), (3, 3), (4, 7))]
+    assert sorted(r for p in parts for r in p) == whole and all(parts)
+    assert kmers.read_bucketed(spark, one, 0, 2).filter(F.expr("pmod(hash(kmer), 8) NOT IN (0, 1, 2)")).count() == 0
+    spark.sql(f"DROP TABLE {kmers._bucketed_table(spark, one)}")  # another session knows the files by their path alone
+    assert sorted(map(tuple, kmers.read_bucketed(spark, one).collect())) == whole
+    kmers.write_bucketed(kmers.count_kmers(a, 13), one, 13, 4)
+    with pytest.raises(ValueError, match="number of buckets"):
+        kmers.union_bucketed(spark, one, two)

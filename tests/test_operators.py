@@ -6,6 +6,7 @@ import random
 from pyspark.sql import Window, functions as F
 
 from contigua.operators.components import component_labels
+from contigua.operators.lineage import Rounds
 from contigua.operators import filters, graph, ingest, kmers, paths, stats
 
 
@@ -96,6 +97,34 @@ def test_discover_paths(spark):
     assert rows(graph.discover_paths(nodes, gaps), "path", "ord", "comp") == [("a_path", 1, "a"), ("a_path", 2, "b"), ("a_path", 3, "c"), ("d_path", 1, "d")]
 
 
+def test_shortest_distances_over_chains(spark, monkeypatch):
+    """Chains, rings and branches, weighted, against relaxing one by one; a chain of thousands of nodes takes few rounds."""
+    rng = random.Random(12)
+    links = [(i, i + 1, rng.randint(1, 9)) for i in range(60)] + [(100 + i, 100 + (i + 1) % 7, 2) for i in range(7)] + [(200 + i, 200 + (i + 1) % 5, 3) for i in range(5)]
+    links += [(20, 100, 4), (20, 300, 1), (300, 40, 2), (7, 7, 1), (7, 8, 50)] + [(rng.randint(400, 430), rng.randint(400, 430), rng.randint(1, 5)) for _ in range(40)] + [(55, 400, 1)]
+    both = links + [(b, a, w) for a, b, w in links]
+    for start in ([0], [10, 104], [300, 415], [999]):
+        best = {s: 0 for s in start}
+        for _ in range(200):
+            for a, b, w in both:
+                if a in best and best[a] + w < best.get(b, 1 << 60):
+                    best[b] = best[a] + w
+        got = graph.shortest_distances(spark.createDataFrame(both, "node long, other long, w long"), spark.createDataFrame([(s,) for s in start], "node long"), "w", previous=True).collect()
+        assert {r.node: r.dist for r in got} == best
+        weights = {}
+        for a, b, w in both:
+            weights[a, b] = min(w, weights.get((a, b), w))
+        for r in got:
+            assert (r.previous is None) == (r.node in start) and (r.previous is None or best[r.previous] + weights[r.previous, r.node] == best[r.node])
+    n, tables = 20_000, []
+    write = Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, df: tables.append(1) or write(self, df))
+    chain = spark.range(n - 1).selectExpr("id * 7919 % 20011 AS node", "(id + 1) * 7919 % 20011 AS other")
+    far = graph.shortest_distances(chain.union(chain.select("other", "node")), spark.createDataFrame([(0,)], "node long"))
+    assert far.agg(F.count("node"), F.sum("dist"), F.max("dist")).first()[:] == (n, n * (n - 1) / 2, n - 1)
+    assert len(tables) <= 2 * 30
+
+
 def walk_plainly(nodes, gaps):
     """Steps and gaps left over, one gap after the other; gaps are (header, s1, o1, s2, o2, dist)."""
     at, over = {}, {}

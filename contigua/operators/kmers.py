@@ -290,21 +290,3 @@ def least_minimiser(reads: DataFrame, s: int, sequence: str = "sequence", keep:
 def walk_alternatives(alternatives: Column) -> Column:
     """All strings that take one alternative of each place, in order: array<array<string>> to array<string>."""
     return F.aggregate(alternatives, F.array(F.lit("")), lambda acc, a: F.flatten(F.transform(acc, lambda p: F.transform(a, lambda b: F.concat(p, b)))))
-
-
-def terminal_overlaps(segments: DataFrame, least: int, window: int = 20_000) -> DataFrame:
-    """(s1, s1_or, s2, s2_or, overlap): the longest exact match of an end of s1 with the begin of s2, as
-    (+, +), (+, -) and (-, +), for s1 <= s2; a segment's trivial match with itself is none.
-
-    The last ``least`` bases of one are sought among the k-mers of the other's first ``window`` bases, so
-    only pairs with a seed are compared.
-    """
-    base = segments.filter(F.col("sequence").isNotNull() & (F.length("sequence") >= least)).select("header", F.upper("sequence").alias("q"))
-    oriented = base.select("header", F.lit("+").alias("o"), "q").union(base.select("header", F.lit("-").alias("o"), revcomp(F.col("q")).alias("q")))
-    tails = oriented.select(F.col("header").alias("s1"), F.col("o").alias("s1_or"), F.expr(f"right(q, {window})").alias("tail"), F.expr(f"right(q, {least})").alias("seed"))
-    heads = oriented.select(F.col("header").alias("s2"), F.col("o").alias("s2_or"), F.expr(f"left(q, {window})").alias("head"), F.length("q").alias("len2"))
-    seeds = heads.select("s2", "s2_or", F.explode(F.sequence(F.lit(1), F.length("head") - least + 1)).alias("p"), "head").select("s2", "s2_or", F.expr(f"substring(head, p, {least})").alias("seed"), (F.col("p") + least - 1).alias("n"))
-    pairs = tails.drop("tail").join(seeds, "seed").filter("s1 <= s2 AND NOT (s1_or = '-' AND s2_or = '-')")
-    full = pairs.join(tails.select("s1", "s1_or", "tail"), ["s1", "s1_or"]).join(heads, ["s2", "s2_or"])
-    same = F.expr("n <= length(tail) AND right(tail, n) = left(head, n) AND NOT (s1 = s2 AND s1_or = s2_or AND n = len2)")
-    return full.filter(same).groupBy("s1", "s1_or", "s2", "s2_or").agg(F.max("n").cast("long").alias("overlap"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contigua.functions import packing as P, seq as S
 from contigua.model import GAP, SEGMENT
-from contigua.operators import chunks, filters, graph, ingest, kmers, minimiser_order, paths, stats
+from contigua.operators import chunks, filters, graph, ingest, kmers, minimiser_order, overlaps, paths, stats
 from contigua.plans import bridge as B, sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,15 +436,22 @@ def supermers(spark, d):
     return kmers.supermers(B.reads(spark, d), 21, 7).select("header", "h", "start", "length")
 
 
-@query(
-    f"WITH {Q.READS}, b AS (SELECT header, s FROM reads WHERE length(s) >= 31), og AS (SELECT header, '+' AS o, s FROM b UNION ALL SELECT header, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM b),"
+_ENDS = (
+    f"{Q.READS}, b AS (SELECT header, s FROM reads WHERE length(s) >= 31), og AS (SELECT header, '+' AS o, s FROM b UNION ALL SELECT header, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM b),"
     " hd AS (SELECT header AS s2, o AS s2_or, left(s, 20000) AS head, length(s) AS len2 FROM og), tl AS (SELECT header AS s1, o AS s1_or, right(s, 20000) AS tail, right(s, 31) AS seed FROM og),"
-    " sd AS (SELECT s2, s2_or, p + 30 AS n, substr(head, p, 31) AS seed, head, len2 FROM (SELECT *, unnest(generate_series(1, length(head) - 30)) AS p FROM hd))"
-    " SELECT s1, s1_or, s2, s2_or, max(n) AS overlap FROM tl JOIN sd USING (seed) WHERE s1 <= s2 AND NOT (s1_or = '-' AND s2_or = '-') AND n <= length(tail) AND right(tail, n) = left(head, n)"
-    " AND NOT (s1 = s2 AND s1_or = s2_or AND n = len2) GROUP BY ALL"
+    " sd AS (SELECT s2, s2_or, p + 30 AS n, substr(head, p, 31) AS seed, head, len2 FROM (SELECT *, unnest(generate_series(1, length(head) - 30)) AS p FROM hd)),"
+    " pr AS (SELECT s1, s1_or, s2, s2_or, n FROM tl JOIN sd USING (seed) WHERE n <= length(tail) AND right(tail, n) = left(head, n) AND NOT (s1 = s2 AND s1_or = s2_or AND n = len2))"
 )
+
+
+@query(f"WITH {_ENDS} SELECT s1, s1_or, s2, s2_or, max(n) AS overlap FROM pr WHERE s1 <= s2 AND NOT (s1_or = '-' AND s2_or = '-') GROUP BY ALL")
 def terminal_overlaps(spark, d):
-    return kmers.terminal_overlaps(B.reads(spark, d), 31)
+    return overlaps.terminal_overlaps(B.reads(spark, d), 31)
+
+
+@query(f"WITH {_ENDS} SELECT s1 AS header, s1_or AS orientation, n AS overlap, count(*) AS partners FROM (SELECT *, max(n) OVER (PARTITION BY s1, s1_or) AS most FROM pr) WHERE n = most GROUP BY ALL")
+def longest_overlaps(spark, d):
+    return overlaps.longest_overlaps(B.reads(spark, d), 31)
 
 
 _ORDER7 = f"{Q.READS}, mm AS (SELECT header, pos, {Q.code('c', 7)} AS code FROM (SELECT header, pos, {Q.canonical('k')} AS c FROM ({Q.windows(7)}))), od AS (SELECT code, count(*) AS freq, row_number() OVER (ORDER BY count(*), code) - 1 AS rank FROM mm GROUP BY code)"

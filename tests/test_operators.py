@@ -3,11 +3,12 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from contigua.operators.components import component_labels
 from contigua.operators.lineage import Rounds
-from contigua.operators import filters, graph, ingest, kmers, paths, stats
+from contigua.operators import filters, graph, ingest, kmers, overlaps, paths, stats
 
 
 def rows(df, *cols):
@@ -238,8 +239,42 @@ def test_terminal_overlaps(spark):
             best = max((n for n in range(least, min(len(x), len(y)) + 1) if x[-n:] == y[:n] and not (n1 == n2 and o1 == o2 and n == len(y))), default=0)
             if n1 <= n2 and best:
                 expected.add((n1, o1, n2, o2, best))
-    got = kmers.terminal_overlaps(spark.createDataFrame(list(segs.items()), "header string, sequence string"), least)
-    assert set(rows(got)) == expected and expected
+    table = spark.createDataFrame(list(segs.items()), "header string, sequence string")
+    assert set(rows(overlaps.terminal_overlaps(table, least))) == expected and expected
+    assert set(rows(overlaps.terminal_overlaps(table, least, most_seeds=0))) == expected  # seeds joined by shuffle
+
+
+@pytest.mark.parametrize("most", [overlaps.MOST_SEEDS, 1])
+def test_longest_overlaps(spark, most):
+    rng = random.Random(4)
+    comp = str.maketrans("ACGT", "TGCA")
+    shared = "".join(rng.choice("ACGT") for _ in range(40))
+    segs = {f"s{i}": shared[rng.choice((0, 0, 3)) : rng.randint(9, 40)] + "".join(rng.choice("AC") for _ in range(rng.randint(0, 9))) + shared[: rng.randint(6, 40)] for i in range(30)}
+    segs |= {"copy1": shared, "copy2": shared, "runs": "A" * 50, "short": "ACG", "empty": "", "lower": shared.lower()[:20]}
+    least, window = 6, 45
+    turned = {(n, o): s.upper() if o == "+" else s.upper()[::-1].translate(comp) for n, s in segs.items() for o in "+-" if len(s) >= least}
+    expected = set()
+    for (n1, o1), x in turned.items():
+        tail, found = x[-window:], {}
+        for (n2, o2), y in turned.items():
+            for n in range(least, min(len(tail), len(y[:window])) + 1):
+                if tail[-n:] == y[:n] and not ((n1, o1) == (n2, o2) and n == len(y)):
+                    found.setdefault(n, []).append(n2)
+        if found:
+            expected.add((n1, o1, max(found), len(found[max(found)])))
+    table = spark.createDataFrame([*segs.items(), ("none", None)], "header string, sequence string")
+    assert set(rows(overlaps.longest_overlaps(table, least, window, most))) == expected and len(expected) > 30
+    assert overlaps.longest_overlaps(table.limit(0), least).count() == 0
+
+
+def test_overlaps_of_a_frequent_end(spark):
+    """20,000 segments begin and end with one text: 4e8 pairs, but a row an end and orientation."""
+    shared = "ACGGTCATTGCAGGCTTAACCGATTGGCATC"
+    middle = F.regexp_replace(F.sha2(F.col("id").cast("string"), 256), "[^acd]", "T")
+    table = spark.range(20_000).select(F.col("id").cast("string").alias("header"), F.concat(F.lit(shared), F.upper(F.translate(middle, "d", "G")), F.lit(shared)).alias("sequence"))
+    sets = overlaps.overlap_sets(table, 31)
+    assert rows(sets.groupBy("side", "n").count()) == [(s, n, 40_000) for s in ("head", "tail") for n in (31, 126)]  # 126: with itself
+    assert rows(overlaps.longest_overlaps(table, 31).groupBy("orientation", "overlap", "partners").count()) == [("+", 31, 20_000, 20_000), ("-", 31, 20_000, 20_000)]
 
 
 def test_trim(spark):

@@ -71,3 +71,23 @@ def small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between parts of at most 25 bases."""
     small = nodes(spark, sf_dir).filter("len <= 25").select("node")
     return edges(spark, sf_dir).join(small.toDF("s1"), "s1", "left_semi").join(small.toDF("s2"), "s2", "left_semi")
+
+
+def variants(feats: DataFrame) -> DataFrame:
+    """Variants of segments: every 20 bases in turn a substitution of two alternatives, a deletion of two bases or an insertion of two."""
+    at = feats.filter((F.col("kind") == SEGMENT) & (F.col("len") > 9)).select(F.col("name").alias("segment"), "text", "len", F.explode(F.sequence(F.lit(9).cast("long"), F.col("len") - 1, F.lit(20).cast("long"))).alias("pos"))
+    base = F.substring("text", (F.col("pos") + 1).cast("int"), F.lit(1))
+    row = lambda alt, vtype, n, text, score: F.struct(F.lit(alt).cast("long").alias("alt"), F.lit(vtype).alias("vtype"), F.lit(n).alias("ref_len"), text.alias("sequence"), score.cast("double").alias("score"))
+    both = F.array(row(0, "SNV", 1, F.translate(base, "ACGTacgt", "TGCAtgca"), F.col("pos") % 7), row(1, "COM", 1, F.concat(base, base), F.col("pos") % 5))
+    turn = F.col("pos") % 60
+    rows = F.when(turn == 9, both).when(turn == 29, F.array(row(0, "DEL", 2, F.lit(""), F.lit(3)))).otherwise(F.array(row(0, "INS", 0, F.lit("GT"), F.lit(4))))
+    held = at.filter((turn != 29) | (F.col("pos") + 2 <= F.col("len")))
+    return held.select("segment", F.col("pos").alias("grp"), "pos", F.explode(rows).alias("v")).select("segment", "grp", "v.alt", "v.vtype", "v.ref_len", "pos", "v.sequence", "v.score")
+
+
+def sites(reads: DataFrame) -> DataFrame:
+    """Choices in reads: of each twelve places one with another base, one with none and one with two more."""
+    at = reads.filter(F.length("sequence") > 0).select("header", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1)).alias("p")).filter("p % 12 IN (3, 7, 11)")
+    base = F.substring("sequence", F.col("p") + 1, F.lit(1))
+    text = F.when(F.col("p") % 12 == 3, F.translate(base, "ACGT", "TGCA")).when(F.col("p") % 12 == 7, "").otherwise(F.concat(base, F.lit("GT")))
+    return at.select("header", F.col("p").cast("long").alias("pos"), F.lit(1).alias("choice"), text.alias("text"))

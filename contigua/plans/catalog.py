@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contigua.functions import packing as P, seq as S
 from contigua.model import GAP, SEGMENT
-from contigua.operators import chunks, filters, graph, ingest, kmers, minimiser_order, overlaps, paths, stats
+from contigua.operators import chunks, filters, graph, ingest, kmers, minimiser_order, overlaps, paths, stats, string_graph, variants
 from contigua.plans import bridge as B, sql as Q
+from contigua.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -310,6 +311,43 @@ def agp_out(spark, d):
     return agp_lines(stats.offsets(B.components(spark, d)))
 
 
+def _sliced(spark, d):
+    """(features, components): long segments without their first and last three bases; every other path turned."""
+    f = _feats(spark, d)
+    cut = (F.col("kind") == SEGMENT) & (F.col("len") >= 60)
+    own = f.select(
+        F.col("header").alias("path"), F.col("i").alias("ord"), F.col("kind").alias("ctype"), F.col("name").alias("comp"), F.when(F.col("kind") == GAP, "0").otherwise("+").alias("orientation"),
+        F.when(cut, 4).otherwise(0).cast("long").alias("start"), F.when(cut, F.col("len") - 3).otherwise(0).cast("long").alias("end"),
+        F.when(cut, F.col("len") - 6).otherwise(F.col("len")).cast("long").alias("len"), F.when(cut, F.expr("substring(text, 4, cast(len - 6 as int))")).otherwise(F.col("text")).alias("text"),
+    )
+    return f, paths.revcom(own, F.col("path").cast("long") % 2 == 1)
+
+
+@query(
+    f"WITH {Q.VARIANTS}, fw AS (SELECT *, substr(text, CAST(p + 1 AS BIGINT), most) AS core, CASE WHEN p > sh THEN substr(text, CAST(p AS BIGINT), 1) ELSE '' END AS l, CASE WHEN p + most < sh + sz THEN substr(text, CAST(p + most + 1 AS BIGINT), 1) ELSE '' END AS r FROM inner_),"
+    " st AS (SELECT *, CASE WHEN minus THEN translate(r, 'ACGTacgt', 'TGCAtgca') ELSE l END AS bef, CASE WHEN minus THEN translate(l, 'ACGTacgt', 'TGCAtgca') ELSE r END AS aft, CASE WHEN minus THEN sh + sz - p - most ELSE p - sh END AS ix,"
+    " CASE WHEN minus THEN reverse(translate(core, 'ACGTacgt', 'TGCAtgca')) ELSE core END AS rf, CASE WHEN minus THEN list_transform(alts, lambda x: reverse(translate(x, 'ACGTacgt', 'TGCAtgca'))) ELSE alts END AS al FROM fw),"
+    " hd AS (SELECT *, CASE WHEN most = 1 THEN '' ELSE bef END AS h, CASE WHEN most <> 1 AND bef = '' THEN aft ELSE '' END AS e FROM st)"
+    " SELECT header AS path, CAST(begin_ + ix - length(h) + 1 AS BIGINT) AS pos, concat_ws(chr(9), header, CAST(begin_ + ix - length(h) + 1 AS BIGINT), '.', h || rf || e, array_to_string(list_transform(al, lambda x: h || x || e), ','),"
+    " printf('%.2f', q), 'PASS', '.', 'GT:GQ', '1/1:' || printf('%.2f', q)) AS line FROM hd"
+)
+def vcf_out(spark, d):
+    f, components = _sliced(spark, d)
+    return sinks.vcf_lines(stats.offsets(components), B.variants(f))
+
+
+@query(
+    f"WITH {Q.VARIANTS}, ch AS (SELECT header, i, minus, sh, sz, p0, substr(text, CAST(p0 + 1 AS BIGINT), 1) AS b FROM (SELECT *, unnest(generate_series(sh, sh + sz - 1)) AS p0 FROM pc WHERE kind = 'SEGMENT' AND sz > 0)),"
+    " ed AS (SELECT ch.*, a.most AS m, a.alts, a.p AS ap, d.p AS dp FROM ch LEFT JOIN inner_ a ON a.header = ch.header AND a.i = ch.i AND a.p = p0 LEFT JOIN inner_ d ON d.header = ch.header AND d.i = ch.i AND d.most = 2 AND d.p = p0 - 1),"
+    " sg AS (SELECT header, i, string_agg(CASE WHEN dp IS NOT NULL OR m = 2 THEN '' WHEN m = 1 THEN alts[CASE WHEN ap % 7 >= ap % 5 THEN 1 ELSE 2 END] WHEN m = 0 THEN 'GT' || b ELSE b END, '' ORDER BY p0) AS s FROM ed GROUP BY ALL),"
+    " sf AS (SELECT pc.header, pc.i, pc.minus, CASE WHEN kind = 'GAP' THEN repeat('N', len) ELSE coalesce(s, '') || CASE WHEN EXISTS (SELECT 1 FROM inner_ z WHERE z.header = pc.header AND z.i = pc.i AND z.most = 0 AND z.p = sh + sz) THEN 'GT' ELSE '' END END AS s FROM pc LEFT JOIN sg ON sg.header = pc.header AND sg.i = pc.i)"
+    " SELECT header AS path, string_agg(CASE WHEN minus THEN reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) ELSE s END, '' ORDER BY CASE WHEN minus THEN -i ELSE i END) AS seq FROM sf GROUP BY header"
+)
+def path_with_variants(spark, d):
+    f, components = _sliced(spark, d)
+    return sinks.path_sequences(variants.apply(components, B.variants(f))).select("path", "seq")
+
+
 @query(f"WITH {Q.SEQS} SELECT header, seq FROM (SELECT header, regexp_replace(seq, '[NnXx]', 'N', 'g') AS seq FROM seqs) WHERE seq <> ''")
 def fasta_out(spark, d):
     from contigua.sources.sinks import path_sequences
@@ -479,6 +517,17 @@ def kmer_count_supermers(spark, d):
     return minimiser_order.count_kmers(B.reads(spark, d), 31)
 
 
+@query(
+    f"WITH RECURSIVE {Q.PLACES}, rec AS (SELECT header, p AS pos, o AS inset, p + 1 AS nxt, left(substr(a, o + 1), 8) AS w, c AS ch FROM (SELECT *, unnest(generate_series(0, length(a) - 1)) AS o FROM places WHERE a <> '')"
+    " UNION SELECT r.header, pos, inset, nxt + 1, left(w || a, 8), CASE WHEN c = '' THEN ch WHEN ch = '' THEN c ELSE ch || ',' || c END FROM rec r JOIN places pl ON pl.header = r.header AND pl.p = nxt WHERE length(w) < 8)"
+    " SELECT header, pos, inset, w AS kmer, min(ch) AS choices FROM rec WHERE length(w) = 8 GROUP BY ALL"
+)
+def string_windows(spark, d):
+    """The distinct 8-mers of reads with choices, and the choices that lead to each."""
+    reads = B.reads(spark, d)
+    return string_graph.string_windows(reads, B.sites(reads), 8)
+
+
 @query("SELECT p_partkey, unnest([upper(a) || b, upper(a) || lower(b), lower(a) || b, lower(a) || lower(b)]) AS walk FROM (SELECT p_partkey, split_part(p_type, ' ', 1) AS a, p_brand AS b FROM part)")
 def string_walk(spark, d):
     a, b = F.element_at(F.split("p_type", " "), 1), F.col("p_brand")

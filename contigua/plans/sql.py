@@ -86,3 +86,21 @@ def minimisers(k: int, s: int) -> str:
         f", mn AS (SELECT header, pos, min(h) OVER w AS h, count(*) OVER w AS n FROM sm WINDOW w AS (PARTITION BY header ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - s} FOLLOWING))"
         f", mins AS (SELECT header, pos, h, coalesce(h <> lag(h) OVER (PARTITION BY header ORDER BY pos), true) AS is_new FROM mn WHERE n = {k - s + 1})"
     )
+
+
+#: Segments' slices on their paths, and groups of variants on segments: every 20 bases a substitution of two alternatives, a deletion or an insertion.
+VARIANTS = FEATS + (
+    ", sl AS (SELECT *, CAST(header AS BIGINT) % 2 = 1 AS minus, CASE WHEN kind = 'SEGMENT' AND len >= 60 THEN 3 ELSE 0 END AS sh, CASE WHEN kind = 'SEGMENT' AND len >= 60 THEN len - 6 ELSE len END AS sz FROM feats)"
+    ", pc AS (SELECT *, CAST(sum(sz) OVER (PARTITION BY header ORDER BY CASE WHEN minus THEN -i ELSE i END) - sz AS BIGINT) AS begin_ FROM sl)"
+    ", vg AS (SELECT *, CASE WHEN p % 60 = 9 THEN [translate(b, 'ACGTacgt', 'TGCAtgca'), b || b] WHEN p % 60 = 29 THEN [''] ELSE ['GT'] END AS alts, CASE WHEN p % 60 = 9 THEN 1 WHEN p % 60 = 29 THEN 2 ELSE 0 END AS most,"
+    " CASE WHEN p % 60 = 9 THEN (p % 7 + p % 5) / 2.0 WHEN p % 60 = 29 THEN 3.0 ELSE 4.0 END AS q"
+    " FROM (SELECT *, substr(text, CAST(p + 1 AS BIGINT), 1) AS b FROM (SELECT *, unnest(generate_series(9, len - 1, 20)) AS p FROM pc WHERE kind = 'SEGMENT')) WHERE p % 60 <> 29 OR p + 2 <= len)"
+    ", inner_ AS (SELECT * FROM vg WHERE p >= sh AND p + most <= sh + sz)"
+)
+
+#: Reads with a choice at some places: another base, none, or three.
+PLACES = READS + (
+    ", base AS (SELECT header, p - 1 AS p, substr(s, p, 1) AS b FROM (SELECT header, s, unnest(generate_series(1, length(s))) AS p FROM reads WHERE length(s) > 0))"
+    ", places AS (SELECT header, p, CASE WHEN p % 12 IN (3, 7, 11) THEN '0' ELSE '' END AS c, b AS a FROM base UNION ALL"
+    " SELECT header, p, '1', CASE p % 12 WHEN 3 THEN translate(b, 'ACGT', 'TGCA') WHEN 7 THEN '' ELSE b || 'GT' END FROM base WHERE p % 12 IN (3, 7, 11))"
+)

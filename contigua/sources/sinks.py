@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from contigua.functions import seq as S
 from contigua.model import EDGE, GAP, SEGMENT, Assembly
 from contigua.operators.stats import offsets, placed
+from contigua.operators.variants import on_paths
 
 TAB = "\t"
 
@@ -179,26 +180,15 @@ VCF_HEAD = (
 )
 
 
-def vcf_lines(offsets: DataFrame, variants: DataFrame, segments: DataFrame) -> DataFrame:
-    """(path, pos, line): a line a variant group of the segments that stand forward on a path.
+def vcf_lines(offsets: DataFrame, variants: DataFrame) -> DataFrame:
+    """(path, pos, line): a line a variant group and place where its segment stands on a path, whole within the slice.
 
     ``variants``: segment, grp, alt, vtype (SNV, INS, DEL, COM), ref_len, pos (0-based on the segment), sequence,
-    score. Insertions and deletions are anchored on the base before; alternatives of a group share a line.
+    score. Alternatives of a group share a line; turned segments give theirs on the path's strand. See ``operators.variants``.
     """
-    placed = offsets.filter((F.col("ctype") == SEGMENT) & (F.col("orientation") == "+")).select("path", F.col("comp").alias("segment"), "begin", F.when(F.col("start") == 0, 0).otherwise(F.col("start") - 1).alias("shift"))
-    joined = variants.join(placed, "segment").join(segments.select(F.col("header").alias("segment"), F.col("sequence").alias("whole")), "segment")
-    group = ["path", "segment", "grp", "begin", "shift"]
-    anchored = F.max(F.col("vtype").isin("INS", "DEL")).over(Window.partitionBy(*group))
-    longest = F.max("ref_len").over(Window.partitionBy(*group))
-    first = F.min("pos").over(Window.partitionBy(*group))
-    rows = joined.withColumn("anchor", F.when(anchored, 1).otherwise(0)).withColumn("at", first).withColumn("most", longest)
-    rows = rows.withColumn("ref", F.expr("substring(whole, cast(at - anchor + 1 as int), cast(most + anchor as int))"))
-    rest = F.expr("substring(ref, anchor + ref_len + 1, length(ref))")
-    alt = F.concat(F.expr("left(ref, anchor)"), F.when(F.col("vtype") == "DEL", "").otherwise(F.col("sequence")), rest)
-    held = rows.withColumn("text", alt).groupBy(*group, "at", "anchor", "ref").agg(F.array_sort(F.collect_list(F.struct("alt", "text"))).alias("x"), F.round(F.avg("score"), 2).alias("q"))
-    pos = F.col("begin") + F.col("at") - F.col("shift") - F.col("anchor") + 1
-    line = _line(F.col("path"), pos, ".", F.col("ref"), F.array_join(F.transform("x", lambda e: e["text"]), ","), F.format_string("%.2f", "q"), "PASS", ".", "GT:GQ", F.concat(F.lit("1/1:"), F.format_string("%.2f", "q")))
-    return held.select("path", pos.alias("pos"), line.alias("line"))
+    q = F.format_string("%.2f", "q")
+    line = _line(F.col("path"), F.col("pos"), ".", F.col("ref"), F.array_join("alts", ","), q, "PASS", ".", "GT:GQ", F.concat(F.lit("1/1:"), q))
+    return on_paths(offsets, variants).select("path", "pos", line.alias("line"))
 
 
 # -- by format --------------------------------------------------------------------------------------
@@ -228,7 +218,7 @@ def assembly_lines(a: Assembly, form: str, variants: DataFrame | None = None, wi
         head = spark.createDataFrame([(i, "", h) for i, h in enumerate(VCF_HEAD)], "kind int, ord string, line string")
         if variants is None:
             return head
-        rows = vcf_lines(offsets(components), variants, a.segments)
+        rows = vcf_lines(offsets(components), variants)
         return head.unionByName(rows.select(F.lit(len(VCF_HEAD)).alias("kind"), F.concat_ws(" ", "path", F.lpad(F.col("pos").cast("string"), 20, "0")).alias("ord"), "line"))
     if a.edges is not None:
         overlap = a.edges.select(F.col("header").alias("__e"), S.cigar_match(F.col("cigar")).alias("overlap"))

@@ -23,9 +23,15 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return there.unionAll(back)
 
 
+def _sides_met() -> Column:
+    """How many of a node's two sides have an edge, without a distinct count."""
+    least, most = F.min("o0"), F.max("o0")
+    return F.when(least.isNull(), 0).when(least == most, 1).otherwise(2).cast("long")
+
+
 def node_report(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """(node, degree, sides, dead_ends): no edge has two dead ends, edges on one side only have one."""
-    own = adj.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("o0").alias("sides"))
+    own = adj.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), _sides_met().alias("sides"))
     joined = nodes.select("node").join(own, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("sides", F.lit(0)).alias("sides"))
     return joined.withColumn("dead_ends", F.lit(2) - F.col("sides"))
 
@@ -42,8 +48,11 @@ def bubbles(adj: DataFrame, compat: bool = False) -> DataFrame:
 
     compat: neighbours are left by records whose far orientation equals that of the probe's record, which
     finds only bubbles with a branch on the other strand; else by the end that the probe does not touch.
+
+    The records are used four times; they are written once to the shared folder.
     """
-    side = adj.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o0").alias("sides"), F.max(F.when(F.col("o0") == "-", F.struct("other", "o1"))).alias("l"), F.max(F.when(F.col("o0") == "+", F.struct("other", "o1"))).alias("r"))
+    adj = Rounds(adj.sparkSession).write(adj)
+    side = adj.groupBy("node").agg(F.count(F.lit(1)).alias("n"), _sides_met().alias("sides"), F.max(F.when(F.col("o0") == "-", F.struct("other", "o1"))).alias("l"), F.max(F.when(F.col("o0") == "+", F.struct("other", "o1"))).alias("r"))
     busy = side.filter("n >= 2").select(F.col("node").alias("busy"))
     probes = side.filter("n = 2 AND sides = 2").select(F.col("node").alias("b0"), F.col("l.other").alias("b1"), F.col("l.o1").alias("l1"), F.col("r.other").alias("b2"), F.col("r.o1").alias("r1"))
     probes = probes.join(busy, F.col("b1") == F.col("busy"), "left_semi").join(busy, F.col("b2") == F.col("busy"), "left_semi")

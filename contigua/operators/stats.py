@@ -110,6 +110,12 @@ def offsets(components: DataFrame) -> DataFrame:
     return components.withColumn("stop", stop).withColumn("begin", F.col("stop") - F.col("len")).withColumn("part", F.row_number().over(w))
 
 
+def counted_once(components: DataFrame) -> DataFrame:
+    """Components with len and counts but without their text, written to the shared folder: reports and lengths that are made of
+    it read no sequence again."""
+    return Rounds(components.sparkSession).write(components.drop("text"))
+
+
 def metric_rows(row: DataFrame, names: dict[str, str]) -> DataFrame:
     """One row of figures as (metric, value) rows, labelled."""
     pairs = F.array(*(F.struct(F.lit(label).alias("metric"), F.col(c).cast("double").alias("value")) for c, label in names.items()))

@@ -165,8 +165,8 @@ _PATHS = (
 )
 
 
-def _path_report(spark, d):
-    report = stats.path_report(_path_components(spark, d))
+def _path_report(spark, d, components=None):
+    report = stats.path_report(_path_components(spark, d) if components is None else components)
     figures = [c for c in report.columns if c != "path"]
     return B.seqs(spark, d).select(F.col("header").alias("path")).join(report, "path", "left").select("path", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in figures))
 
@@ -264,7 +264,8 @@ def _summary_sql() -> str:
 
 @query(_summary_sql())
 def assembly_summary(spark, d):
-    return stats.assembly_summary(_path_report(spark, d), _LENGTHS["contig"][2](spark, d), _LENGTHS["gap"][2](spark, d))
+    held = stats.counted_once(_path_components(spark, d))
+    return stats.assembly_summary(_path_report(spark, d, held), held.filter(F.col("ctype") == SEGMENT).select("len"), held.filter(F.col("ctype") == GAP).select("len"))
 
 
 @query(

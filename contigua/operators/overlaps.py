@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from contigua.functions.seq import revcomp
@@ -21,10 +22,10 @@ from contigua.functions.seq import revcomp
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 _BASES = (1000003, 998244, 777767, 1299709)
 
-#: Distinct seeds that are sent to every task (8 bytes each); more are joined by shuffle.
-MOST_SEEDS = 1 << 20
+#: Bits of the table of seeds that every task gets, a side: 8 MB whatever the input. Far beyond 2**24 ends it lets more lengths through.
+BITS = 1 << 26
 
-_ROWS = "side string, header string, orientation string, len long, n long, k1 long, k2 long, seed long"
+_ROWS = "side string, header string, orientation string, len long, n long, k1 long, k2 long"
 
 
 @lru_cache(maxsize=8)
@@ -63,26 +64,29 @@ def _oriented(segments: DataFrame, least: int, window: int) -> DataFrame:
     return both.select("header", "orientation", F.length("q").cast("long").alias("len"), F.expr(f"left(q, {window})").cast("binary").alias("head"), F.expr(f"right(q, {window})").cast("binary").alias("tail"))
 
 
-def _end_seeds(oriented: DataFrame, least: int) -> DataFrame:
-    """(side, seed), distinct: the first bases of heads and the last of tails."""
+def _seed_bits(oriented: DataFrame, least: int, bits: int) -> dict[bool, np.ndarray]:
+    """By side (true: heads) the bits of the seeds: the first bases of heads and the last of tails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, to = np.zeros(1, np.int64), np.full(1, least)
         for batch in batches:
-            seeds = [int(Sums(text, 1).key(at, to)[0]) for column in batch.columns for text in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(["head"] * batch.num_rows + ["tail"] * batch.num_rows), pa.array(seeds, pa.int64())], names=["side", "seed"])
+            slots = [int(Sums(text, 1).key(at, to)[0]) % bits for column in batch.columns for text in column.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([True] * batch.num_rows + [False] * batch.num_rows), pa.array(slots, pa.int64())], names=["is_head", "slot"])
 
-    return oriented.select(F.substring("head", 1, least), F.substring("tail", -least, least)).mapInArrow(run, "side string, seed long").distinct()
+    slots = oriented.select(F.substring("head", 1, least), F.substring("tail", -least, least)).mapInArrow(run, "is_head boolean, slot long")
+    words = slots.groupBy("is_head", F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+    tables = {}
+    for side in (True, False):
+        tables[side] = np.zeros(bits // 64, np.uint64)
+        own = words.filter(pa.compute.equal(words["is_head"], side))
+        tables[side][own["word"].to_numpy()] = own["bits"].to_numpy().view(np.uint64)
+    return tables
 
 
-def _candidates(oriented: DataFrame, least: int, most_seeds: int) -> DataFrame:
-    """Rows of ``_ROWS``: the lengths that heads and tails offer, each with the hash of its text."""
-    seeds = _end_seeds(oriented, least)
-    few = [(r.side, r.seed) for r in seeds.limit(most_seeds + 1).collect()]
-    held = None
-    if len(few) <= most_seeds:
-        sides = {side: np.array(sorted(s for f, s in few if f == side), np.int64) for side in ("head", "tail")}
-        held = oriented.sparkSession.sparkContext.broadcast(sides)
+def _candidates(oriented: DataFrame, least: int, bits: int) -> DataFrame:
+    """Rows of ``_ROWS``: the lengths that heads and tails offer, each with the hash of its text. The table of seeds only spares rows:
+    what it lets through wrongly meets no text of the other side."""
+    held = oriented.sparkSession.sparkContext.broadcast(_seed_bits(oriented, least, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,15 +97,14 @@ def _candidates(oriented: DataFrame, least: int, most_seeds: int) -> DataFrame:
                     sums = Sums(text)
                     begin = np.arange(len(text) - least + 1)
                     seed = sums.key(begin, begin + least)
-                    if held is not None:
-                        known = held.value["tail" if side == "head" else "head"]
-                        hit = known[np.minimum(np.searchsorted(known, seed), len(known) - 1)] == seed if len(known) else np.zeros(len(seed), bool)
-                        begin, seed = begin[hit], seed[hit]
+                    slot = (seed % bits).astype(np.uint64)
+                    known = held.value[side == "tail"]  # seeds of the other side
+                    begin = begin[(known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
                     if side == "head":
                         stop, begin = begin + least, np.zeros_like(begin)
                     else:
                         stop = np.full_like(begin, len(text))
-                    parts.append((side, header, orientation, length, stop - begin, sums.key(begin, stop), sums.key(begin, stop, 1), seed))
+                    parts.append((side, header, orientation, length, stop - begin, sums.key(begin, stop), sums.key(begin, stop, 1)))
                     size += len(begin)
                 if size > 1 << 16:
                     yield _batch(parts)
@@ -109,11 +112,7 @@ def _candidates(oriented: DataFrame, least: int, most_seeds: int) -> DataFrame:
             if size:
                 yield _batch(parts)
 
-    rows = oriented.mapInArrow(run, _ROWS)
-    if held is None:
-        wanted = seeds.select(F.when(F.col("side") == "head", "tail").otherwise("head").alias("side"), "seed")
-        rows = rows.join(wanted, ["side", "seed"], "left_semi")
-    return rows.drop("seed")
+    return oriented.mapInArrow(run, _ROWS)
 
 
 def _batch(parts: list[tuple]) -> pa.RecordBatch:
@@ -121,35 +120,35 @@ def _batch(parts: list[tuple]) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(parts)), counts)
     text = [pa.array([p[i] for p in parts], pa.string()).take(pa.array(owner)) for i in range(3)]
     length = pa.array(np.repeat(np.array([p[3] for p in parts], np.int64), counts))
-    rest = [pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in range(4, 8)]
-    return pa.RecordBatch.from_arrays([*text, length, *rest], names=["side", "header", "orientation", "len", "n", "k1", "k2", "seed"])
+    rest = [pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in range(4, 7)]
+    return pa.RecordBatch.from_arrays([*text, length, *rest], names=["side", "header", "orientation", "len", "n", "k1", "k2"])
 
 
-def overlap_sets(segments: DataFrame, least: int, window: int = 20_000, most_seeds: int = MOST_SEEDS) -> DataFrame:
+def overlap_sets(segments: DataFrame, least: int, window: int = 20_000, bits: int = BITS) -> DataFrame:
     """(side, header, orientation, len, n, k1, k2, heads): all overlaps, as sets. Every tail of a set (n, k1, k2) overlaps every
     head of it by n bases, but for a whole segment with itself; so n ends with one text are n rows and not their pairs.
     ``heads`` counts the set's heads. Sets with both sides only; segments without a sequence or with one shorter than
     ``least`` offer none; headers are unique."""
-    rows = _candidates(_oriented(segments, least, window), least, most_seeds)
+    rows = _candidates(_oriented(segments, least, window), least, bits)
     head = F.col("side") == "head"
     sets = rows.groupBy("n", "k1", "k2").agg(F.count(F.when(head, 1)).alias("heads"), F.count(F.when(~head, 1)).alias("tails")).filter("heads > 0 AND tails > 0")
     return rows.join(sets.drop("tails"), ["n", "k1", "k2"]).select("side", "header", "orientation", "len", "n", "k1", "k2", "heads")
 
 
-def terminal_overlaps(segments: DataFrame, least: int, window: int = 20_000, most_seeds: int = MOST_SEEDS) -> DataFrame:
+def terminal_overlaps(segments: DataFrame, least: int, window: int = 20_000, bits: int = BITS) -> DataFrame:
     """(s1, s1_or, s2, s2_or, overlap): the longest exact match of an end of s1 with the begin of s2, as
     (+, +), (+, -) and (-, +), for s1 <= s2; a segment's whole match with itself is none. Only pairs that overlap are made."""
-    rows = _candidates(_oriented(segments, least, window), least, most_seeds)
+    rows = _candidates(_oriented(segments, least, window), least, bits)
     tails = rows.filter("side = 'tail'").select("n", "k1", "k2", F.col("header").alias("s1"), F.col("orientation").alias("s1_or"))
     heads = rows.filter("side = 'head'").select("n", "k1", "k2", F.col("header").alias("s2"), F.col("orientation").alias("s2_or"), F.col("len").alias("len2"))
     pairs = tails.join(heads, ["n", "k1", "k2"]).filter("s1 <= s2 AND NOT (s1_or = '-' AND s2_or = '-') AND NOT (s1 = s2 AND s1_or = s2_or AND n = len2)")
     return pairs.groupBy("s1", "s1_or", "s2", "s2_or").agg(F.max("n").alias("overlap"))
 
 
-def longest_overlaps(segments: DataFrame, least: int, window: int = 20_000, most_seeds: int = MOST_SEEDS) -> DataFrame:
+def longest_overlaps(segments: DataFrame, least: int, window: int = 20_000, bits: int = BITS) -> DataFrame:
     """(header, orientation, overlap, partners): of each end the longest overlap with any begin and with how many begins,
     without making pairs. A segment's whole match with itself is not counted; ends without an overlap have no row."""
     own = F.when(F.col("n") == F.col("len"), 1).otherwise(0)
-    tails = overlap_sets(segments, least, window, most_seeds).filter("side = 'tail'").withColumn("partners", F.col("heads") - own).filter("partners > 0")
+    tails = overlap_sets(segments, least, window, bits).filter("side = 'tail'").withColumn("partners", F.col("heads") - own).filter("partners > 0")
     best = tails.groupBy("header", "orientation").agg(F.max(F.struct("n", "partners")).alias("x"))
     return best.select("header", "orientation", F.col("x.n").alias("overlap"), F.col("x.partners").alias("partners"))

@@ -241,11 +241,11 @@ def test_terminal_overlaps(spark):
                 expected.add((n1, o1, n2, o2, best))
     table = spark.createDataFrame(list(segs.items()), "header string, sequence string")
     assert set(rows(overlaps.terminal_overlaps(table, least))) == expected and expected
-    assert set(rows(overlaps.terminal_overlaps(table, least, most_seeds=0))) == expected  # seeds joined by shuffle
+    assert set(rows(overlaps.terminal_overlaps(table, least, bits=64))) == expected  # a full table lets all through
 
 
-@pytest.mark.parametrize("most", [overlaps.MOST_SEEDS, 1])
-def test_longest_overlaps(spark, most):
+@pytest.mark.parametrize("bits", [overlaps.BITS, 64])
+def test_longest_overlaps(spark, bits):
     rng = random.Random(4)
     comp = str.maketrans("ACGT", "TGCA")
     shared = "".join(rng.choice("ACGT") for _ in range(40))
@@ -263,7 +263,7 @@ def test_longest_overlaps(spark, most):
         if found:
             expected.add((n1, o1, max(found), len(found[max(found)])))
     table = spark.createDataFrame([*segs.items(), ("none", None)], "header string, sequence string")
-    assert set(rows(overlaps.longest_overlaps(table, least, window, most))) == expected and len(expected) > 30
+    assert set(rows(overlaps.longest_overlaps(table, least, window, bits))) == expected and len(expected) > 30
     assert overlaps.longest_overlaps(table.limit(0), least).count() == 0
 
 

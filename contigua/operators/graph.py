@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from contigua.operators.blocks import LIMIT, distances
 from contigua.operators.components import component_labels
 from contigua.operators.lineage import Rounds
 
@@ -227,11 +228,11 @@ def _chains(links: DataFrame, sources: DataFrame, store: Rounds) -> tuple[DataFr
     return inner.select("node"), roots.select("end", F.col("other").alias("node"), "w")
 
 
-def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None = None, previous: bool = False) -> DataFrame:
+def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None = None, previous: bool = False, limit: int = LIMIT) -> DataFrame:
     """(node, dist) from the nearest source, by weights that are not negative; with ``previous`` also the node before it on a shortest way (null at a source).
 
-    Chains of nodes with two neighbours are links of their length, and only nodes between chains are relaxed until nothing improves: rounds
-    grow with the hops between such nodes, and with the logarithm of the longest chain. Nodes inside get theirs from the ends.
+    Chains of nodes with two neighbours are links of their length, and only nodes between chains are settled, in blocks of at most ``limit``
+    links: rounds grow with the blocks that a way crosses, and with the logarithm of the longest chain. Nodes inside get theirs from the ends.
     """
     w = F.col(weight) if weight else F.lit(1)
     store = Rounds(adj.sparkSession, keep=1 << 30)
@@ -240,16 +241,7 @@ def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None =
     inner, roots = _chains(links, sources, store)
     roots = store.write(roots)
     short = store.write(roots.join(inner, "node", "left_anti").groupBy(F.col("end").alias("node"), F.col("node").alias("other")).agg(F.min("w").alias("w")))
-    rounds = Rounds(adj.sparkSession, keep=3)
-    dist = rounds.write(sources.select("node", F.lit(0.0).alias("dist")))
-    fresh = dist
-    while True:
-        reach = fresh.join(short, "node").select(F.col("other").alias("node"), (F.col("dist") + F.col("w")).alias("dist")).groupBy("node").agg(F.min("dist").alias("dist"))
-        better = rounds.write(reach.join(dist.withColumnRenamed("dist", "old"), "node", "left").filter("old IS NULL OR dist < old").select("node", "dist"))
-        if better.isEmpty():
-            break
-        dist = rounds.write(dist.join(better.select("node"), "node", "left_anti").unionByName(better))
-        fresh = better
+    dist = distances(short, sources, limit)
     inside = roots.join(inner, "node", "left_semi").join(dist.withColumnRenamed("node", "end"), "end").groupBy("node").agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
     found = dist.unionByName(inside)
     if not previous:

@@ -126,6 +126,36 @@ def test_shortest_distances_over_chains(spark, monkeypatch):
     assert len(tables) <= 2 * 30
 
 
+@pytest.mark.parametrize("limit", [90, 1 << 20])
+def test_shortest_distances_in_blocks(spark, monkeypatch, limit):
+    """A weighted grid with one-way links, a hub and a part out of reach, cut into blocks and as one, against relaxing one by one."""
+    rng, side = random.Random(limit), 10
+    name = lambda x, y: f"n{x}_{y}"
+    links = {}
+    for x, y in itertools.product(range(side), range(side)):
+        for dx, dy in ((1, 0), (0, 1)):
+            if x + dx < side and y + dy < side:
+                links[name(x, y), name(x + dx, y + dy)] = rng.randint(0, 9)
+                if rng.random() < 0.8:
+                    links[name(x + dx, y + dy), name(x, y)] = rng.randint(1, 9)
+    links |= {("hub", name(x, x)): 40 + x for x in range(side)} | {(name(3, 3), "hub"): 2, ("far", "away"): 1, ("away", "far"): 1, ("hub", "hub"): 0}
+    sources = [name(0, 0), name(5, 9), "alone"]
+    best, moved = {s: 0 for s in sources}, True
+    while moved:
+        moved = False
+        for (a, b), w in links.items():
+            if a in best and best[a] + w < best.get(b, 1 << 60):
+                best[b], moved = best[a] + w, True
+    tables, write = [], Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, df: tables.append(1) or write(self, df))
+    table = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "node string, other string, w long")
+    got = graph.shortest_distances(table, spark.createDataFrame([(s,) for s in sources], "node string"), "w", limit=limit).collect()
+    assert len(got) == len(best) and {r.node: r.dist for r in got} == best and "far" not in best
+    if limit > len(links):
+        assert len(tables) < 20  # chains, and one round
+    assert graph.shortest_distances(table, spark.createDataFrame([], "node string"), "w", limit=limit).count() == 0
+
+
 def walk_plainly(nodes, gaps):
     """Steps and gaps left over, one gap after the other; gaps are (header, s1, o1, s2, o2, dist)."""
     at, over = {}, {}

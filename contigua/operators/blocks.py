@@ -78,7 +78,7 @@ def _settle(links: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
 
 
 def distances(links: DataFrame, sources: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(node, dist) of the nodes reached from the sources (node) along links (node, other, w), one a pair, by weights that are not negative.
+    """(node, dist) of the nodes reached from the sources (node) along links (node, other, w), one a pair, by weights that are not negative; no node is null.
 
     ``links`` and ``sources`` are read often: give written tables. A node's links across blocks are met by a join, so a node
     with very many of them is no task's burden.

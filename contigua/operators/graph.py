@@ -233,11 +233,12 @@ def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None =
 
     Chains of nodes with two neighbours are links of their length, and only nodes between chains are settled, in blocks of at most ``limit``
     links: rounds grow with the blocks that a way crosses, and with the logarithm of the longest chain. Nodes inside get theirs from the ends.
+    Null sources and links with a null end are left out; a source without links has distance 0.
     """
     w = F.col(weight) if weight else F.lit(1)
     store = Rounds(adj.sparkSession, keep=1 << 30)
     links = store.write(adj.filter("node <> other").groupBy("node", "other").agg(F.min(w.cast("double")).alias("w")))
-    sources = store.write(sources.select("node").distinct())
+    sources = store.write(sources.select("node").filter("node IS NOT NULL").distinct())
     inner, roots = _chains(links, sources, store)
     roots = store.write(roots)
     short = store.write(roots.join(inner, "node", "left_anti").groupBy(F.col("end").alias("node"), F.col("node").alias("other")).agg(F.min("w").alias("w")))

@@ -156,6 +156,13 @@ def test_shortest_distances_in_blocks(spark, monkeypatch, limit):
     assert graph.shortest_distances(table, spark.createDataFrame([], "node string"), "w", limit=limit).count() == 0
 
 
+def test_shortest_distances_of_odd_sources(spark):
+    adj = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (None, 3), (4, None)], "node long, other long")
+    of = lambda table, *nodes: rows(graph.shortest_distances(table, spark.createDataFrame([(n,) for n in nodes], "node long")))
+    assert of(adj, 1, None) == [(1, 0), (2, 1), (3, 2), (4, 2)]
+    assert of(adj, None) == [] and of(adj.limit(0), 7) == [(7, 0)]
+
+
 def walk_plainly(nodes, gaps):
     """Steps and gaps left over, one gap after the other; gaps are (header, s1, o1, s2, o2, dist)."""
     at, over = {}, {}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contigua.operators.blocks import LIMIT, distances
 from contigua.operators.components import component_labels
+from contigua.operators.fragments import LINKS, fragments
 from contigua.operators.lineage import Rounds
 
 
@@ -107,53 +108,85 @@ def gap_adjacency(gaps: DataFrame) -> DataFrame:
     return fw.unionAll(gaps.select(F.col("s2").alias("node"), F.lit("BW").alias("way"), F.col("s1").alias("other"), "dist"))
 
 
-def _sides(gaps: DataFrame) -> DataFrame:
-    """(gap, node, side, other, oside, dist): a gap from both its ends. A segment's sides are L, where its bases begin, and R; a gap leaves its
-    first segment by R if that is +, and enters its second by L if that is +."""
+def _ends(gaps: DataFrame) -> DataFrame:
+    """(gap, dist, a, aside, b, bside): a gap's segments and the sides that it touches. A segment's sides are L, where its bases begin, and R; a
+    gap leaves its first segment by R if that is +, and enters its second by L if that is +."""
     out, into = F.when(F.col("s1_or") == "-", "L").otherwise("R"), F.when(F.col("s2_or") == "-", "R").otherwise("L")
-    there = gaps.select(F.col("header").alias("gap"), F.col("s1").alias("node"), out.alias("side"), F.col("s2").alias("other"), into.alias("oside"), "dist")
-    back = gaps.select(F.col("header").alias("gap"), F.col("s2").alias("node"), into.alias("side"), F.col("s1").alias("other"), out.alias("oside"), "dist")
-    return there.unionAll(back)
-
+    return gaps.select(F.col("header").alias("gap"), "dist", F.col("s1").alias("a"), out.alias("aside"), F.col("s2").alias("b"), into.alias("bside"))
 
-def _orientation(side: Column) -> Column:
-    """Of a segment that is entered by a side."""
-    return F.when(side == "L", "+").otherwise("-")
 
+def _links(ends: DataFrame, store: Rounds) -> tuple[DataFrame, DataFrame | None]:
+    """(gaps that may be walked, the others): of several gaps at a side the one of least distance, then least name, if it is that at its other side too.
 
-def gap_walks(nodes: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Walks through the gap graph, turned segments and rings included: (steps, gaps left over).
+    Sides with one gap, found by counting hashes, need no comparison and no shuffle of their gaps.
+    """
+    port = lambda node, side: F.xxhash64(node, side)
+    met = ends.select(F.explode(F.array(port("a", "aside"), port("b", "bside"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    busy = store.write(met.filter("n > 1").select("h"))
+    some = busy.count()
+    if not some:
+        return ends, None
+    if some > 1 << 18:  # too many to tell each task of them
+        sure, rest = None, ends
+    else:
+        known = lambda name: F.broadcast(busy.select(F.col("h").alias(name)))
+        told = ends.join(known("ha"), port("a", "aside") == F.col("ha"), "left").join(known("hb"), port("b", "bside") == F.col("hb"), "left")
+        sure, rest = told.filter("ha IS NULL AND hb IS NULL").select(*ends.columns), told.filter("ha IS NOT NULL OR hb IS NOT NULL").select(*ends.columns)
+    there = F.struct(F.col("a").alias("node"), F.col("aside").alias("side"))
+    back = F.struct(F.col("b").alias("node"), F.col("bside").alias("side"))
+    both = rest.select("gap", "dist", F.explode(F.array(F.struct(there.alias("at"), back.alias("to")), F.struct(back.alias("at"), there.alias("to")))).alias("x"))
+    best = both.groupBy("x.at").agg(F.min(F.struct("dist", "gap", "x.to")).alias("m")).select("m.gap", "m.dist", F.least("at", "m.to").alias("lo"), F.greatest("at", "m.to").alias("hi"))
+    mutual = best.groupBy("gap", "dist", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+    mutual = store.write(mutual.select("gap", "dist", F.col("lo.node").alias("a"), F.col("lo.side").alias("aside"), F.col("hi.node").alias("b"), F.col("hi.side").alias("bside")))
+    over = rest.select("gap").join(mutual.select("gap"), "gap", "left_anti").distinct()
+    return mutual if sure is None else sure.unionByName(mutual), over
+
+
+def _pieces(rows: DataFrame, store: Rounds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fragments that meet others, with each ring cut at the left side of its least node: (rows, pieces, gaps cut).
+
+    A fragment in which a ring is cut is two pieces of that name; ``part`` tells them apart. pieces: (frag, part, a, ao, k, b, bo, label), the label that of
+    their walk.
+    """
+    edges = rows.filter("p = 0").select("frag", F.col("comp").alias("a")).join(rows.filter("p = k").select("frag", F.col("comp").alias("b")), "frag")
+    edges = store.write(edges)
+    labels, _ = component_labels(edges.select("a", "b"))
+    labels = store.write(labels)
+    own = store.write(edges.join(labels, F.col("a") == F.col("node")).select("frag", "label"))
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("links")).join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")), "label")
+    rings = own.join(sizes.filter("links = nodes"), "label", "left_semi").select("frag", "label")
+    inside = rows.join(rings, "frag")
+    least = inside.groupBy("label").agg(F.min("comp").alias("comp"))
+    # entered by its left side, a node that reads forward has the gap there behind it
+    forward = F.col("orientation") == "+"
+    at = inside.join(least, ["label", "comp"], "left_semi").select("frag", F.when(forward, F.col("p") - 1).otherwise(F.col("p")).alias("j"), F.when(forward, F.col("back")).otherwise(F.col("gap")).alias("cut"))
+    cut = store.write(at.filter("cut IS NOT NULL"))
+    j, p, k = F.col("j"), F.col("p"), F.col("k")
+    second = j.isNotNull() & (p > j)
+    none = lambda when, c: F.when(when, None).otherwise(F.col(c))
+    ahead, behind = F.coalesce(p == j, F.lit(False)), F.coalesce(p == j + 1, F.lit(False))
+    held = rows.join(cut.select("frag", "j"), "frag", "left").select(
+        "frag", second.cast("int").alias("part"), F.when(second, p - j - 1).otherwise(p).alias("p"), F.when(j.isNull(), k).when(second, k - j - 1).otherwise(j).alias("k"),
+        "comp", "orientation", none(ahead, "gap").alias("gap"), none(ahead, "dist").alias("dist"), none(behind, "back").alias("back"), none(behind, "back_dist").alias("back_dist"),
+    )
+    held = store.write(held.filter("k > 0"))
+    first = held.filter("p = 0").select("frag", "part", F.col("comp").alias("a"), F.col("orientation").alias("ao"), "k")
+    pieces = store.write(first.join(held.filter("p = k").select("frag", "part", F.col("comp").alias("b"), F.col("orientation").alias("bo")), ["frag", "part"]).join(own, "frag"))
+    return held, pieces, cut.select(F.col("cut").alias("gap"))
 
-    steps: (path, ord, comp, orientation, gap), each node once; ``gap`` leads to the next step. A path is called ``<first segment>_path``.
-    left over: (gap, reason): every gap that is no step, so none is lost.
 
-    * A gap of a segment with itself is ``terminal``.
-    * Of several gaps at a side only the one of least distance, then least name, may be walked, and is if it is that at its other
-      side too; the others are a ``branch``.
-    * A ring is cut at the left side of its least segment; the gap there closes a ``ring``.
-    * A path begins at the end from which its first segment reads forward; where both or neither do, at the lesser segment.
+def _ranks(pieces: DataFrame, store: Rounds) -> DataFrame:
+    """(head, node, o, rank): the ends of pieces in the order of their walk, by the links before them.
 
-    States are (segment, orientation), each with the state before it; ranks come from pointer doubling over those that have not reached an end,
-    so rounds grow with the logarithm of the longest walk.
+    States are (node, orientation), each with the state before it; ranks come from pointer doubling over those that have not reached an end,
+    so rounds grow with the logarithm of the pieces of the longest walk. A walk begins at the end from which its first node reads forward; where
+    both or neither do, at the lesser node.
     """
-    store = Rounds(nodes.sparkSession, keep=1 << 30)
-    own = gaps.filter("s1 = s2").select(F.col("header").alias("gap"), F.lit("terminal").alias("reason"))
-    sides = store.write(_sides(gaps.filter("s1 <> s2")))
-    best = sides.groupBy("node", "side").agg(F.min(F.struct("dist", "gap")).alias("b")).select(F.col("b.gap").alias("gap"))
-    mutual = best.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("gap")
-    links = store.write(sides.join(mutual, "gap", "left_semi"))
-    labels, _ = component_labels(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    labels = store.write(labels)
-    held = links.join(labels, "node").groupBy("label").agg(F.count(F.lit(1)).alias("ends"), F.countDistinct("node").alias("n"))
-    rings = held.filter("ends = 2 * n").select(F.col("label").alias("node"))
-    cut = store.write(links.join(rings, "node", "left_semi").filter("side = 'L'").select("gap"))
-    links = store.write(links.join(cut, "gap", "left_anti"))
-    # the state before (node, orientation) lies across the side by which the node is entered
-    before = links.select("node", _orientation(F.col("side")).alias("o"), F.col("other").alias("up"), F.when(F.col("oside") == "R", "+").otherwise("-").alias("up_o"))
-    both = links.select("node").distinct().select("node", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("o"))
-    heads = store.write(both.join(before, ["node", "o"], "left_anti"))
+    before = pieces.select(F.col("b").alias("node"), F.col("bo").alias("o"), F.col("a").alias("up"), F.col("ao").alias("up_o"), F.col("k").alias("rank"), "label")
+    before = store.write(before.unionByName(pieces.select(F.col("a").alias("node"), flip(F.col("ao")).alias("o"), F.col("b").alias("up"), flip(F.col("bo")).alias("up_o"), F.col("k").alias("rank"), "label")))
+    heads = store.write(before.select(F.col("up").alias("node"), F.col("up_o").alias("o"), "label").join(before, ["node", "o"], "left_anti"))
     end = heads.select(F.col("node").alias("up"), F.col("o").alias("up_o"), F.lit(True).alias("ended"))
-    state = store.write(before.join(end, ["up", "up_o"], "left").select("node", "o", "up", "up_o", F.lit(1).cast("long").alias("rank"), F.coalesce("ended", F.lit(False)).alias("ended")))
+    state = store.write(before.join(end, ["up", "up_o"], "left").select("node", "o", "up", "up_o", "rank", F.coalesce("ended", F.lit(False)).alias("ended")))
     ranked = heads.select("node", "o", F.col("node").alias("up"), F.col("o").alias("up_o"), F.lit(0).cast("long").alias("rank"))
     known = None  # states that ended in earlier rounds; later ones may still point at them
     while True:
@@ -165,14 +198,65 @@ def gap_walks(nodes: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         state = store.write(open_.join(far, ["up", "up_o"]).select("node", "o", F.col("next").alias("up"), F.col("next_o").alias("up_o"), (F.col("rank") + F.col("more")).alias("rank"), F.col("there").alias("ended")))
     ranked = ranked.unionByName(known.drop("ended"))
-    first = heads.join(labels, "node").groupBy("label").agg(F.min(F.struct(F.when(F.col("o") == "+", 0).otherwise(1).alias("turned"), "node", "o")).alias("h")).select(F.col("h.node").alias("up"), F.col("h.o").alias("up_o"))
-    steps = ranked.join(first, ["up", "up_o"], "left_semi")
-    ahead = links.select("node", F.when(F.col("side") == "R", "+").otherwise("-").alias("o"), "gap")
-    walked = steps.join(ahead, ["node", "o"], "left").select("up", (F.col("rank") + 1).alias("ord"), F.col("node").alias("comp"), F.col("o").alias("orientation"), "gap")
-    alone = nodes.select("node").join(links.select("node").distinct(), "node", "left_anti").select(F.col("node").alias("up"), F.lit(1).cast("long").alias("ord"), F.col("node").alias("comp"), F.lit("+").alias("orientation"), F.lit(None).cast("string").alias("gap"))
-    walked = store.write(walked.unionByName(alone).select(F.concat(F.col("up").cast("string"), F.lit("_path")).alias("path"), "ord", "comp", "orientation", "gap"))
-    over = sides.select("gap").distinct().join(links.select("gap").distinct(), "gap", "left_anti").join(cut, "gap", "left_anti").select("gap", F.lit("branch").alias("reason"))
-    return walked, own.unionByName(over).unionByName(cut.select("gap", F.lit("ring").alias("reason")))
+    first = heads.groupBy("label").agg(F.min(F.struct(F.when(F.col("o") == "+", 0).otherwise(1).alias("turned"), "node", "o")).alias("h")).select(F.col("h.node").alias("up"), F.col("h.o").alias("up_o"))
+    return ranked.join(first, ["up", "up_o"], "left_semi").select(F.col("up").alias("head"), "node", "o", "rank")
+
+
+def _walked(gaps: DataFrame, batch: int = LINKS) -> tuple[DataFrame, DataFrame]:
+    """(head, ord, comp, orientation, gap, dist) of the segments with gaps to walk, dist that of the gap; and the gaps left over, as ``gap_walks`` has them."""
+    store = Rounds(gaps.sparkSession, keep=1 << 30)
+    links, over = _links(_ends(gaps.filter("s1 <> s2")), store)
+    local = store.write(fragments(links, batch))
+    left = gaps.filter("s1 = s2").select(F.col("header").alias("gap"), F.lit("terminal").alias("reason"))
+    if over is not None:
+        left = left.unionByName(over.select("gap", F.lit("branch").alias("reason")))
+    plain = lambda df: df.select("head", (F.col("p") + 1).alias("ord"), "comp", "orientation", "gap", "dist")
+    ends = local.filter("p = 0 OR p = k").select("frag", "comp")
+    shared = ends.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+    met = store.write(ends.join(shared, "comp", "left_semi").select("frag").distinct())
+    if met.isEmpty():
+        return plain(local), left
+    rows, pieces, cut = _pieces(store.write(local.join(met, "frag", "left_semi")), store)
+    ranks = store.write(_ranks(pieces, store))
+    own = pieces.join(ranks, F.col("a") == F.col("node"))
+    same = F.col("o") == F.col("ao")
+    place = own.select("frag", "part", "head", same.alias("same"), F.when(same, F.col("rank")).otherwise(F.col("rank") - F.col("k")).alias("off"))
+    turn = lambda one, other: F.when(F.col("same"), one).otherwise(other)
+    inner = rows.join(place, ["frag", "part"]).filter("(same AND p < k) OR (NOT same AND p > 0)")
+    inner = inner.select(
+        "head", (F.col("off") + turn(F.col("p"), F.col("k") - F.col("p")) + 1).alias("ord"), "comp", turn(F.col("orientation"), flip(F.col("orientation"))).alias("orientation"),
+        turn(F.col("gap"), F.col("back")).alias("gap"), turn(F.col("dist"), F.col("back_dist")).alias("dist"),
+    )
+    tails = ranks.groupBy("head").agg(F.max(F.struct("rank", "node", "o")).alias("x"))
+    kind = {f.name: f.dataType for f in local.schema}
+    tails = tails.select("head", (F.col("x.rank") + 1).alias("ord"), F.col("x.node").alias("comp"), F.col("x.o").alias("orientation"), F.lit(None).cast(kind["gap"]).alias("gap"), F.lit(None).cast(kind["dist"]).alias("dist"))
+    alone = plain(local.join(met, "frag", "left_anti"))
+    return alone.unionByName(inner).unionByName(tails), left.unionByName(cut.select("gap", F.lit("ring").alias("reason")))
+
+
+def _path_of(head: Column) -> Column:
+    return F.concat(head.cast("string"), F.lit("_path"))
+
+
+def gap_walks(nodes: DataFrame, gaps: DataFrame, batch: int = LINKS) -> tuple[DataFrame, DataFrame]:
+    """Walks through the gap graph, turned segments and rings included: (steps, gaps left over).
+
+    steps: (path, ord, comp, orientation, gap), each node once; ``gap`` leads to the next step. A path is called ``<first segment>_path``.
+    left over: (gap, reason): every gap that is no step, so none is lost.
+
+    * A gap of a segment with itself is ``terminal``.
+    * Of several gaps at a side only the one of least distance, then least name, may be walked, and is if it is that at its other
+      side too; the others are a ``branch``.
+    * A ring is cut at the left side of its least segment; the gap there closes a ``ring``.
+    * A path begins at the end from which its first segment reads forward; where both or neither do, at the lesser segment.
+
+    Tasks join the links that they read to fragments, ``batch`` of them at a time; only fragments that meet others are joined and ranked between tasks.
+    """
+    walked, left = _walked(gaps, batch)
+    alone = nodes.select(F.col("node").alias("comp")).join(walked.select("comp"), "comp", "left_anti")
+    alone = alone.select(F.col("comp").alias("head"), F.lit(1).cast("long").alias("ord"), "comp", F.lit("+").alias("orientation"), F.lit(None).cast("string").alias("gap"))
+    steps = walked.drop("dist").unionByName(alone)
+    return steps.select(_path_of(F.col("head")).alias("path"), "ord", "comp", "orientation", "gap"), left
 
 
 def discover_paths(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -186,20 +270,18 @@ def discover_paths(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
 def scaffold_walk(nodes: DataFrame, gaps: DataFrame) -> DataFrame:
     """(path, n, size, a, c, g, t, lower): segments, length with gaps, and bases of each walk, those of a turned segment complemented. ``nodes`` has
     node, len, a, c, g, t, lower. Terminal gaps count where their segment stands at the end of its path that they hang on."""
-    steps, over = gap_walks(nodes, gaps)
-    held = gaps.select(F.col("header").alias("gap"), "s1", "s2_or", "dist")
-    rows = steps.join(nodes.withColumnRenamed("node", "comp"), "comp").join(held.select("gap", "dist"), "gap", "left")
+    walked, _ = _walked(gaps)
+    # + + hangs on the left side, + - on the right
+    hung = gaps.filter("s1 = s2").groupBy(F.col("s1").alias("comp")).agg(F.sum(F.when(F.col("s2_or") == "+", F.col("dist"))).alias("on_left"), F.sum(F.when(F.col("s2_or") != "+", F.col("dist"))).alias("on_right"))
+    rows = nodes.withColumnRenamed("node", "comp").join(walked, "comp", "left").join(hung, "comp", "left").withColumn("orientation", F.coalesce("orientation", F.lit("+"))).withColumn("head", F.coalesce("head", "comp"))
     turned = F.col("orientation") == "-"
+    first, last = F.coalesce("ord", F.lit(1)) == 1, F.col("gap").isNull()
+    outside = [F.when(at, F.coalesce(F.when(turned, F.col(two)).otherwise(F.col(one)), F.lit(0))).otherwise(0) for at, one, two in ((first, "on_left", "on_right"), (last, "on_right", "on_left"))]
     pick = lambda one, other: F.sum(F.when(turned, F.col(other)).otherwise(F.col(one)))
-    sizes = rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("len") + F.coalesce("dist", F.lit(0))).alias("inner"), pick("a", "t").alias("a"), pick("c", "g").alias("c"), pick("g", "c").alias("g"), pick("t", "a").alias("t"), F.sum("lower").alias("lower"),
+    sizes = rows.groupBy("head").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("len") + F.coalesce("dist", F.lit(0)) + outside[0] + outside[1]).alias("size"), pick("a", "t").alias("a"), pick("c", "g").alias("c"), pick("g", "c").alias("g"), pick("t", "a").alias("t"), F.sum("lower").alias("lower"),
     )
-    last = steps.groupBy("path").agg(F.max("ord").alias("last"))
-    own = over.filter("reason = 'terminal'").join(held, "gap").select(F.col("s1").alias("comp"), F.col("s2_or").alias("way"), "dist")  # + + hangs on the left side, + - on the right
-    at = own.join(steps, "comp").join(last, "path")
-    outside = ((F.col("ord") == 1) & ((F.col("way") == "+") == (F.col("orientation") == "+"))) | ((F.col("ord") == F.col("last")) & ((F.col("way") == "+") != (F.col("orientation") == "+")))
-    more = at.filter(outside).groupBy("path").agg(F.sum("dist").alias("more"))
-    return sizes.join(more, "path", "left").select("path", "n", (F.col("inner") + F.coalesce("more", F.lit(0))).alias("size"), "a", "c", "g", "t", "lower")
+    return sizes.select(_path_of(F.col("head")).alias("path"), "n", "size", "a", "c", "g", "t", "lower")
 
 
 def _chains(links: DataFrame, sources: DataFrame, store: Rounds) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from contigua.functions import seq as S
@@ -16,9 +16,10 @@ FEATURE = r"([NnXx]+|[^NnXx]+)"
 
 
 def features(records: DataFrame, header: str = "header", sequence: str = "sequence") -> DataFrame:
-    """(header, i, name, kind, text, len): a row a run; i counts from 1 over segments and gaps alike."""
+    """(header, i, name, kind, text, len, last): a row a run; i counts from 1 over segments and gaps alike, ``last`` tells a record's last run."""
     runs = F.regexp_extract_all(F.col(sequence), F.lit(FEATURE), F.lit(1))
-    rows = records.select(F.col(header).cast("string").alias("header"), F.posexplode(runs).alias("p", "text"))
+    own = records.select(F.col(header).cast("string").alias("header"), runs.alias("runs"))
+    rows = own.select("header", F.size("runs").alias("n"), F.posexplode("runs").alias("p", "text"))
     return rows.select(
         "header",
         (F.col("p") + 1).cast("long").alias("i"),
@@ -26,6 +27,7 @@ def features(records: DataFrame, header: str = "header", sequence: str = "sequen
         F.when(F.col("text").rlike("^[NnXx]"), GAP).otherwise(SEGMENT).alias("kind"),
         "text",
         F.length("text").cast("long").alias("len"),
+        (F.col("p") + 1 == F.col("n")).alias("last"),
     )
 
 
@@ -35,10 +37,11 @@ def segments_of(feats: DataFrame) -> DataFrame:
 
 def gaps_of(feats: DataFrame) -> DataFrame:
     """Gaps between their neighbours. A leading gap is one of the first segment with itself (+, +), a
-    trailing one of the last (+, -); a record that is all gap has no segment to name."""
-    own = feats.select("header", "i", "name", "kind", "len")
-    w = Window.partitionBy("header").orderBy("i")
-    sides = own.withColumn("prev", F.lag("name").over(w)).withColumn("next", F.lead("name").over(w)).filter(F.col("kind") == GAP)
+    trailing one of the last (+, -); a record that is all gap has no segment to name. Runs alternate and are named by their
+    number, so neighbours are known without meeting them."""
+    at = lambda i: F.concat_ws(".", "header", i.cast("string"))
+    prev, next_ = F.when(F.col("i") > 1, at(F.col("i") - 1)), F.when(~F.col("last"), at(F.col("i") + 1))
+    sides = feats.filter(F.col("kind") == GAP).withColumn("prev", prev).withColumn("next", next_)
     return sides.select(
         "header", "i", "name",
         F.coalesce("prev", "next").alias("s1"), F.lit("+").alias("s1_or"),

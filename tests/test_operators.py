@@ -250,6 +250,39 @@ def test_gap_walks(spark):
             assert r.size >= sum(10 + dist.get(g, 0) for *_, g in mine)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 64])
+def test_gap_walks_in_fragments(spark, batch):
+    """Walks and rings that lie in several batches of links are those of walking one by one; what meets between tasks follows the cuts."""
+    rng = random.Random(batch)
+    gaps, nodes = [], []
+    for kind in range(12):  # chains and rings of either kind of order, some across the batches
+        n = rng.randint(2, 60)
+        own = [f"{'abcdef'[kind % 6]}{kind:02}{i:03}" for i in rng.sample(range(n), n)]
+        signs = [rng.choice("+-") for _ in own]
+        nodes += own
+        for i in range(n if kind % 3 == 0 and n > 2 else n - 1):
+            k = (i + 1) % n
+            one, two = (own[i], signs[i]), (own[k], signs[k])
+            flip = {"+": "-", "-": "+"}
+            gaps.append((f"g{kind}_{i}", *one, *two, i) if rng.random() < 0.5 else (f"g{kind}_{i}", two[0], flip[two[1]], one[0], flip[one[1]], i))
+    few = [f"n{i}" for i in range(40)]
+    gaps += [(f"q{i}", rng.choice(few), rng.choice("+-"), rng.choice(few), rng.choice("+-"), rng.randint(1, 5)) for i in range(70)]
+    nodes += [*few, "alone"]
+    df = spark.createDataFrame(gaps, "header string, s1 string, s1_or string, s2 string, s2_or string, dist long").coalesce(2)
+    steps, over = graph.gap_walks(spark.createDataFrame([(n,) for n in nodes], "node string"), df, batch)
+    want = walk_plainly(sorted(nodes), gaps)
+    assert sorted(map(tuple, steps.collect())) == want[0] and sorted(map(tuple, over.collect())) == want[1]
+
+
+def test_fragments_follow_cuts(spark):
+    """A chain of 20,000 links in order is one fragment a batch, not a state a node."""
+    from contigua.operators.fragments import fragments
+
+    links = spark.range(0, 20_000, 1, 2).selectExpr("concat('g', id) gap", "1L dist", "id a", "'R' aside", "id + 1 b", "'L' bside")
+    rows = fragments(links, 1000)
+    assert rows.filter("p = 0").count() == 20 and rows.filter("p < k").select("gap").distinct().count() == 20_000
+
+
 def test_kmers(spark):
     read = lambda s: spark.createDataFrame([("r", s)], "header string, sequence string")
     db = kmers.count_kmers(read("ACGTA"), 3)

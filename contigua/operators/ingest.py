@@ -18,8 +18,9 @@ FEATURE = r"([NnXx]+|[^NnXx]+)"
 def features(records: DataFrame, header: str = "header", sequence: str = "sequence") -> DataFrame:
     """(header, i, name, kind, text, len, last): a row a run; i counts from 1 over segments and gaps alike, ``last`` tells a record's last run."""
     runs = F.regexp_extract_all(F.col(sequence), F.lit(FEATURE), F.lit(1))
-    own = records.select(F.col(header).cast("string").alias("header"), runs.alias("runs"))
-    rows = own.select("header", F.size("runs").alias("n"), F.posexplode("runs").alias("p", "text"))
+    own = records.select(F.col(header).cast("string").alias("header"), runs.alias("runs")).withColumn("n", F.size("runs"))
+    # outer, as a filter on the array's size would find the runs a second time
+    rows = own.select("header", "n", F.posexplode_outer("runs").alias("p", "text")).filter("p IS NOT NULL")
     return rows.select(
         "header",
         (F.col("p") + 1).cast("long").alias("i"),

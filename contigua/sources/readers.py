@@ -142,6 +142,17 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
 KINDS = ("H", "S", "J", "L", "P", "G", "E", "O")
 
 
+def _write_by_kind(lines: DataFrame, folder: str) -> None:
+    """A task keeps a file open for each kind, so that it need not sort its lines by kind."""
+    conf, key = lines.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key, None)
+    conf.set(key, str(max(len(KINDS), int(before or 0))))
+    try:
+        lines.write.partitionBy("kind").option("compression", "zstd").parquet(folder)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def read_gfa(spark: SparkSession, path: str) -> Assembly:
     """The assembly of a GFA 1 or 2 file; the version is that of the header, or told by the kinds of lines.
 
@@ -149,7 +160,7 @@ def read_gfa(spark: SparkSession, path: str) -> Assembly:
     """
     text = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", "\r$", "")).withColumn("kind", F.substring_index("value", TAB, 1))
     folder = f"{shared_root(spark)}/gfa-{uuid.uuid4().hex}"
-    text.filter(F.col("kind").isin(*KINDS)).write.partitionBy("kind").parquet(folder)
+    _write_by_kind(text.filter(F.col("kind").isin(*KINDS)), folder)
     held = spark.read.schema("value string, n long, kind string").parquet(folder)
     raw = held.withColumn("f", F.split("value", TAB))
     head = held.filter("kind = 'H'").agg(F.min_by("value", "n").alias("h")).first().h

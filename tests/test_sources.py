@@ -229,3 +229,27 @@ def test_lists_flags_gaps_and_formats(spark, tmp_path):
     own = spark.createDataFrame([("a_path", 1, "SEGMENT", "a", "+", 0, 0, 8)], "path string, ord long, ctype string, comp string, orientation string, start long, end long, len long")
     placed, missing = readers.apply_agp(own, agp, discovered=True)
     assert placed.count() == 1 and missing.count() == 0 and readers.apply_agp(own, agp)[1].count() == 1
+
+
+def test_gfa_lines_by_kind_are_not_sorted(spark, tmp_path):
+    """A file of each kind is open at once, so a task holds no lines; the setting is put back, and lines keep their order."""
+    path = str(tmp_path / "kinds")
+    kinds = ["S", "J", "P", "L"]
+    lines = spark.range(0, 4000, 1, 2).selectExpr("concat('x', id) value", "id n", f"element_at(array({', '.join(map(repr, kinds))}), cast(id % 4 as int) + 1) kind")
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    readers._write_by_kind(lines, path)
+    assert spark.conf.get(key, None) == before
+    held = spark.read.parquet(path)
+    assert sorted((r.value, r.n, r.kind) for r in held.collect()) == sorted((f"x{i}", i, kinds[i % 4]) for i in range(4000))
+
+
+def test_gaps_know_their_neighbours_without_a_window(spark):
+    """Neighbours of gaps come with their runs: no shuffle, and rows do not carry their record's array."""
+    from contigua.operators import ingest
+
+    gaps = ingest.gaps_of(ingest.features(spark.createDataFrame([("r", "NNACNGT"), ("s", "ACN"), ("t", "NN"), ("u", ""), ("v", None)], "header string, sequence string")))
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    got = sorted(map(tuple, gaps.select("name", "s1", "s2", "s2_or").collect()))
+    assert got == [("r.1", "r.2", "r.2", "+"), ("r.3", "r.2", "r.4", "+"), ("s.2", "s.1", "s.1", "-"), ("t.1", None, None, "+")]

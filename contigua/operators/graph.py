@@ -132,6 +132,7 @@ def _links(ends: DataFrame, store: Rounds) -> tuple[DataFrame, DataFrame | None]
         known = lambda name: F.broadcast(busy.select(F.col("h").alias(name)))
         told = ends.join(known("ha"), port("a", "aside") == F.col("ha"), "left").join(known("hb"), port("b", "bside") == F.col("hb"), "left")
         sure, rest = told.filter("ha IS NULL AND hb IS NULL").select(*ends.columns), told.filter("ha IS NOT NULL OR hb IS NOT NULL").select(*ends.columns)
+    rest = store.write(rest)  # read twice
     there = F.struct(F.col("a").alias("node"), F.col("aside").alias("side"))
     back = F.struct(F.col("b").alias("node"), F.col("bside").alias("side"))
     both = rest.select("gap", "dist", F.explode(F.array(F.struct(there.alias("at"), back.alias("to")), F.struct(back.alias("at"), there.alias("to")))).alias("x"))

@@ -11,12 +11,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from contigua.model import GAP, SEGMENT
 from contigua.operators.lineage import Rounds
 
 SIZE = 60 * (1 << 14)
+
+#: Letters in which runs are looked for at once, be they of one chunk or of many.
+_HELD = 1 << 18
 _GAP_LETTERS = np.frombuffer("NnXx".encode("utf-32-le"), np.uint32)
 COUNTS = ("a", "c", "g", "t", "lower")
 
@@ -131,21 +135,40 @@ def _runs(chunks: DataFrame, labels: Callable[[np.ndarray], np.ndarray], figures
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for header, chunk, offset, bases in zip(*(c.to_pylist() for c in batch.columns)):
-                letters = np.frombuffer(bases.encode("utf-32-le"), np.uint32)
-                if not len(letters):
-                    continue
-                label = labels(letters)
-                starts = np.flatnonzero(np.diff(label, prepend=np.int64(-1)))
-                ends = np.append(starts[1:], len(label))
-                own = np.stack(figures(letters, starts), 1) if figures else np.zeros((len(starts), 0), np.int64)
-                keep = (ends - starts >= least) | (np.arange(len(starts)) % max(len(starts) - 1, 1) == 0)
-                at = np.flatnonzero(keep)
-                rows.append((header, chunk, len(starts), at.tolist(), label[starts[at]].tolist(), (starts[at] + offset).tolist(), (ends[at] + offset).tolist(), own[at].tolist()))
-            if rows:
-                long, many = pa.int64(), pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), long, long, many, many, many, many, pa.list_(many)))], names=["header", "chunk", "n", "r", "label", "start", "end", "figures"])
+            sizes = pa.compute.utf8_length(batch.column("bases")).to_numpy()
+            group = np.cumsum(sizes) // _HELD
+            edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            for a, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                found = runs_of(batch.slice(a, e - a).filter(pa.array(sizes[a:e] > 0)))
+                if found is not None:
+                    yield found
+
+    def runs_of(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        """The runs of chunks that have letters, looked for behind one another, as in one text."""
+        if not rows.num_rows:
+            return None
+        texts = rows.column("bases").to_pylist()
+        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        size = np.array([len(t) for t in texts])
+        begin = np.cumsum(size) - size
+        label = labels(letters)
+        edge = np.diff(label, prepend=np.int64(-1)) != 0
+        edge[begin] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(label))
+        own = np.stack(figures(letters, starts), 1) if figures else np.zeros((len(starts), 0), np.int64)
+        first = np.searchsorted(starts, begin)
+        n = np.diff(np.append(first, len(starts)))
+        chunk = np.repeat(np.arange(len(texts)), n)
+        r = np.arange(len(starts)) - first[chunk]
+        at = np.flatnonzero((ends - starts >= least) | (r == 0) | (r == n[chunk] - 1))
+        shift = (rows.column("offset").to_numpy() - begin)[chunk[at]]
+        bounds = pa.array(np.append(0, np.cumsum(np.bincount(chunk[at], minlength=len(texts)))).astype(np.int32))
+        listed = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int64))) for x in (r[at], label[starts[at]], starts[at] + shift, ends[at] + shift)]
+        width = own.shape[1]
+        each = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(at) + 1, width, dtype=np.int32) if width else np.zeros(len(at) + 1, np.int32)), pa.array(own[at].ravel().astype(np.int64)))
+        columns = [rows.column("header"), rows.column("chunk"), pa.array(n), *listed, pa.ListArray.from_arrays(bounds, each)]
+        return pa.RecordBatch.from_arrays(columns, names=["header", "chunk", "n", "r", "label", "start", "end", "figures"])
 
     store = Rounds(chunks.sparkSession, keep=1 << 30)
     found = store.write(chunks.select("header", "chunk", "offset", "bases").mapInArrow(run, "header string, chunk long, n long, r array<long>, label array<long>, start array<long>, end array<long>, figures array<array<long>>"))
@@ -171,7 +194,7 @@ def features(chunks: DataFrame) -> DataFrame:
     classes = [letter(x) for x in ("Aa", "Cc", "Gg", "Tt")]
 
     def figures(letters: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        sums = [np.add.reduceat(np.isin(letters, c).astype(np.int64), starts) for c in classes]
+        sums = [np.add.reduceat(((letters == c[0]) | (letters == c[1])).astype(np.int64), starts) for c in classes]
         lower = (letters >= ord("a")) & (letters <= ord("z"))
         return [*sums, np.add.reduceat(lower.astype(np.int64), starts)]
 

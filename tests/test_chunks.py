@@ -66,3 +66,15 @@ def test_fasta_in_splits(spark, tmp_path):
     with pytest.raises(ValueError):
         chunks.fasta_blocks(out, 50, 120)
     assert out.filter(F.col("bases") == "").select("header").collect()[0].header == "empty"
+
+
+def test_runs_are_looked_for_in_many_chunks_at_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def labels(letters):
+        calls.add(1)
+        return letters.astype("int64")
+
+    own = chunks.from_records(spark.createDataFrame([("h", "AACC" * 5000)], "header string, sequence string"), 10)
+    got = sorted((r.number, r.start, r.end) for r in chunks._runs(own, labels).collect())
+    assert got == [(i, 2 * i, 2 * i + 2) for i in range(10_000)] and 0 < calls.value < 20

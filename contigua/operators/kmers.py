@@ -24,6 +24,9 @@ from contigua.functions.seq import revcomp
 MOST = 4_294_967_295
 CHUNK = 10_000
 
+#: Windows that a task makes at once; it holds the counts of twice as many, whatever its share of the reads.
+HELD = 1 << 18
+
 
 def stretches(reads: DataFrame, k: int, sequence: str = "sequence", keep: tuple[str, ...] = ()) -> DataFrame:
     """(*keep, part, chunk_at, bases): upper-case runs of bases of at least k letters, in chunks."""
@@ -76,36 +79,46 @@ def spelt(codes: np.ndarray, k: int) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(codes), [None, pa.py_buffer(np.arange(0, k * (len(codes) + 1), k, dtype=np.int32)), pa.py_buffer(letters)])
 
 
+def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and the sums of their times."""
+    by = np.argsort(codes, kind="stable")
+    codes = codes[by]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else by
+    return codes[first], np.add.reduceat(times[by], first) if len(first) else times
+
+
+def counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(code, cnt) of a task's texts, summed as far as it holds them; a long text is sent on in parts too."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> pa.RecordBatch:
+        codes, times = (np.concatenate(c) for c in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in summed(codes, times)], names=["code", "cnt"])
+
+    size = 0
+    for batch in batches:
+        for text in batch.column(0):
+            for run in base_runs(text.as_py() or b"", k):
+                for at in range(0, len(run) - k + 1, HELD):
+                    held.append(np.unique(canonical_codes(run[at : at + HELD + k - 1], k), return_counts=True))
+                    size += len(held[-1][0])
+                    if size > 2 * HELD:
+                        yield merged()
+                        held, size = [], 0
+    if held:
+        yield merged()
+
+
 def count_kmers(reads: DataFrame, k: int = 21, sequence: str = "sequence") -> DataFrame:
     """(kmer, cnt) of canonical k-mers, saturating at 2**32 - 1."""
     if k > 31:
         return windows(reads, k, sequence).groupBy(P.canonical(F.col("kmer")).alias("kmer")).agg(F.least(F.count(F.lit(1)), F.lit(MOST)).alias("cnt"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> pa.RecordBatch:
-            code, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64))], names=["code", "cnt"])
-
-        size = 0
-        for batch in batches:
-            for text in batch.column(0):
-                for run in base_runs(text.as_py() or b"", k):
-                    for at in range(0, len(run) - k + 1, 1 << 20):
-                        held.append(np.unique(canonical_codes(run[at : at + (1 << 20) + k - 1], k), return_counts=True))
-                        size += len(held[-1][0])
-                if size > 1 << 21:
-                    yield merged()
-                    held, size = [], 0
-        if held:
-            yield merged()
-
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([spelt(batch.column(0).to_numpy(), k), batch.column(1)], names=["kmer", "cnt"])
 
-    counts = reads.select(F.col(sequence).cast("binary")).mapInArrow(count, "code long, cnt long").groupBy("code").agg(F.least(F.sum("cnt"), F.lit(MOST)).alias("cnt"))
+    counts = reads.select(F.col(sequence).cast("binary")).mapInArrow(lambda batches: counted(batches, k), "code long, cnt long").groupBy("code").agg(F.least(F.sum("cnt"), F.lit(MOST)).alias("cnt"))
     return counts.mapInArrow(spell, "kmer string, cnt long")
 
 

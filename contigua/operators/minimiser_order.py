@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from contigua.operators.kmers import MOST, _along_runs, _new, base_runs, canonical_codes, sliding_minimum, spelt
+from contigua.operators.kmers import MOST, _along_runs, _new, base_runs, canonical_codes, sliding_minimum, spelt, summed
 
 #: Most bases that a task holds before it sends them on, and most k-mers that it counts at once.
-HELD = 1 << 22
+HELD = 1 << 20
+#: k-mers of a bucket on average where their number is not given: 16 bytes each, and some 64 while they are merged.
+SHARE = 1 << 21
 HOT = -1
 
 
@@ -72,8 +74,9 @@ def ranks(reads: DataFrame, m: int, sequence: str = "sequence") -> np.ndarray:
     return rank
 
 
-def train(reads: DataFrame, k: int, m: int, buckets: int, sample: int | None = None, sequence: str = "sequence") -> Order:
-    """An order and its buckets from all reads, or from the ``sample`` of least hash."""
+def train(reads: DataFrame, k: int, m: int, buckets: int, sample: int | None = None, sequence: str = "sequence", most: int | None = None) -> Order:
+    """An order and its buckets from all reads, or from the ``sample`` of least hash; more buckets than asked for where those trained on would
+    hold more than ``most`` k-mers on average."""
     if not m <= k <= 31:
         raise ValueError("k must be from m to 31")
     seen = reads.select(sequence)
@@ -84,6 +87,8 @@ def train(reads: DataFrame, k: int, m: int, buckets: int, sample: int | None = N
     load = np.zeros(4**m, np.int64)
     for r in _sums(seen, sequence, k, 4**m, lambda codes: sliding_minimum(sent.value[canonical_codes(codes, m)], k - m + 1)).collect():
         load[r.code] = r.n
+    if most is not None:
+        buckets = max(buckets, -(-int(load.sum()) // most))
     bucket = np.arange(4**m, dtype=np.int64) % buckets  # where training saw nothing
     share = max(1, int(load.sum()) // (2 * buckets))
     room = [(0, b) for b in range(buckets)]
@@ -178,11 +183,11 @@ def super_mers(reads: DataFrame, k: int, order: Order, sequence: str = "sequence
 def count_kmers(reads: DataFrame, k: int, m: int = 7, buckets: int | None = None, order: Order | None = None, sequence: str = "sequence") -> DataFrame:
     """(kmer, cnt) of canonical k-mers as ``kmers.count_kmers`` gives them, through super-mers.
 
-    A bucket is counted in one task, which holds its distinct k-mers: 12 bytes each. ``buckets`` should be such that they fit; by default the
-    number of shuffle partitions.
+    A bucket is counted in one task, which holds its distinct k-mers. ``buckets`` should be such that they fit; by default the number of shuffle
+    partitions, or as many as hold some ``SHARE`` k-mers each, so that a task's memory does not grow with the reads.
     """
     width = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = order or train(reads, k, m, buckets or width, sequence=sequence)
+    order = order or train(reads, k, m, buckets or width, sequence=sequence, most=None if buckets else SHARE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -191,8 +196,7 @@ def count_kmers(reads: DataFrame, k: int, m: int = 7, buckets: int | None = None
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             own, n = np.unique(np.concatenate(fresh), return_counts=True)
-            every, at = np.unique(np.concatenate([code, own]), return_inverse=True)
-            return every, np.bincount(at, np.concatenate([times, n])).astype(np.int64)
+            return summed(np.concatenate([code, own]), np.concatenate([times, n]))
 
         for batch in batches:
             for lengths, bases in zip(batch.column(1), batch.column(2)):

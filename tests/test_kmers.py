@@ -180,3 +180,24 @@ def test_bucketed_databases(spark, tmp_path):
     kmers.write_bucketed(kmers.count_kmers(a, 13), one, 13, 4)
     with pytest.raises(ValueError, match="number of buckets"):
         kmers.union_bucketed(spark, one, two)
+
+
+def test_counts_are_sent_on_within_a_long_text():
+    """A task holds a bounded number of k-mers however long a text is."""
+    import pyarrow as pa
+
+    text = np.random.default_rng(3).choice(np.frombuffer(b"ACGT", np.uint8), 1_500_000).tobytes()
+    sizes, total = [], 0
+    for part in kmers.counted(iter([pa.RecordBatch.from_arrays([pa.array([text, None])], names=["s"])]), 21):
+        sizes.append(part.num_rows)
+        total += sum(part.column("cnt").to_pylist())
+    assert total == len(text) - 20 and max(sizes) <= 3 * kmers.HELD
+
+
+def test_buckets_grow_with_reads(spark):
+    """Without a number given, a bucket's k-mers stay bounded and counts are those of one bucket."""
+    rng = random.Random(8)
+    reads = spark.createDataFrame([("".join(rng.choices("ACGT", k=500)),) for _ in range(40)], "sequence string")
+    order = minimiser_order.train(reads, 21, 7, 4, most=1000)
+    assert order.buckets == -(-40 * 480 // 1000)
+    assert sorted(minimiser_order.count_kmers(reads, 21, order=order).collect()) == sorted(kmers.count_kmers(reads, 21).collect())

@@ -36,9 +36,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path components with len."""
-    rows = lines(spark, sf_dir)
+def components(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """Path components with len; ``held``: the lines, where they are written already."""
+    rows = lines(spark, sf_dir) if held is None else held
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").cast("long").alias("size"))
     zero = F.lit(0).cast("long")
     segment = F.struct((F.col("o") * 2 - 1).alias("ord"), F.lit(SEGMENT).alias("ctype"), F.col("part").cast("string").alias("comp"), "orientation", zero.alias("start"), zero.alias("end"), F.col("size").alias("len"))
@@ -47,10 +47,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sizes, "part").select(F.col("path").cast("string").alias("path"), F.explode(both).alias("x")).select("path", "x.*")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge a part at most, so that the graph stays sparse."""
+def edges(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """One edge a part at most, so that the graph stays sparse; ``held``: the lines, where they are written already."""
     latest = Window.partitionBy("part").orderBy(F.desc("l_shipdate"), F.desc("path"), F.desc("o"))
-    rows = lines(spark, sf_dir).filter("next IS NOT NULL").withColumn("r", F.row_number().over(latest)).filter("r = 1")
+    rows = (lines(spark, sf_dir) if held is None else held).filter("next IS NOT NULL").withColumn("r", F.row_number().over(latest)).filter("r = 1")
     return rows.select(F.concat_ws("_", F.lit("e"), "path", "o").alias("header"), F.col("part").alias("s1"), F.col("orientation").alias("s1_or"), F.col("next").alias("s2"), F.col("next_or").alias("s2_or"), F.concat("q", F.lit("M")).alias("cigar"))
 
 

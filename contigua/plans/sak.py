@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from contigua.functions import seq as S
 from contigua.model import GAP, SEGMENT, Assembly
 from contigua.operators import paths as E
+from contigua.operators.lineage import Rounds
 from contigua.operators.stats import placed
 
 CUT_EVERY = 20
@@ -90,8 +91,13 @@ def _two(one: str, other: str, what: str) -> None:
         raise ValueError(f"two new {what}s can't both be named {one}")
 
 
-def _placed(a: Assembly) -> DataFrame:
-    return placed(a.components, a.segments, a.gaps)
+def _placed(a: Assembly, own: DataFrame) -> DataFrame:
+    """Components of a path or two, ``own``, with what they stand for. They are written once, and meet only what they name; so is the result,
+    which edits read several times."""
+    store = Rounds(own.sparkSession, keep=1 << 30)
+    own = store.write(own)
+    names = own.select(F.col("comp").alias("header")).distinct()
+    return store.write(placed(own, a.segments.join(names, "header", "left_semi"), a.gaps.join(names, "header", "left_semi")))
 
 
 def _add_gap(a: Assembly, name: str, s1: str, o1: str, s2: str, o2: str, dist: int) -> DataFrame:
@@ -115,7 +121,7 @@ def _part(a: Assembly, ref: tuple[str, int, int, str]) -> DataFrame:
     name, start, end, sign = ref
     own = a.components.filter(F.col("path") == name)
     if start or end:
-        own = E.trim(_placed(a.with_(components=own)), F.lit(start), F.lit(end)).select(*E.KEYS)
+        own = E.trim(_placed(a, own), F.lit(start), F.lit(end)).select(*E.KEYS)
     return E.revcom(own) if sign == "-" else own
 
 
@@ -226,7 +232,7 @@ def mask(st: State, i: Instruction) -> State:
     _known(a.paths, path, "path")
     name, size = st.gap_name(), int(i.arg(3, str(hi - lo)))
     mine = F.col("path") == path
-    own = E.mask(_placed(a.with_(components=a.components.filter(mine))), F.lit(lo), F.lit(hi), F.lit(name), F.lit(size).cast("long"))
+    own = E.mask(_placed(a, a.components.filter(mine)), F.lit(lo), F.lit(hi), F.lit(name), F.lit(size).cast("long"))
     comps = a.components.filter(~mine).select(*E.KEYS).unionByName(own.select(*E.KEYS))
     at = own.filter(F.col("comp") == name).select(F.col("ord").alias("at"))
     sides = own.crossJoin(F.broadcast(at)).filter(F.col("ctype") == SEGMENT).agg(F.max_by(F.struct("comp", "orientation"), F.when(F.expr("ord < at"), F.col("ord"))).alias("l"), F.min_by(F.struct("comp", "orientation"), F.when(F.expr("ord > at"), F.col("ord"))).alias("r")).first()  # one row beside a path

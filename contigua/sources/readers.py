@@ -192,14 +192,23 @@ def read_gfa(spark: SparkSession, path: str) -> Assembly:
     return Assembly(segments, gaps.drop("n"), edges.drop("n"), paths, comps)
 
 
+_PLAIN = r"^[0-9A-Za-z_.:|#]+[+-]?\z"
 _TOKEN = r"^(.*?)([+-])?(?:\((\d+):(\d+)\))?([+-])?$"
 
 
 def _token(t: Column) -> tuple[Column, Column, Column, Column]:
-    """Name, sign ('' if none), start and end; the slice may stand before or after the sign."""
+    """Of the column ``t``: name, sign ('' if none), start and end; the slice may stand before or after the sign."""
     part = lambda i: F.regexp_extract(t, _TOKEN, i)
     n = lambda i: F.coalesce(part(i).try_cast("long"), F.lit(0).cast("long"))
-    return part(1), F.concat(part(2), part(5)), n(3), n(4)
+    # most tokens are a name and at most one sign: these need no search
+    last = F.right(t, F.lit(1))
+    signed = last.isin("+", "-")
+    plain = t.rlike(_PLAIN)
+    zero = F.lit(0).cast("long")
+    return (
+        F.when(~plain, part(1)).when(signed, F.expr("substring(t, 1, length(t) - 1)")).otherwise(t), F.when(~plain, F.concat(part(2), part(5))).when(signed, last).otherwise(""),
+        F.when(plain, zero).otherwise(n(3)), F.when(plain, zero).otherwise(n(4)),
+    )
 
 
 def _gfa2_components(p: DataFrame, gaps: DataFrame, edges: DataFrame) -> DataFrame:

@@ -386,3 +386,18 @@ def test_overlaps_of_copies(spark):
     assert got == expected
     best = {(r.header, r.orientation): (r.overlap, r.partners) for r in overlaps.longest_overlaps(table, 31).collect()}
     assert best["c0", "+"] == (48, 4) and best["c3", "-"] == (48, 3)
+
+
+def test_orders_are_sorted_once_to_be_trimmed(spark):
+    from contigua.plans import catalog
+
+    plan = catalog.queries()["path_trim"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [path#") == 1
+
+
+def test_masked_path_is_placed_once(spark):
+    """MASK reads what stands on its path from a table of its own, and all other components once."""
+    from contigua.plans import catalog
+
+    plan = catalog.queries()["verb_mask"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate#") <= 2 and plan.count("lead(l_partkey") == 1

@@ -3,6 +3,8 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
+
 from contigua.model import Assembly
 from contigua.operators import stats
 from contigua.plans import sak
@@ -253,3 +255,24 @@ def test_gaps_know_their_neighbours_without_a_window(spark):
     assert "Exchange" not in plan and "Window" not in plan
     got = sorted(map(tuple, gaps.select("name", "s1", "s2", "s2_or").collect()))
     assert got == [("r.1", "r.2", "r.2", "+"), ("r.3", "r.2", "r.4", "+"), ("s.2", "s.1", "s.1", "-"), ("t.1", None, None, "+")]
+
+
+def test_tokens_without_a_slice_are_not_searched(spark):
+    """A name with at most one sign is taken apart without the pattern, with what the pattern gives."""
+    import re
+
+    tokens = ["a", "a+", "gap_1_2", "x.1-", "a+-", "a-b+", "+", "-", "", "a(5:9)+", "a+(5:9)", "(1:2)", "a:b|c#1-", "a b+", "é-"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string")
+    name, sign, start, end = readers._token(F.col("t"))
+    got = [tuple(r) for r in df.orderBy("i").select(name, sign, start, end).collect()]
+    groups = [re.match(readers._TOKEN, t).groups(default="") for t in tokens]
+    assert got == [(g[0], g[1] + g[4], int(g[2] or 0), int(g[3] or 0)) for g in groups]
+
+
+def test_lines_of_orders_are_made_once(spark, monkeypatch):
+    """Gaps, edges and components of the orders' GFA files come from one table of lines."""
+    from contigua.plans import bridge, catalog
+
+    calls, lines = [], bridge.lines
+    monkeypatch.setattr(bridge, "lines", lambda *a: calls.append(a) or lines(*a))
+    assert catalog.queries()["read_gfa2_paths"](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from contigua.operators.blocks import LIMIT, distances
 from contigua.operators.components import component_labels
 from contigua.operators.fragments import LINKS, fragments
-from contigua.operators.lineage import Rounds
+from contigua.operators.lineage import Rounds, without_broadcasts
 
 
 def flip(o: Column) -> Column:
@@ -322,10 +322,11 @@ def shortest_distances(adj: DataFrame, sources: DataFrame, weight: str | None =
     store = Rounds(adj.sparkSession, keep=1 << 30)
     links = store.write(adj.filter("node <> other").groupBy("node", "other").agg(F.min(w.cast("double")).alias("w")))
     sources = store.write(sources.select("node").filter("node IS NOT NULL").distinct())
-    inner, roots = _chains(links, sources, store)
-    roots = store.write(roots)
-    short = store.write(roots.join(inner, "node", "left_anti").groupBy(F.col("end").alias("node"), F.col("node").alias("other")).agg(F.min("w").alias("w")))
-    dist = distances(short, sources, limit)
+    with without_broadcasts(adj.sparkSession):
+        inner, roots = _chains(links, sources, store)
+        roots = store.write(roots)
+        short = store.write(roots.join(inner, "node", "left_anti").groupBy(F.col("end").alias("node"), F.col("node").alias("other")).agg(F.min("w").alias("w")))
+        dist = distances(short, sources, limit)
     inside = roots.join(inner, "node", "left_semi").join(dist.withColumnRenamed("node", "end"), "end").groupBy("node").agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
     found = dist.unionByName(inside)
     if not previous:

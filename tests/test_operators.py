@@ -401,3 +401,16 @@ def test_masked_path_is_placed_once(spark):
 
     plan = catalog.queries()["verb_mask"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_shipdate#") <= 2 and plan.count("lead(l_partkey") == 1
+
+
+def test_rounds_of_shortest_ways_send_no_tables_to_the_driver(spark, monkeypatch):
+    """Their joins are shuffles however small the tables are; the session's own setting is back afterwards."""
+    from contigua.operators.lineage import Rounds
+
+    key, seen, write = "spark.sql.autoBroadcastJoinThreshold", [], Rounds.write
+    before = spark.conf.get(key)
+    monkeypatch.setattr(Rounds, "write", lambda self, df: seen.append(spark.conf.get(key)) or write(self, df))
+    adj = graph.adjacency(spark.createDataFrame([(i, "+", i + 1, "+") for i in range(5)], "s1 long, s1_or string, s2 long, s2_or string"))
+    got = graph.shortest_distances(adj, spark.createDataFrame([(0,)], "node long"))
+    assert sorted(map(tuple, got.collect())) == [(i, float(i)) for i in range(6)]
+    assert seen.count("-1") == len(seen) - 2 and spark.conf.get(key) == before  # the links and the sources join nothing

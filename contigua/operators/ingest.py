@@ -16,7 +16,8 @@ FEATURE = r"([NnXx]+|[^NnXx]+)"
 
 
 def features(records: DataFrame, header: str = "header", sequence: str = "sequence") -> DataFrame:
-    """(header, i, name, kind, text, len, last): a row a run; i counts from 1 over segments and gaps alike, ``last`` tells a record's last run."""
+    """(header, i, name, kind, text, len, last, n): a row a run; i counts from 1 over segments and gaps alike, ``last`` tells a record's last run,
+    ``n`` how many it has."""
     runs = F.regexp_extract_all(F.col(sequence), F.lit(FEATURE), F.lit(1))
     own = records.select(F.col(header).cast("string").alias("header"), runs.alias("runs")).withColumn("n", F.size("runs"))
     # outer, as a filter on the array's size would find the runs a second time
@@ -25,10 +26,11 @@ def features(records: DataFrame, header: str = "header", sequence: str = "sequen
         "header",
         (F.col("p") + 1).cast("long").alias("i"),
         F.concat_ws(".", "header", (F.col("p") + 1).cast("string")).alias("name"),
-        F.when(F.col("text").rlike("^[NnXx]"), GAP).otherwise(SEGMENT).alias("kind"),
+        F.when(F.left("text", F.lit(1)).isin(*"NnXx"), GAP).otherwise(SEGMENT).alias("kind"),
         "text",
         F.length("text").cast("long").alias("len"),
         (F.col("p") + 1 == F.col("n")).alias("last"),
+        F.col("n").cast("long").alias("n"),
     )
 
 

@@ -18,11 +18,11 @@ def renumber(components: DataFrame, *order: Column | str) -> DataFrame:
     return components.withColumn("ord", F.row_number().over(w).cast("long"))
 
 
-def revcom(components: DataFrame, only: Column | None = None) -> DataFrame:
-    """Reverses the order and flips + and -; 0 stays. ``only`` picks the rows of the paths to turn."""
+def revcom(components: DataFrame, only: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Reverses the order and flips + and -; 0 stays. ``only`` picks the rows of the paths to turn; ``last`` is a path's greatest ord, where its rows
+    know it, and spares a shuffle."""
     turned = F.lit(True) if only is None else only
-    last = F.max("ord").over(Window.partitionBy("path"))
-    rows = components.withColumn("__last", last)
+    rows = components.withColumn("__last", F.max("ord").over(Window.partitionBy("path")) if last is None else last)
     return rows.withColumn("ord", F.when(turned, F.col("__last") - F.col("ord") + 1).otherwise(F.col("ord"))).withColumn("orientation", F.when(turned, F.translate("orientation", "+-", "-+")).otherwise(F.col("orientation"))).drop("__last")
 
 

@@ -17,7 +17,8 @@ from contigua.model import SEGMENT
 def _groups(variants: DataFrame) -> DataFrame:
     text = F.when(F.col("vtype") == "DEL", "").otherwise(F.coalesce("sequence", F.lit(""))).alias("text")
     best = F.max_by(F.struct("ref_len", text), F.struct("score", -F.col("alt")))
-    return variants.groupBy("segment", "grp").agg(
+    # dealt by segment, as all that follows is by segment or within one: groups are not shuffled again
+    return variants.repartition("segment").groupBy("segment", "grp").agg(
         F.min("pos").alias("at"), F.max("ref_len").alias("most"), F.max(F.col("vtype").isin("INS", "DEL")).alias("anchored"), F.round(F.avg("score"), 2).alias("q"),
         F.array_sort(F.collect_list(F.struct("alt", "ref_len", text))).alias("alts"), best.alias("best"),
     )
@@ -27,10 +28,10 @@ def _shift() -> Column:
     return F.when(F.col("start") == 0, 0).otherwise(F.col("start") - 1)
 
 
-def _with_groups(placed: DataFrame, per_segment: DataFrame, size) -> DataFrame:
-    """``x``: the groups that lie within the slice; empty where there are none."""
+def _with_groups(placed: DataFrame, per_segment: DataFrame, size, how: str = "left") -> DataFrame:
+    """``x``: the groups that lie within the slice; empty where there are none. ``how`` inner: without components that have no groups."""
     keyed = per_segment.withColumnRenamed("segment", "__seg")
-    joined = placed.join(keyed, (F.col("comp") == F.col("__seg")) & (F.col("ctype") == SEGMENT), "left").withColumn("__shift", _shift())
+    joined = placed.join(keyed, (F.col("comp") == F.col("__seg")) & (F.col("ctype") == SEGMENT), how).withColumn("__shift", _shift())
     inside = F.filter("x", lambda e: (e["at"] >= F.col("__shift")) & (e["at"] + size(e) <= F.col("__shift") + F.col("len")))
     return joined.withColumn("x", F.when(F.col("text").isNull() | F.col("x").isNull(), F.array().cast(joined.schema["x"].dataType)).otherwise(inside)).drop("__seg")
 
@@ -64,7 +65,7 @@ def on_paths(offsets: DataFrame, variants: DataFrame) -> DataFrame:
     ``offsets``: placed components with begin. Positions count components whole: overlaps of edges are not taken off.
     """
     per_segment = _groups(variants).groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("at", "most", "grp", "anchored", "q", "alts"))).alias("x"))
-    rows = _with_groups(offsets, per_segment, lambda e: e["most"]).withColumn("__b", F.col("text").cast("binary"))
+    rows = _with_groups(offsets, per_segment, lambda e: e["most"], "inner").withColumn("__b", F.col("text").cast("binary"))
     minus = F.col("orientation") == "-"
     turn = lambda c: F.when(minus, revcomp(c)).otherwise(c)
     cut = lambda a, n: F.substring("__b", (a + 1).cast("int"), F.lit(n).cast("int") if isinstance(n, int) else n.cast("int")).cast("string")

@@ -50,8 +50,10 @@ def path_sequences(components: DataFrame) -> DataFrame:
     piece = lambda c: F.when(F.col("ctype") == EDGE, "").otherwise(F.expr(f"substring({c}, __drop + 1, length({c}))"))
     gap = F.col("ctype") == GAP
     rows = rows.select("path", "ord", F.when(gap, F.expr("repeat('N', cast(len as int))")).otherwise(piece("__s")).alias("s"), F.when(gap, F.expr("repeat('!', cast(len as int))")).otherwise(piece("__q")).alias("q"))
-    held = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "s", "q"))).alias("x"))
-    return held.select("path", F.array_join(F.transform("x", lambda e: e["s"]), "").alias("seq"), F.array_join(F.transform("x", lambda e: e["q"]), "").alias("quality"))
+    listed = lambda c: F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("t"))))
+    held = rows.groupBy("path").agg(listed("s").alias("s"), listed("q").alias("q"))  # apart, so that one that is not asked for is not collected
+    joined = lambda c: F.array_join(F.transform(c, lambda e: e["t"]), "")
+    return held.select("path", joined("s").alias("seq"), joined("q").alias("quality"))
 
 
 def fasta_lines(records: DataFrame, width: int = 0) -> DataFrame:

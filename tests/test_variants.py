@@ -118,3 +118,17 @@ def test_many_choices_are_not_multiplied():
     """Forty places with two equal outcomes: 2**40 walks, one window a place."""
     sites = {i: [("0", "A"), ("1", "A")] for i in range(40)}
     assert list(string_graph.windows_from("A" * 40, sites, sorted(sites), 0, 40)) == [(0, "A" * 40, ",".join("0" * 40))]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_are_dealt_once(spark):
+    """Groups of variants are shuffled by segment once; paths are put together without their qualities; gaps meet no variants in a listing."""
+    from contigua.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    laid = _plan(catalog.queries()["path_with_variants"](spark, sf))
+    assert laid.count("Exchange hashpartitioning") <= 3 and "repeat(!" not in laid
+    assert "Inner" in _plan(catalog.queries()["vcf_out"](spark, sf))

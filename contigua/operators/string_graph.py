@@ -2,52 +2,196 @@
 
 A place is a base of the sequence, or, where there is a choice, one text of several: another base, none, or more than one.
 Only what fits the window is kept on the way: walks with the same text at the same place are one, with the least of their
-choices, so the work follows the distinct windows and not the product of the alternatives.
+choices, so the work follows the distinct windows and not the product of the alternatives. The places of many sequences,
+laid end to end, are swept together as arrays, from choice to choice.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 _SCHEMA = "header string, pos long, inset long, kmer string, choices string"
-
-
-def _merge(states: dict[str, str], text: str, choices: str) -> None:
-    held = states.get(text)
-    if held is None or choices < held:
-        states[text] = choices
+PIECE, BLOCK, CELLS = 1 << 18, 1 << 13, 1 << 22  # characters laid end to end; places swept together; bases of the windows held at once
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index as often as its count says, and the number of the repeat."""
+    return np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+@dataclass
+class _Laid:
+    """Sequences end to end. ``pool``: their letters, as numbers from 1, and behind them those of the choices; ``stops``: each sequence's
+    end; ``sites``: the places with choices; options ``first[i]`` to ``first[i + 1]`` are those of site i: a choice and a stretch of the pool."""
+
+    letters: np.ndarray
+    pool: np.ndarray
+    stops: np.ndarray
+    sites: np.ndarray
+    first: np.ndarray
+    choice: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    names: list[str]
+
+
+def _lay(texts: list[str], row: np.ndarray, pos: np.ndarray, choices: pa.Array, alternatives: pa.Array) -> _Laid:
+    """``row``, ``pos``: the sequence and the place of each alternative."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    stops = np.cumsum(lengths)
+    inside = (pos >= 0) & (pos < lengths[row])
+    chosen, given = choices.filter(pa.array(inside)).dictionary_encode(), alternatives.filter(pa.array(inside)).dictionary_encode()
+    names = sorted({"0", *chosen.dictionary.to_pylist()})
+    rank = {name: i for i, name in enumerate(names)}
+    distinct = given.dictionary.to_pylist()
+    letters, pool = np.unique(np.frombuffer("".join([*texts, *distinct]).encode("utf-32-le"), "<u4"), return_inverse=True)
+    pool = (pool + 1).astype(np.uint8 if len(letters) < 256 else np.uint32)
+    at = ((stops - lengths)[row] + pos)[inside]
+    sites = np.unique(at)
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    number = np.concatenate([np.full(len(sites), -1), given.indices.to_numpy(zero_copy_only=False).astype(np.int64)])  # -1: the sequence's own base
+    place = np.concatenate([sites, at])
+    choice = np.concatenate([np.full(len(sites), rank["0"]), np.array([rank[c] for c in chosen.dictionary.to_pylist()], np.int64)[chosen.indices.to_numpy(zero_copy_only=False)]])
+    begin = np.concatenate([sites, (stops[-1] + np.cumsum(size) - size)[number[len(sites) :]]])
+    length = np.concatenate([np.ones(len(sites), np.int64), size[number[len(sites) :]]])
+    order = np.lexsort((number, choice, place))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(place[order]) != 0) | (np.diff(choice[order]) != 0) | (np.diff(number[order]) != 0)
+    order = order[new]  # each once, however often it is given
+    first = np.append(np.searchsorted(place[order], sites), len(order))
+    return _Laid(letters, pool, stops, sites, first, choice[order], begin[order], length[order], names)
+
+
+def _write(text: np.ndarray, length: np.ndarray, pool: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Puts stretches of the pool behind what the rows of ``text`` hold, and returns the new lengths."""
+    at = np.arange(text.shape[1]) - length[:, None]
+    own = (at >= 0) & (at < count[:, None])
+    text[own] = pool[(at + begin[:, None])[own]]
+    return length + count
+
+
+def _least(begin: np.ndarray, text: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
+    """Of the rows with one begin and text that with the least code."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    n, words = text.shape[1], []
+    for j in range(0, n, 63 // bits):
+        word = np.zeros(len(text), np.int64)
+        for c in range(j, min(n, j + 63 // bits)):
+            word <<= bits
+            word |= text[:, c]
+        words.append(word)
+    tail = int(code.max()).bit_length()
+    if int(begin.max()).bit_length() + n * bits + tail <= 63:  # all in one number
+        key = (((begin << n * bits) | words[0]) << tail) | code
+        order = np.argsort(key)
+        words = [key >> tail]
+    else:
+        words.insert(0, begin)
+        order = np.lexsort((code, *reversed(words)))
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for word in words:
+        new[1:] |= np.diff(word[order]) != 0
+    return order[new]
+
+
+def _named(names: list[str]) -> tuple[list[str], np.ndarray]:
+    """The names in order, each once, and where each stands there."""
+    ordered = sorted(set(names))
+    rank = {name: i for i, name in enumerate(ordered)}
+    return ordered, np.array([rank[name] for name in names], np.int64)
+
+
+def _sweep(laid: _Laid, lo: int, hi: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """(place, inset, letters, code, names) of the windows that begin at places lo to hi; names[code] are the choices. Where more than
+    CELLS bases would be held, the places are halved; one place is swept however many windows it has."""
+    sites, bits = laid.sites, len(laid.letters).bit_length()
+    a, b = np.searchsorted(sites, (lo, hi))
+    plain = np.ones(hi - lo, bool)
+    plain[sites[a:b] - lo] = False
+    own = np.flatnonzero(plain) + lo
+    options = slice(laid.first[a], laid.first[b])
+    place = np.concatenate([own, np.repeat(sites[a:b], np.diff(laid.first[a : b + 1]))])
+    begin, length = np.concatenate([own, laid.begin[options]]), np.concatenate([np.ones(len(own), np.int64), laid.length[options]])
+    code, names = np.concatenate([np.zeros(len(own), np.int64), laid.choice[options] + 1]), ["", *laid.names]  # in order, as all names here
+    row, inset = _spread(length)
+    insets = int(length.max(initial=1))
+    stop, ahead = laid.stops[np.searchsorted(laid.stops, np.arange(lo, hi), "right")], np.searchsorted(sites, np.arange(lo, hi), "right")
+    halves, held, most = ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi)) if hi - lo > 1 else (), 0, CELLS // k
+    if halves and len(row) > most:
+        for half in halves:
+            yield from _sweep(laid, *half, k)
+        return
+    text, start = np.zeros((len(row), k), laid.pool.dtype), (place[row] - lo) * insets + inset
+    length = _write(text, np.zeros(len(row), np.int64), laid.pool, begin[row] + inset, np.minimum(length[row] - inset, k))
+    code, passed, done = code[row], 0, []
+
+    def leave(going: np.ndarray) -> None:
+        """Puts whole windows by; of the others those stay that go on."""
+        nonlocal start, text, length, code, held
+        whole = length == k
+        if whole.any():
+            done.append((start[whole], text[whole], code[whole], names))
+            held += int(whole.sum())
+        going = going & ~whole
+        start, text, length, code = start[going], text[going], length[going], code[going]
+
+    while len(start):
+        at = start // insets
+        site = ahead[at] + passed
+        here = at + lo + 1 if not passed else sites[site - 1] + 1
+        nearest = np.append(sites, laid.stops[-1])[site]
+        length = _write(text, length, laid.pool, here, np.minimum(k - length, np.minimum(nearest, stop[at]) - here))
+        leave(nearest < stop[at])
+        kept = _least(start, text, code, bits)
+        start, text, length, code = start[kept], text[kept], length[kept], code[kept]
+        site = ahead[start // insets] + passed
+        row, number = _spread(laid.first[site + 1] - laid.first[site])
+        if halves and held + len(row) > most:
+            for half in halves:
+                yield from _sweep(laid, *half, k)
+            return
+        option = laid.first[site][row] + number
+        start, text = start[row], text[row]
+        length = _write(text, length[row], laid.pool, laid.begin[option], np.minimum(k - length[row], laid.length[option]))
+        pairs, which = np.unique(code[row] * len(laid.names) + laid.choice[option], return_inverse=True)
+        longer = [(names[p // len(laid.names)], laid.names[p % len(laid.names)]) for p in pairs.tolist()]
+        names, ranks = _named([f"{before},{choice}" if before else choice for before, choice in longer])
+        code, passed = ranks[which], passed + 1
+        leave(np.ones(len(start), bool))
+    if not done:
+        return
+    names, ranks = _named([name for *_, own in done for name in own])
+    base = np.cumsum([0, *(len(own) for *_, own in done)])
+    start, text = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+    code = np.concatenate([ranks[base[i] + d[2]] for i, d in enumerate(done)])
+    kept = _least(start, text, code, bits)
+    yield start[kept] // insets + lo, start[kept] % insets, laid.letters[text[kept].astype(np.int64) - 1], code[kept], names
+
+
+def _strings(letters: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    n, k = letters.shape
+    if letters.max(initial=0) < 128:
+        return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.py_buffer(letters.astype(np.uint8).tobytes()))
+    whole = letters.tobytes().decode("utf-32-le")
+    return pa.array([whole[i : i + k] for i in range(0, n * k, k)], pa.string())
 
 
 def windows_from(sequence: str, sites: dict[int, list[tuple[str, str]]], order: list[int], pos: int, k: int) -> Iterator[tuple[int, str, str]]:
-    """(inset, window, choices) of the windows that begin at place ``pos``, by a small sweep from choice to choice."""
-    begins = [(at, text[at:], choice) for choice, text in sites.get(pos, [("", sequence[pos])]) for at in range(len(text))]
-    for at in sorted({b[0] for b in begins}):
-        states: dict[str, str] = {}
-        for own, text, choice in begins:
-            if own == at:
-                _merge(states, text[:k], choice)
-        done: dict[str, str] = {}
-        place, nearest = pos + 1, bisect_left(order, pos + 1)
-        while states:
-            stop = order[nearest] if nearest < len(order) else len(sequence)
-            going: dict[str, str] = {}
-            for text, choices in states.items():
-                whole = text + sequence[place : min(stop, place + k - len(text))]
-                _merge(done if len(whole) == k else going, whole, choices)
-            if nearest == len(order):
-                break
-            states = {}
-            for text, choices in going.items():
-                for choice, more in sites[stop]:
-                    whole = (text + more)[:k]
-                    _merge(done if len(whole) == k else states, whole, f"{choices},{choice}" if choices else choice)
-            place, nearest = stop + 1, nearest + 1
-        for text, choices in done.items():
-            yield at, text, choices
+    """(inset, window, choices) of the windows that begin at place ``pos``; choice 0 is the sequence's own base."""
+    listed = [(at, choice, text) for at in order for choice, text in sites[at] if choice != "0"]
+    at, choices, texts = zip(*listed) if listed else ((), (), ())
+    laid = _lay([sequence], np.zeros(len(at), np.int64), np.array(at, np.int64), pa.array(choices, pa.string()), pa.array(texts, pa.string()))
+    for _, inset, letters, code, names in _sweep(laid, pos, pos + 1, k):
+        yield from zip(inset.tolist(), _strings(letters).to_pylist(), [names[c] for c in code.tolist()])
 
 
 def string_windows(sequences: DataFrame, sites: DataFrame, k: int) -> DataFrame:
@@ -60,32 +204,26 @@ def string_windows(sequences: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     """
     if k < 1:
         raise ValueError("a window has at least one base")
-    per = sites.filter("choice > 0").groupBy(F.col("header").alias("__h")).agg(F.collect_set(F.struct("pos", F.col("choice").cast("string").alias("choice"), F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
-    rows = sequences.filter(F.length("sequence") > 0).join(per, F.col("header") == F.col("__h"), "left").select(F.col("header").cast("string"), "sequence", "x")
+    width = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number: what follows is work, not bytes
+    per = sites.filter("choice > 0 AND pos IS NOT NULL").groupBy(F.col("header").alias("__h")).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("choice").cast("string").alias("choice"), F.coalesce("text", F.lit("")).alias("text"))).alias("x")).hint("merge")  # else small inputs' sites would pass through the driver
+    own = sequences.repartition(width, "header").filter(F.length("sequence") > 0)
+    rows = own.join(per, F.col("header") == F.col("__h"), "left").select(F.col("header").cast("string"), "sequence", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[] for _ in range(5)]
-
-        def batch() -> pa.RecordBatch:
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["header", "pos", "inset", "kmer", "choices"])
-
         for given in batches:
-            for i in range(given.num_rows):
-                header, sequence, listed = (given.column(c)[i].as_py() for c in range(3))
-                held: dict[int, list[tuple[str, str]]] = {}
-                for site in listed or []:
-                    if 0 <= site["pos"] < len(sequence):
-                        held.setdefault(site["pos"], [("0", sequence[site["pos"]])]).append((site["choice"], site["text"]))
-                order = sorted(held)
-                for pos in range(len(sequence)):
-                    for at, text, choices in windows_from(sequence, held, order, pos, k):
-                        for column, value in zip(columns, (header, pos, at, text, choices)):
-                            column.append(value)
-                    if len(columns[0]) >= 1 << 15:
-                        yield batch()
-                        columns = [[] for _ in range(5)]
-        if columns[0]:
-            yield batch()
+            sizes = np.cumsum(pc.utf8_length(given.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), given.num_rows] if given.num_rows else [0]
+            for one, other in zip(cuts, cuts[1:]):
+                piece = given.slice(one, other - one)
+                listed = piece.column(2)
+                counts = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                pos, choice, text = listed.flatten().flatten()
+                laid = _lay(piece.column(1).to_pylist(), np.repeat(np.arange(len(counts)), counts), pos.to_numpy(zero_copy_only=False), choice, text)
+                for lo in range(0, int(laid.stops[-1]), BLOCK):
+                    for place, inset, letters, code, names in _sweep(laid, lo, min(lo + BLOCK, int(laid.stops[-1])), k):
+                        row = np.searchsorted(laid.stops, place, "right")
+                        begin = np.append(0, laid.stops)[row]
+                        columns = [piece.column(0).take(pa.array(row)), pa.array(place - begin), pa.array(inset), _strings(letters), pa.array(names, pa.string()).take(pa.array(code))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["header", "pos", "inset", "kmer", "choices"])
 
     return rows.mapInArrow(run, _SCHEMA)

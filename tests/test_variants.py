@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from contigua.model import VARIANTS
@@ -120,6 +122,33 @@ def test_many_choices_are_not_multiplied():
     assert list(string_graph.windows_from("A" * 40, sites, sorted(sites), 0, 40)) == [(0, "A" * 40, ",".join("0" * 40))]
 
 
+def test_windows_are_work_of_many_tasks(spark):
+    """A few bytes of sequence are much work: adaptive execution must not gather them in one task, and sites pass neither through the driver nor with their sequence."""
+    from contigua.plans import catalog
+
+    table = spark.createDataFrame([(f"h{i}", "ACGTTGCAAC") for i in range(64)], "header string, sequence string")
+    places = spark.createDataFrame([(f"h{i}", 3, 1, "GG") for i in range(64)] * 3, "header string, pos long, choice int, text string")
+    got = string_graph.string_windows(table, places, 4)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and got.count() == len(set(got.collect())) == 64 * 12
+    plan = _plan(catalog.queries()["string_windows"](spark, "/root/testdata/sf0.001"))
+    assert "BroadcastExchange" not in plan and plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in plan
+
+
+def test_windows_beyond_what_is_held_at_once(monkeypatch):
+    """Places are swept in halves where their windows are too many, and one place alone however many it has."""
+    rng = random.Random(9)
+    seq = "".join(rng.choice("ACGé") for _ in range(60))
+    sites = {i: [("0", seq[i]), ("1", "TT"), ("10", ""), ("2", "C")] for i in range(1, 60, 3)}
+    laid = string_graph._lay([seq], *(f([x for x in ((0, i, c, t) for i in sites for c, t in sites[i][1:])]) for f in (
+        lambda r: np.array([x[0] for x in r]), lambda r: np.array([x[1] for x in r]), lambda r: pa.array([x[2] for x in r]), lambda r: pa.array([x[3] for x in r]))))
+    want = [(p, *w) for p in range(60) for w in string_graph.windows_from(seq, sites, sorted(sites), p, 9)]
+    for cells in (1, 500, 5000, 1 << 22):
+        monkeypatch.setattr(string_graph, "CELLS", cells)
+        got = [(p, i, w, names[c]) for place, inset, letters, code, names in string_graph._sweep(laid, 0, 60, 9)
+               for p, i, w, c in zip(place.tolist(), inset.tolist(), string_graph._strings(letters).to_pylist(), code.tolist())]
+        assert sorted(got) == sorted(want)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -53,14 +53,21 @@ def gaps_of(feats: DataFrame) -> DataFrame:
     )
 
 
-def components_of(feats: DataFrame) -> DataFrame:
-    """Each record as a path over its features."""
+def components_of(feats: DataFrame, *more: str) -> DataFrame:
+    """Each record as a path over its features; ``more``: columns of these that are kept."""
     return feats.select(
         F.col("header").alias("path"), F.col("i").alias("ord"), F.col("kind").alias("ctype"), F.col("name").alias("comp"),
-        F.when(F.col("kind") == GAP, "0").otherwise("+").alias("orientation"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"),
+        F.when(F.col("kind") == GAP, "0").otherwise("+").alias("orientation"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), *more,
     )
 
 
+def terminal_gaps() -> tuple[Column, Column]:
+    """Of components with ``last``: whether one is a gap of a segment with itself, and how many such stand before it in its record. Only a
+    first and a last run can be, and a record that is all gap has no segment; runs alternate, so any row tells what the first is."""
+    gap, first = F.col("ctype") == GAP, F.col("ord") == 1
+    return gap & (first != F.col("last")), F.when(~first & (gap == (F.col("ord") % 2 == 1)), 1).otherwise(0).cast("long")
+
+
 def soft_masked(sequence: Column, compat: bool = False) -> Column:
     """Lower-case characters outside gaps. compat: as the sum of per-segment counts that charge the first
     n or x of a gap to the segment before it, and the others to that after it."""

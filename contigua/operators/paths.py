@@ -112,8 +112,11 @@ def cleave_edges(edges: DataFrame, contig: str, left: str, right: str, edge: str
     return moved.unionByName(row, allowMissingColumns=True)
 
 
-def remove_terminal_gaps(components: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Without components whose gap joins a segment to itself."""
+def remove_terminal_gaps(components: DataFrame, gaps: DataFrame | None, terminal: Column | None = None, before: Column | None = None) -> DataFrame:
+    """Without components whose gap joins a segment to itself. Where the rows of a path, numbered from 1 without holes, know whether they are
+    ``terminal`` and how many such rows stand ``before`` them, the gaps need not be given and nothing is shuffled."""
+    if terminal is not None and before is not None:
+        return components.filter(~terminal).withColumn("ord", F.col("ord") - before)
     own = gaps.filter("s1 = s2").select(F.col("header").alias("__gap"))
     kept = components.join(own, (F.col("comp") == F.col("__gap")) & (F.col("ctype") == GAP), "left_anti")
     return renumber(kept)

@@ -26,6 +26,20 @@ def test_split_at_gaps(spark):
     assert tuple(masked) == (2, 3)
 
 
+def test_terminal_gaps_go_where_their_record_lies(spark):
+    """Rows that know their record's ends give what the join and the window give; the query shuffles nothing."""
+    from contigua.plans import catalog
+
+    rng = random.Random(17)
+    texts = ["", None, "N", "NNXx", "A", "NA", "AN", "NAN", "ANA", "NANAN", "nnAxxCNNGn", *("".join(rng.choice("ACNx") for _ in range(rng.randint(1, 12))) for _ in range(80))]
+    f = ingest.features(spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(texts)], "header string, sequence string")).cache()
+    joined = paths.remove_terminal_gaps(ingest.components_of(f), ingest.gaps_of(f).select(F.col("name").alias("header"), "s1", "s2"))
+    local = paths.remove_terminal_gaps(ingest.components_of(f, "last"), None, *ingest.terminal_gaps())
+    assert rows(local, *joined.columns) == rows(joined) and local.count() < f.count()
+    plan = catalog.queries()["remove_terminal_gaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+
+
 def test_nstar(spark):
     contigs = spark.createDataFrame([(4,), (3,), (3,)], "len long")
     got = stats.nstar(contigs).orderBy("n").collect()

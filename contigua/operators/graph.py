@@ -51,20 +51,22 @@ def bubbles(adj: DataFrame, compat: bool = False) -> DataFrame:
     compat: neighbours are left by records whose far orientation equals that of the probe's record, which
     finds only bubbles with a branch on the other strand; else by the end that the probe does not touch.
 
-    The records are used four times; they are written once to the shared folder.
+    The records are used three times; they are written once to the shared folder. Records come in twos, so neighbours of a probe that go
+    on to another node have two at least and need not be counted.
     """
     adj = Rounds(adj.sparkSession).write(adj)
-    side = adj.groupBy("node").agg(F.count(F.lit(1)).alias("n"), _sides_met().alias("sides"), F.max(F.when(F.col("o0") == "-", F.struct("other", "o1"))).alias("l"), F.max(F.when(F.col("o0") == "+", F.struct("other", "o1"))).alias("r"))
-    busy = side.filter("n >= 2").select(F.col("node").alias("busy"))
-    probes = side.filter("n = 2 AND sides = 2").select(F.col("node").alias("b0"), F.col("l.other").alias("b1"), F.col("l.o1").alias("l1"), F.col("r.other").alias("b2"), F.col("r.o1").alias("r1"))
-    probes = probes.join(busy, F.col("b1") == F.col("busy"), "left_semi").join(busy, F.col("b2") == F.col("busy"), "left_semi")
-    key = F.col("o1") if compat else flip(F.col("o0"))
-    steps = adj.select(F.col("node").alias("at"), key.alias("key"), F.col("other").alias("to"))
-    first = probes.join(steps, (F.col("b1") == F.col("at")) & (F.col("l1") == F.col("key"))).drop("at", "key").filter("to <> b0")
-    closed = first.filter("to = b2").select("b0", "b1", "b2", F.lit(None).cast(adj.schema["node"].dataType).alias("b3"))
-    second = adj.select(F.col("node").alias("at"), key.alias("key"), F.col("other").alias("to2"))
-    met = first.filter("to <> b2").join(second, (F.col("b2") == F.col("at")) & (F.col("r1") == F.col("key")) & (F.col("to") == F.col("to2")))
-    return closed.union(met.select("b0", "b1", "b2", F.col("to").alias("b3"))).distinct()
+    left, right = F.col("o0") == "-", F.col("o0") == "+"
+    minus = F.col("o1") == "-"  # truth values and nodes, not structs: long nodes are then grouped by hash
+    side = adj.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(left, 1)).alias("n_left"), F.count(F.when(right, 1)).alias("n_right"),
+        F.max(F.when(left, F.col("other"))).alias("b1"), F.max(F.when(left, minus)).alias("l1"), F.max(F.when(right, F.col("other"))).alias("b2"), F.max(F.when(right, minus)).alias("r1"),
+    )
+    probes = side.filter("n = 2 AND n_left = 1 AND n_right = 1").select(F.col("node").alias("b0"), "b1", "l1", "b2", "r1")
+    steps = adj.select(F.col("node").alias("at"), (minus if compat else right).alias("key"), F.col("other").alias("to"))
+    first = probes.join(steps, (F.col("b1") == F.col("at")) & (F.col("l1") == F.col("key"))).filter("to <> b0").select("b0", "b1", "b2", "r1", "to")
+    second = steps.toDF("at2", "key2", "to2")
+    met = first.join(second, (F.col("b2") == F.col("at2")) & (F.col("r1") == F.col("key2")) & (F.col("to") == F.col("to2")), "left").filter("to = b2 OR to2 IS NOT NULL")
+    return met.select("b0", "b1", "b2", F.when(F.col("to") != F.col("b2"), F.col("to")).alias("b3")).distinct()
 
 
 def circular_segments(edges: DataFrame) -> DataFrame:

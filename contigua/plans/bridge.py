@@ -7,7 +7,7 @@ the latest order that gives it one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from contigua.model import GAP, SEGMENT
 
@@ -26,8 +26,12 @@ def reads(spark: SparkSession, sf_dir: str, name: str = "documents", key: str =
     return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("header"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("sequence"))
 
 
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    w = _in_order()
     own = table(spark, sf_dir, "lineitem")
     return own.select(
         F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("long").alias("q"), "l_shipdate",
@@ -60,11 +64,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bubble_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's first four lines as a bubble: line 1 to 2 and 3, both to 4."""
-    w = Window.partitionBy("path").orderBy("o")
-    ahead = lambda n: F.struct((F.col("path") * 10 + F.col("o") + n).alias("s2"), F.lead("orientation", n).over(w).alias("s2_or"))
-    rows = lines(spark, sf_dir).select("path", "o", "orientation", ahead(1).alias("one"), ahead(2).alias("two"))
-    to = F.when(F.col("o") == 1, F.array("one", "two")).when(F.col("o") == 2, F.array("two")).when(F.col("o") == 3, F.array("one"))
-    return rows.select((F.col("path") * 10 + F.col("o")).alias("s1"), F.col("orientation").alias("s1_or"), F.explode(to).alias("x")).select("s1", "s1_or", "x.s2", "x.s2_or").filter("s2_or IS NOT NULL")
+    w, way = _in_order(), F.when(F.col("l_returnflag") == "R", "-").otherwise("+")
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10).alias("at"), way.alias("s1_or"), F.row_number().over(w).cast("long").alias("o"), F.lead(way, 1).over(w).alias("one"), F.lead(way, 2).over(w).alias("two")
+    )
+    ahead = lambda n, way: F.struct((F.col("at") + F.col("o") + n).alias("s2"), F.col(way).alias("s2_or"))
+    to = F.when(F.col("o") == 1, F.array(ahead(1, "one"), ahead(2, "two"))).when(F.col("o") == 2, F.array(ahead(2, "two"))).when(F.col("o") == 3, F.array(ahead(1, "one")))
+    return rows.filter("o <= 3").select((F.col("at") + F.col("o")).alias("s1"), "s1_or", F.explode(to).alias("x")).select("s1", "s1_or", "x.s2", "x.s2_or").filter("s2_or IS NOT NULL")
 
 
 def small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

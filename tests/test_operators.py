@@ -74,6 +74,32 @@ def test_graph(spark):
     assert rows(d) == [("a", 0.0), ("b", 1.0), ("c", 1.0), ("d", 2.0)]
 
 
+@pytest.mark.parametrize("compat", [True, False])
+def test_bubbles_read_their_records_three_times(spark, compat):
+    """Random graphs with loops and double edges against a search from every probe; probes and their first steps are made once, and grouped by hash."""
+    rng, turn, expected = random.Random(31), {"+": "-", "-": "+"}, set()
+    edges = []
+    for g in range(150):
+        ids = [g * 10 + i for i in range(rng.choice([2, 3, 4, 5]))]
+        edges += [(rng.choice(ids), rng.choice("+-"), rng.choice(ids), rng.choice("+-")) for _ in range(rng.randint(2, 7))]
+    met = {}
+    for a, x, b, y in {min((a, x, b, y), (b, turn[y], a, turn[x])) for a, x, b, y in edges}:
+        met.setdefault(a, []).append((x, b, y))
+        met.setdefault(b, []).append((turn[y], a, turn[x]))
+    ways = lambda node, end: {o for x, o, y in met[node] if (y if compat else turn[x]) == end}
+    for b0, own in met.items():
+        if len(own) != 2 or {x for x, *_ in own} != {"+", "-"}:
+            continue
+        (_, b2, r1), (_, b1, l1) = sorted(own)
+        if min(len(met[b1]), len(met[b2])) >= 2:
+            there = ways(b1, l1) - {b0}
+            expected |= {(b0, b1, b2, None if to == b2 else to) for to in there if to == b2 or to in ways(b2, r1)}
+    found = graph.bubbles(graph.adjacency(spark.createDataFrame(edges, "s1 long, s1_or string, s2 long, s2_or string")), compat)
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected) and any(e[3] is None for e in expected) and any(e[3] for e in expected)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan") == 3 and "SortAggregate" not in plan
+
+
 def test_components_of_a_long_path(spark):
     """Ids in random order: rounds grow with the logarithm, and the bound on what one task unites changes nothing."""
     ids = list(range(20_001))

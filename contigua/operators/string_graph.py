@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 _SCHEMA = "header string, pos long, inset long, kmer string, choices string"
-PIECE, BLOCK, CELLS = 1 << 18, 1 << 13, 1 << 22  # characters laid end to end; places swept together; bases of the windows held at once
+PIECE, BLOCK, CELLS = 1 << 18, 1 << 14, 1 << 22  # characters laid end to end; places swept together; bases of the windows held at once
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,11 +27,14 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class _Laid:
-    """Sequences end to end. ``pool``: their letters, as numbers from 1, and behind them those of the choices; ``stops``: each sequence's
+    """Sequences end to end, and behind them, in one pool, the texts of the choices. ``packed``: for each place of the pool the ``per`` letters
+    from there, as numbers from 1 of some ``bits``; ``stops``: each sequence's
     end; ``sites``: the places with choices; options ``first[i]`` to ``first[i + 1]`` are those of site i: a choice and a stretch of the pool."""
 
     letters: np.ndarray
-    pool: np.ndarray
+    packed: np.ndarray
+    bits: int
+    per: int
     stops: np.ndarray
     sites: np.ndarray
     first: np.ndarray
@@ -41,8 +44,8 @@ class _Laid:
     names: list[str]
 
 
-def _lay(texts: list[str], row: np.ndarray, pos: np.ndarray, choices: pa.Array, alternatives: pa.Array) -> _Laid:
-    """``row``, ``pos``: the sequence and the place of each alternative."""
+def _lay(texts: list[str], row: np.ndarray, pos: np.ndarray, choices: pa.Array, alternatives: pa.Array, k: int) -> _Laid:
+    """``row``, ``pos``: the sequence and the place of each alternative; ``k``: the letters of a window."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     stops = np.cumsum(lengths)
     inside = (pos >= 0) & (pos < lengths[row])
@@ -51,7 +54,8 @@ def _lay(texts: list[str], row: np.ndarray, pos: np.ndarray, choices: pa.Array,
     rank = {name: i for i, name in enumerate(names)}
     distinct = given.dictionary.to_pylist()
     letters, pool = np.unique(np.frombuffer("".join([*texts, *distinct]).encode("utf-32-le"), "<u4"), return_inverse=True)
-    pool = (pool + 1).astype(np.uint8 if len(letters) < 256 else np.uint32)
+    bits = len(letters).bit_length()
+    per = min(k, 63 // bits) if bits else k
     at = ((stops - lengths)[row] + pos)[inside]
     sites = np.unique(at)
     size = np.fromiter(map(len, distinct), np.int64, len(distinct))
@@ -65,41 +69,48 @@ def _lay(texts: list[str], row: np.ndarray, pos: np.ndarray, choices: pa.Array,
     new[1:] = (np.diff(place[order]) != 0) | (np.diff(choice[order]) != 0) | (np.diff(number[order]) != 0)
     order = order[new]  # each once, however often it is given
     first = np.append(np.searchsorted(place[order], sites), len(order))
-    return _Laid(letters, pool, stops, sites, first, choice[order], begin[order], length[order], names)
-
-
-def _write(text: np.ndarray, length: np.ndarray, pool: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Puts stretches of the pool behind what the rows of ``text`` hold, and returns the new lengths."""
-    at = np.arange(text.shape[1]) - length[:, None]
-    own = (at >= 0) & (at < count[:, None])
-    text[own] = pool[(at + begin[:, None])[own]]
-    return length + count
-
-
-def _least(begin: np.ndarray, text: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
-    """Of the rows with one begin and text that with the least code."""
-    if not len(begin):
-        return np.zeros(0, np.int64)
-    n, words = text.shape[1], []
-    for j in range(0, n, 63 // bits):
-        word = np.zeros(len(text), np.int64)
-        for c in range(j, min(n, j + 63 // bits)):
-            word <<= bits
-            word |= text[:, c]
-        words.append(word)
-    tail = int(code.max()).bit_length()
-    if int(begin.max()).bit_length() + n * bits + tail <= 63:  # all in one number
-        key = (((begin << n * bits) | words[0]) << tail) | code
-        order = np.argsort(key)
-        words = [key >> tail]
-    else:
-        words.insert(0, begin)
-        order = np.lexsort((code, *reversed(words)))
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for word in words:
+    return _Laid(letters, _packed(pool + 1, bits, per), bits, per, stops, sites, first, choice[order], begin[order], length[order], names)
+
+
+def _packed(pool: np.ndarray, bits: int, per: int) -> np.ndarray:
+    """At each place of the pool the ``per`` letters from there as one number, the first highest; 0 behind the end."""
+    padded = np.concatenate([pool, np.zeros(per, np.int64)])
+    packed = np.zeros(len(pool) + 1, np.int64)
+    for c in range(per):
+        packed <<= bits
+        packed |= padded[c : c + len(packed)]
+    return packed
+
+
+def _write(text: list[np.ndarray], length: np.ndarray, packed: np.ndarray, bits: int, per: int, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Puts stretches of the pool behind what ``text`` holds, a number for each ``per`` letters, and returns the new lengths."""
+    end = length + count
+    for w, word in enumerate(text):
+        lo, hi = np.clip(length, w * per, (w + 1) * per), np.clip(end, w * per, (w + 1) * per)
+        source = np.minimum(begin + (lo - length), len(packed) - 1)
+        word |= (packed[source] >> bits * (per - (hi - lo))) << bits * ((w + 1) * per - hi)
+    return end
+
+
+def _lengths(text: list[np.ndarray], bits: int, per: int) -> np.ndarray:
+    """How many letters texts hold."""
+    return sum((((word >> bits * c) & ((1 << bits) - 1)) != 0).astype(np.int64) for word in text for c in range(per))
+
+
+def _least(begin: np.ndarray, text: list[np.ndarray], code: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of the rows with one begin and text that with the least code; ``width``: the bits of a text of one number."""
+    tail = int(code.max(initial=0)).bit_length()
+    if len(text) == 1 and int(begin.max(initial=0)).bit_length() + width + tail <= 63:  # all in one number
+        key = (((begin << width) | text[0]) << tail) | code
+        key.sort()
+        key = key[np.append(True, np.diff(key >> tail) != 0)[: len(key)]]
+        return key >> (width + tail), [(key >> tail) & ((1 << width) - 1)], key & ((1 << tail) - 1)
+    order, new = np.lexsort((code, *reversed(text), begin)), np.zeros(len(begin), bool)
+    new[:1] = True
+    for word in (begin, *text):
         new[1:] |= np.diff(word[order]) != 0
-    return order[new]
+    order = order[new]
+    return begin[order], [word[order] for word in text], code[order]
 
 
 def _named(names: list[str]) -> tuple[list[str], np.ndarray]:
@@ -112,7 +123,7 @@ def _named(names: list[str]) -> tuple[list[str], np.ndarray]:
 def _sweep(laid: _Laid, lo: int, hi: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
     """(place, inset, letters, code, names) of the windows that begin at places lo to hi; names[code] are the choices. Where more than
     CELLS bases would be held, the places are halved; one place is swept however many windows it has."""
-    sites, bits = laid.sites, len(laid.letters).bit_length()
+    sites, packing = laid.sites, (laid.packed, laid.bits, laid.per)
     a, b = np.searchsorted(sites, (lo, hi))
     plain = np.ones(hi - lo, bool)
     plain[sites[a:b] - lo] = False
@@ -129,8 +140,8 @@ def _sweep(laid: _Laid, lo: int, hi: int, k: int) -> Iterator[tuple[np.ndarray,
         for half in halves:
             yield from _sweep(laid, *half, k)
         return
-    text, start = np.zeros((len(row), k), laid.pool.dtype), (place[row] - lo) * insets + inset
-    length = _write(text, np.zeros(len(row), np.int64), laid.pool, begin[row] + inset, np.minimum(length[row] - inset, k))
+    text, start = [np.zeros(len(row), np.int64) for _ in range(0, k, laid.per)], (place[row] - lo) * insets + inset
+    length = _write(text, np.zeros(len(row), np.int64), *packing, begin[row] + inset, np.minimum(length[row] - inset, k))
     code, passed, done = code[row], 0, []
 
     def leave(going: np.ndarray) -> None:
@@ -138,20 +149,20 @@ def _sweep(laid: _Laid, lo: int, hi: int, k: int) -> Iterator[tuple[np.ndarray,
         nonlocal start, text, length, code, held
         whole = length == k
         if whole.any():
-            done.append((start[whole], text[whole], code[whole], names))
+            done.append((start[whole], [word[whole] for word in text], code[whole], names))
             held += int(whole.sum())
         going = going & ~whole
-        start, text, length, code = start[going], text[going], length[going], code[going]
+        start, text, length, code = start[going], [word[going] for word in text], length[going], code[going]
 
     while len(start):
         at = start // insets
         site = ahead[at] + passed
         here = at + lo + 1 if not passed else sites[site - 1] + 1
         nearest = np.append(sites, laid.stops[-1])[site]
-        length = _write(text, length, laid.pool, here, np.minimum(k - length, np.minimum(nearest, stop[at]) - here))
+        length = _write(text, length, *packing, here, np.minimum(k - length, np.minimum(nearest, stop[at]) - here))
         leave(nearest < stop[at])
-        kept = _least(start, text, code, bits)
-        start, text, length, code = start[kept], text[kept], length[kept], code[kept]
+        start, text, code = _least(start, text, code, laid.bits * laid.per)
+        length = _lengths(text, laid.bits, laid.per)
         site = ahead[start // insets] + passed
         row, number = _spread(laid.first[site + 1] - laid.first[site])
         if halves and held + len(row) > most:
@@ -159,8 +170,8 @@ def _sweep(laid: _Laid, lo: int, hi: int, k: int) -> Iterator[tuple[np.ndarray,
                 yield from _sweep(laid, *half, k)
             return
         option = laid.first[site][row] + number
-        start, text = start[row], text[row]
-        length = _write(text, length[row], laid.pool, laid.begin[option], np.minimum(k - length[row], laid.length[option]))
+        start, text = start[row], [word[row] for word in text]
+        length = _write(text, length[row], *packing, laid.begin[option], np.minimum(k - length[row], laid.length[option]))
         pairs, which = np.unique(code[row] * len(laid.names) + laid.choice[option], return_inverse=True)
         longer = [(names[p // len(laid.names)], laid.names[p % len(laid.names)]) for p in pairs.tolist()]
         names, ranks = _named([f"{before},{choice}" if before else choice for before, choice in longer])
@@ -170,17 +181,22 @@ def _sweep(laid: _Laid, lo: int, hi: int, k: int) -> Iterator[tuple[np.ndarray,
         return
     names, ranks = _named([name for *_, own in done for name in own])
     base = np.cumsum([0, *(len(own) for *_, own in done)])
-    start, text = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+    start, text = np.concatenate([d[0] for d in done]), [np.concatenate(words) for words in zip(*(d[1] for d in done))]
     code = np.concatenate([ranks[base[i] + d[2]] for i, d in enumerate(done)])
-    kept = _least(start, text, code, bits)
-    yield start[kept] // insets + lo, start[kept] % insets, laid.letters[text[kept].astype(np.int64) - 1], code[kept], names
+    start, text, code = _least(start, text, code, laid.bits * laid.per)
+    shifts = [laid.bits * (laid.per - 1 - i) for i in range(laid.per)]
+    small = np.uint8 if laid.letters.max(initial=0) < 128 else np.uint32
+    letters, held = np.empty((len(start), k), small), laid.letters.astype(small)
+    for i in range(k):
+        letters[:, i] = held[((text[i // laid.per] >> shifts[i % laid.per]) & ((1 << laid.bits) - 1)) - 1]
+    yield start // insets + lo, start % insets, letters, code, names
 
 
 def _strings(letters: np.ndarray) -> pa.Array:
     """Rows of code points as strings."""
     n, k = letters.shape
-    if letters.max(initial=0) < 128:
-        return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.py_buffer(letters.astype(np.uint8).tobytes()))
+    if letters.dtype == np.uint8:
+        return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.py_buffer(letters.tobytes()))
     whole = letters.tobytes().decode("utf-32-le")
     return pa.array([whole[i : i + k] for i in range(0, n * k, k)], pa.string())
 
@@ -189,7 +205,7 @@ def windows_from(sequence: str, sites: dict[int, list[tuple[str, str]]], order:
     """(inset, window, choices) of the windows that begin at place ``pos``; choice 0 is the sequence's own base."""
     listed = [(at, choice, text) for at in order for choice, text in sites[at] if choice != "0"]
     at, choices, texts = zip(*listed) if listed else ((), (), ())
-    laid = _lay([sequence], np.zeros(len(at), np.int64), np.array(at, np.int64), pa.array(choices, pa.string()), pa.array(texts, pa.string()))
+    laid = _lay([sequence], np.zeros(len(at), np.int64), np.array(at, np.int64), pa.array(choices, pa.string()), pa.array(texts, pa.string()), k)
     for _, inset, letters, code, names in _sweep(laid, pos, pos + 1, k):
         yield from zip(inset.tolist(), _strings(letters).to_pylist(), [names[c] for c in code.tolist()])
 
@@ -206,8 +222,8 @@ def string_windows(sequences: DataFrame, sites: DataFrame, k: int) -> DataFrame:
         raise ValueError("a window has at least one base")
     width = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number: what follows is work, not bytes
     per = sites.filter("choice > 0 AND pos IS NOT NULL").groupBy(F.col("header").alias("__h")).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("choice").cast("string").alias("choice"), F.coalesce("text", F.lit("")).alias("text"))).alias("x")).hint("merge")  # else small inputs' sites would pass through the driver
-    own = sequences.repartition(width, "header").filter(F.length("sequence") > 0)
-    rows = own.join(per, F.col("header") == F.col("__h"), "left").select(F.col("header").cast("string"), "sequence", "x")
+    own = sequences.repartition(width, "header")  # empty ones fall out of the sweep, as a filter would find the sequences a second time
+    rows = own.join(per, F.col("header") == F.col("__h"), "left").select(F.col("header").cast("string"), F.coalesce("sequence", F.lit("")).alias("sequence"), "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
@@ -218,7 +234,7 @@ def string_windows(sequences: DataFrame, sites: DataFrame, k: int) -> DataFrame:
                 listed = piece.column(2)
                 counts = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 pos, choice, text = listed.flatten().flatten()
-                laid = _lay(piece.column(1).to_pylist(), np.repeat(np.arange(len(counts)), counts), pos.to_numpy(zero_copy_only=False), choice, text)
+                laid = _lay(piece.column(1).to_pylist(), np.repeat(np.arange(len(counts)), counts), pos.to_numpy(zero_copy_only=False), choice, text, k)
                 for lo in range(0, int(laid.stops[-1]), BLOCK):
                     for place, inset, letters, code, names in _sweep(laid, lo, min(lo + BLOCK, int(laid.stops[-1])), k):
                         row = np.searchsorted(laid.stops, place, "right")

@@ -18,12 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def seqs(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     """(header, sequence): with gaps and soft-masking."""
-    return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("header"), F.regexp_replace("text", "[^ACGTNacgtn]", "").alias("sequence"))
+    return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("header"), F.regexp_replace("text", "[^ACGTNacgtn]+", "").alias("sequence"))
 
 
 def reads(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     """(header, sequence): bases only, upper case."""
-    return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("header"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("sequence"))
+    return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("header"), F.regexp_replace(F.upper("text"), "[^ACGT]+", "").alias("sequence"))
 
 
 def _in_order() -> WindowSpec:

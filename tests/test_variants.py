@@ -140,7 +140,7 @@ def test_windows_beyond_what_is_held_at_once(monkeypatch):
     seq = "".join(rng.choice("ACGé") for _ in range(60))
     sites = {i: [("0", seq[i]), ("1", "TT"), ("10", ""), ("2", "C")] for i in range(1, 60, 3)}
     laid = string_graph._lay([seq], *(f([x for x in ((0, i, c, t) for i in sites for c, t in sites[i][1:])]) for f in (
-        lambda r: np.array([x[0] for x in r]), lambda r: np.array([x[1] for x in r]), lambda r: pa.array([x[2] for x in r]), lambda r: pa.array([x[3] for x in r]))))
+        lambda r: np.array([x[0] for x in r]), lambda r: np.array([x[1] for x in r]), lambda r: pa.array([x[2] for x in r]), lambda r: pa.array([x[3] for x in r]))), 9)
     want = [(p, *w) for p in range(60) for w in string_graph.windows_from(seq, sites, sorted(sites), p, 9)]
     for cells in (1, 500, 5000, 1 << 22):
         monkeypatch.setattr(string_graph, "CELLS", cells)
